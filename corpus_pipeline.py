@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from viewmint.llm.common import stored, table
 from viewmint.llm.exact_dedup import drop_exact_copies
 from viewmint.llm.mixing import apply_mix
+from viewmint.llm.packing import pack_sequences
 from viewmint.llm.quality import drop_low_quality
+from viewmint.llm.simhash import drop_near_copies
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,13 +24,29 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return drop_exact_copies(docs)
 
 
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies."""
+    return drop_near_copies(docs)
+
+
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix of their sources takes them."""
     return apply_mix(docs)
 
 
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Places of all pieces of the mix in training sequences."""
+    return pack_sequences(docs)
+
+
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
-STAGES: list[tuple[str, Stage]] = [("quality", quality), ("exact_dedup", exact), ("mix", mix)]
+STAGES: list[tuple[str, Stage]] = [
+    ("quality", quality),
+    ("exact_dedup", exact),
+    ("simhash_dedup", near),
+    ("mix", mix),
+    ("pack", pack),
+]
 #: The classifier's fit and the fingerprints are beyond SQL.
 ORACLE_SQL: str | None = None
 

@@ -9,9 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import table
 from .exact_dedup import exact_dedup
 from .mixing import mix_sources
+from .packing import pack_sequences
 from .preference import format_preferences, replies_as_pairs
 from .quality import quality_scores
+from .rans import tokens_round_trip
 from .sharding import shard_records
+from .simhash import simhash_components
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,14 +30,36 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_sequences(table(spark, sf_dir, "documents"))
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_records(table(spark, sf_dir, "documents"))
 
 
+def op8_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens_round_trip(table(spark, sf_dir, "documents"))
+
+
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_components(table(spark, sf_dir, "documents"))
+
+
 def op10_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
     return format_preferences(replies_as_pairs(table(spark, sf_dir, "conversations")))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality, op2_exact_dedup, op3_mixing, op7_sharding, op10_preference)
+    f.__name__: f
+    for f in (
+        op1_quality,
+        op2_exact_dedup,
+        op3_mixing,
+        op4_packing,
+        op7_sharding,
+        op8_token_output,
+        op9_simhash,
+        op10_preference,
+    )
 }

@@ -10,9 +10,11 @@ characters in a row, or any other than space and newline) is encoded whole.
 from __future__ import annotations
 
 import os
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Words kept by one Python worker; beyond it words are encoded anew per batch.
 CACHE_WORDS = 400_000
@@ -83,3 +85,18 @@ class WordEncoder:
         found.update(zip(hits, map(known.__getitem__, hits)))
         get = found.__getitem__
         return [self._ids(t).tobytes() if s is None else b"".join(map(get, s)) for t, s in zip(texts, split)]
+
+
+#: Characters of text that are encoded at a time.
+SLICE_CHARS = 4_000_000
+
+
+def in_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, list[str | None]]]:
+    """(ids, texts) of two-column batches, in slices of bounded text."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False)
+        slot = np.cumsum(sizes) // SLICE_CHARS
+        edges = np.r_[0, np.flatnonzero(slot[1:] != slot[:-1]) + 1, batch.num_rows]
+        for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
+            if b > a:
+                yield batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a).to_pylist()
