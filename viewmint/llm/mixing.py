@@ -140,5 +140,6 @@ def apply_mix(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: each row of ``docs`` as often as it is taken, by id."""
     id_col = options.get("id_col", "doc_id")
     taken = mix_sources(docs, **options).groupBy(F.col(id_col).alias("_id")).agg(F.max("repeats").alias("_times"))
-    joined = docs.join(taken, docs[id_col].eqNullSafe(F.col("_id"))).where("_times > 0")
-    return joined.select(*[docs[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("_times").cast("int"))).alias("_nth")).drop("_nth")
+    joined = docs.join(taken, docs[id_col].eqNullSafe(taken["_id"])).where(taken["_times"] > 0)
+    nth = F.explode(F.sequence(F.lit(1), taken["_times"].cast("int"))).alias("\0nth")
+    return joined.select(*[docs[c] for c in docs.columns], nth).drop("\0nth")

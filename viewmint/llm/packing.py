@@ -6,8 +6,7 @@ configurations (multisets of lengths that fit a sequence).  Multiplicative
 weights solve its linear program: each length has a weight that falls as it is
 covered; the configuration of the highest weight, found by a knapsack dynamic
 program, is raised by a step.  The solution is scaled to what there is and
-rounded down; what is left is packed by further configurations, fullest first,
-with the same dynamic program, so that the last ones are a best fit of the rest.
+rounded down.  What is left is packed by best fit, longest pieces first.
 
 The histogram and the configurations have a size bounded by the capacity.
 Pieces find their place by their rank among the pieces of their length.
@@ -84,19 +83,39 @@ def linear_program(counts: np.ndarray, capacity: int, rounds: int = ROUNDS) -> l
     return [(dict(k), x / max(over[at[n]] for n, _ in k)) for k, x in used.items()]
 
 
-def fitted(pattern: Pattern, left: np.ndarray, capacity: int) -> Pattern:
-    """``pattern`` cut to what is left, and filled up with what fits best."""
-    out = {n: min(a, int(left[n])) for n, a in pattern.items() if left[n]}
-    room = capacity - sum(n * a for n, a in out.items())
-    while room > 0:
-        fits = np.flatnonzero(left[: room + 1])
-        fits = [n for n in fits[::-1][:64] if left[n] > out.get(int(n), 0)]
-        if not fits:
-            break
-        n = int(fits[0])
-        out[n] = out.get(n, 0) + 1
-        room -= n
-    return out
+def best_fit(counts: np.ndarray, capacity: int) -> list[tuple[Pattern, int]]:
+    """Best fit, longest pieces first, for whole counts at a time.
+
+    Each piece goes to the fullest sequence that has room.  Sequences of equal
+    contents are one entry with a number, so that the work depends on the
+    capacity and not on how many pieces there are.
+    """
+    open_: dict[int, list[tuple[Pattern, int]]] = {}  # by room that is left
+
+    def place(pattern: Pattern, n: int, copies: int, times: int, room: int) -> None:
+        if times:
+            made = {**pattern, n: pattern.get(n, 0) + copies} if copies else pattern
+            open_.setdefault(room - n * copies, []).append((made, times))
+
+    for n in np.flatnonzero(counts)[::-1].tolist():
+        left = int(counts[n])
+        for room in sorted(r for r in open_ if r >= n):
+            if not left:
+                break
+            each, waiting = room // n, open_.pop(room)
+            for pattern, times in waiting:
+                whole = min(times, left // each)
+                left -= whole * each
+                place(pattern, n, each, whole, room)
+                rest = left if whole < times and left < each else 0
+                if rest:
+                    place(pattern, n, rest, 1, room)
+                    left = 0
+                place(pattern, n, 0, times - whole - (rest > 0), room)
+        each = capacity // n
+        place({}, n, each, left // each, capacity)
+        place({}, n, left % each, int(left % each > 0), capacity)
+    return [entry for entries in open_.values() for entry in entries]
 
 
 def pack_histogram(counts: np.ndarray, capacity: int = CAPACITY, rounds: int = ROUNDS) -> list[tuple[Pattern, int]]:
@@ -116,23 +135,19 @@ def pack_histogram(counts: np.ndarray, capacity: int = CAPACITY, rounds: int = R
         for pattern, x in linear_program(left, capacity, rounds):
             if int(x) and all(left[n] >= a * int(x) for n, a in pattern.items()):
                 use(pattern, int(x))
-    while left.any():
-        lengths = np.flatnonzero(left)
-        # fullest first; of equally full ones those of long pieces, and of
-        # lengths that are many, so that one configuration serves often
-        values = lengths * (1 + 1e-3 * lengths / capacity + 1e-5 * np.log1p(left[lengths]))
-        pattern = fitted(best_pattern(values, lengths, capacity), left, capacity)
-        use(pattern, max(1, min(int(left[n] // a) for n, a in pattern.items())))
+    plan += best_fit(left, capacity)
     return plan
 
 
 def _pieces(path: str, end: int, capacity: int):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = WordEncoder.of(path)
-        for ids, texts in in_slices(batches):
+        for docs, texts in in_slices(batches):
             rows: list[tuple] = []
-            for doc, raw in zip(ids, encoder.encode(texts)):
-                raw += end.to_bytes(4, "little")
+            ids, begin = encoder.encode(texts)
+            last = np.array([end], np.uint32).tobytes()
+            for doc, x, y in zip(docs, begin[:-1].tolist(), begin[1:].tolist()):
+                raw = ids[x:y].tobytes() + last
                 n = len(raw) // 4
                 first = (n - 1) % capacity + 1
                 edges = [0, *range(first, n + 1, capacity)]
@@ -140,7 +155,7 @@ def _pieces(path: str, end: int, capacity: int):
                     rows.append((doc, k, a, b - a, zlib.crc32(raw[4 * a : 4 * b])))
             doc, k, a, n, crc = zip(*rows)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(doc, ids.type), pa.array(k, pa.int32()), pa.array(a, pa.int64()), pa.array(n, pa.int64()), pa.array(crc, pa.int64())],
+                [pa.array(doc, docs.type), pa.array(k, pa.int32()), pa.array(a, pa.int64()), pa.array(n, pa.int64()), pa.array(crc, pa.int64())],
                 ["_id", "piece", "start", "length", "ids_crc32"],
             )
 

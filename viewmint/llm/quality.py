@@ -197,5 +197,5 @@ def quality_scores(
 
 def drop_low_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the rows that are predicted to be of low quality."""
-    bad = quality_scores(docs, labels, id_col, text_col).where("predicted = 0").select(F.col(id_col).alias("_bad"))
-    return docs.join(bad.distinct(), docs[id_col] == F.col("_bad"), "left_anti")
+    bad = quality_scores(docs, labels, id_col, text_col).where("predicted = 0").select(F.col(id_col).alias("_bad")).distinct()
+    return docs.join(bad, docs[id_col] == bad["_bad"], "left_anti")

@@ -5,16 +5,19 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import table
 from .exact_dedup import exact_dedup
 from .mixing import mix_sources
+from .neighbours import nearest_neighbours
 from .packing import pack_sequences
 from .preference import format_preferences, replies_as_pairs
 from .quality import quality_scores
 from .rans import tokens_round_trip
 from .sharding import shard_records
 from .simhash import simhash_components
+from .substrings import remove_repeats
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,6 +37,14 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_sequences(table(spark, sf_dir, "documents"))
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents"))
+
+
+def op6_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest_neighbours(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_records(table(spark, sf_dir, "documents"))
 
@@ -57,6 +68,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op2_exact_dedup,
         op3_mixing,
         op4_packing,
+        op5_substring_dedup,
+        op6_neighbours,
         op7_sharding,
         op8_token_output,
         op9_simhash,

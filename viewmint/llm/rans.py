@@ -68,7 +68,7 @@ class FrequencyTable:
                         cut[0] = 1
                     freq[big] -= cut
         cum = np.concatenate([[0], np.cumsum(freq)[:-1]])
-        slots = np.repeat(np.arange(len(freq)), freq).astype(np.uint32)
+        slots = np.repeat(np.arange(len(freq)), freq).astype(np.uint16 if len(freq) <= 1 << 16 else np.uint32)
         return cls(freq.astype(np.uint64), cum.astype(np.uint64), slots)
 
 
@@ -152,20 +152,21 @@ def _tokenised(path: str, end: int):
         pack = zstandard.ZstdCompressor(level=1).compress
         counts = np.zeros(1, np.int64)
         kind = None
-        for ids, texts in in_slices(batches):
-            kind = ids.type
+        for docs, texts in in_slices(batches):
+            kind = docs.type
             n, packed = [], []
-            for raw in encoder.encode(texts):
-                own = np.append(np.frombuffer(raw, "<u4"), np.uint32(end))
-                n.append(len(own))
-                planes = own.view(np.uint8).reshape(-1, 4).T
-                used = 2 if not planes[2:].any() else 4
-                packed.append(bytes([used]) + pack(np.ascontiguousarray(planes[:used]).tobytes()))
-                part = np.bincount(own, minlength=len(counts))
-                part[: len(counts)] += counts
-                counts = part
+            ids, begin = encoder.encode(texts)
+            # byte planes: ids below 65536 have two, and the high one is dull
+            planes = [(ids >> np.uint32(8 * k)).astype(np.uint8).tobytes() for k in range(4 if ids.max(initial=0) >> 16 else 2)]
+            for a, b in zip(begin[:-1].tolist(), begin[1:].tolist()):
+                n.append(b - a + 1)
+                packed.append(pack(b"".join([p[a:b] for p in planes])))
+            part = np.bincount(ids, minlength=max(len(counts), end + 1))
+            part[end] += len(n)
+            part[: len(counts)] += counts
+            counts = part
             yield pa.RecordBatch.from_arrays(
-                [ids, pa.array(n, pa.int64()), pa.array(packed, pa.binary()), pa.nulls(len(n), pa.binary())],
+                [docs, pa.array(n, pa.int64()), pa.array(packed, pa.binary()), pa.nulls(len(n), pa.binary())],
                 ["_id", "n", "ids", "counts"],
             )
         if kind is not None:
@@ -177,12 +178,16 @@ def _tokenised(path: str, end: int):
     return run
 
 
-def _unpacked(packed: bytes, n: int) -> np.ndarray:
-    used = packed[0]
-    planes = np.zeros((4, n), np.uint8)
-    raw = zstandard.ZstdDecompressor().decompress(packed[1:], max_output_size=max(1, n * used))
-    planes[:used] = np.frombuffer(raw, np.uint8).reshape(used, n)
-    return np.ascontiguousarray(planes.T).view("<u4").ravel()
+def _unpacked(packed: bytes, n: int, end: int, inflate) -> np.ndarray:
+    """The n ids of a document, of which the last is ``end``."""
+    out = np.full(n, end, np.uint32)
+    if n > 1:
+        raw = np.frombuffer(inflate(packed, max_output_size=4 * n), np.uint8).reshape(-1, n - 1)
+        ids = raw[0].astype(np.uint32)
+        for k in range(1, len(raw)):
+            ids |= raw[k].astype(np.uint32) << np.uint32(8 * k)
+        out[:-1] = ids
+    return out
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,9 +204,10 @@ _BLOCKS = (
 )
 
 
-def _blocks(table: FrequencyTable):
+def _blocks(table: FrequencyTable, end: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         file = TaskContext.get().partitionId()
+        inflate = zstandard.ZstdDecompressor().decompress
         first = number = 0
         docs, ids, waiting = [], [], 0
 
@@ -222,7 +228,7 @@ def _blocks(table: FrequencyTable):
             kind = batch.column("_id").type
             for doc, n, packed in zip(*[batch.column(c).to_pylist() for c in ("_id", "n", "ids")]):
                 docs.append(doc)
-                ids.append(_unpacked(packed, n))
+                ids.append(_unpacked(packed, n, end, inflate))
                 waiting += n
                 if waiting >= BLOCK_IDS:
                     yield made(kind)
@@ -269,7 +275,7 @@ def write_tokens(
     ordered = (
         made.where("ids is not null").drop("counts").repartitionByRange(files, "_id").sortWithinPartitions("_id")
     )
-    blocks = ordered.mapInArrow(_blocks(table), f"{_BLOCKS}, docs array<{kind}>")
+    blocks = ordered.mapInArrow(_blocks(table, end), f"{_BLOCKS}, docs array<{kind}>")
     blocks.write.option("compression", "none").parquet(f"{path}/blocks")
 
 

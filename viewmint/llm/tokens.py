@@ -2,22 +2,33 @@
 
 BPE never merges across pre-token borders, so a text's ids are the ids of its
 pre-tokens in a row.  Words repeat a lot, so each distinct space-separated word
-is encoded once per batch and the first ones are kept in a bounded cache.  A
-text with white space whose borders depend on its neighbours (two white-space
-characters in a row, or any other than space and newline) is encoded whole.
+of a slice of texts is looked up or encoded once, and its ids are copied to
+where it stands.  The first words that a worker meets stay known, up to a bound.
+A text with white space whose borders depend on its neighbours (two white-space
+characters in a row, any other than space and newline, or a space at the end)
+is encoded whole.
 """
 
 from __future__ import annotations
 
 import os
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Words kept by one Python worker; beyond it words are encoded anew per batch.
-CACHE_WORDS = 400_000
+#: Bytes of text that are encoded at a time.
+SLICE_BYTES = 12_000_000
+#: Words that a worker keeps the ids of.
+KNOWN_WORDS = 500_000
+#: Words encoded in one call.
+CALL_WORDS = 20_000
+
+_WHITE = r"\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+_RARE = r"\t\r\f" + _WHITE[2:]
+#: Texts to encode whole; the last two hold what marks words or special ids.
+_WHOLE = rf"[{_WHITE}][{_WHITE}]|[{_RARE}]| \z|\x00|<\|"
 
 
 def default_vocabulary() -> str:
@@ -28,7 +39,7 @@ def default_vocabulary() -> str:
 
 
 class WordEncoder:
-    """Encodes texts to ``uint32`` id arrays; one instance per worker and file."""
+    """Encodes arrays of texts; one instance per worker and vocabulary file."""
 
     _made: dict[str, WordEncoder] = {}
 
@@ -37,10 +48,13 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
-        self._newline = self._ids("\n")
-        if len(self._newline) != 1:
+        newline = self._ids("\n")
+        if len(newline) != 1:
             raise ValueError("a vocabulary with one id for the newline is asked for")
-        self._cache: dict[str, bytes] = {"": b"", "\n": self._newline.tobytes()}
+        self._newline = newline[0]
+        self._known: dict[str, int] = {}
+        self._pool = np.zeros(1 << 16, np.uint32)  # ids of known words in a row
+        self._starts = np.zeros(KNOWN_WORDS + 1, np.int64)
 
     @classmethod
     def of(cls, path: str) -> WordEncoder:
@@ -50,53 +64,96 @@ class WordEncoder:
 
     def _ids(self, text: str) -> np.ndarray:
         (made,) = self._tokenizer.encode_batch_fast([text], add_special_tokens=False)
-        return np.array(made.ids, dtype="<u4")
+        return np.array(made.ids, dtype=np.uint32)
 
-    def _words(self, words: list[str]) -> list[bytes]:
-        """Ids of words without white space but for a space in front.
+    def _words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all words in a row, number of ids of each).
 
-        They are encoded in one go, each on a line of its own: a lone newline
-        is a pre-token, so its id marks where a word ends.
+        Words are encoded in one go, each on a line of its own: a lone newline
+        is a pre-token, so its id marks where a word ends.  The newline itself,
+        as a word, stands for its id.
+        """
+        parts, counts = [], []
+        for i in range(0, len(words), CALL_WORDS):
+            some = words[i : i + CALL_WORDS]
+            own = np.array([w == "\n" for w in some])
+            ids = self._ids("\n".join([w for w in some if w != "\n"] + [""]))
+            ends = np.flatnonzero(ids == self._newline)
+            n = np.ones(len(some), np.int64)
+            n[~own] = np.diff(ends, prepend=-1) - 1
+            out = np.full(int(n.sum()), self._newline, np.uint32)
+            out[~np.repeat(own, n)] = ids[ids != self._newline]
+            parts.append(out)
+            counts.append(n)
+        return (np.concatenate(parts), np.concatenate(counts)) if parts else (np.zeros(0, np.uint32), np.zeros(0, np.int64))
+
+    def _learn(self, words: list[str], ids: np.ndarray, n: np.ndarray) -> None:
+        at = len(self._known)
+        words = words[: KNOWN_WORDS - at]
+        if not words:
+            return
+        ends = self._starts[at] + np.cumsum(n[: len(words)])
+        self._starts[at + 1 : at + 1 + len(words)] = ends
+        if ends[-1] > len(self._pool):
+            self._pool = np.concatenate([self._pool, np.zeros(int(ends[-1]), np.uint32)])
+        self._pool[self._starts[at] : ends[-1]] = ids[: ends[-1] - self._starts[at]]
+        self._known.update(zip(words, range(at, at + len(words))))
+
+    def _plain(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        marked = pc.replace_substring(pc.replace_substring(texts, "\n", "\0\n\0"), " ", "\0 ")
+        split = pc.split_pattern(marked, "\0")
+        coded = split.flatten().dictionary_encode()
+        words = coded.dictionary.to_pylist()
+        get = self._known.get
+        place = np.fromiter((get(w, -1) for w in words), np.int64, len(words))
+        fresh = place < 0
+        new = [words[i] for i in np.flatnonzero(fresh).tolist()]
+        ids, n_new = self._words(new)
+        # the known words' ids, and behind them those of the new ones
+        pool = np.concatenate([self._pool[: self._starts[len(self._known)]], ids])
+        n = np.empty(len(words), np.int64)
+        start = np.empty(len(words), np.int64)
+        n[fresh] = n_new
+        start[fresh] = len(pool) - len(ids) + np.cumsum(n_new) - n_new
+        old = place[~fresh]
+        start[~fresh] = self._starts[old]
+        n[~fresh] = self._starts[old + 1] - self._starts[old]
+        self._learn(new, ids, n_new)
+        index = coded.indices.to_numpy(zero_copy_only=False)
+        each = n[index]
+        ends = np.cumsum(each)
+        where = np.repeat(start[index] - (ends - each), each)
+        where += np.arange(len(where))
+        border = np.concatenate([[0], np.cumsum(pc.list_value_length(split).to_numpy(zero_copy_only=False))])
+        return pool[where], np.concatenate([[0], ends])[border]
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts in a row, where each text's ids begin, and the end).
+
+        Null counts as empty.
         """
-        out: list[bytes] = []
-        for i in range(0, len(words), 20_000):
-            ids = self._ids("\n".join(words[i : i + 20_000]) + "\n")
-            ends = np.flatnonzero(ids == self._newline[0])
-            starts = np.concatenate(([0], ends[:-1] + 1))
-            raw = ids.tobytes()
-            out += [raw[a:b] for a, b in zip((starts * 4).tolist(), (ends * 4).tolist())]
-        return out
-
-    def encode(self, texts: Iterable[str | None]) -> list[bytes]:
-        """Little-endian ``uint32`` ids of each text; null counts as empty."""
-        known = self._cache
-        split: list[list[str] | None] = []
-        texts = [t or "" for t in texts]
-        for t in texts:
-            plain = t.count(" ") + t.count("\n") + 1 == len(t.split()) and "\0" not in t and "<|" not in t
-            split.append(t.replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0") if plain else None)
-        words: set[str] = set().union(*(s for s in split if s))
-        fresh = list(words - known.keys())
-        hits = list(words & known.keys())
-        ids = self._words(fresh)
-        if len(known) < CACHE_WORDS:
-            known.update(list(zip(fresh, ids))[: CACHE_WORDS - len(known)])
-        found = dict(zip(fresh, ids))
-        found.update(zip(hits, map(known.__getitem__, hits)))
-        get = found.__getitem__
-        return [self._ids(t).tobytes() if s is None else b"".join(map(get, s)) for t, s in zip(texts, split)]
-
-
-#: Characters of text that are encoded at a time.
-SLICE_CHARS = 4_000_000
-
-
-def in_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, list[str | None]]]:
+        texts = pc.fill_null(texts, "")
+        whole = pc.match_substring_regex(texts, _WHOLE).to_numpy(zero_copy_only=False)
+        if not whole.any():
+            return self._plain(texts)
+        ids, begin = self._plain(texts.filter(pa.array(~whole)))
+        alone = [self._ids(t) for t in texts.filter(pa.array(whole)).to_pylist()]
+        n = np.zeros(len(texts), np.int64)
+        n[~whole] = np.diff(begin)
+        n[whole] = [len(a) for a in alone]
+        out = np.empty(int(n.sum()), np.uint32)
+        of_whole = np.repeat(whole, n)
+        out[~of_whole] = ids
+        out[of_whole] = np.concatenate(alone)
+        return out, np.concatenate([[0], np.cumsum(n)])
+
+
+def in_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, pa.Array]]:
     """(ids, texts) of two-column batches, in slices of bounded text."""
     for batch in batches:
         sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False)
-        slot = np.cumsum(sizes) // SLICE_CHARS
+        slot = np.cumsum(sizes) // SLICE_BYTES
         edges = np.r_[0, np.flatnonzero(slot[1:] != slot[:-1]) + 1, batch.num_rows]
         for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
             if b > a:
-                yield batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a).to_pylist()
+                yield batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a)
