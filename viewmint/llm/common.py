@@ -47,6 +47,23 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of ids up to which a list of them is broadcast, after it was counted
+#: (16 MB or so); a longer one is joined by a shuffle.
+BROADCAST_ROWS = 1 << 20
+
+
+def sized(ids: DataFrame, name: str) -> DataFrame:
+    """A stored list of ids, marked for broadcast if it is short enough."""
+    kept = stored(ids, name)
+    return F.broadcast(kept) if kept.count() <= BROADCAST_ROWS else kept
+
+
+def without(rows: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
+    """``rows`` whose id isn't in the one column of ``ids``; null ids stay."""
+    gone = sized(ids.distinct(), "gone")
+    return rows.join(gone, rows[id_col] == gone[gone.columns[0]], "left_anti")
+
+
 def with_rank(df: DataFrame, group: list[str], chunk: str, order: list[Column], name: str) -> DataFrame:
     """Gapless ranks from 0 within ``group``, by ``chunk`` and then ``order``.
 

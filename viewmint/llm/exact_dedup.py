@@ -18,13 +18,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, stored
+from .common import SPACES, sized, stored, without
 
 #: Fingerprints that a merged quotient range holds on average.
 RANGE_SIZE = 1 << 14
-#: Routed fingerprints (8 bytes each) up to which their list is broadcast; a
-#: longer list is joined by a shuffle.
-BROADCAST_KEYS = 1 << 20
 
 
 class CountingQuotientFilter:
@@ -123,11 +120,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     text = F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), SPACES, " ")
     own = docs.select(F.col(id_col).alias("_id"), text.alias("_text")).withColumn("_fp", F.xxhash64("_text"))
     digests = stored(own.select("_id", "_fp", F.sha2("_text", 256).alias("_sha")), "digests")
-    routed = stored(repeated_fingerprints(digests.select("_fp"), digests.count()), "routed").select(
-        F.col("fp").alias("_fp")
-    )
-    small = routed.count() <= BROADCAST_KEYS
-    suspects = own.join(F.broadcast(routed) if small else routed, "_fp", "left_semi")
+    routed = sized(repeated_fingerprints(digests.select("_fp"), digests.count()).select(F.col("fp").alias("_fp")), "routed")
+    suspects = own.join(routed, "_fp", "left_semi")
     # The grouping key is the text itself, so equality is that of all bytes;
     # copies within a partition are one row before the shuffle.
     groups = suspects.groupBy("_text").agg(F.min("_id").alias("_keep"), F.count(F.lit(1)).alias("_size"))
@@ -158,5 +152,5 @@ def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     An id is taken to name one row: rows that repeat both id and text stay or
     go together, and a row with a null id always stays.
     """
-    gone = exact_dedup(docs, id_col, text_col).where(~F.col("kept")).select(F.col(id_col).alias("_gone")).distinct()
-    return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
+    gone = exact_dedup(docs, id_col, text_col).where(~F.col("kept")).select(F.col(id_col).alias("_gone"))
+    return without(docs, gone, id_col)

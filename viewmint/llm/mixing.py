@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORDS, stored
+from .common import WORDS, sized, stored
 
 #: Weights dealt to the sources in order, again and again.
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -139,7 +139,8 @@ def mix_sources(
 def apply_mix(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: each row of ``docs`` as often as it is taken, by id."""
     id_col = options.get("id_col", "doc_id")
-    taken = mix_sources(docs, **options).groupBy(F.col(id_col).alias("_id")).agg(F.max("repeats").alias("_times"))
-    joined = docs.join(taken, docs[id_col].eqNullSafe(taken["_id"])).where(taken["_times"] > 0)
+    every = mix_sources(docs, **options).groupBy(F.col(id_col).alias("_id")).agg(F.max("repeats").alias("_times"))
+    taken = sized(every.where("_times > 0"), "taken")
+    joined = docs.join(taken, docs[id_col].eqNullSafe(taken["_id"]))
     nth = F.explode(F.sequence(F.lit(1), taken["_times"].cast("int"))).alias("\0nth")
     return joined.select(*[docs[c] for c in docs.columns], nth).drop("\0nth")

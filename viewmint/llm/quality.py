@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, stored
+from .common import SPACES, stored, without
 
 #: Shrinkage towards the pooled covariance, and then towards the identity.
 TO_POOLED, TO_IDENTITY = 0.1, 0.02
@@ -197,5 +197,5 @@ def quality_scores(
 
 def drop_low_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the rows that are predicted to be of low quality."""
-    bad = quality_scores(docs, labels, id_col, text_col).where("predicted = 0").select(F.col(id_col).alias("_bad")).distinct()
-    return docs.join(bad, docs[id_col] == bad["_bad"], "left_anti")
+    bad = quality_scores(docs, labels, id_col, text_col).where("predicted = 0").select(F.col(id_col).alias("_bad"))
+    return without(docs, bad, id_col)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import stored, without
 from .components import components, spanning_stars
 
 RADIUS = 4
@@ -206,10 +206,5 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     An id is taken to name one row; a row with a null id always stays.
     """
-    gone = (
-        simhash_components(docs, id_col, text_col)
-        .where(F.col(id_col) != F.col("component_id"))
-        .select(F.col(id_col).alias("_gone"))
-        .distinct()
-    )
-    return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
+    every = simhash_components(docs, id_col, text_col)
+    return without(docs, every.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_gone")), id_col)

@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 
 #: Bytes of text that are encoded at a time.
 SLICE_BYTES = 12_000_000
-#: Words that a worker keeps the ids of.
+#: Words that a worker keeps the ids of, of those met twice in a slice.
 KNOWN_WORDS = 500_000
 #: Words encoded in one call.
 CALL_WORDS = 20_000
@@ -118,12 +118,14 @@ class WordEncoder:
         old = place[~fresh]
         start[~fresh] = self._starts[old]
         n[~fresh] = self._starts[old + 1] - self._starts[old]
-        self._learn(new, ids, n_new)
         index = coded.indices.to_numpy(zero_copy_only=False)
+        # a word met twice will be met again; most others won't
+        again = np.bincount(index, minlength=len(words))[fresh] > 1
+        self._learn([w for w, a in zip(new, again.tolist()) if a], ids[np.repeat(again, n_new)], n_new[again])
         each = n[index]
         ends = np.cumsum(each)
-        where = np.repeat(start[index] - (ends - each), each)
-        where += np.arange(len(where))
+        where = np.repeat((start[index] - (ends - each)).astype(np.int32), each)
+        where += np.arange(len(where), dtype=np.int32)
         border = np.concatenate([[0], np.cumsum(pc.list_value_length(split).to_numpy(zero_copy_only=False))])
         return pool[where], np.concatenate([[0], ends])[border]
 
