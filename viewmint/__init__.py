@@ -1,0 +1 @@
+"""Evidence-access analytics on Spark: which view of the evidence to buy."""
