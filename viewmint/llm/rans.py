@@ -30,7 +30,7 @@ from .tokens import WordEncoder, default_vocabulary, in_slices
 #: Bits of the frequency table's total.
 SCALE_BITS = 20
 #: Ids after which a block ends with its document, and lanes of a full block.
-BLOCK_IDS, LANES = 1 << 17, 1024
+BLOCK_IDS, LANES = 1 << 18, 2048
 #: Steps between two checkpoints.
 CHECKPOINT_STEPS = 64
 #: Ids in a file, about.

@@ -19,9 +19,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text that are encoded at a time.
-SLICE_BYTES = 12_000_000
-#: Words that a worker keeps the ids of, of those met twice in a slice.
-KNOWN_WORDS = 500_000
+SLICE_BYTES = 10_000_000
+#: Words that a worker keeps the ids of (some 60 MB).
+KNOWN_WORDS = 1_500_000
 #: Words encoded in one call.
 CALL_WORDS = 20_000
 
@@ -52,9 +52,9 @@ class WordEncoder:
         if len(newline) != 1:
             raise ValueError("a vocabulary with one id for the newline is asked for")
         self._newline = newline[0]
-        self._known: dict[str, int] = {}
-        self._pool = np.zeros(1 << 16, np.uint32)  # ids of known words in a row
-        self._starts = np.zeros(KNOWN_WORDS + 1, np.int64)
+        self._known = pa.array([], pa.string())
+        self._pool = np.zeros(0, np.uint32)  # the ids of known words in a row
+        self._starts = np.zeros(1, np.int64)
 
     @classmethod
     def of(cls, path: str) -> WordEncoder:
@@ -87,43 +87,37 @@ class WordEncoder:
             counts.append(n)
         return (np.concatenate(parts), np.concatenate(counts)) if parts else (np.zeros(0, np.uint32), np.zeros(0, np.int64))
 
-    def _learn(self, words: list[str], ids: np.ndarray, n: np.ndarray) -> None:
-        at = len(self._known)
-        words = words[: KNOWN_WORDS - at]
-        if not words:
+    def _learn(self, words: pa.Array, ids: np.ndarray, n: np.ndarray) -> None:
+        room = KNOWN_WORDS - len(self._known)
+        if room <= 0 or not len(words):
             return
-        ends = self._starts[at] + np.cumsum(n[: len(words)])
-        self._starts[at + 1 : at + 1 + len(words)] = ends
-        if ends[-1] > len(self._pool):
-            self._pool = np.concatenate([self._pool, np.zeros(int(ends[-1]), np.uint32)])
-        self._pool[self._starts[at] : ends[-1]] = ids[: ends[-1] - self._starts[at]]
-        self._known.update(zip(words, range(at, at + len(words))))
+        ends = np.cumsum(n[:room])
+        self._known = pa.concat_arrays([self._known, words[:room]])
+        self._pool = np.concatenate([self._pool, ids[: ends[-1]]])
+        self._starts = np.concatenate([self._starts, self._starts[-1] + ends])
 
     def _plain(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         marked = pc.replace_substring(pc.replace_substring(texts, "\n", "\0\n\0"), " ", "\0 ")
         split = pc.split_pattern(marked, "\0")
         coded = split.flatten().dictionary_encode()
-        words = coded.dictionary.to_pylist()
-        get = self._known.get
-        place = np.fromiter((get(w, -1) for w in words), np.int64, len(words))
+        words = coded.dictionary
+        place = pc.fill_null(pc.index_in(words, value_set=self._known), -1).to_numpy(zero_copy_only=False)
         fresh = place < 0
-        new = [words[i] for i in np.flatnonzero(fresh).tolist()]
-        ids, n_new = self._words(new)
+        new = words.filter(pa.array(fresh))
+        ids, n_new = self._words(new.to_pylist())
         # the known words' ids, and behind them those of the new ones
-        pool = np.concatenate([self._pool[: self._starts[len(self._known)]], ids])
-        n = np.empty(len(words), np.int64)
-        start = np.empty(len(words), np.int64)
+        pool = np.concatenate([self._pool, ids])
+        n = np.empty(len(words), np.int32)
+        start = np.empty(len(words), np.int32)
         n[fresh] = n_new
-        start[fresh] = len(pool) - len(ids) + np.cumsum(n_new) - n_new
+        start[fresh] = len(self._pool) + np.cumsum(n_new) - n_new
         old = place[~fresh]
         start[~fresh] = self._starts[old]
         n[~fresh] = self._starts[old + 1] - self._starts[old]
+        self._learn(new, ids, n_new)
         index = coded.indices.to_numpy(zero_copy_only=False)
-        # a word met twice will be met again; most others won't
-        again = np.bincount(index, minlength=len(words))[fresh] > 1
-        self._learn([w for w, a in zip(new, again.tolist()) if a], ids[np.repeat(again, n_new)], n_new[again])
         each = n[index]
-        ends = np.cumsum(each)
+        ends = np.cumsum(each, dtype=np.int64)
         where = np.repeat((start[index] - (ends - each)).astype(np.int32), each)
         where += np.arange(len(where), dtype=np.int32)
         border = np.concatenate([[0], np.cumsum(pc.list_value_length(split).to_numpy(zero_copy_only=False))])
@@ -159,3 +153,4 @@ def in_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, pa.
         for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
             if b > a:
                 yield batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a)
+                pa.default_memory_pool().release_unused()
