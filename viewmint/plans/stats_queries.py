@@ -276,8 +276,8 @@ def feat_onehot(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query(f"with {VM} select query_id, view, round(price / 500000, 6) as price, cost, ord, (view = 'pq')::int as is_pq, (view = 'full')::int as is_full from vm")
+@query(f"with {VM} select query_id, view, round(price / 500000, 9) as price, cost, ord, (view = 'pq')::int as is_pq, (view = 'full')::int as is_full from vm")
 def feat_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
     return view_table(spark, sf_dir).select(
-        "query_id", "view", F.round(F.col("price") / 500000, 6).alias("price"), "cost", "ord", (F.col("view") == "pq").cast("int").alias("is_pq"), (F.col("view") == "full").cast("int").alias("is_full")
+        "query_id", "view", F.round(F.col("price") / 500000, 9).alias("price"), "cost", "ord", (F.col("view") == "pq").cast("int").alias("is_pq"), (F.col("view") == "full").cast("int").alias("is_full")
     )
