@@ -142,7 +142,7 @@ def pack_histogram(counts: np.ndarray, capacity: int = CAPACITY, rounds: int = R
 def _pieces(path: str, end: int, capacity: int):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = WordEncoder.of(path)
-        for docs, texts in in_slices(batches):
+        for docs, texts in in_slices(batches, encoder.slice_bytes):
             rows: list[tuple] = []
             ids, begin = encoder.encode(texts)
             last = np.array([end], np.uint32).tobytes()

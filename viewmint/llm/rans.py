@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import shared_dir, stored
-from .tokens import WordEncoder, default_vocabulary, in_slices
+from .tokens import LARGE, WordEncoder, default_vocabulary, in_slices
 
 #: Bits of the frequency table's total.
 SCALE_BITS = 20
@@ -148,11 +148,11 @@ def _tokenised(path: str, end: int):
     """Documents' ids, packed for the way to their file; then the counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder.of(path)
+        encoder = WordEncoder.of(path, LARGE)
         pack = zstandard.ZstdCompressor(level=1).compress
         counts = np.zeros(1, np.int64)
         kind = None
-        for docs, texts in in_slices(batches):
+        for docs, texts in in_slices(batches, encoder.slice_bytes):
             kind = docs.type
             n, packed = [], []
             ids, begin = encoder.encode(texts)

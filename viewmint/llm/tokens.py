@@ -11,6 +11,7 @@ is encoded whole.
 
 from __future__ import annotations
 
+import ctypes
 import os
 from collections.abc import Iterator
 
@@ -18,12 +19,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Bytes of text that are encoded at a time.
-SLICE_BYTES = 10_000_000
-#: Words that a worker keeps the ids of (some 60 MB).
-KNOWN_WORDS = 1_500_000
-#: Words encoded in one call.
-CALL_WORDS = 20_000
+#: Bytes of text that are encoded at a time, words that a worker keeps the ids
+#: of (40 bytes each), and words encoded in one call: small, where a worker
+#: shares its executor with other stages, or large, for speed.
+SMALL, LARGE = (3_000_000, 400_000, 4_000), (10_000_000, 1_500_000, 20_000)
 
 _WHITE = r"\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 _RARE = r"\t\r\f" + _WHITE[2:]
@@ -41,9 +40,10 @@ def default_vocabulary() -> str:
 class WordEncoder:
     """Encodes arrays of texts; one instance per worker and vocabulary file."""
 
-    _made: dict[str, WordEncoder] = {}
+    _made: dict[tuple, WordEncoder] = {}
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, size: tuple[int, int, int] = SMALL):
+        self.slice_bytes, self._most_known, self._call_words = size
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -57,10 +57,10 @@ class WordEncoder:
         self._starts = np.zeros(1, np.int64)
 
     @classmethod
-    def of(cls, path: str) -> WordEncoder:
-        if path not in cls._made:
-            cls._made[path] = cls(path)
-        return cls._made[path]
+    def of(cls, path: str, size: tuple[int, int, int] = SMALL) -> WordEncoder:
+        if (path, size) not in cls._made:
+            cls._made[path, size] = cls(path, size)
+        return cls._made[path, size]
 
     def _ids(self, text: str) -> np.ndarray:
         (made,) = self._tokenizer.encode_batch_fast([text], add_special_tokens=False)
@@ -74,8 +74,8 @@ class WordEncoder:
         as a word, stands for its id.
         """
         parts, counts = [], []
-        for i in range(0, len(words), CALL_WORDS):
-            some = words[i : i + CALL_WORDS]
+        for i in range(0, len(words), self._call_words):
+            some = words[i : i + self._call_words]
             own = np.array([w == "\n" for w in some])
             ids = self._ids("\n".join([w for w in some if w != "\n"] + [""]))
             ends = np.flatnonzero(ids == self._newline)
@@ -88,7 +88,7 @@ class WordEncoder:
         return (np.concatenate(parts), np.concatenate(counts)) if parts else (np.zeros(0, np.uint32), np.zeros(0, np.int64))
 
     def _learn(self, words: pa.Array, ids: np.ndarray, n: np.ndarray) -> None:
-        room = KNOWN_WORDS - len(self._known)
+        room = self._most_known - len(self._known)
         if room <= 0 or not len(words):
             return
         ends = np.cumsum(n[:room])
@@ -144,13 +144,17 @@ class WordEncoder:
         return out, np.concatenate([[0], np.cumsum(n)])
 
 
-def in_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, pa.Array]]:
+def in_slices(batches: Iterator[pa.RecordBatch], slice_bytes: int) -> Iterator[tuple[pa.Array, pa.Array]]:
     """(ids, texts) of two-column batches, in slices of bounded text."""
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
     for batch in batches:
         sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False)
-        slot = np.cumsum(sizes) // SLICE_BYTES
+        slot = np.cumsum(sizes) // slice_bytes
         edges = np.r_[0, np.flatnonzero(slot[1:] != slot[:-1]) + 1, batch.num_rows]
         for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
             if b > a:
                 yield batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a)
+                # what a slice took goes back to the machine
                 pa.default_memory_pool().release_unused()
+                if trim:
+                    trim(0)
