@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.core import hash_index
@@ -44,32 +44,56 @@ def ece(rows: DataFrame, p: str, y: str, bins: int = 10) -> DataFrame:
     return b.agg(F.round(F.sum(F.col("n") * F.abs(F.col("mean_p") - F.col("mean_y"))) / F.sum("n"), 6).alias("ece"))
 
 
-def average_rank(value: str, by: tuple[str, ...] = ()) -> Column:
-    """1-based rank with ties averaged."""
-    order = Window.partitionBy(*by).orderBy(value)
-    ties = Window.partitionBy(*by, value)
-    return F.rank().over(order) + (F.count(F.lit(1)).over(ties) - 1) / 2
+#: Ranges of values that running totals are counted over.
+RANGES = 256
+
+
+def running(rows: DataFrame, key: str, sums: list[str], descending: bool = False) -> DataFrame:
+    """Adds ``<c>_before`` for each column of ``sums``: its total over the rows
+    before this one in the order of a numeric ``key`` without ties.
+
+    Rows are cut into ranges of about equal size; only the totals of ranges are
+    ranged over as a whole, so that no task holds all rows.
+    """
+    edges = rows.approxQuantile(key, [i / RANGES for i in range(1, RANGES)], 1 / (4 * RANGES))
+    at = F.size(F.filter(F.array(*[F.lit(float(e)) for e in sorted(set(edges))]), lambda e: e <= F.col(key))) if edges else F.lit(0)
+    order = (lambda c: F.col(c).desc()) if descending else F.col
+    cut = rows.withColumn("_range", at)
+    ahead = Window.orderBy(order("_range")).rowsBetween(Window.unboundedPreceding, -1)
+    totals = cut.groupBy("_range").agg(*[F.sum(c).alias(f"_t{i}") for i, c in enumerate(sums)])
+    starts = totals.select("_range", *[F.coalesce(F.sum(f"_t{i}").over(ahead), F.lit(0)).alias(f"_s{i}") for i in range(len(sums))])
+    within = Window.partitionBy("_range").orderBy(order(key)).rowsBetween(Window.unboundedPreceding, -1)
+    inside = cut.select("*", *[F.coalesce(F.sum(c).over(within), F.lit(0)).alias(f"_i{i}") for i, c in enumerate(sums)])
+    joined = inside.join(starts, "_range")
+    return joined.select(*[F.col(c) for c in rows.columns], *[(F.col(f"_s{i}") + F.col(f"_i{i}")).alias(f"{c}_before") for i, c in enumerate(sums)])
+
+
+def with_average_rank(rows: DataFrame, value: str, name: str) -> DataFrame:
+    """Adds the 1-based rank of a numeric value, ties averaged.  Equal values
+    are counted once, however many they are."""
+    counts = rows.groupBy(F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+    ranks = running(counts, "_v", ["_n"]).select("_v", (F.col("_n_before") + (F.col("_n") + 1) / 2).alias(name))
+    return rows.join(ranks, F.col(value) == F.col("_v")).drop("_v")
 
 
 def auc(rows: DataFrame, p: str, y: str) -> DataFrame:
     """Mann-Whitney; null if a class is missing.  Counts go by distinct score,
     so ties, however many, are one row."""
     per = rows.groupBy(p).agg(F.sum(F.col(y).cast("long")).alias("pos"), F.sum(1 - F.col(y).cast("long")).alias("neg"))
-    below = Window.orderBy(p).rowsBetween(Window.unboundedPreceding, -1)
-    wins = per.withColumn("under", F.coalesce(F.sum("neg").over(below), F.lit(0)))
     both = F.sum("pos").cast("double") * F.sum("neg")
-    return wins.agg(F.when(both > 0, F.round(F.sum(F.col("pos") * (F.col("under") + F.col("neg") / 2)) / both, 6)).alias("auc"))
+    wins = F.sum(F.col("pos") * (F.col("neg_before") + F.col("neg") / 2))
+    return running(per, p, ["neg"]).agg(F.when(both > 0, F.round(wins / both, 6)).alias("auc"))
 
 
 def average_precision(rows: DataFrame, p: str, y: str) -> DataFrame:
     per = rows.groupBy(p).agg(F.sum(F.col(y).cast("long")).alias("pos"), F.count(F.lit(1)).alias("n"))
-    down = Window.orderBy(F.col(p).desc()).rowsBetween(Window.unboundedPreceding, 0)
-    seen = per.select("pos", F.sum("pos").over(down).alias("tp"), F.sum("n").over(down).alias("called"))
-    return seen.agg(F.round(F.sum(F.col("pos") * F.col("tp") / F.col("called")) / F.sum("pos"), 6).alias("auprc"))
+    seen = running(per, p, ["pos", "n"], descending=True)
+    at = (F.col("pos_before") + F.col("pos")) / (F.col("n_before") + F.col("n"))
+    return seen.agg(F.round(F.sum(F.col("pos") * at) / F.sum("pos"), 6).alias("auprc"))
 
 
 def spearman(rows: DataFrame, a: str, b: str) -> DataFrame:
-    ranked = rows.select(average_rank(a).alias("ra"), average_rank(b).alias("rb"))
+    ranked = with_average_rank(with_average_rank(rows.select(a, b), a, "ra"), b, "rb")
     return ranked.agg(F.round(F.corr("ra", "rb"), 6).alias("spearman"))
 
 

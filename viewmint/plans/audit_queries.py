@@ -97,11 +97,11 @@ def feat_knn_ctx(spark, sf_dir):
 @query("""with r as (select s_suppkey, (rank() over (order by s_acctbal) + (count(*) over (partition by s_acctbal) - 1) / 2) / count(*) over () as a, (rank() over (order by s_nationkey) + (count(*) over (partition by s_nationkey) - 1) / 2) / count(*) over () as b from supplier),
 t as (select s_suppkey, round((a + b) / 2, 9) as t from r) select s_suppkey, round((t - min(t) over ()) / (max(t) over () - min(t) over ()), 6) as axis from t""")
 def terrain_axes(spark, sf_dir):
-    from ..operators.stats import average_rank
+    from ..operators.stats import with_average_rank
 
     s = read(spark, sf_dir, "supplier")
     n = s.agg(F.count(F.lit(1)).alias("n"))
-    t = s.withColumn("a", average_rank("s_acctbal")).withColumn("b", average_rank("s_nationkey")).crossJoin(n).select("s_suppkey", F.round((F.col("a") + F.col("b")) / F.col("n") / 2, 9).alias("t"))
+    t = with_average_rank(with_average_rank(s, "s_acctbal", "a"), "s_nationkey", "b").crossJoin(n).select("s_suppkey", F.round((F.col("a") + F.col("b")) / F.col("n") / 2, 9).alias("t"))
     ends = t.agg(F.min("t").alias("lo"), F.max("t").alias("hi"))
     return t.crossJoin(ends).select("s_suppkey", F.round((F.col("t") - F.col("lo")) / (F.col("hi") - F.col("lo")), 6).alias("axis"))
 
@@ -230,10 +230,12 @@ def gate_agreement(spark, sf_dir):
 
 @query("select o_orderkey, case when row_number() over (order by o_orderkey) <= floor(0.6::double * count(*) over ()) then 'train' else 'test' end as split from orders")
 def split_head(spark, sf_dir):
-    o = read(spark, sf_dir, "orders").select("o_orderkey")
+    from ..operators.stats import running
+
+    o = read(spark, sf_dir, "orders").select("o_orderkey", F.lit(1).alias("n"))
     n = o.count()
-    edge = o.withColumn("r", F.row_number().over(Window.orderBy("o_orderkey")))
-    return edge.select("o_orderkey", F.when(F.col("r") <= F.floor(F.lit(0.6) * n), "train").otherwise("test").alias("split"))
+    first = F.col("n_before") < F.floor(F.lit(0.6) * n)
+    return running(o, "o_orderkey", ["n"]).select("o_orderkey", F.when(first, "train").otherwise("test").alias("split"))
 
 
 @query(f"""with {_VECTORS}, c as (select a.vec_id as qid, b.vec_id as did, (a.label = b.label)::int as rel, round(list_inner_product(a.x, b.x), 9) as score from e a join e b on a.vec_id % 8 = b.vec_id % 8 and a.vec_id <> b.vec_id),

@@ -162,7 +162,8 @@ d as (select rep, ('0x' || substr(md5('11:' || rep::varchar || ':' || i::varchar
 m as (select rep, avg(value) as m from d join v on v.i = pick group by rep)
 select (select round(avg(value), 6) from v) as mean, round(quantile_cont(m, 0.025), 6) as lo, round(quantile_cont(m, 0.975), 6) as hi, count(*) as reps from m""")
 def boot_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
-    values = read(spark, sf_dir, "events").select((F.row_number().over(Window.orderBy("event_id")) - 1).alias("i"), "value").persist()
+    one = read(spark, sf_dir, "events").select("event_id", "value", F.lit(1).alias("n"))
+    values = T.running(one, "event_id", ["n"]).select(F.col("n_before").alias("i"), "value").persist()
     return T.bootstrap_ci(values, "value", 200)
 
 
@@ -222,7 +223,7 @@ select s_suppkey, round(pct, 6) as pct_rank, round(mm, 6) as minmax, round(z, 6)
 def pct_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = read(spark, sf_dir, "supplier")
     stats = s.agg(F.count(F.lit(1)).alias("n"), F.min("s_acctbal").alias("lo"), F.max("s_acctbal").alias("hi"), F.avg("s_acctbal").alias("m"), F.stddev_pop("s_acctbal").alias("sd"))
-    return s.withColumn("r", T.average_rank("s_acctbal")).crossJoin(stats).select(
+    return T.with_average_rank(s, "s_acctbal", "r").crossJoin(stats).select(
         "s_suppkey", F.round(F.col("r") / F.col("n"), 6).alias("pct_rank"), F.round((F.col("s_acctbal") - F.col("lo")) / (F.col("hi") - F.col("lo")), 6).alias("minmax"),
         F.round((F.col("s_acctbal") - F.col("m")) / F.col("sd"), 6).alias("zscore"),
     )
