@@ -36,7 +36,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Places of all pieces of the mix in training sequences."""
-    return pack_sequences(docs)
+    return pack_sequences(docs, lean=True)
 
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import stored, with_rank
-from .tokens import WordEncoder, default_vocabulary, in_slices
+from .tokens import LARGE, SMALL, WordEncoder, default_vocabulary, in_slices
 
 CAPACITY = 1024
 END = 2
@@ -139,9 +139,10 @@ def pack_histogram(counts: np.ndarray, capacity: int = CAPACITY, rounds: int = R
     return plan
 
 
-def _pieces(path: str, end: int, capacity: int):
+def _pieces(path: str, end: int, capacity: int, lean: bool):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder.of(path)
+        size = SMALL if lean else LARGE
+        encoder = WordEncoder.of(path, size)
         for docs, texts in in_slices(batches, encoder.slice_bytes):
             rows: list[tuple] = []
             ids, begin = encoder.encode(texts)
@@ -158,6 +159,9 @@ def _pieces(path: str, end: int, capacity: int):
                 [pa.array(doc, docs.type), pa.array(k, pa.int32()), pa.array(a, pa.int64()), pa.array(n, pa.int64()), pa.array(crc, pa.int64())],
                 ["_id", "piece", "start", "length", "ids_crc32"],
             )
+        if lean:
+            del encoder
+            WordEncoder.drop(path, size)
 
     return cut
 
@@ -205,13 +209,15 @@ def pack_sequences(
     vocabulary: str | None = None,
     end: int = END,
     capacity: int = CAPACITY,
+    lean: bool = False,
 ) -> DataFrame:
     """Pieces of all documents and their places in sequences.
 
     A document is its text's ids and ``end``; null and empty texts are ``end``
     alone.  Only a document of more than ``capacity`` ids is cut; its first
     piece is the short one.  Rows that repeat an id are packed each on its own.
-    An empty table gives an empty result.
+    An empty table gives an empty result.  ``lean``: workers keep nothing of a
+    vocabulary between tasks, for executors that have other stages' workers.
 
     Returns ``id_col, piece, start, length, ids_crc32, sequence_id, offset``.
     """
@@ -219,7 +225,7 @@ def pack_sequences(
     fields = f"_id {kind}, piece int, start long, length long, ids_crc32 long"
     pieces = stored(
         docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).mapInArrow(
-            _pieces(vocabulary or default_vocabulary(), end, capacity), fields
+            _pieces(vocabulary or default_vocabulary(), end, capacity, lean), fields
         ),
         "pieces",
     )

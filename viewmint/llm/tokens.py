@@ -12,6 +12,7 @@ is encoded whole.
 from __future__ import annotations
 
 import ctypes
+import gc
 import os
 from collections.abc import Iterator
 
@@ -62,6 +63,12 @@ class WordEncoder:
             cls._made[path, size] = cls(path, size)
         return cls._made[path, size]
 
+    @classmethod
+    def drop(cls, path: str, size: tuple[int, int, int]) -> None:
+        """Forgets an encoder, for a worker that stays idle afterwards."""
+        cls._made.pop((path, size), None)
+        give_back()
+
     def _ids(self, text: str) -> np.ndarray:
         (made,) = self._tokenizer.encode_batch_fast([text], add_special_tokens=False)
         return np.array(made.ids, dtype=np.uint32)
@@ -144,9 +151,17 @@ class WordEncoder:
         return out, np.concatenate([[0], np.cumsum(n)])
 
 
+def give_back() -> None:
+    """Memory that isn't used any more goes back to the machine."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim:
+        trim(0)
+
+
 def in_slices(batches: Iterator[pa.RecordBatch], slice_bytes: int) -> Iterator[tuple[pa.Array, pa.Array]]:
     """(ids, texts) of two-column batches, in slices of bounded text."""
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
     for batch in batches:
         sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False)
         slot = np.cumsum(sizes) // slice_bytes
@@ -154,7 +169,4 @@ def in_slices(batches: Iterator[pa.RecordBatch], slice_bytes: int) -> Iterator[t
         for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
             if b > a:
                 yield batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a)
-                # what a slice took goes back to the machine
-                pa.default_memory_pool().release_unused()
-                if trim:
-                    trim(0)
+                give_back()
