@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from ..functions import core as C
 from ..operators import geometry as G
-from ..operators import policy as P
 from ..operators import text as T
 from .fixtures import VM, view_table
 from .geometry_queries import _POINTS, _sides
@@ -174,11 +173,11 @@ def boundary_table(spark, sf_dir):
 
 
 @query(f"""with {VM}, r as (select query_id, case when price > 200000 then 'full' else 'pq' end as view from vm where ord = 0),
-u as (select dataset, utility from r join vm using (query_id, view)) select dataset, count(*) as queries, round(avg(utility), 6) as chosen_utility from u group by dataset""")
+u as (select dataset, utility from r join vm using (query_id, view)) select dataset, count(*) as queries, round(avg(utility), 8) as chosen_utility from u group by dataset""")
 def util_for_choices(spark, sf_dir):
     v = view_table(spark, sf_dir)
     routes = v.where("ord = 0").select("query_id", F.when(F.col("price") > 200000, "full").otherwise("pq").alias("view"))
-    return routes.join(v, ["query_id", "view"]).groupBy("dataset").agg(F.count(F.lit(1)).alias("queries"), F.round(F.avg("utility"), 6).alias("chosen_utility"))
+    return routes.join(v, ["query_id", "view"]).groupBy("dataset").agg(F.count(F.lit(1)).alias("queries"), F.round(F.avg("utility"), 8).alias("chosen_utility"))
 
 
 @query(f"with {VM} select view, count(*) as n, round(avg(quality), 6) as quality, round(max(quality), 6) as top, round(avg((quality > 0)::int), 6) as present from vm group by view")
@@ -297,9 +296,9 @@ def silhouette(spark, sf_dir):
     return per.where("own is not null").agg(F.round(F.avg((F.col("other") - F.col("own")) / F.greatest("own", "other")), 6).alias("silhouette"))
 
 
-@query(f"""with {VM}, o as (select dataset, view, round(avg(utility), 6) as u, count(*) as n from vm group by all), b as (select view, round(sum(u * n) / sum(n), 6) as pooled from o group by view)
-select o.dataset, o.view, o.u as utility, pooled, round(o.u - pooled, 6) as delta from o join b using (view)""")
+@query(f"""with {VM}, o as (select dataset, view, avg(utility) as u, count(*) as n from vm group by all), b as (select view, sum(u * n) / sum(n) as pooled from o group by view)
+select o.dataset, o.view, round(o.u, 9) as utility, round(pooled, 9) as pooled, round(o.u - pooled, 9) as delta from o join b using (view)""")
 def router_rollup(spark, sf_dir):
-    o = view_table(spark, sf_dir).groupBy("dataset", "view").agg(F.round(F.avg("utility"), 6).alias("u"), F.count(F.lit(1)).alias("n"))
-    pooled = P.weighted_means(o, "view", "u", "n").withColumnRenamed("weighted_u", "pooled")
-    return o.join(pooled, "view").select("dataset", "view", F.col("u").alias("utility"), "pooled", F.round(F.col("u") - F.col("pooled"), 6).alias("delta"))
+    o = view_table(spark, sf_dir).groupBy("dataset", "view").agg(F.avg("utility").alias("u"), F.count(F.lit(1)).alias("n"))
+    pooled = o.groupBy("view").agg((F.sum(F.col("u") * F.col("n")) / F.sum("n")).alias("p"))
+    return o.join(pooled, "view").select("dataset", "view", F.round("u", 9).alias("utility"), F.round("p", 9).alias("pooled"), F.round(F.col("u") - F.col("p"), 9).alias("delta"))

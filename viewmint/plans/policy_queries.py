@@ -209,14 +209,14 @@ def ce_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(_RANKED + """, m as (select dataset, view, ord, round(avg(utility), 9) as u from vm group by all),
 b as (select * from m qualify row_number() over (partition by dataset order by u desc, ord) = 1),
 o as (select dataset, avg(utility) as u, count(*) as queries from ranked where r = 1 group by dataset)
-select dataset, queries, b.view as best_fixed, round(b.u, 6) as best_fixed_utility, round(o.u, 6) as oracle_utility, round(o.u - b.u, 6) as headroom from b join o using (dataset)""")
+select dataset, queries, b.view as best_fixed, round(b.u, 8) as best_fixed_utility, round(o.u, 8) as oracle_utility, round(o.u - b.u, 8) as headroom from b join o using (dataset)""")
 def type_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     views = view_table(spark, sf_dir)
     fixed = views.groupBy("dataset", "view", "ord").agg(F.round(F.avg("utility"), 9).alias("utility")).groupBy("dataset").agg(P.best_by("utility", "utility").alias("b"))
     top = P.oracle(views, ("dataset", "query_id")).groupBy("dataset").agg(F.avg("oracle_utility").alias("u"), F.count(F.lit(1)).alias("queries"))
     return fixed.join(top, "dataset").select(
-        "dataset", "queries", F.col("b.view").alias("best_fixed"), F.round("b.utility", 6).alias("best_fixed_utility"),
-        F.round("u", 6).alias("oracle_utility"), F.round(F.col("u") - F.col("b.utility"), 6).alias("headroom"),
+        "dataset", "queries", F.col("b.view").alias("best_fixed"), F.round("b.utility", 8).alias("best_fixed_utility"),
+        F.round("u", 8).alias("oracle_utility"), F.round(F.col("u") - F.col("b.utility"), 8).alias("headroom"),
     )
 
 
