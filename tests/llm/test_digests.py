@@ -145,6 +145,31 @@ def test_packing(spark, odd, which):
     assert len(sequences) <= -(-sum(r["length"] for r in rows) // 1024) * 1.03 + 1
 
 
+@pytest.mark.parametrize("size", [None, (3_000_000, 400_000, 1), (3_000_000, 400_000, 2), (3_000_000, 0, 4_000), (3_000_000, 1, 3)])
+@pytest.mark.parametrize(
+    "texts",
+    [
+        ["The cat sat\n", "The dog ran"],
+        ["alpha", "", "alpha beta"],
+        ["x", " a"],
+        ["\nx", None, " a b"],
+        ["", None],
+        ["x\ny", "\n", "", "y z\n", " x"],
+    ],
+)
+def test_empty_words_have_no_ids(texts, size):
+    import pyarrow as pa
+
+    from viewmint.llm.tokens import SMALL, WordEncoder, default_vocabulary
+
+    encoder = WordEncoder(default_vocabulary(), size or SMALL)
+    t = _tokenizer()
+    for again in (texts, texts[::-1], texts):
+        ids, begin = encoder.encode(pa.array(again, pa.string()))
+        made = [ids[a:b].tolist() for a, b in zip(begin[:-1].tolist(), begin[1:].tolist())]
+        assert made == [t.encode(x or "", add_special_tokens=False).ids for x in again]
+
+
 @pytest.mark.parametrize("which", ["small", "odd"])
 def test_token_output(spark, odd, which, tmp_path):
     from viewmint.llm.rans import read_tokens, tokens_round_trip, write_tokens

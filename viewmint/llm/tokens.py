@@ -78,16 +78,18 @@ class WordEncoder:
 
         Words are encoded in one go, each on a line of its own: a lone newline
         is a pre-token, so its id marks where a word ends.  The newline itself,
-        as a word, stands for its id.
+        as a word, stands for its id.  The empty word has none and no line
+        either: two newlines in a row can be one pre-token.
         """
         parts, counts = [], []
         for i in range(0, len(words), self._call_words):
             some = words[i : i + self._call_words]
             own = np.array([w == "\n" for w in some])
-            ids = self._ids("\n".join([w for w in some if w != "\n"] + [""]))
+            lined = np.array([w not in ("", "\n") for w in some])
+            ids = self._ids("\n".join([w for w in some if w not in ("", "\n")] + [""]))
             ends = np.flatnonzero(ids == self._newline)
-            n = np.ones(len(some), np.int64)
-            n[~own] = np.diff(ends, prepend=-1) - 1
+            n = own.astype(np.int64)
+            n[lined] = np.diff(ends, prepend=-1) - 1
             out = np.full(int(n.sum()), self._newline, np.uint32)
             out[~np.repeat(own, n)] = ids[ids != self._newline]
             parts.append(out)
