@@ -145,6 +145,30 @@ def test_packing(spark, odd, which):
     assert len(sequences) <= -(-sum(r["length"] for r in rows) // 1024) * 1.03 + 1
 
 
+def test_linear_program_covers_all_lengths():
+    from viewmint.llm.packing import linear_program, pack_histogram
+
+    counts = np.random.default_rng(5).poisson(np.r_[0, 12_000 / np.arange(20, 1043), 0])
+    covered = np.zeros(1025)
+    for pattern, x in linear_program(counts, 1024):
+        assert sum(n * a for n, a in pattern.items()) <= 1024
+        for n, a in pattern.items():
+            covered[n] += a * x
+    assert (covered >= 0.949 * counts).all()
+
+    from viewmint.llm.packing import dealt_patterns
+
+    assert sum(t * sum(p.values()) for p, t in dealt_patterns(counts, 1024)) >= 0.85 * counts.sum()
+    packed = np.zeros(1025, np.int64)
+    sequences = 0
+    for pattern, times in pack_histogram(counts):
+        sequences += times
+        for n, a in pattern.items():
+            packed[n] += a * times
+    assert (packed == counts).all()
+    assert sequences <= 1.01 * -(-int(counts @ np.arange(1025)) // 1024) + 1
+
+
 @pytest.mark.parametrize("size", [None, (3_000_000, 400_000, 1), (3_000_000, 400_000, 2), (3_000_000, 0, 4_000), (3_000_000, 1, 3)])
 @pytest.mark.parametrize(
     "texts",

@@ -5,8 +5,9 @@ over the length histogram: cover every length's count by the fewest
 configurations (multisets of lengths that fit a sequence).  Multiplicative
 weights solve its linear program: each length has a weight that falls as it is
 covered; the configuration of the highest weight, found by a knapsack dynamic
-program, is raised by a step.  The solution is scaled to what there is and
-rounded down.  What is left is packed by best fit, longest pieces first.
+program, is raised by a step, until all lengths are covered.  The configurations
+are rounded down and then up, the fullest first, as far as there are pieces.
+What is left is packed by best fit, longest pieces first.
 
 The histogram and the configurations have a size bounded by the capacity.
 Pieces find their place by their rank among the pieces of their length.
@@ -27,64 +28,67 @@ from .tokens import LARGE, SMALL, WordEncoder, default_vocabulary, in_slices
 
 CAPACITY = 1024
 END = 2
-#: Pricing rounds of the linear program.
-ROUNDS = 400
-#: Step of the weights' exponents.
-RATE = 0.5
+#: Step of the weights' exponents, share of a length's count that the linear
+#: program may leave uncovered, and of the best value that it may give away.
+RATE, TOLERANCE, SLACK = 0.1, 0.05, 0.2
 #: Pieces in a chunk of a length's ranks, on average, and the fewest chunks.
 CHUNK_PIECES, LEAST_CHUNKS = 50_000, 256
 
 Pattern = dict[int, int]
 
 
-def best_pattern(values: np.ndarray, lengths: np.ndarray, capacity: int) -> Pattern:
-    """Knapsack: of the multisets of ``lengths`` that fill ``capacity`` the one
-    of the highest total value; if none does, of those that fill the most."""
-    best = np.full(capacity + 1, -np.inf)
-    best[0] = 0.0
-    pick = np.zeros(capacity + 1, np.int64)
-    upto = np.searchsorted(lengths, np.arange(capacity + 1), side="right").tolist()
-    for c in range(1, capacity + 1):
-        k = upto[c]
-        if k:
-            total = values[:k] + best[c - lengths[:k]]
-            i = total.argmax()
-            best[c], pick[c] = total[i], i
-    found: Pattern = {}
-    c = int(np.flatnonzero(best > -np.inf)[-1])
-    while c > 0:
-        n = int(lengths[pick[c]])
-        found[n] = found.get(n, 0) + 1
-        c -= n
-    return found
-
-
-def linear_program(counts: np.ndarray, capacity: int, rounds: int = ROUNDS) -> list[tuple[Pattern, float]]:
-    """Configurations and how often each is used, fractionally; together they
-    use no length more often than ``counts`` (by length) has it."""
+def linear_program(counts: np.ndarray, capacity: int) -> list[tuple[Pattern, float]]:
+    """Configurations and how often each is used, fractionally, so that every
+    length is used ``counts`` (by length) times, ``TOLERANCE`` aside, or more.
+
+    A knapsack dynamic program prices the best configuration and, with it, the
+    best one that holds each length.  Weights only fall, so those that stay
+    within ``SLACK`` of its best value are raised too before it is run again.
+    Room may stay empty: a length that is covered many times over weighs
+    nothing beside the others and is left out, so the rounds come to an end.
+    """
     lengths = np.flatnonzero(counts)
     need = counts[lengths].astype(float)
-    at = {int(n): i for i, n in enumerate(lengths)}
+    size = lengths.tolist()
+    upto = np.searchsorted(lengths, np.arange(capacity + 1), side="right").tolist()
     covered = np.zeros(len(lengths))
     used: dict[tuple, float] = {}
-    for _ in range(rounds):
+    while (covered / need).min() < 1 - TOLERANCE:
         ratio = covered / need
-        weights = np.exp(-(ratio - ratio.min()) / RATE) * lengths / need
-        pattern = best_pattern(weights, lengths, capacity)
-        if not pattern:
-            break
-        step = RATE * min(need[at[n]] / a for n, a in pattern.items())
-        for n, a in pattern.items():
-            covered[at[n]] += step * a
-        key = tuple(sorted(pattern.items()))
-        used[key] = used.get(key, 0.0) + step
-    # a configuration gives way as far as the most over-covered of its lengths
-    over = np.maximum(1.0, covered / need)
-    return [(dict(k), x / max(over[at[n]] for n, _ in k)) for k, x in used.items()]
-
-
-def best_fit(counts: np.ndarray, capacity: int) -> list[tuple[Pattern, int]]:
-    """Best fit, longest pieces first, for whole counts at a time.
+        least = ratio.min()
+        weights = np.exp(-(ratio - least) / RATE) * lengths / need
+        best = np.zeros(capacity + 1)
+        pick = [-1] * (capacity + 1)
+        for c in range(1, capacity + 1):
+            best[c] = best[c - 1]
+            if upto[c]:
+                total = weights[: upto[c]] + best[c - lengths[: upto[c]]]
+                i = int(total.argmax())
+                if total[i] > best[c]:
+                    best[c], pick[c] = total[i], i
+        holding = weights + best[capacity - lengths]
+        enough = (1 - SLACK) * best[capacity]
+        for i in np.argsort(-holding, kind="stable")[: int((holding >= enough).sum())].tolist():
+            found, c = {i: 1}, capacity - size[i]
+            while c > 0:
+                j = pick[c]
+                if j >= 0:
+                    found[j] = found.get(j, 0) + 1
+                c -= size[j] if j >= 0 else 1
+            at = np.fromiter(found, np.int64)
+            many = np.fromiter(found.values(), float)
+            now = np.exp(-(covered[at] / need[at] - least) / RATE) * lengths[at] / need[at]
+            if now @ many >= enough:
+                step = RATE * (need[at] / many).min()
+                covered[at] += step * many
+                key = tuple(sorted((size[j], a) for j, a in found.items()))
+                used[key] = used.get(key, 0.0) + step
+    return [(dict(k), x) for k, x in used.items()]
+
+
+def best_fit(counts: np.ndarray, capacity: int, begun: list[tuple[Pattern, int]]) -> list[tuple[Pattern, int]]:
+    """Best fit, longest pieces first, for whole counts at a time, into the
+    room of sequences that are ``begun`` and into new ones.
 
     Each piece goes to the fullest sequence that has room.  Sequences of equal
     contents are one entry with a number, so that the work depends on the
@@ -97,6 +101,8 @@ def best_fit(counts: np.ndarray, capacity: int) -> list[tuple[Pattern, int]]:
             made = {**pattern, n: pattern.get(n, 0) + copies} if copies else pattern
             open_.setdefault(room - n * copies, []).append((made, times))
 
+    for pattern, times in begun:
+        open_.setdefault(capacity - sum(n * a for n, a in pattern.items()), []).append((pattern, times))
     for n in np.flatnonzero(counts)[::-1].tolist():
         left = int(counts[n])
         for room in sorted(r for r in open_ if r >= n):
@@ -118,25 +124,35 @@ def best_fit(counts: np.ndarray, capacity: int) -> list[tuple[Pattern, int]]:
     return [entry for entries in open_.values() for entry in entries]
 
 
-def pack_histogram(counts: np.ndarray, capacity: int = CAPACITY, rounds: int = ROUNDS) -> list[tuple[Pattern, int]]:
-    """Configurations and whole numbers of uses that use up ``counts``."""
+def dealt_patterns(counts: np.ndarray, capacity: int) -> list[tuple[Pattern, int]]:
+    """Configurations of the linear program and whole numbers of uses that
+    ``counts`` has pieces for: first the fullest, of these the most used."""
     left = counts.astype(np.int64).copy()
-    left[0] = 0
     plan: list[tuple[Pattern, int]] = []
+    if not left.any():
+        return plan
+    found = sorted(linear_program(left, capacity), key=lambda e: (-sum(n * a for n, a in e[0].items()), -e[1]))
+    for most in ([int(x) for _, x in found], [1] * len(found)):
+        for (pattern, _), at_most in zip(found, most):
+            times = min(at_most, *(int(left[n]) // a for n, a in pattern.items()))
+            if times:
+                for n, a in pattern.items():
+                    left[n] -= a * times
+                plan.append((pattern, times))
+    return plan
 
-    def use(pattern: Pattern, times: int) -> None:
+
+def pack_histogram(counts: np.ndarray, capacity: int = CAPACITY) -> list[tuple[Pattern, int]]:
+    """Configurations and whole numbers of uses that use up ``counts``."""
+    left = counts.astype(np.int64).copy()
+    left[0] = 0
+    plan: list[tuple[Pattern, int]] = [({capacity: 1}, int(left[capacity]))] if left[capacity] else []
+    left[capacity] = 0
+    for pattern, times in dealt_patterns(left, capacity):
         for n, a in pattern.items():
             left[n] -= a * times
         plan.append((pattern, times))
-
-    if left[capacity]:
-        use({capacity: 1}, int(left[capacity]))
-    if left.any():
-        for pattern, x in linear_program(left, capacity, rounds):
-            if int(x) and all(left[n] >= a * int(x) for n, a in pattern.items()):
-                use(pattern, int(x))
-    plan += best_fit(left, capacity)
-    return plan
+    return best_fit(left, capacity, plan)
 
 
 def _pieces(path: str, end: int, capacity: int, lean: bool):
