@@ -22,16 +22,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``, which driver and executors share.
 
-    Only where it is unset (a local session in a test) a temporary folder is
-    made and set.
+    Only where it is unset and the session is local (a test) a temporary folder
+    is made and set; executors of a cluster wouldn't see it, so there it is an
+    error.
     """
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         where = tempfile.mkdtemp(prefix="viewmint-")
         spark.sparkContext.setCheckpointDir(where)
     return where
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder; what is written there goes when the
+    application ends."""
+    path = f"{shared_dir(spark)}/viewmint/{name}-{uuid.uuid4().hex}"
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return path
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder and read again.
 
@@ -39,11 +51,8 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     The files go when the application ends.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/viewmint/{name}-{uuid.uuid4().hex}"
+    path = scratch(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -58,10 +67,43 @@ def sized(ids: DataFrame, name: str) -> DataFrame:
     return F.broadcast(kept) if kept.count() <= BROADCAST_ROWS else kept
 
 
-def without(rows: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
-    """``rows`` whose id isn't in the one column of ``ids``; null ids stay."""
-    gone = sized(ids.distinct(), "gone")
-    return rows.join(gone, rows[id_col] == gone[gone.columns[0]], "left_anti")
+def row_key(id_col: str, text_col: str) -> list[Column]:
+    """What tells rows apart, also where ids repeat or are null: the id and a
+    hash of the text."""
+    return [F.col(id_col).alias("_key_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("_key_text")]
+
+
+def without(rows: DataFrame, gone: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``rows`` whose :func:`row_key` isn't in ``gone`` (``_key_id, _key_text``)."""
+    names = sized(gone.distinct(), "gone")
+    text = F.xxhash64(F.coalesce(rows[text_col], F.lit("")))
+    return rows.join(names, rows[id_col].eqNullSafe(names["_key_id"]) & (text == names["_key_text"]), "left_anti")
+
+
+#: Keys that a hot join broadcasts at most, and the fewest rows of a hot key.
+HOT_KEYS, HOT_ROWS = 2048, 512
+
+
+def hot_join(many: DataFrame, key: str, one: DataFrame, one_key: str, weight: str, rows: int) -> DataFrame:
+    """``many`` with the row of ``one`` that has its key, null where none has.
+
+    ``one`` has a row a key and, in ``weight``, how many of the ``rows`` rows of
+    ``many`` have it.  Keys of more than a 2048th of all rows are at most 2048,
+    so theirs are broadcast and no task gets all rows of a hot key; the others
+    meet by a shuffle, in which rows of hot keys are dealt at random.
+    """
+    values = [c for c in one.columns if c not in (one_key, weight)]
+    limit = max(HOT_ROWS, rows // HOT_KEYS)
+    packed = one.select(F.col(one_key).alias("_k"), F.struct(*values).alias("_v"), F.col(weight).alias("_w"))
+    hot = F.broadcast(packed.where(F.col("_w") > limit).select(F.col("_k").alias("_hot_k"), F.col("_v").alias("_hot")))
+    cold = packed.where(F.col("_w") <= limit).select(F.col("_k").alias("_cold_k"), F.lit(0).alias("_cold_s"), F.col("_v").alias("_cold"))
+    columns = many.columns
+    met = many.join(hot, many[key].eqNullSafe(hot["_hot_k"]), "left")
+    salt = F.when(F.col("_hot").isNull(), F.lit(0)).otherwise(1 + F.pmod(F.xxhash64(*[F.col(c) for c in columns]), F.lit(1 << 20)).cast("int"))
+    met = met.withColumn("_salt", salt)
+    met = met.join(cold, met[key].eqNullSafe(cold["_cold_k"]) & (met["_salt"] == cold["_cold_s"]), "left")
+    found = F.coalesce("_hot", "_cold")
+    return met.select(*[F.col(c) for c in columns], *[found[v].alias(v) for v in values])
 
 
 def with_rank(df: DataFrame, group: list[str], chunk: str, order: list[Column], name: str) -> DataFrame:

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import hot_join, stored
 
 
 def spanning_stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -28,14 +28,14 @@ def spanning_stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return nodes[leaf], nodes[label[leaf]]
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """One star step on edges (a > b); large: over all neighbours, towards the
-    smallest, of larger ones only; small: over smaller neighbours."""
+def _star(edges: DataFrame, rows: int, large: bool) -> DataFrame:
+    """One star step on ``rows`` edges (a > b); large: over all neighbours,
+    towards the smallest, of larger ones only; small: over smaller neighbours."""
     seen = edges.select(F.col("a").alias("u"), F.col("b").alias("v"))
     if large:
         seen = seen.unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
-    least = seen.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), F.least("u", "m").alias("m"))
-    joined = seen.join(least, F.col("u") == F.col("w"))
+    least = seen.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count(F.lit(1)).alias("n"))
+    joined = hot_join(seen, "u", least, "u", "n", 2 * rows if large else rows)  # a hub may have any share of the edges
     if large:
         out = joined.where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
     else:
@@ -51,10 +51,11 @@ def components(links: DataFrame) -> DataFrame:
         links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a > b").distinct(), "links"
     )
     while True:
-        stars = stored(_star(_star(edges, large=True), large=False), "stars")
+        large = stored(_star(edges, edges.count(), large=True), "large")
+        stars = stored(_star(large, large.count(), large=False), "stars")
         # done when every node but the roots has one edge, and no root has one
         over = stars.groupBy("a").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count()
-        deep = over or stars.select(F.col("b").alias("a")).join(stars.select("a"), "a", "left_semi").limit(1).count()
+        deep = over or stars.select(F.col("b").alias("a")).distinct().join(stars.select("a"), "a", "left_semi").limit(1).count()
         edges = stars
         if not deep:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))

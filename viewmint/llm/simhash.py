@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, without
+from .common import hot_join, row_key, stored, without
 from .components import components, spanning_stars
 
 RADIUS = 4
@@ -64,7 +64,7 @@ def fingerprint(text: str | None) -> int:
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         made = np.fromiter((fingerprint(t.as_py()) for t in batch.column("_text")), np.uint64, batch.num_rows)
-        yield pa.RecordBatch.from_arrays([batch.column("_id"), pa.array(made.view(np.int64))], ["_id", "_fp"])
+        yield pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("_key_text"), pa.array(made.view(np.int64))], ["_id", "_key_text", "_fp"])
 
 
 def _balls(segments: tuple, filed_only: bool):
@@ -177,34 +177,44 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     repeat share a fingerprint; a null id is never a component's id unless the
     component has no other.  An empty table gives an empty result.
 
-    Returns ``id_col, fingerprint`` (16 hexadecimal digits) and ``component_id``
-    (the smallest id that can be reached).
+    Returns ``id_col, fingerprint`` (16 hexadecimal digits), ``component_id``
+    (the smallest id that can be reached) and ``row_hash``, a hash of the text,
+    which tells rows of one id apart.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     every = stored(
-        docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).mapInArrow(
-            _fingerprints, f"_id {kind}, _fp long"
+        docs.select(F.col(id_col).alias("_id"), row_key(id_col, text_col)[1], F.col(text_col).alias("_text")).mapInArrow(
+            _fingerprints, f"_id {kind}, _key_text long, _fp long"
         ),
         "fingerprints",
     )
-    nodes = stored(every.groupBy("_fp").agg(F.min("_id").alias("_node")), "nodes")
-    found = components(near_links(nodes.select("_fp"), nodes.count()))
+    nodes = stored(every.groupBy("_fp").agg(F.min("_id").alias("_node"), F.count(F.lit(1)).alias("_n")), "nodes")
+    distinct = nodes.count()
+    found = components(near_links(nodes.select("_fp"), distinct))
     rooted = nodes.join(found, nodes["_fp"] == found["node"], "left").select(
-        "_fp", "_node", F.coalesce("root", "_fp").alias("_root")
+        "_fp", "_node", "_n", F.coalesce("root", "_fp").alias("_root")
     )
-    least = rooted.groupBy("_root").agg(F.min("_node").alias("component_id"))
-    classes = rooted.join(least, "_root").select(F.col("_fp").alias("_of"), "component_id")
-    return every.join(classes, F.col("_fp") == F.col("_of")).select(
+    rooted = stored(rooted, "rooted")
+    least = rooted.groupBy("_root").agg(F.min("_node").alias("component_id"), F.count(F.lit(1)).alias("_of"))
+    # a component may have any share of the fingerprints, a fingerprint of the rows
+    classes = hot_join(rooted, "_root", least, "_root", "_of", distinct).select("_fp", "component_id", "_n")
+    answered = hot_join(every, "_fp", stored(classes, "classes"), "_fp", "_n", every.count())
+    return answered.select(
         F.col("_id").alias(id_col),
         F.lpad(F.lower(F.hex("_fp")), 16, "0").alias("fingerprint"),
         "component_id",
+        F.col("_key_text").alias("row_hash"),
     )
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with the row of the smallest id of each component only.
 
-    An id is taken to name one row; a row with a null id always stays.
+    Rows are told apart by id and text: of rows that share the smallest id, all
+    stay; rows without an id go if their component has one with an id, and stay
+    if it has none.  Null and empty texts are one component (fingerprint zero).
+    All columns are kept; an empty table gives an empty result.
     """
     every = simhash_components(docs, id_col, text_col)
-    return without(docs, every.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_gone")), id_col)
+    gone = every.where(~F.col(id_col).eqNullSafe(F.col("component_id")))
+    return without(docs, gone.select(F.col(id_col).alias("_key_id"), F.col("row_hash").alias("_key_text")), id_col, text_col)
