@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORDS, sized, stored
+from .common import WORDS, row_key, sized, stored
 
 #: Weights dealt to the sources in order, again and again.
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -27,9 +27,10 @@ def words_in(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORDS)), F.lit(0)).cast("long")
 
 
-def seeded_order(id_col: Column, seed: int) -> Column:
-    """60 bits that look random and depend on the id and the seed only."""
-    key = F.concat(F.lit(f"{seed}:"), F.coalesce(id_col.cast("string"), F.lit("null")))
+def seeded_order(id_col: Column, text: Column, seed: int) -> Column:
+    """60 bits that look random and depend on id, text and seed only, so that
+    rows without an id spread too."""
+    key = F.concat(F.lit(f"{seed}:"), F.coalesce(id_col.cast("string"), F.lit("null")), F.lit(":"), F.md5(F.coalesce(text, F.lit(""))))
     return F.conv(F.substring(F.md5(key), 1, 15), 16, 10).cast("long")
 
 
@@ -74,20 +75,24 @@ def mix_sources(
 
     Sources are ranked by code point, null (a source of its own) last, and
     weigh ``weights`` in turn.  Whole documents are taken, 0 to ``max_epochs``
-    times; a source's words miss its target by half a document at most.  Words
-    of null, empty and blank texts are none, and they are taken by their place
-    in the seeded order, as others are.  Rows that repeat an id share their
-    place in that order and are told apart by size only.  An empty table gives
-    an empty result.
-
-    Returns ``id_col, size, source, source_size, target, repeats, taken``.
+    times; a source's words miss its target by half a document at most.  Null,
+    empty and blank texts have no words and are taken by their place in the
+    seeded order, as others are, up to ``max_epochs`` times too; a source
+    without words is not taken.  Rows are told apart by id and text, so rows
+    that repeat an id or have none are each taken on their own; equal rows are
+    interchangeable.  Other columns are ignored.  An empty table gives an empty
+    result.
+
+    Returns ``id_col, size, source, source_size, target, repeats, taken`` and
+    ``row_hash``, a hash of the text, which tells rows of one id apart.
     """
     narrow = stored(
         docs.select(
             F.col(id_col).alias("_id"),
             F.col(source_col).alias("_source"),
             words_in(F.col(text_col)).alias("size"),
-            seeded_order(F.col(id_col), seed).alias("_u"),
+            row_key(id_col, text_col)[1],
+            seeded_order(F.col(id_col), F.col(text_col), seed).alias("_u"),
         ).withColumn("_slice", F.shiftright("_u", 48).cast("int")),
         "mix",
     )
@@ -120,11 +125,12 @@ def mix_sources(
         )
     )
     both = narrow.join(plan, narrow["_source"].eqNullSafe(plan["_in"]) & (narrow["_slice"] == plan["_nth"]))
-    running = Window.partitionBy("_source", "_slice").orderBy("_u", "_id", "size").rowsBetween(
+    running = Window.partitionBy("_source", "_slice").orderBy("_u", "_id", "size", "_key_text").rowsBetween(
         Window.unboundedPreceding, -1
     )
     begins = F.col("_before") + F.coalesce(F.sum("size").over(running), F.lit(0))
-    extra = (begins + F.col("size") / F.lit(2.0) <= F.col("_part")).cast("long")
+    # a target of whole passes leaves no part to take from, of empty texts neither
+    extra = ((F.col("_part") > 0) & (begins + F.col("size") / F.lit(2.0) <= F.col("_part"))).cast("long")
     return both.withColumn("repeats", F.col("_whole") + extra).select(
         F.col("_id").alias(id_col),
         "size",
@@ -133,14 +139,31 @@ def mix_sources(
         "target",
         "repeats",
         (F.col("size") * F.col("repeats")).alias("taken"),
+        F.col("_key_text").alias("row_hash"),
     )
 
 
 def apply_mix(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: each row of ``docs`` as often as it is taken, by id."""
-    id_col = options.get("id_col", "doc_id")
-    every = mix_sources(docs, **options).groupBy(F.col(id_col).alias("_id")).agg(F.max("repeats").alias("_times"))
-    taken = sized(every.where("_times > 0"), "taken")
-    joined = docs.join(taken, docs[id_col].eqNullSafe(taken["_id"]))
-    nth = F.explode(F.sequence(F.lit(1), taken["_times"].cast("int"))).alias("\0nth")
-    return joined.select(*[docs[c] for c in docs.columns], nth).drop("\0nth")
+    """The mix itself: each row of ``docs`` as often as it is taken.
+
+    Rows that agree in id, source and text are taken as often as the plan takes
+    them in all; if they share that number unevenly, those whose columns, as
+    JSON, come first have one copy more.  No row is there more than
+    ``max_epochs`` times.  All columns are kept, whatever their names; an empty
+    table gives an empty result.
+    """
+    id_col, text_col, source_col = (options.get(k, v) for k, v in (("id_col", "doc_id"), ("text_col", "text"), ("source_col", "source")))
+    every = mix_sources(docs, **options).groupBy(F.col(id_col).alias("_id"), F.col("source").alias("_of"), F.col("row_hash").alias("_hash"))
+    plan = every.agg(F.sum("repeats").alias("_all"), F.count(F.lit(1)).alias("_rows")).where("_all > 0")
+    taken = sized(plan, "taken")
+    hashed = F.xxhash64(F.coalesce(docs[text_col], F.lit("")))
+    same = docs[id_col].eqNullSafe(taken["_id"]) & docs[source_col].eqNullSafe(taken["_of"]) & (hashed == taken["_hash"])
+    row = F.struct(*[docs[c].alias(c) for c in docs.columns])
+    met = docs.join(taken, same).select(row.alias("_row"), F.struct(taken["_id"], taken["_of"], taken["_hash"]).alias("_key"), "_all", "_rows")
+    uneven = F.col("_all") % F.col("_rows") != 0  # a group or none a source, where the target cuts equal rows
+    even = met.where(~uneven).select("_row", (F.col("_all") / F.col("_rows")).cast("int").alias("_times"))
+    nth = F.row_number().over(Window.partitionBy("_key").orderBy(F.to_json("_row")))
+    more = (nth <= F.col("_all") % F.col("_rows")).cast("int")
+    odd = met.where(uneven).select("_row", (F.floor(F.col("_all") / F.col("_rows")) + more).cast("int").alias("_times"))
+    each = even.unionByName(odd).where("_times > 0")
+    return each.select("_row", F.explode(F.sequence(F.lit(1), F.col("_times")))).select("_row.*")
