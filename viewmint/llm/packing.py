@@ -7,7 +7,9 @@ weights solve its linear program: each length has a weight that falls as it is
 covered; the configuration of the highest weight, found by a knapsack dynamic
 program, is raised by a step, until all lengths are covered.  The configurations
 are rounded down and then up, the fullest first, as far as there are pieces.
-What is left is packed by best fit, longest pieces first.
+What is left is packed by best fit, longest pieces first, into open room before
+new sequences.  How many pieces of each length the rounding leaves for that, and
+how much room it may waste, is tried out: the plan of fewest sequences is taken.
 
 The histogram and the configurations have a size bounded by the capacity.
 Pieces find their place by their rank among the pieces of their length.
@@ -31,6 +33,9 @@ END = 2
 #: Step of the weights' exponents, share of a length's count that the linear
 #: program may leave uncovered, and of the best value that it may give away.
 RATE, TOLERANCE, SLACK = 0.1, 0.05, 0.2
+#: Room that a dealt configuration may leave empty (None: any), and shares of
+#: each length's pieces that are held back for best fit, to be tried out.
+WASTES, HELD_BACK = (0, 2, 16, None), (0.0, 0.05, 0.1, 0.2, 0.35, 0.5, 0.75)
 #: Pieces in a chunk of a length's ranks, on average, and the fewest chunks.
 CHUNK_PIECES, LEAST_CHUNKS = 50_000, 256
 
@@ -124,17 +129,22 @@ def best_fit(counts: np.ndarray, capacity: int, begun: list[tuple[Pattern, int]]
     return [entry for entries in open_.values() for entry in entries]
 
 
-def dealt_patterns(counts: np.ndarray, capacity: int) -> list[tuple[Pattern, int]]:
-    """Configurations of the linear program and whole numbers of uses that
-    ``counts`` has pieces for: first the fullest, of these the most used."""
-    left = counts.astype(np.int64).copy()
+def rounded(
+    found: list[tuple[Pattern, float]], counts: np.ndarray, capacity: int, waste: int | None
+) -> list[tuple[Pattern, int]]:
+    """Whole numbers of uses of the configurations ``found`` that leave no more
+    than ``waste`` room and that ``counts`` has pieces for: rounded down, then
+    one more of each that is full, the fullest first and of these the most used."""
+    left = counts.copy()
     plan: list[tuple[Pattern, int]] = []
-    if not left.any():
-        return plan
-    found = sorted(linear_program(left, capacity), key=lambda e: (-sum(n * a for n, a in e[0].items()), -e[1]))
-    for most in ([int(x) for _, x in found], [1] * len(found)):
-        for (pattern, _), at_most in zip(found, most):
-            times = min(at_most, *(int(left[n]) // a for n, a in pattern.items()))
+    room = {id(p): capacity - sum(n * a for n, a in p.items()) for p, _ in found}
+    order = sorted(found, key=lambda e: (room[id(e[0])], -e[1]))
+    for more in (False, True):
+        for pattern, x in order:
+            empty = room[id(pattern)]
+            if empty and (more or (waste is not None and empty > waste)):
+                continue
+            times = min(1 if more else int(x), *(int(left[n]) // a for n, a in pattern.items()))
             if times:
                 for n, a in pattern.items():
                     left[n] -= a * times
@@ -142,17 +152,39 @@ def dealt_patterns(counts: np.ndarray, capacity: int) -> list[tuple[Pattern, int
     return plan
 
 
+def dealt_patterns(counts: np.ndarray, capacity: int) -> tuple[list[tuple[Pattern, int]], list[tuple[Pattern, int]]]:
+    """(the plan of fewest sequences for ``counts``, what of it the linear
+    program dealt); of equal plans the one of which it dealt most.
+
+    Best fit for all pieces is one of the plans, for histograms on which every
+    rounding is worse.
+    """
+    if not counts.any():
+        return [], []
+    found = linear_program(counts, capacity)
+    best: tuple | None = None
+    for held in (*HELD_BACK, 1.0):
+        most = np.floor(counts * (1 - held)).astype(np.int64)
+        for waste in WASTES if held < 1 else (0,):
+            dealt = rounded(found, most, capacity, waste)
+            left = counts.copy()
+            for pattern, times in dealt:
+                for n, a in pattern.items():
+                    left[n] -= a * times
+            plan = best_fit(left, capacity, dealt)
+            rank = sum(t for _, t in plan), int(left.sum())
+            if best is None or rank < best[0]:
+                best = rank, plan, dealt
+    return best[1], best[2]
+
+
 def pack_histogram(counts: np.ndarray, capacity: int = CAPACITY) -> list[tuple[Pattern, int]]:
     """Configurations and whole numbers of uses that use up ``counts``."""
     left = counts.astype(np.int64).copy()
     left[0] = 0
     plan: list[tuple[Pattern, int]] = [({capacity: 1}, int(left[capacity]))] if left[capacity] else []
     left[capacity] = 0
-    for pattern, times in dealt_patterns(left, capacity):
-        for n, a in pattern.items():
-            left[n] -= a * times
-        plan.append((pattern, times))
-    return best_fit(left, capacity, plan)
+    return plan + dealt_patterns(left, capacity)[0]
 
 
 def _pieces(path: str, end: int, capacity: int, lean: bool):
@@ -231,8 +263,9 @@ def pack_sequences(
 
     A document is its text's ids and ``end``; null and empty texts are ``end``
     alone.  Only a document of more than ``capacity`` ids is cut; its first
-    piece is the short one.  Rows that repeat an id are packed each on its own.
-    An empty table gives an empty result.  ``lean``: workers keep nothing of a
+    piece is the short one.  Rows that repeat an id or have none are packed each
+    on its own.  Other columns are ignored, whatever their names.  An empty
+    table gives an empty result.  ``lean``: workers keep nothing of a
     vocabulary between tasks, for executors that have other stages' workers.
 
     Returns ``id_col, piece, start, length, ids_crc32, sequence_id, offset``.
@@ -250,7 +283,8 @@ def pack_sequences(
         counts[r["length"]] = r["count"]
     plan = pack_histogram(counts, capacity)
     chunks = max(LEAST_CHUNKS, int(counts.sum()) // CHUNK_PIECES)
-    dealt = pieces.withColumn("_chunk", F.pmod(F.xxhash64("_id", "piece"), F.lit(chunks)))
-    ranked = with_rank(dealt, ["length"], "_chunk", [F.col("_id"), F.col("piece")], "_rank").drop("_chunk")
+    own = ["_id", "piece", "start", "ids_crc32"]  # rows that repeat an id differ in these or are equal
+    dealt = pieces.withColumn("_chunk", F.pmod(F.xxhash64(*own), F.lit(chunks)))
+    ranked = with_rank(dealt, ["length"], "_chunk", [F.col(c) for c in own], "_rank").drop("_chunk")
     placed = ranked.mapInArrow(_placer(plan), f"{fields}, sequence_id long, offset long")
     return placed.withColumnRenamed("_id", id_col)
