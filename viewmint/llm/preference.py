@@ -20,43 +20,47 @@ def conversations_of(turns: DataFrame, key: str = "conv_id") -> DataFrame:
     """(key, turns): each conversation's turns in order, as an array.
 
     Ties of ``turn`` are ordered by role and text, null turns first; a null
-    role or text counts as empty, and rows with a null key are one
-    conversation.
+    role or text counts as empty.  A row with a null key belongs to no
+    conversation with others: it is one of its own.  Repeated rows stay
+    repeated turns, texts may be of any length, and other columns are ignored.
+    A conversation is one row, as it is one training example.  An empty table
+    gives an empty result.
     """
     entry = F.struct(
         F.col("turn").alias("turn"),
         F.coalesce("role", F.lit("")).alias("role"),
         F.coalesce("text", F.lit("")).alias("text"),
     )
-    ordered = F.sort_array(F.collect_list(entry))
-    said = F.transform(ordered, lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text")))
-    return turns.groupBy(key).agg(said.alias("turns"))
+
+    def said(ordered: Column) -> Column:
+        return F.transform(ordered, lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("turns")
+
+    own = turns.where(F.col(key).isNotNull()).groupBy(key).agg(said(F.sort_array(F.collect_list(entry))))
+    return own.unionByName(turns.where(F.col(key).isNull()).select(key, said(F.array(entry))))
 
 
 def replies_as_pairs(turns: DataFrame, key: str = "conv_id") -> DataFrame:
     """(key, chosen, rejected) of every conversation of ``turns``.
 
-    The chosen side is the conversation up to its last assistant turn.  The
-    rejected side has the same turns before that one, and then, as the worse
-    reply, what the assistant said the time before, if it had spoken; else it
-    ends without a reply.  A conversation without an assistant turn is chosen
-    whole, against itself.
+    The chosen side is the whole conversation.  The rejected side has the same
+    turns but for the assistant's last one, whose text is a worse reply: what
+    the assistant last said before it in other words, or nothing if it never
+    did.  Turns behind the last reply follow it on both sides.  A conversation
+    without an assistant turn is chosen whole, against itself.  Nulls, ties and
+    repeated rows are as in :func:`conversations_of`.
     """
     whole = conversations_of(turns, key)
     spoken = F.filter(
         F.transform("turns", lambda t, i: F.when(t["role"] == TRAINED, i)), lambda i: i.isNotNull()
     )
-    found = whole.select(key, "turns", spoken.alias("_at"))
-    n = F.size("_at")
-    last = F.when(n > 0, F.element_at("_at", -1))
-    earlier = F.when(n > 1, F.slice("turns", F.get("_at", n - 2) + 1, 1)).otherwise(F.slice("turns", 1, 0))
-    return found.select(
-        key,
-        F.when(last.isNull(), F.col("turns")).otherwise(F.slice("turns", F.lit(1), last + 1)).alias("chosen"),
-        F.when(last.isNull(), F.col("turns"))
-        .otherwise(F.concat(F.slice("turns", F.lit(1), last), earlier))
-        .alias("rejected"),
+    found = whole.select(key, "turns", F.try_element_at(spoken, F.lit(-1)).alias("_last"))
+    reply = F.get("turns", F.col("_last"))["text"]
+    others = F.filter("turns", lambda t, i: (t["role"] == TRAINED) & (t["text"] != reply) & (i < F.col("_last")))
+    worse = F.coalesce(F.try_element_at(others, F.lit(-1))["text"], F.lit(""))
+    changed = F.transform(
+        "turns", lambda t, i: F.struct(t["role"].alias("role"), F.when(i == F.col("_last"), worse).otherwise(t["text"]).alias("text"))
     )
+    return found.select(key, F.col("turns").alias("chosen"), changed.alias("rejected"))
 
 
 def common_turns(a: Column, b: Column) -> Column:
@@ -105,12 +109,15 @@ def loss_mask(turns: Column) -> Column:
 def format_preferences(pairs: DataFrame, key: str = "conv_id") -> DataFrame:
     """``pairs`` (key, chosen, rejected: arrays of (role, text)) -> training rows.
 
-    Null turns arrays count as empty.  Equal sides have an empty completion on
-    both.  A pair is one row; repeated rows stay repeated; an empty table gives
-    an empty result.
+    Null arrays of turns count as empty.  All turns are rendered, whatever
+    their length: in the prompt or in the completions.  Equal sides have empty
+    completions.  ``usable`` is false where a pair has nothing to prefer: a
+    completion in which the assistant says nothing.  A pair is one row;
+    repeated rows stay repeated; other columns are ignored; an empty table
+    gives an empty result.
 
     Returns ``key, n_prompt_turns, prompt, chosen, chosen_mask, rejected,
-    rejected_mask``.
+    rejected_mask, usable``.
     """
     kind = "array<struct<role:string,text:string>>"
     sides = pairs.select(
@@ -121,6 +128,9 @@ def format_preferences(pairs: DataFrame, key: str = "conv_id") -> DataFrame:
     def rest(side: str) -> Column:
         return F.slice(F.col(side), F.col("n_prompt_turns") + 1, F.size(side))
 
+    def says(turns: Column) -> Column:
+        return F.exists(turns, lambda t: (t["role"] == TRAINED) & (t["text"] != ""))
+
     return sides.select(
         key,
         "n_prompt_turns",
@@ -129,4 +139,5 @@ def format_preferences(pairs: DataFrame, key: str = "conv_id") -> DataFrame:
         loss_mask(rest("_chosen")).alias("chosen_mask"),
         rendered(rest("_rejected")).alias("rejected"),
         loss_mask(rest("_rejected")).alias("rejected_mask"),
+        (says(rest("_chosen")) & says(rest("_rejected"))).alias("usable"),
     )
