@@ -17,12 +17,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, stored, without
+from .common import SPACES, row_key, stored, without
 
 #: Shrinkage towards the pooled covariance, and then towards the identity.
 TO_POOLED, TO_IDENTITY = 0.1, 0.02
-#: Labelled rows that a fit uses at most, by a hash order of their ids.
-FIT_ROWS = 200_000
 #: A document is kept if its score is at least this.
 KEEP_FROM = 0.3
 
@@ -64,9 +62,9 @@ def statistics(text: Column) -> list[Column]:
 
 
 def features(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(_id, _x): the statistics of every row; null text counts as empty."""
+    """(_id, row_hash, _x): the statistics of every row; null text counts as empty."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.select(F.col(id_col).alias("_id"), F.array(*statistics(text)).alias("_x"))
+    return docs.select(F.col(id_col).alias("_id"), row_key(id_col, text_col)[1].alias("row_hash"), F.array(*statistics(text)).alias("_x"))
 
 
 @dataclass(frozen=True)
@@ -155,17 +153,16 @@ def quality_scores(
     id_col: str = "doc_id",
     text_col: str = "text",
     label_col: str = "quality",
-    fit_rows: int = FIT_ROWS,
 ) -> DataFrame:
     """Scores every row's whole text; higher: label 1 likelier.
 
-    Fits to the labelled rows whose crc32(id as text) mod 5 isn't 0, at most
-    ``fit_rows`` of them (those first in a hash order of ids, a bound on the
-    fit alone).  An id with contradicting labels, a null label or id is not
-    learnt from.  Null and empty texts are scored as texts without words; rows
+    Fits to all labelled rows whose crc32(id as text) mod 5 isn't 0: the fit
+    needs sums of products only, which tasks add up on their own.  An id with
+    contradicting labels, a null label or id is not learnt from.  Null and empty texts are scored as texts without words; rows
     that repeat score alike; an empty table gives an empty result.
 
-    Returns ``id_col, held_out, score, predicted``.
+    Returns ``id_col, held_out, score, predicted`` and ``row_hash``, a hash of
+    the text, which tells rows of one id apart.
     """
     fold = F.crc32(F.coalesce(F.col("_id").cast("string"), F.lit(""))) % 5
     every = stored(features(docs, id_col, text_col), "statistics")
@@ -177,25 +174,30 @@ def quality_scores(
         .where(fold != 0)
         .select("_id", "label")
     )
-    bounded = known.orderBy(F.xxhash64("_id"), "_id").limit(fit_rows)
-    model = fit(every.join(bounded, "_id").select("label", "_x"))
+    model = fit(every.join(known, "_id").select("label", "_x"))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = batch.column("_x").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
             s = model.scores(x) if model.means.shape[1] == x.shape[1] else np.full(batch.num_rows, 0.5)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("_id"), batch.column("held_out"), pa.array(s), pa.array((s >= KEEP_FROM).astype(np.int32))],
-                [id_col, "held_out", "score", "predicted"],
+                [batch.column("_id"), batch.column("held_out"), pa.array(s), pa.array((s >= KEEP_FROM).astype(np.int32)), batch.column("row_hash")],
+                [id_col, "held_out", "score", "predicted", "row_hash"],
             )
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return every.select("_id", (fold == 0).alias("held_out"), "_x").mapInArrow(
-        score, f"`{id_col}` {kind}, held_out boolean, score double, predicted int"
+    return every.select("_id", (fold == 0).alias("held_out"), "_x", "row_hash").mapInArrow(
+        score, f"`{id_col}` {kind}, held_out boolean, score double, predicted int, row_hash long"
     )
 
 
 def drop_low_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows that are predicted to be of low quality."""
-    bad = quality_scores(docs, labels, id_col, text_col).where("predicted = 0").select(F.col(id_col).alias("_bad"))
-    return without(docs, bad, id_col)
+    """``docs`` without the rows that are predicted to be of low quality.
+
+    Each row stays or goes by its own text, also where ids repeat or are null.
+    All columns are kept; null and empty texts are scored as texts without
+    words; an empty table gives an empty result.
+    """
+    scored = quality_scores(docs, labels, id_col, text_col).where("predicted = 0")
+    bad = scored.select(F.col(id_col).alias("_key_id"), F.col("row_hash").alias("_key_text"))
+    return without(docs, bad, id_col, text_col)
