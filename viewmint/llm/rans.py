@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import shared_dir, stored
+from .common import scratch, stored
 from .tokens import LARGE, WordEncoder, default_vocabulary, in_slices
 
 #: Bits of the frequency table's total.
@@ -250,7 +250,10 @@ def write_tokens(
 
     ``path/blocks`` has the blocks, files in ascending id order and so within a
     file; ``path/frequencies`` the shared table.  Null texts count as empty;
-    rows with null ids come first; rows that repeat an id keep a row each.
+    rows with null ids come first; rows that repeat an id keep a row each,
+    ordered by a hash of their ids.  Texts may be of any length, as a block ends
+    with a document; columns but these two are ignored, whatever their names;
+    an empty table gives an empty container.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     made = stored(
@@ -272,9 +275,10 @@ def write_tokens(
         [(i, int(f)) for i, f in enumerate(table.freq) if f], "token long, frequency long"
     ).coalesce(1).write.parquet(f"{path}/frequencies")
     files = max(1, -(-int(total.sum()) // FILE_IDS))
-    ordered = (
-        made.where("ids is not null").drop("counts").repartitionByRange(files, "_id").sortWithinPartitions("_id")
-    )
+    # ties in full, so that rows that repeat an id come in the same order always
+    # and rows without one spread over files
+    order = ["_id", F.xxhash64("ids"), "n", "ids"]
+    ordered = made.where("ids is not null").drop("counts").repartitionByRange(files, *order[:2]).sortWithinPartitions(*order)
     blocks = ordered.mapInArrow(_blocks(table, end), f"{_BLOCKS}, docs array<{kind}>")
     blocks.write.option("compression", "none").parquet(f"{path}/blocks")
 
@@ -341,9 +345,7 @@ def tokens_round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     An empty table gives an empty result.  See :func:`write_tokens`.
     """
-    import uuid
-
     spark = docs.sparkSession
-    path = f"{shared_dir(spark)}/viewmint/rans-{uuid.uuid4().hex}"
+    path = scratch(spark, "rans")
     write_tokens(docs, path, id_col, text_col, **options)
     return read_tokens(spark, path, id_col)

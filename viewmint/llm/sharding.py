@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .common import stored, with_rank
 
-#: Hexadecimal digits of the key's hash that deal a shard's rows into chunks.
+#: Hexadecimal digits of a row's hash that deal a shard's rows into chunks.
 CHUNK_DIGITS = 3
 
 
@@ -61,14 +61,15 @@ def shard_records(
         F.col(id_col).alias("_id"),
         (F.octet_length(text).cast("long") + 8).alias("size"),
         F.crc32(text).alias("text_crc32"),
-        F.substring(F.md5(key), 1, CHUNK_DIGITS).alias("_chunk"),
+        key.alias("_key"),
         rendezvous(key, weights).alias("_best"),
         draw(key, shards, grown_weight).alias("_next"),
     ).select(
         "_id",
         "size",
         "text_crc32",
-        "_chunk",
+        # by all of a row, as rows that repeat an id or have none share a shard
+        F.substring(F.md5(F.concat_ws("/", "_key", "size", "text_crc32")), 1, CHUNK_DIGITS).alias("_chunk"),
         F.col("_best.shard").cast("int").alias("shard"),
         F.when(F.col("_next") < F.col("_best.time"), F.lit(shards)).otherwise(F.col("_best.shard")).cast("int").alias("grown_shard"),
     )

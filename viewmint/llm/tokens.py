@@ -88,6 +88,11 @@ class WordEncoder:
             lined = np.array([w not in ("", "\n") for w in some])
             ids = self._ids("\n".join([w for w in some if w not in ("", "\n")] + [""]))
             ends = np.flatnonzero(ids == self._newline)
+            if len(ends) != lined.sum():  # a newline went into another pre-token: word by word, then
+                alone = [self._ids(w) for w in some]
+                parts.append(np.concatenate(alone))
+                counts.append(np.array([len(a) for a in alone], np.int64))
+                continue
             n = own.astype(np.int64)
             n[lined] = np.diff(ends, prepend=-1) - 1
             out = np.full(int(n.sum()), self._newline, np.uint32)
