@@ -87,7 +87,23 @@ def test_counting_quotient_filter_merges_losslessly():
     known, counts = np.unique(values, return_counts=True)
     assert (merged.fingerprints() == known).all() and (merged.counts == counts).all()
     for quotient, remainders, _ in merged.runs():
-        assert (np.diff(remainders.astype(float)) > 0).all() and quotient < 32
+        assert (np.diff(remainders.astype(object)) > 0).all() and quotient < 32
+
+
+def test_merged_slots_are_not_sorted_again(monkeypatch):
+    from viewmint.llm import exact_dedup
+
+    rng = np.random.default_rng(4)
+    parts = [exact_dedup.CountingQuotientFilter(3, rng.integers(0, 400, n, dtype=np.uint64) << np.uint64(55)) for n in (0, 1, 300, 700)]
+    everything = np.concatenate([np.repeat(f.fingerprints(), f.counts) for f in parts])
+    for name in ("sort", "unique", "argsort"):
+        monkeypatch.setattr(np, name, None)
+    merged = parts[0]
+    for f in parts[1:]:
+        merged = f.merge(merged)
+    monkeypatch.undo()
+    known, counts = np.unique(everything, return_counts=True)
+    assert (merged.fingerprints() == known).all() and (merged.counts == counts).all()
 
 
 def test_water_filling(spark, odd):
@@ -156,9 +172,6 @@ def test_linear_program_covers_all_lengths():
             covered[n] += a * x
     assert (covered >= 0.949 * counts).all()
 
-    from viewmint.llm.packing import dealt_patterns
-
-    assert sum(t * sum(p.values()) for p, t in dealt_patterns(counts, 1024)) >= 0.85 * counts.sum()
     packed = np.zeros(1025, np.int64)
     sequences = 0
     for pattern, times in pack_histogram(counts):
@@ -169,6 +182,37 @@ def test_linear_program_covers_all_lengths():
     assert sequences <= 1.01 * -(-int(counts @ np.arange(1025)) // 1024) + 1
 
 
+def test_packing_is_no_worse_than_best_fit():
+    from viewmint.llm.packing import best_fit, dealt_patterns, pack_histogram
+
+    rng = np.random.default_rng(6)
+    flat = np.bincount(rng.integers(260, 701, 20_000), minlength=1025)
+    five, four = np.zeros(1025, np.int64), np.zeros(1025, np.int64)
+    five[[200, 250, 274, 300, 411]] = 1000
+    four[[512, 700, 300, 341]] = 500, 500, 700, 900
+    for counts, least in ((flat, 0.1), (five, 0.9), (four, 0.9)):
+        plan, dealt = dealt_patterns(counts, 1024)
+        assert sum(t for _, t in plan) <= sum(t for _, t in best_fit(counts, 1024, []))
+        assert sum(t * sum(p.values()) for p, t in dealt) >= least * counts.sum()
+        packed = np.zeros(1025, np.int64)
+        for pattern, times in pack_histogram(counts):
+            assert sum(n * a for n, a in pattern.items()) <= 1024
+            for n, a in pattern.items():
+                packed[n] += a * times
+        assert (packed == counts).all()
+    for counts in (flat, five):
+        assert sum(t for _, t in pack_histogram(counts)) < sum(t for _, t in best_fit(counts, 1024, []))
+
+
+def test_knapsack_prices_every_length():
+    from viewmint.llm.packing import linear_program
+
+    counts = np.zeros(1025, np.int64)
+    counts[[512, 700, 300, 341]] = 100
+    found = linear_program(counts, 1024)
+    assert {n for p, _ in found for n in p} == {512, 700, 300, 341}
+
+
 @pytest.mark.parametrize("size", [None, (3_000_000, 400_000, 1), (3_000_000, 400_000, 2), (3_000_000, 0, 4_000), (3_000_000, 1, 3)])
 @pytest.mark.parametrize(
     "texts",
@@ -260,7 +304,7 @@ def test_simhash(spark, odd, which):
         if i is not None:
             least[root(k)] = min(i, least.get(root(k), i))
     want = [(i, f"{fp:016x}", least.get(root(k))) for k, (i, fp) in enumerate(made)]
-    got = [tuple(r) for r in simhash_components(docs).collect()]
+    got = [tuple(r)[:3] for r in simhash_components(docs).collect()]
     assert sorted(got, key=_key) == sorted(want, key=_key)
 
 
@@ -358,11 +402,11 @@ def test_preference_pairs(spark):
     rows = {r["conv_id"]: r for r in format_preferences(replies_as_pairs(df)).collect()}
     one = rows[1]
     assert one["prompt"] == "<|user|>\nhi<|end|>\n<|assistant|>\na<|end|>\n<|user|>\nmore<|end|>\n"
-    assert one["chosen"] == "<|assistant|>\nb<|end|>\n" and one["rejected"] == "<|assistant|>\na<|end|>\n"
-    assert one["chosen_mask"] == "0:14,1:9"
-    assert rows[2]["chosen"] == rows[2]["rejected"] == "" and rows[2]["n_prompt_turns"] == 1
-    assert rows[3]["rejected"] == "" and rows[3]["chosen"] == "<|assistant|>\nonly<|end|>\n"
-    assert rows[4]["chosen"] == rows[4]["rejected"] == "" and len(rows) == 5
+    assert one["chosen"] == "<|assistant|>\nb<|end|>\n<|user|>\nend<|end|>\n" and one["rejected"] == one["chosen"].replace("b<", "a<")
+    assert one["chosen_mask"] == "0:14,1:9,0:20" and one["usable"]
+    assert rows[2]["chosen"] == rows[2]["rejected"] == "" and rows[2]["n_prompt_turns"] == 1 and not rows[2]["usable"]
+    assert rows[3]["rejected"] == "<|assistant|>\n<|end|>\n" and rows[3]["chosen"] == "<|assistant|>\nonly<|end|>\n" and not rows[3]["usable"]
+    assert rows[4]["chosen"] != rows[4]["rejected"] and not rows[4]["usable"] and len(rows) == 5
     for r in rows.values():
         for side in ("chosen", "rejected"):
             runs = [x.split(":") for x in r[f"{side}_mask"].split(",") if x]
@@ -486,17 +530,81 @@ def test_neighbours_of_odd_rows(spark):
     assert nearest_neighbours(df.where("vec_id = 0"), F.lit(True)).count() == 0
 
 
-def test_near_neighbours_under_shards(spark, monkeypatch):
+def test_few_distances_are_computed(spark):
+    """Clustered vectors are found by a small share of all distances, and the
+    share falls as vectors become more."""
+    from pyspark.sql import functions as F
+
+    from viewmint.llm.neighbours import nearest_neighbours
+
+    shares = []
+    for n in (4_000, 32_000):
+        rng = np.random.default_rng(9)
+        x = rng.normal(size=(n // 40, 12)).repeat(40, axis=0) + 0.05 * rng.normal(size=(n, 12))
+        data = spark.createDataFrame(list(enumerate(x.tolist())), "vec_id long, embedding array<double>").repartition(4)
+        got: dict = {}
+        compared = {}
+        for r in nearest_neighbours(data, F.col("vec_id") % 100 == 0).collect():
+            got.setdefault(r["query_id"], set()).add(r["vec_id"])
+            compared[r["query_id"]] = r["compared"]
+        want = _brute_neighbours(list(enumerate(x.tolist())), 100)
+        assert sum(len(got[q] & {v for v, _ in w}) for q, w in want.items()) >= 0.9 * 10 * len(want)
+        shares.append(sum(compared.values()) / (n * len(want)))
+    assert shares[0] < 0.5 and shares[1] < 0.5 * shares[0]
+
+
+def test_probes_come_in_order_of_estimated_success():
+    from math import erf, sqrt
+
+    from viewmint.llm.neighbours import WIDTH, Hashing
+
+    rng = np.random.default_rng(2)
+    hashing = Hashing(rng.normal(size=(1, 4, 6)), rng.uniform(0, 1, (1, 4)), 0.7, 60)
+    q = rng.normal(size=(3, 6))
+    at = hashing.places(q, 0)
+    grid = np.stack(np.meshgrid(*[np.arange(-2, 3)] * 4, indexing="ij"), -1).reshape(-1, 4)
+    for i in range(3):
+        cells = np.floor(at[i]) + grid
+        low = (cells - at[i]) * WIDTH / sqrt(2)
+        chance = np.prod([[erf(b) - erf(a) for a, b in zip(r, r + WIDTH / sqrt(2))] for r in low], axis=1)
+        best = cells[np.argsort(-chance, kind="stable")[:60]]
+        assert (hashing.probed(q, 0)[0][i] == hashing._named(best, 0)[0]).all()
+
+
+def test_copied_and_split_parts_find_the_same(spark, monkeypatch):
     from pyspark.sql import functions as F
 
     from viewmint.llm import neighbours
 
     data = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
-    whole = {(r["query_id"], r["rank"]): r["vec_id"] for r in neighbours.nearest_neighbours(data, F.col("vec_id") % 50 == 0).collect()}
-    monkeypatch.setattr(neighbours, "SHARD_ROWS", 100)
-    monkeypatch.setattr(neighbours, "BLOCK_QUERIES", 4)
-    parts = {(r["query_id"], r["rank"]): r["vec_id"] for r in neighbours.nearest_neighbours(data, F.col("vec_id") % 50 == 0).collect()}
-    assert set(parts) == set(whole) and sum(parts[k] == whole[k] for k in whole) > 0.8 * len(whole)
+
+    def found():
+        return {(r["query_id"], r["rank"]): (r["vec_id"], r["score"], r["compared"]) for r in neighbours.nearest_neighbours(data, F.col("vec_id") % 20 == 0).collect()}
+
+    whole = found()
+    monkeypatch.setattr(neighbours, "PART_ROWS", 60)
+    monkeypatch.setattr(neighbours, "PART_QUERIES", 3)
+    assert found() == whole
+    monkeypatch.setattr(neighbours, "AIM", 1.0)
+    monkeypatch.setattr(neighbours, "HASHES", (12,))
+    monkeypatch.setattr(neighbours, "MOST_PROBES", 2)  # no hashing will do: all is compared
+    exact = found()
+    want = _brute_neighbours([(r["vec_id"], r["embedding"]) for r in data.collect()], 20)
+    assert {(q, n + 1): v for q, w in want.items() for n, (v, _) in enumerate(w)} == {k: v[0] for k, v in exact.items()}
+
+
+def test_equal_vectors_and_lengths(spark):
+    from pyspark.sql import functions as F
+
+    from viewmint.llm.neighbours import nearest_neighbours
+
+    rows = [(i, [1.0, 2.0]) for i in range(60)] + [(100 + i, [float(i), 1.0, 0.0]) for i in range(1, 14)] + [(100, [5.0]), (7, [9.0, 9.0]), (7, [9.0, 9.0])]
+    got: dict = {}
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    for r in nearest_neighbours(df, F.col("vec_id").isin(0, 7, 30, 104, 100)).orderBy("rank").collect():
+        got.setdefault(r["query_id"], []).append(r["vec_id"])
+    assert got[0] == list(range(1, 11)) and got[30] == list(range(10)) and got[7] == [i for i in range(11) if i != 7]
+    assert got[104][:2] == [103, 105] and len(got[104]) == 10 and 100 not in got
 
 
 def test_filters_keep_columns_and_clashing_names(spark, odd):
@@ -509,8 +617,10 @@ def test_filters_keep_columns_and_clashing_names(spark, odd):
     for f in (drop_exact_copies, drop_near_copies, apply_mix, lambda d: drop_low_quality(d, labels)):
         assert f(odd).columns == odd.columns
     kept = sorted(r["doc_id"] for r in drop_exact_copies(odd.where("doc_id is not null")).collect())
-    assert kept == [0, 2, 4, 5, 6, 8, 9, 11, 12, 12, 14, 15]
+    assert kept == [0, 2, 4, 5, 6, 8, 9, 11, 12, 14, 15]
     mixed = apply_mix(odd)
-    times = {r["doc_id"]: r["repeats"] for r in mix_sources(odd).collect()}
-    for r in mixed.groupBy("doc_id").count().collect():
-        assert r["count"] == times[r["doc_id"]] * (2 if r["doc_id"] == 12 else 1)
+    planned: dict = {}
+    for r in mix_sources(odd).collect():
+        planned[r["doc_id"]] = planned.get(r["doc_id"], 0) + r["repeats"]
+    made = {r["doc_id"]: r["count"] for r in mixed.groupBy("doc_id").count().collect()}
+    assert made == {k: v for k, v in planned.items() if v}

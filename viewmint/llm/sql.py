@@ -32,7 +32,7 @@ def mix_cte(docs: str) -> str:
     """CTEs up to ``mixed`` (doc_id, size, source_size, target, repeats) over ``docs``."""
     return rf"""
 sized as (select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{_WORDS}'))::bigint as size,
-  ('0x' || substr(md5('17:' || coalesce(doc_id::varchar, 'null')), 1, 15))::bigint as u from {docs}),
+  ('0x' || substr(md5('17:' || coalesce(doc_id::varchar, 'null') || ':' || md5(coalesce(text, ''))), 1, 15))::bigint as u from {docs}),
 per as (select source, sum(size)::bigint as source_size from sized group by source),
 ranked as (select *, row_number() over (order by source asc nulls last) - 1 as k from per),
 weighed as (select *, [5.0, 2.0, 1.0][(k % 3 + 1)::int]::double as w, source_size * 3.0::double as cap from ranked),
@@ -45,7 +45,7 @@ water as (select arg_min((total - full_) / (ws - past), (lvl, k)) as lam from su
 aimed as (select source, source_size, coalesce(least(cap, w * lam), cap) as target from summed, water),
 split as (select *, case when source_size > 0 then floor(target / source_size)::bigint else 0 end as whole from aimed),
 mixed as (select d.doc_id, d.size, s.source_size, s.target,
-  s.whole + case when coalesce(sum(d.size) over (partition by d.source order by d.u, d.doc_id, d.size
+  s.whole + case when s.target - s.whole * s.source_size > 0 and coalesce(sum(d.size) over (partition by d.source order by d.u, d.doc_id, d.size
       rows between unbounded preceding and 1 preceding), 0) + d.size / 2.0::double
     <= s.target - s.whole * s.source_size then 1 else 0 end as repeats
   from sized d join split s on d.source is not distinct from s.source)"""
@@ -63,7 +63,7 @@ placed as (select doc_id, text, key, list_position(ts[1:24], list_min(ts[1:24]))
   list_position(ts, list_min(ts)) - 1 as grown_shard from drawn),
 summed as (select *, strlen(text)::bigint + 8 as size, {_crc("text")} as text_crc32 from placed, crc_table)
 select doc_id, size, text_crc32::bigint as text_crc32, 'key' as law, shard::int as shard,
-  row_number() over (partition by shard order by substr(md5(key), 1, 3), doc_id, size, text_crc32) - 1 as slot,
+  row_number() over (partition by shard order by substr(md5(key || '/' || size || '/' || text_crc32), 1, 3), doc_id, size, text_crc32) - 1 as slot,
   grown_shard::int as grown_shard
 from summed"""
 
@@ -79,21 +79,26 @@ def _mask(turns: str) -> str:
 
 
 OP10 = f"""
-with turns as (select conv_id, list({{'turn': turn, 'role': coalesce(role, ''), 'text': coalesce(text, '')}}
-    order by turn nulls first, coalesce(role, ''), coalesce(text, '')) as said from conversations group by conv_id),
+with entries as (select conv_id, {{'turn': turn, 'role': coalesce(role, ''), 'text': coalesce(text, '')}} as t from conversations),
+turns as (
+  select conv_id, list(t order by t.turn nulls first, t.role, t.text) as said from entries where conv_id is not null group by conv_id
+  union all select conv_id, [t] from entries where conv_id is null),
 spoken as (select *, list_filter(range(1, len(said) + 1), lambda i: said[i].role = 'assistant') as spots from turns),
-sides as (select conv_id,
-  case when len(spots) = 0 then said else said[1:spots[-1]] end as chosen,
-  case when len(spots) = 0 then said
-    else list_concat(said[1:spots[-1] - 1], case when len(spots) > 1 then [said[spots[-2]]] else [] end) end as rejected
-  from spoken),
+worse as (select *, spots[-1] as last,
+  coalesce(list_filter(list_transform(spots, lambda i: said[i].text), lambda x: x <> said[spots[-1]].text)[-1], '') as reply from spoken),
+sides as (select conv_id, said as chosen, case when last is null then said
+    else list_concat(said[1:last - 1], [{{'turn': said[last].turn, 'role': 'assistant', 'text': reply}}], said[last + 1:]) end as rejected
+  from worse),
 shared as (select *, coalesce(list_min(list_filter(range(1, least(len(chosen), len(rejected)) + 1),
     lambda i: chosen[i].role <> rejected[i].role or chosen[i].text <> rejected[i].text)) - 1,
-    least(len(chosen), len(rejected))) as n from sides)
-select conv_id, n::int as n_prompt_turns, {_render("chosen[1:n]")} as prompt,
-  {_render("chosen[n + 1:]")} as chosen, {_mask("chosen[n + 1:]")} as chosen_mask,
-  {_render("rejected[n + 1:]")} as rejected, {_mask("rejected[n + 1:]")} as rejected_mask
-from shared"""
+    least(len(chosen), len(rejected))) as n from sides),
+cut as (select conv_id, n, chosen[1:n] as p, chosen[n + 1:] as c, rejected[n + 1:] as r from shared)
+select conv_id, n::int as n_prompt_turns, {_render("p")} as prompt,
+  {_render("c")} as chosen, {_mask("c")} as chosen_mask,
+  {_render("r")} as rejected, {_mask("r")} as rejected_mask,
+  len(list_filter(c, lambda t: t.role = 'assistant' and t.text <> '')) > 0
+    and len(list_filter(r, lambda t: t.role = 'assistant' and t.text <> '')) > 0 as usable
+from cut"""
 
 ORACLES: dict[str, str] = {
     "op2_exact_dedup": OP2,
