@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from viewmint.functions import core as C
 from viewmint.menus import MENUS, depth_cost
-from viewmint.operators import contract, geometry, metrics, policy, stats, text
+from viewmint.operators import contract, geometry, metrics, policy, routes, stats, text
 from viewmint.sources import files
 
 
@@ -62,7 +62,7 @@ def test_controls_are_permutations(spark):
 
 def test_leaks_at_any_depth(spark):
     rows = [(1, json.dumps({"a": [{"Oracle View": 1}], "b": {"c": {"target": 2}}})), (2, "{}"), (3, None), (4, "{broken")]
-    found = contract.leaks(spark.createDataFrame(rows, "id long, j string"), "id", "j", {"oracle_view", "target"})
+    found = routes.leaks(spark.createDataFrame(rows, "id long, j string"), "id", "j", {"oracle_view", "target"})
     assert sorted(map(tuple, found.collect())) == [(1, "$.a[0].Oracle View"), (1, "$.b.c.target"), (4, "$")]
 
 
@@ -72,10 +72,51 @@ def test_hidden_columns_are_refused(spark):
 
 
 def test_actions(spark):
-    rows = [(1, "pq", None, None, None), (2, None, ["full"], None, False), (3, None, None, None, True), (4, "pq", None, None, True), (5, None, None, None, None)]
-    df = spark.createDataFrame(rows, "line long, route string, ranked_views array<string>, view_set array<string>, abstain boolean")
-    got = {r["line"]: (r["action"], r["actions"]) for r in contract.primary_actions(df).collect()}
-    assert got == {1: ("pq", 1), 2: ("full", 1), 3: ("abstain", 1), 4: ("pq", 2), 5: (None, 0)}
+    rows = [(1, '{"route": "pq"}'), (2, '{"ranked_views": ["full"], "abstain": false}'), (3, '{"abstain": true}'), (4, '{"route": "pq", "abstain": true}'), (5, "{}"), (6, '{"view_set": ["a"]}'), (7, '{"route": "", "ranked_views": ["a"]}')]
+    v = F.try_parse_json("raw")
+    got = {r[0]: (r[1], r[2]) for r in spark.createDataFrame(rows, "line long, raw string").select("line", routes.primary_actions(v), routes.selected_view(v)).collect()}
+    assert got == {1: (["route"], "pq"), 2: (["ranked_views"], "full"), 3: (["abstain"], "abstain"), 4: (["route", "abstain"], "abstain"), 5: ([], "abstain"), 6: (["view_set"], None), 7: ([], "a")}
+    with pytest.raises(Exception, match="sets of views"):
+        spark.createDataFrame(rows, "line long, raw string").select(routes.selected_view(v, strict=True)).collect()
+
+
+MENU = json.dumps({"menu_id": "m", "allowed_tiers": ["C0", "C1"], "hidden_evaluator_fields": ["Gold Rank"], "views": [{"view_id": v, "cost_key": v, "forbidden_before_purchase": ["ce_score_margin"] if v == "ce" else []} for v in ("summary", "pq", "full", "ce")]})
+COSTS = json.dumps({"cost_menu": "C_op", "view_costs": {}})
+GOOD = {"query_id": "q1", "cell_id": "c1", "tier": "C1", "cost_menu": "C_op", "route": "pq", "method": "x", "runtime_s": 0.1, "diagnostics": {"margin": 1}}
+
+
+def _faults(spark, rows, manifest=None, **options):
+    raw = spark.createDataFrame([(i, r if isinstance(r, str) else json.dumps(r)) for i, r in enumerate(rows)], "line long, raw string")
+    if manifest is not None:
+        manifest = spark.createDataFrame([(i, *m) for i, m in enumerate(manifest)], "line long, query_id string, cell_id string, tier string, cost_menu string, declared_views array<string>")
+    return sorted((r["line"], r["error"]) for r in routes.faults(raw, routes.Rules.of(spark, MENU, COSTS, **options), manifest).collect())
+
+
+def test_valid_routes_have_no_fault(spark):
+    manifest = [("q1", "c1", "C1", "C_op", ["pq", "summary"]), ("q2", "c1", None, None, None)]
+    second = {**GOOD, "query_id": "q2", "route": None, "ranked_views": ["full", "pq"]}
+    assert _faults(spark, [GOOD, second], manifest) == []
+    assert _faults(spark, []) == []
+
+
+def test_leaking_diagnostics_are_a_fault(spark):
+    found = _faults(spark, [{**GOOD, "diagnostics": {"ce_score_margin": 0.2}}, {**GOOD, "query_id": "q2", "diagnostics": [{"gold-rank!": 1}, {"Target": {}}]}])
+    assert found == [(0, "forbidden keys: $.diagnostics.ce_score_margin"), (1, "forbidden keys: $.diagnostics[0].gold-rank!, $.diagnostics[1].Target")]
+
+
+def test_escaped_keys_leak_too(spark):
+    raw = json.dumps(GOOD)[:-1] + ', "d": {"t\\u0061rget": 1}}'
+    assert ("$.d.target" in _faults(spark, [raw.replace("\\\\", "\\")], strict=False)[0][1])
+
+
+def test_every_fault_of_a_row_is_named(spark):
+    bad = {"query_id": "", "cell_id": 3, "tier": "C9", "cost_menu": "x", "route": "zoom", "ranked_views": ["pq", "pq"], "view_set": "full", "abstain": 1, "runtime_s": -1, "note": 1}
+    errors = [e for _, e in _faults(spark, [bad])]
+    assert errors == sorted(["unknown keys: note", "no string in query_id", "no string in cell_id", "tier isn't allowed: C9", "cost menu isn't the declared one: x", "not one primary action: route, view_set", "no rule for sets of views",
+        "route isn't declared: zoom", "ranked_views names a view twice", "view_set is no list of names", "abstain is no boolean", "runtime_s is no number from 0 up"])
+    assert _faults(spark, ["nope", "[]", GOOD, GOOD]) == [(0, "not a JSON object"), (1, "not a JSON object"), (3, "the pair was submitted before")]
+    found = _faults(spark, [GOOD, {**GOOD, "query_id": "q3"}, {**GOOD, "query_id": "q4"}, {**GOOD, "query_id": "q5"}], [("q1", "c1", "C0", "C_op", ["summary"]), ("q4", "c1", None, None, []), ("q5", "c1", None, None, ["zoom"])])
+    assert found == [(0, "route isn't declared: pq"), (0, "tier differs from the manifest's: C0"), (1, "not in the manifest"), (2, "the manifest's declared views are no list of names"), (3, "route isn't declared: pq"), (3, "the manifest's declared views aren't in the menu")]
 
 
 def test_calibration_and_ranks(spark):

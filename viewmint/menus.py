@@ -20,6 +20,13 @@ MENUS: dict[str, tuple[tuple[str, float], ...]] = {
     "docred": (("summary", 0.0), ("co_mention", 0.12), ("evidence_sentences", 0.22), ("full_context", 0.55), ("ce", 0.95)),
     "legacy": (("moments", 0.0), ("occupancy", 0.28), ("raster", 0.42), ("point", 0.58)),
 }
+#: Keys of a route row, and names that only an evaluator may know.
+ROUTE_KEYS: tuple[str, ...] = ("query_id", "cell_id", "tier", "cost_menu", "route", "ranked_views", "view_set", "abstain", "method", "runtime_s", "diagnostics")
+FORBIDDEN: tuple[str, ...] = (
+    "answer", "answers", "ce_score", "ce_scores", "ce_score_margin", "evidence_triple", "evidence_triples", "evaluator_only", "full_score", "full_scores",
+    "hidden_reference", "hidden_target", "label", "labels", "oracle_view", "private_seed", "qrel", "qrels", "source_label", "source_labels", "support_fact",
+    "support_facts", "support_title", "support_titles", "target", "target_points", "targets", "view_utilities", "view_score", "view_scores",
+)
 #: What a dense view is refined from.
 DENSE_PARENTS: dict[str, str] = {"binary": "summary", "pq": "summary", "int8": "summary", "hnsw16": "summary", "full": "summary", "hnsw64": "hnsw16", "ce": "full"}
 

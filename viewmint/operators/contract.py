@@ -1,41 +1,16 @@
-"""The route contract: validation, visibility, leakage and scoring of rows."""
+"""Menus against costs, keys, visibility and scoring of rows; the rules of
+submitted routes are in ``routes``."""
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterator
 from functools import reduce
 
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.core import norm_key
 from ..menus import LAMBDA
 
 
-def chosen_view() -> Column:
-    """Of a row: abstain, else route, else the first ranked view, else abstain."""
-    first = F.get("ranked_views", F.lit(0))
-    return F.when(F.coalesce("abstain", F.lit(False)), "abstain").otherwise(F.coalesce(F.nullif("route", F.lit("")), first, F.lit("abstain")))
-
-
-def primary_actions(rows: DataFrame) -> DataFrame:
-    """Adds ``action``, the number of ``actions`` named and whether it is one."""
-    route = F.nullif(F.col("route"), F.lit(""))
-    named = F.array_compact(
-        F.array(
-            route,
-            F.when(route.isNull() & (F.size(F.coalesce("ranked_views", F.array().cast("array<string>"))) > 0), F.get("ranked_views", F.lit(0))),
-            F.when(F.size(F.coalesce("view_set", F.array().cast("array<string>"))) > 0, F.array_join("view_set", "+")),
-            F.when(F.coalesce("abstain", F.lit(False)), F.lit("abstain")),
-        )
-    )
-    return rows.withColumn("_n", named).select(
-        "*", F.get("_n", F.lit(0)).alias("action"), F.size("_n").alias("actions"), (F.size("_n") == 1).alias("valid")
-    ).drop("_n")
-
-
 def duplicates(rows: DataFrame, keys: list[str], line: str = "line") -> DataFrame:
     """Keys that more than one row has."""
     return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min(line).alias("first_line")).where("n > 1")
@@ -53,64 +28,6 @@ def key_differences(manifest: DataFrame, reference: DataFrame, keys: list[str])
     return one(manifest, reference, "manifest_only").unionByName(one(reference, manifest, "reference_only"))
 
 
-def leaks(rows: DataFrame, id_col: str, json_col: str, forbidden: set[str]) -> DataFrame:
-    """(id, path) of each forbidden key at any depth of a JSON text; text that
-    isn't JSON has the path ``$`` and is as bad."""
-    import re
-
-    def key(name: str) -> str:
-        return re.sub(r"^_+|_+$", "", re.sub("[^a-z0-9_]+", "_", name.strip().lower()))
-
-    banned = {key(k) for k in forbidden}
-
-    def walk(node, path: str) -> Iterator[str]:
-        if isinstance(node, dict):
-            for k, v in node.items():
-                if key(k) in banned:
-                    yield f"{path}.{k}"
-                yield from walk(v, f"{path}.{k}")
-        elif isinstance(node, list):
-            for i, v in enumerate(node):
-                yield from walk(v, f"{path}[{i}]")
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, paths = [], []
-            for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                try:
-                    found = list(walk(json.loads(text), "$")) if text is not None else []
-                except ValueError:
-                    found = ["$"]
-                ids += [i] * len(found)
-                paths += found
-            yield pa.RecordBatch.from_arrays([pa.array(ids, batch.column(0).type), pa.array(paths, pa.string())], [id_col, "path"])
-
-    kind = rows.schema[id_col].dataType.simpleString()
-    return rows.select(id_col, json_col).mapInArrow(scan, f"{id_col} {kind}, path string")
-
-
-def forbidden_keys(names: Column) -> Column:
-    """Normalised, distinct forbidden names of an array column."""
-    return F.array_sort(F.array_distinct(F.transform(names, norm_key)))
-
-
-def validate(rows: DataFrame, declared: list[str]) -> DataFrame:
-    """(line, error): a row for each fault of each row."""
-    checked = primary_actions(rows)
-    known = F.array(*[F.lit(v) for v in declared])
-    faults = F.array_compact(
-        F.array(
-            F.when(F.col("route").isNotNull() & ~F.array_contains(known, F.col("route")), F.lit("undeclared route")),
-            F.when(F.size(F.array_except("ranked_views", known)) > 0, F.lit("undeclared ranked view")),
-            F.when(F.size(F.array_except("view_set", known)) > 0, F.lit("undeclared view in set")),
-            F.when(F.col("actions") == 0, F.lit("no primary action")),
-            F.when(F.col("actions") > 1, F.lit("more than one primary action")),
-            F.when(F.col("runtime_s") < 0, F.lit("negative runtime_s")),
-        )
-    )
-    return checked.select("line", F.explode(faults).alias("error"))
-
-
 def menu_errors(views: DataFrame, costs: DataFrame) -> DataFrame:
     """(view_id, error) of a view menu against a cost menu; '' if there's none."""
     twice = F.count(F.lit(1)).over(Window.partitionBy("view_id")) > 1

@@ -16,35 +16,6 @@ from .text_queries import _BM25, _pool
 
 
 
-@query("select string_agg(distinct k, ',' order by k) as forbidden from (select regexp_replace(regexp_replace(lower(trim(p_type || ' ' || p_brand)), '[^a-z0-9_]+', '_', 'g'), '^_+|_+$', '', 'g') as k from part)")
-def forbidden_set(spark, sf_dir):
-    key = C.norm_key(F.concat_ws(" ", "p_type", "p_brand"))
-    return read(spark, sf_dir, "part").select(key.alias("k")).distinct().agg(F.array_join(F.array_sort(F.collect_list("k")), ",").alias("forbidden"))
-
-
-@query("select p_type as menu, count(distinct p_brand) as views, string_agg(distinct p_brand, ',' order by p_brand) as declared from part where p_brand <> '' group by 1")
-def declared_views(spark, sf_dir):
-    return read(spark, sf_dir, "part").where("p_brand != ''").groupBy(F.col("p_type").alias("menu")).agg(F.countDistinct("p_brand").alias("views"), F.array_join(F.array_sort(F.collect_set("p_brand")), ",").alias("declared"))
-
-
-@query("select o_orderkey, coalesce(nullif(case when o_orderstatus = 'P' then '' else o_orderstatus end, ''), nullif(o_orderpriority, '4-NOT SPECIFIED'), 'default') as menu_id from orders")
-def cost_menu_id(spark, sf_dir):
-    first = F.nullif(F.when(F.col("o_orderstatus") == "P", "").otherwise(F.col("o_orderstatus")), F.lit(""))
-    return read(spark, sf_dir, "orders").select("o_orderkey", F.coalesce(first, F.nullif("o_orderpriority", F.lit("4-NOT SPECIFIED")), F.lit("default")).alias("menu_id"))
-
-
-@query("select p_brand as menu, bool_or(p_size > 48) as allows_sets, bool_or(p_name like '%ring%') as allows_abstain from part group by 1")
-def action_rules(spark, sf_dir):
-    return read(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("menu")).agg(F.bool_or(F.col("p_size") > 48).alias("allows_sets"), F.bool_or(F.col("p_name").contains("ring")).alias("allows_abstain"))
-
-
-@query("select event_id, case when event_type = 'error' then 'abstain' when event_type <> 'view' then event_type when value > 10 then 'first ranked' else 'abstain' end as selected from events")
-def select_view(spark, sf_dir):
-    route = F.when(F.col("event_type").isin("error", "view"), F.lit(None)).otherwise(F.col("event_type"))
-    ranked = F.when((F.col("event_type") == "view") & (F.col("value") > 10), "first ranked")
-    return read(spark, sf_dir, "events").select("event_id", F.when(F.col("event_type") == "error", "abstain").otherwise(F.coalesce(route, ranked, F.lit("abstain"))).alias("selected"))
-
-
 @query("""with m as (select c_mktsegment as method, round(avg(case when c_acctbal < 0 then null else c_acctbal end), 4) as score, round(avg((c_acctbal >= 0)::int), 6) as feasible from customer group by 1)
 select row_number() over (order by feasible desc, score, method) as place, * from m""")
 def legacy_leaderboard(spark, sf_dir):

@@ -202,11 +202,6 @@ def _submission(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query(f"with {_SUBMISSION} select line, coalesce(r, case when abstain then 'abstain' end) as action, (r is not null)::int + abstain::int as actions, (r is not null)::int + abstain::int = 1 as valid from sub")
-def primary_action(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return K.primary_actions(_submission(spark, sf_dir).withColumns({"ranked_views": F.array().cast("array<string>"), "view_set": F.array().cast("array<string>")})).select("line", "action", "actions", "valid")
-
-
 @query(f"with {_SUBMISSION}, c as (select *, count(*) over (partition by query_id) as n from sub) select query_id, n, min(line) as first_line from c where n > 1 group by all")
 def dup_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.duplicates(_submission(spark, sf_dir), ["query_id"])
@@ -217,30 +212,6 @@ def manifest_dict(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.last_wins(_submission(spark, sf_dir), ["query_id"]).select("query_id", "line", "route")
 
 
-@query("""with m as (select distinct o_custkey as k from orders), r as (select c_custkey as k from customer)
-select 'manifest_only' as side, count(*) as n from (select k from m except select k from r) union all select 'reference_only', count(*) from (select k from r except select k from m)""")
-def pack_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k")).distinct()
-    return K.key_differences(m, read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k")), ["k"])
-
-
-@query("select event_id, unnest(json_keys(props)) as key from events where list_has_any(json_keys(props), ['k', 'target', 'oracle_view'])")
-def leak_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Forbidden keys at any depth of a JSON column, as paths."""
-    found = K.leaks(read(spark, sf_dir, "events").select("event_id", "props"), "event_id", "props", {"k", "target", "oracle_view"})
-    return found.select("event_id", F.regexp_replace("path", r"^\$\.", "").alias("key"))
-
-
-@query(f"""with {_SUBMISSION}, v(view_id) as (values ('signup'), ('click'), ('view')),
-e as (select line, 'undeclared route' as error from sub where r is not null and r not in (select view_id from v)
-  union all select line, 'no primary action' from sub where r is null and not abstain
-  union all select line, 'negative runtime_s' from sub where runtime_s < 0)
-select line, error from e""")
-def validate_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sub = _submission(spark, sf_dir).withColumns({"ranked_views": F.array().cast("array<string>"), "view_set": F.array().cast("array<string>")})
-    return K.validate(sub, ["signup", "click", "view"])
-
-
 @query("""with m as (select n_name as view_id, n_regionkey as cost from nation), c as (select r_regionkey as k from region where r_regionkey > 0)
 select view_id, case when k is null then 'no cost' else '' end as error from m left join c on cost = k""")
 def menu_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
