@@ -202,3 +202,28 @@ def test_streams_match_batches(spark, tmp_path):
     routes = stream.select(F.col("user_id").alias("query_id"), F.col("event_type").alias("route"))
     streams.score_submissions(routes, reference, lambda d, n: scored.append((n, d.count())), str(tmp_path / "cp")).awaitTermination()
     assert scored and scored[0][1] > 0
+
+
+def test_collections_as_published(spark, tmp_path):
+    from viewmint.sources import collections as S
+
+    def read(schema, *rows):
+        path = tmp_path / f"{len(list(tmp_path.iterdir()))}.jsonl"
+        path.write_text("\n".join(json.dumps(r) for r in rows))
+        return spark.read.schema(schema).json(str(path))
+
+    two = S.load_2wiki(read(S.RAW_2WIKI, {"_id": "a", "type": "t", "question": "q", "answer": "x", "context": [["ignored"]], "supporting_facts": [["Some_Title", 0], [3, "Other  title"], []], "evidences": [["A_b", "r", "C"], ["too", "short"]]})).first()
+    assert two["support_titles"] == ["other title", "some title"] and two["evidence_entities"] == ["a b", "c"]
+    hot = S.load_hotpot(read(S.RAW_HOTPOT, {"question": "q", "context": {"title": ["T"], "sentences": [["s1", "s2"]]}, "supporting_facts": {"title": ["T", " "], "sent_id": [1, 0]}}, {"id": "none", "supporting_facts": {"title": [], "sent_id": []}})).collect()
+    assert len(hot) == 1 and hot[0]["id"].startswith("hotpot_") and [tuple(p) for p in hot[0]["support_pairs"]] == [("t", 1)] and hot[0]["answer"] == ""
+    para = [{"title": "T", "paragraph_text": " x ", "is_supporting": True}, {"idx": 5, "title": "", "paragraph_text": "y", "is_supporting": True}]
+    mus = S.load_musique(read(S.RAW_MUSIQUE, {"id": "3hop1__z", "question": "q", "answerable": True, "paragraphs": para, "question_decomposition": [{"question": " "}, {"question": "w", "answer": "v", "paragraph_support_idx": 0}]}, {"id": "no", "answerable": False, "paragraphs": para}, {"id": "m", "answerable": True, "paragraphs": para})).collect()
+    assert [(r["type"], r["decomp_questions"], r["support_idx"], len(r["paragraphs"])) for r in mus] == [("3hop1", ["w"], [0], 1), ("1support", [], [0], 1)]
+    fev = S.load_fever(read(S.RAW_FEVER, {"id": 7, "claim": "c", "evidence": [[[1, 2, "T", 3], [1, 2, None, 3], [1, 2, "T", 3]], [[1, 2, "A", 0], [1]]]}, {"id": 8, "evidence": [[[1, None, None, None]]]})).collect()
+    assert [(r["id"], [tuple(h) for h in r["evidence_handles"]], r["evidence_titles"]) for r in fev] == [("7", [("T", 3), ("A", 0)], ["A", "T"])]
+    stq = S.load_strategyqa(read(S.RAW_STRATEGYQA, {"qid": "1", "question": "q", "facts": [" f ", ""], "decomposition": ["", "d "]}, {"qid": "2", "facts": [" "]})).collect()
+    assert [(r["facts"], r["decomposition"], r["answer"]) for r in stq] == [(["f"], ["d"], False)]
+    doc = {"doc_id": "d", "split": "dev", "title": "T", "sents": [["Ann", "met", "Bob", "."], ["She", "left"]], "vertexSet": [[{"name": "Ann"}, {"name": "Anny"}, {"name": "Anna"}], [{"name": "Bob"}]], "labels": [{"h": 0, "t": 1, "r": "P9", "evidence": [0, 5, 0]}, {"h": 0, "t": 7, "r": "P9", "evidence": []}]}
+    rel = S.load_docred(read(S.RAW_DOCRED, doc, {"doc_id": "short", "sents": [["x"]], "labels": [{"h": 0, "t": 0, "r": "P", "evidence": [0]}]}), spark.createDataFrame([("P9", "met with")], "r string, name string")).collect()
+    assert len(rel) == 1 and (rel[0]["head"], rel[0]["tail"], rel[0]["relevant_local"]) == ("Anny", "Bob", [0])
+    assert rel[0]["query_text"] == "T: evidence for relation met with between Anny and Bob" and rel[0]["summary_scores"] == pytest.approx([2.0 + 0.25 * 0.5, -0.001])
