@@ -5,22 +5,35 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.core import hash_index
 
+#: Chances of at most 0, 1, 2 and so on of a Poisson variable of
+#: mean 1, in 32768ths, rounded.
+POISSON = (12055, 24109, 30137, 32146, 32648, 32749, 32765)
+#: Draws that one hash yields, of 15 bits each.
+DRAWS = 8
 
-def bootstrap_ci(values: DataFrame, value: str, reps: int, seed: int = 11, index: str = "i", n: int | None = None) -> DataFrame:
-    """(mean, lo, hi, reps): percentile interval of resampled means.
 
-    ``values`` has a dense ``index`` from 0.  A draw is a hash of (seed, rep,
-    position), so any engine draws the same rows.
+def bootstrap_ci(values: DataFrame, value: str, reps: int, seed: int = 11, index: str = "i") -> DataFrame:
+    """(mean, lo, hi, positive, reps): percentile interval of resampled means,
+    and the share of them above 0.
+
+    Rows are drawn by Poisson weights that a hash of (seed, block of draws,
+    ``index``) gives, so that every row draws for itself: one pass, in which
+    only a sum and a weight a draw leave a task.  For paired differences
+    ``value`` is the difference.
     """
-    size = n if n is not None else values.count()
-    draws = values.select(F.col(index).alias("_at")).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))))
-    key = F.concat_ws(":", F.lit(str(seed)), F.col("rep").cast("string"), F.col("_at").cast("string"))
-    picked = draws.select("rep", hash_index(key, F.lit(size)).alias("_pick")).groupBy("rep", "_pick").agg(F.count(F.lit(1)).alias("_w"))
-    means = picked.join(values.select(F.col(index).alias("_pick"), F.col(value).alias("_v")), "_pick").groupBy("rep").agg((F.sum(F.col("_w") * F.col("_v")) / F.sum("_w")).alias("m"))
-    ends = means.agg(F.percentile("m", F.array(F.lit(0.025), F.lit(0.975))).alias("q"), F.count(F.lit(1)).alias("reps"))
-    return values.agg(F.round(F.avg(value), 6).alias("mean")).crossJoin(ends).select("mean", F.round(F.col("q")[0], 6).alias("lo"), F.round(F.col("q")[1], 6).alias("hi"), "reps")
+    blocks = F.explode(F.sequence(F.lit(0), F.lit(-(-reps // DRAWS) - 1))).alias("_b")
+    drawn = values.select(F.col(value).alias("_v"), F.col(index).alias("_i"), blocks)
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("_b").cast("string"), F.col("_i").cast("string")))
+    halves = drawn.select("_v", "_b", digest.alias("_h")).select("_v", "_b", *[F.conv(F.substring("_h", at, 15), 16, 10).cast("long").alias(f"_h{at}") for at in (1, 17)])
+    bits = [F.shiftright(f"_h{at}", 15 * j).bitwiseAND(F.lit(32767)) for at in (1, 17) for j in range(DRAWS // 2)]
+    weight = sum((F.when(F.col("_u") >= c, 1).otherwise(0) for c in POISSON), F.lit(0))
+    each = halves.select("_v", "_b", F.posexplode(F.array(*bits)).alias("_j", "_u")).where(F.col("_u") >= POISSON[0]).withColumn("_w", weight)
+    sums = each.groupBy((F.col("_b") * DRAWS + F.col("_j")).alias("rep")).agg((F.sum(F.col("_w") * F.col("_v")) / F.sum("_w")).alias("m"))
+    ends = sums.where(F.col("rep") < reps).agg(
+        F.percentile("m", F.array(F.lit(0.025), F.lit(0.975))).alias("q"), F.avg((F.col("m") > 0).cast("double")).alias("p"), F.count(F.lit(1)).alias("reps")
+    )
+    return values.agg(F.round(F.avg(value), 6).alias("mean")).crossJoin(ends).select("mean", F.round(F.col("q")[0], 6).alias("lo"), F.round(F.col("q")[1], 6).alias("hi"), F.round("p", 6).alias("positive"), "reps")
 
 
 def fold_ci(rows: DataFrame, group: str, value: str) -> DataFrame:

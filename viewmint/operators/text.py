@@ -22,8 +22,9 @@ def bm25_local(queries: DataFrame, pool: DataFrame, k1: float = K1, b: float = B
     sized = docs.select("qid", "did", F.greatest(F.size("_t"), F.lit(1)).alias("dl"))
     stats = sized.groupBy("qid").agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
     asked = queries.select("qid", F.explode(tokens(F.col("text"))).alias("term")).groupBy("qid", "term").agg(F.count(F.lit(1)).alias("qtf"))
-    tf = docs.select("qid", "did", F.explode("_t").alias("term")).groupBy("qid", "did", "term").agg(F.count(F.lit(1)).alias("tf"))
-    met = tf.join(asked, ["qid", "term"])
+    # terms that the query doesn't ask for are dropped before anything is counted
+    hits = docs.select("qid", "did", F.explode("_t").alias("term")).join(asked, ["qid", "term"])
+    met = hits.groupBy("qid", "did", "term", "qtf").agg(F.count(F.lit(1)).alias("tf"))
     df = met.groupBy("qid", "term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
@@ -62,31 +63,66 @@ def expand(seeds: DataFrame, edges: DataFrame, cap: int, exclude: DataFrame | No
     return fresh.withColumn("place", F.row_number().over(place).cast("long")).where(F.col("place") <= cap)
 
 
-def one_hop_scores(pool: DataFrame, edges: DataFrame, direct: float = 1.0, reverse: float = 0.75) -> DataFrame:
+def inside_pool(pool: DataFrame, edges: DataFrame) -> DataFrame:
+    """(qid, src, dst, from_anchor, to_anchor): links within each query's pool."""
+    a = pool.select("qid", F.col("node").alias("src"), F.col("anchor").alias("from_anchor"))
+    b = pool.select("qid", F.col("node").alias("dst"), F.col("anchor").alias("to_anchor"))
+    return a.join(edges, "src").join(b, ["qid", "dst"])
+
+
+def one_hop_scores(pool: DataFrame, edges: DataFrame, direct: float = 1.0, reverse: float = 0.75, inside: DataFrame | None = None) -> DataFrame:
     """(qid, node, one, out_degree, in_degree): links within each query's pool.
 
     ``pool``: qid, node, anchor (is it a start?).
     """
-    a = pool.select("qid", F.col("node").alias("src"), F.col("anchor").alias("from_anchor"))
-    b = pool.select("qid", F.col("node").alias("dst"), F.col("anchor").alias("to_anchor"))
-    inside = a.join(edges, "src").join(b, ["qid", "dst"])
-    into = inside.groupBy("qid", F.col("dst").alias("node")).agg(F.sum(F.col("from_anchor").cast("long")).alias("d"), F.count(F.lit(1)).alias("in_degree"))
-    out = inside.groupBy("qid", F.col("src").alias("node")).agg(F.sum(F.col("to_anchor").cast("long")).alias("r"), F.count(F.lit(1)).alias("out_degree"))
-    joined = pool.join(into, ["qid", "node"], "left").join(out, ["qid", "node"], "left").na.fill(0, ["d", "r", "in_degree", "out_degree"])
+    inside = inside_pool(pool, edges) if inside is None else inside
+    # either end of a link counts at its node: one pass, one aggregate
+    ends = inside.select("qid", F.explode(F.array(
+        F.struct(F.col("dst").alias("node"), F.col("from_anchor").cast("long").alias("d"), F.lit(0).cast("long").alias("r"), F.lit(1).cast("long").alias("i"), F.lit(0).cast("long").alias("o")),
+        F.struct(F.col("src").alias("node"), F.lit(0).cast("long").alias("d"), F.col("to_anchor").cast("long").alias("r"), F.lit(0).cast("long").alias("i"), F.lit(1).cast("long").alias("o")),
+    )).alias("e")).select("qid", "e.*")
+    per = ends.groupBy("qid", "node").agg(F.sum("d").alias("d"), F.sum("r").alias("r"), F.sum("i").alias("in_degree"), F.sum("o").alias("out_degree"))
+    joined = pool.join(per, ["qid", "node"], "left").na.fill(0, ["d", "r", "in_degree", "out_degree"])
     return joined.select("qid", "node", (direct * F.col("d") + reverse * F.col("r")).alias("one"), "out_degree", "in_degree")
 
 
 def two_hop_scores(pool: DataFrame, edges: DataFrame) -> DataFrame:
     """(qid, node, two): one-hop score, half a point a path of two links from an
-    anchor within the pool, and a little for every link."""
-    one = one_hop_scores(pool, edges)
-    inside = pool.select("qid", F.col("node").alias("src"), "anchor").join(edges, "src").join(pool.select("qid", F.col("node").alias("dst")), ["qid", "dst"])
-    first = inside.where("anchor").select("qid", F.col("dst").alias("mid"))
-    paths = first.join(inside.select("qid", F.col("src").alias("mid"), F.col("dst").alias("node")), ["qid", "mid"]).groupBy("qid", "node").agg(F.count(F.lit(1)).alias("paths"))
+    anchor within the pool, and a little for every link.
+
+    Paths are counted, not made: each middle node hands on how many anchors link
+    to it, so that a link is one row however many paths go through it.
+    """
+    inside = inside_pool(pool, edges)
+    one = one_hop_scores(pool, edges, inside=inside)
+    reached = inside.where("from_anchor").groupBy("qid", F.col("dst").alias("src")).agg(F.count(F.lit(1)).alias("ways"))
+    paths = inside.select("qid", "src", "dst").join(reached, ["qid", "src"]).groupBy("qid", F.col("dst").alias("node")).agg(F.sum("ways").alias("paths"))
     joined = one.join(paths, ["qid", "node"], "left").na.fill(0, ["paths"])
     return joined.select("qid", "node", F.round(F.col("one") + 0.5 * F.col("paths") + 0.05 * (F.col("out_degree") + F.col("in_degree")), 6).alias("two"))
 
 
+def holders(docs: DataFrame, passages: DataFrame, words: int = 3) -> DataFrame:
+    """(qid, did) of the documents (did, text) that hold a passage (qid, text).
+
+    Passages meet documents by their first ``words`` whole words, an equi-join
+    of the document's distinct runs with a list of passages; only what meets is
+    searched for the passage itself.  A passage that has fewer words than that
+    inside (the first and last may be cut off by it) is looked for everywhere.
+    """
+    split = lambda c: F.regexp_extract_all(c, F.lit(r"([^\x00-\x20]+)"), F.lit(1))
+    run = lambda w, i: F.array_join(F.slice(w, i, F.lit(words)), " ")
+    asked = passages.select("qid", F.col("text").alias("_q"), split(F.col("text")).alias("_w")).where(F.col("_q").isNotNull())
+    # the first word may be the end of a longer one in the document, so runs start at the second
+    long = asked.where(F.size("_w") >= words + 2).select("qid", "_q", run(F.col("_w"), F.lit(2)).alias("_k"))
+    short = asked.where(F.size("_w") < words + 2).select("qid", "_q")
+    runs = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size("_w") - words + 1, F.lit(1))), lambda i: run(F.col("_w"), i)))
+    keyed = docs.select("did", split(F.col("text")).alias("_w")).select("did", F.explode(runs).alias("_k"))
+    met = keyed.join(long, "_k").select("did", "qid", "_q").distinct()  # ids only: no text is copied for its runs
+    found = docs.join(met, "did").where(F.contains("text", "_q")).select("qid", "did")
+    everywhere = docs.join(short, F.contains("text", "_q")).select("qid", "did")
+    return found.unionByName(everywhere).distinct()
+
+
 def shuffled_within(scores: DataFrame, seed: int, salt: str) -> DataFrame:
     """Each query's scores dealt anew among its items, by hash order."""
     key = F.md5(F.concat_ws(":", F.col("qid").cast("string"), F.lit(str(seed)), F.lit(salt), F.col("did").cast("string")))

@@ -64,18 +64,6 @@ def feat_knn_ctx(spark, sf_dir):
     return k.groupBy("qid").agg(F.round(mean, 6).alias("mean"), F.round(F.sqrt(F.greatest(F.lit(0.0), second - mean * mean)), 6).alias("std"))
 
 
-@query("""with r as (select s_suppkey, (rank() over (order by s_acctbal) + (count(*) over (partition by s_acctbal) - 1) / 2) / count(*) over () as a, (rank() over (order by s_nationkey) + (count(*) over (partition by s_nationkey) - 1) / 2) / count(*) over () as b from supplier),
-t as (select s_suppkey, round((a + b) / 2, 9) as t from r) select s_suppkey, round((t - min(t) over ()) / (max(t) over () - min(t) over ()), 6) as axis from t""")
-def terrain_axes(spark, sf_dir):
-    from ..operators.stats import with_average_rank
-
-    s = read(spark, sf_dir, "supplier")
-    n = s.agg(F.count(F.lit(1)).alias("n"))
-    t = with_average_rank(with_average_rank(s, "s_acctbal", "a"), "s_nationkey", "b").crossJoin(n).select("s_suppkey", F.round((F.col("a") + F.col("b")) / F.col("n") / 2, 9).alias("t"))
-    ends = t.agg(F.min("t").alias("lo"), F.max("t").alias("hi"))
-    return t.crossJoin(ends).select("s_suppkey", F.round((F.col("t") - F.col("lo")) / (F.col("hi") - F.col("lo")), 6).alias("axis"))
-
-
 @query("""with c as (select n_nationkey as i, c_mktsegment as method, avg(c_acctbal) as v from customer join nation on c_nationkey = n_nationkey group by all), d as (select rep, k, ('0x' || substr(md5(rep::varchar || ':' || k::varchar), 1, 8))::bigint % 25 as pick from (select unnest(range(100)) as rep), (select unnest(range(25)) as k)),
 m as (select rep, method, round(avg(v), 9) as v from d join c on i = pick group by all), r as (select *, rank() over (partition by rep order by v desc) as r from m)
 select method, round(avg(r), 6) as mean_rank, round(avg((r = 1)::int), 6) as p_top1, round(avg((r <= 2)::int), 6) as p_top2 from r group by method""")
@@ -257,16 +245,6 @@ def solver_table(spark, sf_dir):
     return a.unionByName(b).unionByName(a.agg(F.lit("top").alias("report"), F.max("policy").alias("policy"), F.max("value").alias("value")))
 
 
-@query("""with d as (select a.s_suppkey as k, a.s_nationkey % 3 as c, b.s_nationkey % 3 as oc, avg(abs(a.s_acctbal - b.s_acctbal)) as m from supplier a join supplier b on a.s_suppkey <> b.s_suppkey group by all),
-s as (select k, max(case when c = oc then m end) as own, min(case when c <> oc then m end) as other from d group by k) select round(avg((other - own) / greatest(own, other)), 6) as silhouette from s where own is not null""")
-def silhouette(spark, sf_dir):
-    s = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k"), (F.col("s_nationkey") % 3).alias("c"), "s_acctbal")
-    b = s.select(F.col("k").alias("ok"), F.col("c").alias("oc"), F.col("s_acctbal").alias("ob"))
-    d = s.join(b, F.col("k") != F.col("ok")).groupBy("k", "c", "oc").agg(F.avg(F.abs(F.col("s_acctbal") - F.col("ob"))).alias("m"))
-    per = d.groupBy("k").agg(F.max(F.when(F.col("c") == F.col("oc"), F.col("m"))).alias("own"), F.min(F.when(F.col("c") != F.col("oc"), F.col("m"))).alias("other"))
-    return per.where("own is not null").agg(F.round(F.avg((F.col("other") - F.col("own")) / F.greatest("own", "other")), 6).alias("silhouette"))
-
-
 @query(f"""with {VM}, o as (select dataset, view, avg(utility) as u, count(*) as n from vm group by all), b as (select view, sum(u * n) / sum(n) as pooled from o group by view)
 select o.dataset, o.view, round(o.u, 9) as utility, round(pooled, 9) as pooled, round(o.u - pooled, 9) as delta from o join b using (view)""")
 def router_rollup(spark, sf_dir):

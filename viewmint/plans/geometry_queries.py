@@ -10,7 +10,7 @@ from .registry import query, read
 
 _POINTS = """pts as (select l_suppkey as cell, l_orderkey * 10 + l_linenumber as k, l_returnflag, l_quantity as x, l_extendedprice / 1000 as y from lineitem),
 uniq as (select cell, k as idx, l_returnflag, avg(x) as x, avg(y) as y from pts group by all),
-a as (select cell, idx, x, y from uniq where l_returnflag = 'R'), b as (select cell, idx, x, y from uniq where l_returnflag = 'N')"""
+a as (select cell, idx, x, y from uniq where l_returnflag = 'R'), b as (select cell, idx, x, y from uniq where l_returnflag <> 'R')"""
 
 
 def _points(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,7 +22,7 @@ def _points(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     p = _points(spark, sf_dir)
-    return tuple(p.where(F.col("l_returnflag") == s).drop("l_returnflag") for s in "RN")
+    return p.where("l_returnflag = 'R'").drop("l_returnflag"), p.where("l_returnflag <> 'R'").drop("l_returnflag")
 
 
 _MOM = f"with {_POINTS}, m as (select cell, count(*) as n, avg(x) as mx, avg(y) as my, var_pop(x) as vxx, var_pop(y) as vyy, covar_pop(x, y) as vxy from a group by cell)"

@@ -20,7 +20,8 @@ _RANKED = _BM25 + ", r as (select *, row_number() over (partition by qid order b
 def _ranked(spark, sf_dir):
     qs, pool = _pool(spark, sf_dir)
     ranked = T.bm25_local(qs, pool).withColumn("rank", F.row_number().over(T.by_score()).cast("long")).withColumn("view", F.lit("full"))
-    gold = read(spark, sf_dir, "documents").join(qs.select("qid", F.col("text").alias("_q")), F.contains(F.col("text"), F.col("_q"))).select("qid", F.col("doc_id").alias("did"), F.lit(1.0).alias("rel"))
+    docs = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("did"), "text")
+    gold = T.holders(docs, qs).withColumn("rel", F.lit(1.0))
     return ranked, gold
 
 
@@ -90,15 +91,6 @@ def split_hidden(spark, sf_dir):
     return half("public", "l_partkey").unionByName(half("hidden", "l_suppkey"))
 
 
-@query("""with a as (select c_nationkey as k, avg(c_acctbal) as v from customer group by 1), b as (select s_nationkey as k, avg(s_acctbal) as w from supplier group by 1),
-j as (select a.k, v, w from a left join b using (k)), q as (select quantile_cont(abs(v - coalesce(w, 0)), 0.75) as q from j) select k, round(abs(v - coalesce(w, 0)), 4) as disagreement, abs(v - coalesce(w, 0)) > q as fragile from j, q""")
-def fragility(spark, sf_dir):
-    a = read(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("k")).agg(F.avg("c_acctbal").alias("v"))
-    b = read(spark, sf_dir, "supplier").groupBy(F.col("s_nationkey").alias("k")).agg(F.avg("s_acctbal").alias("w"))
-    j = a.join(b, "k", "left").select("k", F.abs(F.col("v") - F.coalesce("w", F.lit(0.0))).alias("d"))
-    return j.crossJoin(j.agg(F.percentile("d", F.lit(0.75)).alias("q"))).select("k", F.round("d", 4).alias("disagreement"), (F.col("d") > F.col("q")).alias("fragile"))
-
-
 @query("""select 'orders' as audit, max(o_totalprice) as top, count(*) as n from orders union all select 'lines', max(l_extendedprice), count(*) from lineitem union all select 'events', max(value), count(*) from events""")
 def compact_audit(spark, sf_dir):
     one = lambda t, c, n: read(spark, sf_dir, t).agg(F.lit(n).alias("audit"), F.max(c).alias("top"), F.count(F.lit(1)).alias("n"))
@@ -124,18 +116,21 @@ def src_prices(spark, sf_dir):
     return files.prices(e)
 
 
-@query("""select ts::date as date, round(sum(case when event_type = 'click' then value end), 6) as "click", round(sum(case when event_type = 'purchase' then value end), 6) as "purchase" from events group by 1""")
+_TYPES = ["signup", "error", "click", "view", "purchase"]
+
+
+@query("select ts::date as date, " + ", ".join(f"round(sum(case when event_type = '{t}' then value end), 6) as \"{t}\"" for t in _TYPES) + " from events group by 1")
 def snk_wide(spark, sf_dir):
-    w = read(spark, sf_dir, "events").groupBy(F.col("ts").cast("date").alias("date")).pivot("event_type", ["click", "purchase"]).agg(F.round(F.sum("value"), 6))
-    return w.select("date", "click", "purchase")
+    w = read(spark, sf_dir, "events").groupBy(F.col("ts").cast("date").alias("date")).pivot("event_type", _TYPES).agg(F.round(F.sum("value"), 6))
+    return w.select("date", *_TYPES)
 
 
 @query("""with j as (select item_id as qid from benchmark order by md5('4:' || item_id::varchar), item_id limit 15), rel as (select b.item_id as qid, d.doc_id as did from benchmark b join documents d on contains(d.text, b.text)),
 w as (select rel.* from rel join j using (qid)) select qid, did from w""")
 def src_ir(spark, sf_dir):
     """Judged queries up to a number, with the judgements that remain."""
-    q = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("_q"))
-    rel = read(spark, sf_dir, "documents").join(q, F.contains(F.col("text"), F.col("_q"))).select("qid", F.col("doc_id").alias("did"))
+    q = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), "text")
+    rel = T.holders(read(spark, sf_dir, "documents").select(F.col("doc_id").alias("did"), "text"), q)
     order = F.md5(F.concat(F.lit("4:"), F.col("qid").cast("string")))
     return rel.join(q.select("qid").orderBy(order, "qid").limit(15), "qid", "left_semi")
 

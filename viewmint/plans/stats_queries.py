@@ -157,14 +157,18 @@ def router_pairwise(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.evaluate(G.route_argmax(long, "pairwise"), view_table(spark, sf_dir))
 
 
-@query("""with v as (select row_number() over (order by event_id) - 1 as i, value from events), n as (select count(*) as n from v),
-d as (select rep, ('0x' || substr(md5('11:' || rep::varchar || ':' || i::varchar), 1, 8))::bigint % n as pick from v, n, (select unnest(range(200)) as rep)),
-m as (select rep, avg(value) as m from d join v on v.i = pick group by rep)
-select (select round(avg(value), 6) from v) as mean, round(quantile_cont(m, 0.025), 6) as lo, round(quantile_cont(m, 0.975), 6) as hi, count(*) as reps from m""")
+_REPS = 1000
+
+
+@query(f"""with {_WIDE}, h as (select query_id, u_full - u_pq as v, b, md5('11:' || b::varchar || ':' || query_id::varchar) as m from wide, (select unnest(range({_REPS // T.DRAWS})) as b)),
+u as (select b, v, j, ((('0x' || substr(m, case when j < 4 then 1 else 17 end, 15))::bigint >> (15 * (j % 4))) & 32767) as u from h, (select unnest(range({T.DRAWS})) as j)),
+w as (select b * {T.DRAWS} + j as rep, v, {" + ".join(f"(u >= {c})::int" for c in T.POISSON)} as w from u),
+m as (select rep, sum(w * v) / sum(w) as m from w group by rep)
+select (select round(avg(u_full - u_pq), 6) from wide) as mean, round(quantile_cont(m, 0.025), 6) as lo, round(quantile_cont(m, 0.975), 6) as hi, round(avg((m > 0)::int::double), 6) as positive, count(*) as reps from m""")
 def boot_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
-    one = read(spark, sf_dir, "events").select("event_id", "value", F.lit(1).alias("n"))
-    values = T.running(one, "event_id", ["n"]).select(F.col("n_before").alias("i"), "value").persist()
-    return T.bootstrap_ci(values, "value", 200)
+    """Paired differences of two views' utilities, query by query."""
+    paired = _wide(spark, sf_dir).select("query_id", (F.col("u_full") - F.col("u_pq")).alias("value"))
+    return T.bootstrap_ci(paired, "value", _REPS, index="query_id")
 
 
 @query("""with f as (select event_type as policy, user_id % 5 as fold, avg(value) as v from events group by all)

@@ -64,8 +64,8 @@ i as (select qid, n, list_sum(list_transform(range(1, least(n, 10) + 1), lambda
 select h.qid, round(case when ideal > 0 then dcg / ideal else 0 end, 6) as ndcg, coalesce(n, 0) as gold from h left join i using (qid)""")
 def ndcg_binary_title(spark: SparkSession, sf_dir: str) -> DataFrame:
     qs, pool = _pool(spark, sf_dir)
-    docs = read(spark, sf_dir, "documents")
-    gold = docs.join(qs.select("qid", F.col("text").alias("_q")), F.contains(F.col("text"), F.col("_q"))).select("qid", F.col("doc_id").alias("did"), F.lit(True).alias("hit"))
+    docs = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("did"), "text")
+    gold = T.holders(docs, qs).withColumn("hit", F.lit(True))
     n = gold.groupBy("qid").agg(F.count(F.lit(1)).alias("gold"))
     ideal = F.aggregate(F.sequence(F.lit(1), F.least("gold", F.lit(10)).cast("int")), F.lit(0.0), lambda s, k: s + 1.0 / F.log2(k + 1.0))
     ranked = T.bm25_local(qs, pool).withColumn("rank", F.row_number().over(T.by_score())).where("rank <= 10").join(gold, ["qid", "did"], "left")
