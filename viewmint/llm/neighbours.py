@@ -36,7 +36,7 @@ TABLES, HASHES, MOST_PROBES = (2, 4, 8), (4, 8, 12, 16), 2048
 SAMPLE_ROWS, SAMPLE_QUERIES, AIM = 4096, 48, 0.95
 #: Vectors that a part of the index holds, and groups of cells of a table by
 #: their first projections, which parts are made of.
-PART_ROWS, GROUPS, GROUP_HASHES = 16_384, 1024, 6
+PART_ROWS, GROUPS, GROUP_HASHES = 4096, 1024, 6
 #: Queries that share a part of the index before the part is copied.
 PART_QUERIES = 50_000
 #: Cells to either side that a projection is perturbed by.
