@@ -9,13 +9,36 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .policy import best_by
+from .stats import quantiles
 
 
 def quantile_thresholds(rows: DataFrame, features: list[str], at: list[float]) -> list[tuple[str, float]]:
     """(feature, threshold) at exact quantiles; a list of bounded size."""
-    wanted = F.array(*[F.lit(a) for a in at])
-    found = rows.agg(*[F.percentile(f, wanted).alias(f) for f in features]).first()
-    return [(f, round(float(t), 9)) for f in features for t in (found[f] or [])]
+    return [(f, round(t, 9)) for f in features for t in quantiles(rows, f, at)]
+
+
+def margin_grid(rows: DataFrame, margins: list[str], utilities: list[str], at: list[float]) -> DataFrame:
+    """Mean utility of every gate of several margins: the first view whose
+    margin is above its threshold is bought, else the last.
+
+    ``utilities`` has a column more than ``margins``.  Thresholds are each
+    margin's quantiles.  Rows are counted by how many thresholds each margin
+    passes, so the grid is made of those cells and not of the rows.  Returns
+    ``t1``, ``t2`` and so on and ``utility``.
+    """
+    cuts = [[round(t, 9) for t in quantiles(rows, m, at)] for m in margins]
+    passed = [sum((F.when(F.col(m) > t, 1).otherwise(0) for t in c), F.lit(0)).alias(f"b{i}") for i, (m, c) in enumerate(zip(margins, cuts))]
+    cells = rows.select(*passed, *utilities).groupBy(*[f"b{i}" for i in range(len(margins))]).agg(*[F.sum(u).alias(u) for u in utilities], F.count(F.lit(1)).alias("n"))
+    gates = cells.sparkSession.range(1).select(F.lit(0).alias("_one"))
+    for i, c in enumerate(cuts):
+        steps = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(t).alias("t")) for k, t in enumerate(c)])
+        gates = gates.withColumn(f"_g{i}", F.explode(steps)).withColumns({f"g{i}": F.col(f"_g{i}.k"), f"t{i + 1}": F.col(f"_g{i}.t")}).drop(f"_g{i}")
+    bought = F.col(utilities[-1])
+    for i in reversed(range(len(margins))):
+        bought = F.when(F.col(f"b{i}") > F.col(f"g{i}"), F.col(utilities[i])).otherwise(bought)
+    names = [f"t{i + 1}" for i in range(len(margins))]
+    met = gates.crossJoin(F.broadcast(cells))  # cells: thresholds + 1 a margin at most
+    return met.groupBy(*[f"g{i}" for i in range(len(margins))], *names).agg(F.round(F.sum(bought) / F.sum("n"), 6).alias("utility")).select(*names, "utility")
 
 
 def gate_grid(rows: DataFrame, thresholds: list[tuple[str, float]], cheap: str, rich: str) -> DataFrame:
@@ -79,7 +102,7 @@ def tree_predictions(train: DataFrame, test: DataFrame, features: list[str], tar
     from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 
     make = VectorAssembler(inputCols=features, outputCol="_f", handleInvalid="keep")
-    train, test = make.transform(train).persist(), make.transform(test)
+    train, test = make.transform(train), make.transform(test)
     out = []
     for i, (view, column) in enumerate(targets.items()):
         args = {"featuresCol": "_f", "labelCol": column, "seed": seed}

@@ -167,3 +167,40 @@ def decision_curve(rows: DataFrame, thresholds: list[float], price: float) -> Da
         F.round(F.col("hit") / F.greatest(F.lit(1.0), "worth"), 6).alias("recall"),
         F.round((F.col("bought") - F.col("hit")) / F.greatest(F.lit(1.0), "bought"), 6).alias("false_buy"),
     )
+
+
+def repeated_splits(views: DataFrame, group: str, seeds: int, parts: int = 5) -> DataFrame:
+    """(seed, fixed, adaptive, delta) of ``seeds`` reseeded splits.
+
+    One part in ``parts`` is held out by a hash of seed and query.  The fixed
+    policy buys the view that is best on the rest, the adaptive one the view
+    that is best there in the query's ``group``; both are scored on what is held
+    out.  Only sums a seed, side, group and view leave the rows.
+    """
+    h = F.conv(F.substring(F.md5(F.concat_ws(":", F.col("seed").cast("string"), F.col("query_id").cast("string"))), 1, 8), 16, 10).cast("long")
+    drawn = views.select("query_id", "view", "ord", "utility", F.col(group).alias("_g"), F.explode(F.sequence(F.lit(0), F.lit(seeds - 1))).alias("seed"))
+    sums = drawn.groupBy("seed", (h % parts == 0).alias("held"), "_g", "view", "ord").agg(F.sum("utility").alias("u"), F.count(F.lit(1)).alias("n"))
+    train, held = sums.where("not held"), sums.where("held").select("seed", "_g", "view", "u", "n")
+    mean = F.round(F.sum("u") / F.sum("n"), 9).alias("utility")
+    fixed = train.groupBy("seed", "view", "ord").agg(mean).groupBy("seed").agg(best_by("utility").alias("b")).select("seed", F.col("b.view").alias("view"))
+    own = train.groupBy("seed", "_g", "view", "ord").agg(mean).groupBy("seed", "_g").agg(best_by("utility").alias("b")).select("seed", "_g", F.col("b.view").alias("view"))
+    score = lambda met, name: met.groupBy("seed").agg((F.sum("u") / F.sum("n")).alias(name))
+    both = score(held.join(fixed, ["seed", "view"]), "fixed").join(score(held.join(own, ["seed", "_g", "view"]), "adaptive"), "seed")
+    return both.select("seed", F.round("fixed", 6).alias("fixed"), F.round("adaptive", 6).alias("adaptive"), F.round(F.col("adaptive") - F.col("fixed"), 6).alias("delta"))
+
+
+def split_summary(splits: DataFrame) -> DataFrame:
+    """(splits, delta, lo, hi, positive): mean, 95 % percentile interval and
+    share above 0 of the splits' ``delta``."""
+    q = F.percentile("delta", F.array(F.lit(0.025), F.lit(0.975)))
+    return splits.agg(F.count(F.lit(1)).alias("splits"), F.round(F.avg("delta"), 6).alias("delta"), F.round(F.get(q, F.lit(0)), 6).alias("lo"), F.round(F.get(q, F.lit(1)), 6).alias("hi"), F.round(F.avg((F.col("delta") > 0).cast("double")), 6).alias("positive"))
+
+
+def success(real: DataFrame, control: DataFrame, least: float = 0.015, share: float = 0.9) -> DataFrame:
+    """Whether summaries of real and of control splits make a success: a delta
+    above ``least``, an interval above 0, nearly all splits positive, and the
+    control below."""
+    c = control.select(F.col("delta").alias("control_delta"))
+    tests = {"delta_passes": F.col("delta") > least, "interval_passes": F.col("lo") > 0, "share_passes": F.col("positive") >= share, "beats_control": F.col("delta") > F.col("control_delta")}
+    met = real.crossJoin(c).withColumns(tests)
+    return met.withColumn("success", reduce(lambda a, b: a & b, [F.col(t) for t in tests]))

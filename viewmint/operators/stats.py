@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -81,6 +84,36 @@ def running(rows: DataFrame, key: str, sums: list[str], descending: bool = False
     return joined.select(*[F.col(c) for c in rows.columns], *[(F.col(f"_s{i}") + F.col(f"_i{i}")).alias(f"{c}_before") for i, c in enumerate(sums)])
 
 
+def quantiles(rows: DataFrame, column: str, at: list[float]) -> list[float]:
+    """Exact quantiles of a numeric column, interpolated between neighbours;
+    nulls are passed over.  Only the neighbours come to the driver, and no task
+    counts all values."""
+    counts = rows.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_n")).persist()
+    try:
+        total = counts.agg(F.sum("_n")).first()[0]
+        if not total:
+            return []
+        places = [a * (total - 1) for a in at]
+        wanted = sorted({int(x) for p in places for x in (math.floor(p), math.ceil(p))})
+        hit = reduce(lambda a, b: a | b, [(F.col("_n_before") <= w) & (F.col("_n_before") + F.col("_n") > w) for w in wanted])
+        found = [(r["_n_before"], r["_n"], r["_v"]) for r in running(counts, "_v", ["_n"]).where(hit).collect()]  # two a quantile at most
+    finally:
+        counts.unpersist()
+    value = {w: v for w in wanted for before, n, v in found if before <= w < before + n}
+    return [value[math.floor(p)] + (value[math.ceil(p)] - value[math.floor(p)]) * (p - math.floor(p)) for p in places]
+
+
+def top_rows(rows: DataFrame, value: str, key: str, share: float) -> DataFrame:
+    """Adds ``place``, from 1, in the order of ``value`` (highest first) and
+    ``key``, and keeps the first ``share`` of all rows."""
+    n = rows.count()
+    counts = rows.groupBy(F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+    before = running(counts, "_v", ["_n"], descending=True).select("_v", "_n_before")
+    within = F.row_number().over(Window.partitionBy(value).orderBy(key))
+    placed = rows.withColumn("_w", within).join(before, F.col(value) == F.col("_v")).withColumn("place", F.col("_n_before") + F.col("_w"))
+    return placed.where(F.col("place") <= math.floor(share * n)).drop("_v", "_w", "_n_before")
+
+
 def with_average_rank(rows: DataFrame, value: str, name: str) -> DataFrame:
     """Adds the 1-based rank of a numeric value, ties averaged.  Equal values
     are counted once, however many they are."""

@@ -165,19 +165,6 @@ def representative(spark, sf_dir):
     return read(spark, sf_dir, "events").groupBy("event_type").agg(F.max_by("event_id", F.struct(F.col("value"), -F.col("event_id"))).alias("hardest"), F.round(F.max("value"), 6).alias("severity"), F.round(F.percentile("value", F.lit(0.5)), 6).alias("middle"))
 
 
-@query(f"""with {VM}, w as (select query_id, any_value(price) as price, max(case when view = 'summary' then quality end) as m, {", ".join(f"max(case when view = '{v}' then utility end) as u_{v}" for v in ("summary", "pq", "int8", "full"))} from vm group by query_id),
-a as (select unnest([0.2, 0.5, 0.8]::double[]) as t1), b as (select unnest([100000.0, 250000.0, 400000.0]::double[]) as t2), c as (select unnest([50000.0, 150000.0]::double[]) as t3)
-select t1, t2, t3, round(avg(case when m > t1 then u_summary when price > t2 then u_pq when price > t3 then u_int8 else u_full end), 6) as utility from w, a, b, c group by all""")
-def gate_three(spark, sf_dir):
-    at = lambda v, c: F.max(F.when(F.col("view") == v, F.col(c)))
-    w = view_table(spark, sf_dir).groupBy("query_id").agg(F.max("price").alias("price"), at("summary", "quality").alias("m"), *[at(v, "utility").alias(f"u_{v}") for v in ("summary", "pq", "int8", "full")])
-    grid = [(a, b, c) for a in (0.2, 0.5, 0.8) for b in (1e5, 2.5e5, 4e5) for c in (5e4, 1.5e5)]
-    gate = lambda a, b, c: F.when(F.col("m") > a, F.col("u_summary")).when(F.col("price") > b, F.col("u_pq")).when(F.col("price") > c, F.col("u_int8")).otherwise(F.col("u_full"))
-    wide = w.agg(*[F.round(F.avg(gate(*g)), 6).alias(f"g{i}") for i, g in enumerate(grid)])
-    rows = F.array(*[F.struct(F.lit(a).alias("t1"), F.lit(b).alias("t2"), F.lit(c).alias("t3"), F.col(f"g{i}").alias("utility")) for i, (a, b, c) in enumerate(grid)])
-    return wide.select(F.explode(rows).alias("r")).select("r.*")
-
-
 @query(f"""with {_VECTORS}, l as (select qid, list(did) filter (where view = 'binary') as x, list(did) filter (where view = 'int8') as y from rk group by qid)
 select qid, round(len(list_intersect(x, y)) / 10, 6) as agreement, case when len(list_intersect(x, y)) >= 5 then 'binary' else 'int8' end as view from l""")
 def gate_agreement(spark, sf_dir):

@@ -149,22 +149,6 @@ def winner_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.winner_grid(_means(view_table(spark, sf_dir)), lambdas, multipliers)
 
 
-@query(_MEANS + """, r as (select unnest(range(1000)) as rep),
-u as (select rep, view, ord, round(quality - 0.08::double * cost * (0.8::double + 0.4::double *
-  (('0x' || substr(md5(rep::varchar || ':' || view), 1, 8))::bigint / 4294967296.0::double)), 9) as u from m, r),
-w as (select rep, view from u qualify row_number() over (partition by rep order by u desc, ord) = 1),
-base as (select view from m order by round(quality - 0.08::double * cost, 9) desc, ord limit 1)
-select w.view, count(*) as n, round(count(*) / 1000.0::double, 6) as share, w.view <> base.view as changed from w, base group by w.view, base.view""")
-def perturb_boot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    means = _means(view_table(spark, sf_dir))
-    reps = spark.range(1000).select(F.col("id").alias("rep"))
-    factor = F.lit(0.8) + F.lit(0.4) * hash_unit(F.concat(F.col("rep").cast("string"), F.lit(":"), F.col("view")))
-    drawn = means.crossJoin(reps).withColumn("utility", F.round(F.col("quality") - F.lit(0.08) * F.col("cost") * factor, 9))
-    won = drawn.groupBy("rep").agg(P.best_by("utility").alias("b")).groupBy(F.col("b.view").alias("view")).agg(F.count(F.lit(1)).alias("n"))
-    base = P.with_utility(means).agg(P.best_by("utility").alias("b")).select(F.col("b.view").alias("base"))
-    return won.crossJoin(base).select("view", "n", F.round(F.col("n") / 1000.0, 6).alias("share"), (F.col("view") != F.col("base")).alias("changed"))
-
-
 _CUTS = [0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]
 _CE = f"""with {VM}, s as (select query_id, max(case when view = 'summary' then quality end) as q0, max(case when view = 'full' then quality end) as q1,
   max(case when view = 'pq' then quality end) as score from vm group by query_id),
@@ -220,18 +204,6 @@ def type_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query(_CE + """, e as (select quantile_cont(score, 0.33) as lo, quantile_cont(score, 0.67) as hi from g),
-x as (select case when score <= lo then 'low' when score >= hi then 'high' else 'middle' end as bucket, gain from g, e)
-select bucket, count(*) as n, round(avg((gain > 0.0464::double)::int::double), 6) as worth_share, round(avg(gain), 6) as mean_gain from x group by bucket""")
-def hard_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _gains(view_table(spark, sf_dir))
-    edge = rows.agg(F.percentile("score", F.array(F.lit(0.33), F.lit(0.67))).alias("e"))
-    bucket = F.when(F.col("score") <= F.col("e")[0], "low").when(F.col("score") >= F.col("e")[1], "high").otherwise("middle")
-    return rows.crossJoin(edge).groupBy(bucket.alias("bucket")).agg(
-        F.count(F.lit(1)).alias("n"), F.round(F.avg((F.col("gain") > 0.0464).cast("double")), 6).alias("worth_share"), F.round(F.avg("gain"), 6).alias("mean_gain")
-    )
-
-
 @query(_RANKED + """, s as (select query_id, max(case when view = 'summary' then quality end) as q0 from vm group by query_id),
 k as (select 'all' as scope, query_id from s union all select 'imperfect', query_id from s where q0 < 0.999::double union all select 'hard', query_id from s where q0 < 0.5::double)
 select scope, view, count(*) as queries, round(avg(quality), 6) as mean_quality, round(avg(utility), 6) as mean_utility from k join vm using (query_id) group by scope, view""")
@@ -307,34 +279,6 @@ def mean_latency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shares.join(F.broadcast(table), "view").agg(F.round(F.sum(F.col("n") * F.col("us")) / F.sum("n"), 6).alias("mean_latency_us"))
 
 
-@query(f"""with {VM}, w as (select query_id, price, max(case when view = 'pq' then quality end) as m, max(case when view = 'full' then quality end) as e from vm group by all),
-z as (select query_id, -(m - avg(m) over ()) / stddev_pop(m) over () + (e - avg(e) over ()) / stddev_pop(e) over () + 0.5::double * (price - avg(price) over ()) / stddev_pop(price) over () as v, e - m as gain from w),
-r as (select *, row_number() over (order by round(v, 9) desc, query_id) as k, count(*) over () as n from z), b as (select unnest([0.05, 0.1, 0.2]::double[]) as budget)
-select budget, count(*) as labels, round(avg(gain), 6) as mean_gain from r, b where k <= floor(budget * n) group by budget""")
-def label_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
-    wide = view_table(spark, sf_dir).groupBy("query_id", "price").pivot("view", ["pq", "full"]).agg(F.max("quality"))
-    stats = wide.agg(*[f(c).alias(f"{n}_{c}") for c in ("pq", "full", "price") for n, f in (("m", F.avg), ("s", F.stddev_pop))])
-    z = lambda c: (F.col(c) - F.col(f"m_{c}")) / F.col(f"s_{c}")
-    value = -z("pq") + z("full") + F.lit(0.5) * z("price")
-    scored = wide.crossJoin(stats).select("query_id", F.round(value, 9).alias("v"), (F.col("full") - F.col("pq")).alias("gain"))
-    n = wide.agg(F.count(F.lit(1)).alias("n"))
-    ranked = scored.withColumn("k", F.row_number().over(Window.orderBy(F.col("v").desc(), "query_id"))).crossJoin(n)
-    budgets = ranked.withColumn("budget", F.explode(F.array(F.lit(0.05), F.lit(0.1), F.lit(0.2))))
-    return budgets.where(F.col("k") <= F.floor(F.col("budget") * F.col("n"))).groupBy("budget").agg(
-        F.count(F.lit(1)).alias("labels"), F.round(F.avg("gain"), 6).alias("mean_gain")
-    )
-
-
-@query(_SUMMARY + """, b as (select max(mean_utility) as best from summary), o as (select avg(top) as u, avg((top > 0.5::double)::int::double) as p from (select max(utility) as top from vm group by query_id))
-select round(u - best, 6) as delta, round(p, 6) as positive, (u - best) > 0.015::double and p >= 0.9::double as success from b, o""")
-def success_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    views = view_table(spark, sf_dir)
-    best = P.evaluate(P.fixed_routes(views), views).agg(F.max("mean_utility").alias("best"))
-    top = P.oracle(views).agg(F.avg("oracle_utility").alias("u"), F.avg((F.col("oracle_utility") > 0.5).cast("double")).alias("p"))
-    delta = F.col("u") - F.col("best")
-    return top.crossJoin(best).select(F.round(delta, 6).alias("delta"), F.round("p", 6).alias("positive"), ((delta > 0.015) & (F.col("p") >= 0.9)).alias("success"))
-
-
 @query(_MEANS + """, p(view, parent) as (values ('binary', 'summary'), ('pq', 'summary'), ('int8', 'summary'), ('hnsw16', 'summary'), ('full', 'summary'), ('hnsw64', 'hnsw16'))
 select m.view, coalesce(p.parent, '') as parent, m.cost as incremental_cost, round(m.cost + coalesce(a.cost, 0) + coalesce(b.cost, 0), 6) as cumulative_cost
 from m left join p using (view) left join m a on a.view = p.parent left join p p2 on p2.view = p.parent left join m b on b.view = p2.parent""")

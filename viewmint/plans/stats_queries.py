@@ -233,16 +233,6 @@ def pct_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("""with e as (select quantile_cont(o_totalprice, [0.3333333333333333, 0.6666666666666666]) as q from orders),
-t as (select o_orderstatus, o_totalprice, case when o_totalprice <= q[1] then 0 when o_totalprice <= q[2] then 1 else 2 end as tertile from orders, e)
-select tertile::int as tertile, o_orderstatus, count(*) as n, round(avg(o_totalprice), 4) as mean_price from t group by all""")
-def tertile_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = read(spark, sf_dir, "orders")
-    edge = o.agg(F.percentile("o_totalprice", F.array(F.lit(1 / 3), F.lit(2 / 3))).alias("q"))
-    tertile = F.when(F.col("o_totalprice") <= F.col("q")[0], 0).when(F.col("o_totalprice") <= F.col("q")[1], 1).otherwise(2)
-    return o.crossJoin(edge).groupBy(tertile.alias("tertile"), "o_orderstatus").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("o_totalprice"), 4).alias("mean_price"))
-
-
 @query("with w as (select l_orderkey, arg_min(l_returnflag, (l_extendedprice, l_returnflag)) as winner from lineitem group by 1) select winner, count(*) as wins, round(count(*) / sum(count(*)) over (), 6) as rate from w group by winner")
 def winner_board(spark: SparkSession, sf_dir: str) -> DataFrame:
     won = read(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.min_by("l_returnflag", F.struct("l_extendedprice", "l_returnflag")).alias("winner"))
@@ -255,17 +245,6 @@ def rng_label(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "customer").select("c_custkey", (F.conv(F.substring(F.sha2("c_name", 256), 1, 2), 16, 10).cast("int") % 2).alias("label"))
 
 
-@query(f"""with {VM}, s as (select unnest(range(10)) as seed), k as (select seed, query_id, view, utility, ('0x' || substr(md5(seed::varchar || ':' || query_id::varchar), 1, 8))::bigint % 5 as fold from vm, s),
-m as (select seed, view, round(avg(utility), 9) as u from k where fold = 0 group by all)
-select seed, round(max(u), 6) as best_fixed, round(max(u) - max(case when view = 'summary' then u end), 6) as delta from m group by seed""")
-def repeat_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ten reseeded fifths: best fixed view over the free one."""
-    rows = view_table(spark, sf_dir).withColumn("seed", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(9).cast("long"))))
-    fold = F.conv(F.substring(F.md5(F.concat_ws(":", F.col("seed").cast("string"), F.col("query_id").cast("string"))), 1, 8), 16, 10).cast("long") % 5
-    means = rows.where(fold == 0).groupBy("seed", "view").agg(F.round(F.avg("utility"), 9).alias("u"))
-    return means.groupBy("seed").agg(F.round(F.max("u"), 6).alias("best_fixed"), F.round(F.max("u") - F.max(F.when(F.col("view") == "summary", F.col("u"))), 6).alias("delta"))
-
-
 @query("""with s as (select avg(o_totalprice) as m, greatest(stddev_pop(o_totalprice), 1e-6::double) as sd from orders where o_orderkey % 5 <> 0)
 select o_orderkey, round((o_totalprice - m) / sd, 6) as z from orders, s""")
 def feat_standardize(spark: SparkSession, sf_dir: str) -> DataFrame:
