@@ -105,3 +105,24 @@ def overlap_features(rankings: DataFrame, a: str, b: str) -> DataFrame:
         F.round(both / F.size(F.array_union("x", "y")), 6).alias("jaccard"),
         (F.get("x", F.lit(0)) == F.get("y", F.lit(0))).alias("top1_same"), F.round(same / F.least(F.size("x"), F.size("y")), 6).alias("same_rank"),
     )
+
+
+def ndcg_order(order: Column, relevant: Column, k: int) -> Column:
+    """Binary NDCG of an array of positions against the set of relevant ones; 0
+    if there are none."""
+    # gains by place; ideal: as many places as are relevant, ``k`` at most
+    places = F.transform(F.slice(order, 1, k), lambda x, i: F.when(F.array_contains(relevant, x), 1.0 / F.log2(i + F.lit(2.0))).otherwise(0.0))
+    best = F.transform(F.sequence(F.lit(1), F.greatest(F.least(F.size(relevant), F.lit(k)), F.lit(1))), lambda i: 1.0 / F.log2(i + F.lit(1.0)))
+    add = lambda c: F.aggregate(c, F.lit(0.0), lambda s, x: s + x)
+    return F.when(F.size(relevant) > 0, F.round(add(places) / add(best), 6)).otherwise(0.0)
+
+
+def title_metrics(ranked: Column, gold: Column, k: int) -> Column:
+    """struct(recall, precision, f1) of the first ``k`` distinct titles of a
+    ranking against a set of gold titles; all 0 without gold."""
+    shown = F.array_distinct(F.slice(F.array_distinct(ranked), 1, k))
+    hits = F.size(F.array_intersect(shown, gold))
+    recall = F.when(F.size(gold) > 0, hits / F.size(gold)).otherwise(0.0)
+    precision = F.when(F.size(shown) > 0, hits / F.size(shown)).otherwise(0.0)
+    f1 = 2 * precision * recall / F.greatest(precision + recall, F.lit(1e-12))
+    return F.struct(F.round(recall, 6).alias("recall"), F.round(precision, 6).alias("precision"), F.round(f1, 6).alias("f1"))

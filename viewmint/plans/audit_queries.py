@@ -198,32 +198,6 @@ def label_rerank(spark, sf_dir):
     return r.groupBy("qid").agg(F.round(F.when(F.sum("rel") > 0, dcg("k") / dcg("i")).otherwise(0.0), 6).alias("ndcg"))
 
 
-@query("""with p as (select event_type as pass, sum(length(props)) as bytes, sum(value) as seconds, count(*) as lines from events group by 1)
-select pass, bytes, round(seconds, 4) as seconds, lines, round(bytes / seconds / 1e6::double, 9) as mb_s, round(seconds / sum(lines) over (), 9) as s_per_query from p""")
-def systems_profile(spark, sf_dir):
-    p = read(spark, sf_dir, "events").groupBy(F.col("event_type").alias("pass")).agg(F.sum(F.length("props")).alias("bytes"), F.sum("value").alias("s"), F.count(F.lit(1)).alias("lines"))
-    return p.select("pass", "bytes", F.round("s", 4).alias("seconds"), "lines", F.round(F.col("bytes") / F.col("s") / 1e6, 9).alias("mb_s"), F.round(F.col("s") / F.sum("lines").over(Window.partitionBy()), 9).alias("s_per_query"))
-
-
-@query("select count(*) as rows, count(*) = count(l_quantity) as no_nulls, arg_max(l_returnflag, l_extendedprice) as top from lineitem")
-def claim_checks(spark, sf_dir):
-    return read(spark, sf_dir, "lineitem").agg(F.count(F.lit(1)).alias("rows"), (F.count(F.lit(1)) == F.count("l_quantity")).alias("no_nulls"), F.max_by("l_returnflag", "l_extendedprice").alias("top"))
-
-
-@query("""with r as (select p_partkey, p_name, p_retailprice, case when p_name like '%ring%' then 'ring' when p_name like '%widget%' then 'widget' else 'other' end as family from part)
-select family, p_name, p_partkey, round(p_retailprice, 2) as delta from r qualify row_number() over (partition by family, p_name order by p_partkey) = 1""")
-def learner_table(spark, sf_dir):
-    """Families by substring, the first row of each name."""
-    family = F.when(F.contains("p_name", F.lit("ring")), "ring").when(F.contains("p_name", F.lit("widget")), "widget").otherwise("other")
-    first = read(spark, sf_dir, "part").withColumn("family", family).groupBy("family", "p_name").agg(F.min_by(F.struct("p_partkey", "p_retailprice"), "p_partkey").alias("r"))
-    return first.select("family", "p_name", F.col("r.p_partkey").alias("p_partkey"), F.round("r.p_retailprice", 2).alias("delta"))
-
-
-@query("select event_id, coalesce(props->>'$.repeats', props->>'$.k', '0')::int as repeats from events")
-def repeat_index(spark, sf_dir):
-    return read(spark, sf_dir, "events").select("event_id", F.coalesce(F.get_json_object("props", "$.repeats"), F.get_json_object("props", "$.k"), F.lit("0")).cast("int").alias("repeats"))
-
-
 @query("""with a as (select 'orders' as report, o_orderstatus as policy, round(avg(o_totalprice), 4) as value from orders group by 2), b as (select 'lines', l_returnflag, round(avg(l_extendedprice), 4) from lineitem group by 2)
 select * from a union all select * from b union all select 'top', max(policy), max(value) from a""")
 def solver_table(spark, sf_dir):

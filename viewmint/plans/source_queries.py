@@ -75,22 +75,6 @@ def graph_hyper(spark, sf_dir):
     return joined.select("qid", "node", F.round(F.col("w") + 0.01 * F.least("deg", F.lit(50)), 6).alias("score"))
 
 
-@query("""with k as (select l_orderkey as cell, count(*) as n, count(*) - count(distinct l_linenumber) as dup, bool_and(isfinite(l_quantity)) as finite from lineitem group by 1)
-select o_orderkey as cell, case when n is null then 'missing' when dup > 0 then 'duplicate' when not finite then 'not finite' else 'ok' end as verdict from orders left join k on cell = o_orderkey""")
-def legacy_validate(spark, sf_dir):
-    q = F.col("l_quantity")
-    k = read(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("cell")).agg(F.count(F.lit(1)).alias("n"), (F.count(F.lit(1)) - F.countDistinct("l_linenumber")).alias("dup"), F.bool_and(~F.isnan(q) & (F.abs(q) < float("inf"))).alias("finite"))
-    verdict = F.when(F.col("n").isNull(), "missing").when(F.col("dup") > 0, "duplicate").when(~F.col("finite"), "not finite").otherwise("ok")
-    return read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("cell")).join(k, "cell", "left").select("cell", verdict.alias("verdict"))
-
-
-@query("select l_orderkey, 'public' as half, count(distinct l_partkey) as fields from lineitem group by 1 union all select l_orderkey, 'hidden', count(distinct l_suppkey) from lineitem group by 1")
-def split_hidden(spark, sf_dir):
-    l = read(spark, sf_dir, "lineitem")
-    half = lambda name, c: l.groupBy("l_orderkey").agg(F.lit(name).alias("half"), F.countDistinct(c).alias("fields"))
-    return half("public", "l_partkey").unionByName(half("hidden", "l_suppkey"))
-
-
 @query("""select 'orders' as audit, max(o_totalprice) as top, count(*) as n from orders union all select 'lines', max(l_extendedprice), count(*) from lineitem union all select 'events', max(value), count(*) from events""")
 def compact_audit(spark, sf_dir):
     one = lambda t, c, n: read(spark, sf_dir, t).agg(F.lit(n).alias("audit"), F.max(c).alias("top"), F.count(F.lit(1)).alias("n"))
