@@ -231,7 +231,7 @@ def _counted(hashing: Hashing, dims: int):
     return run
 
 
-def _filed(hashing: Hashing, parts: _Parts, dims: int):
+def _filed(hashing: Hashing, parts: _Parts, dims: int, kind: str):
     """The index: a row a vector and table, in its part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -239,7 +239,7 @@ def _filed(hashing: Hashing, parts: _Parts, dims: int):
             for a in range(0, whole.num_rows, 4096):
                 batch = whole.slice(a, 4096)
                 x = _matrix(batch.column("_x"), dims)
-                ids, raw = batch.column("ids").to_pylist(), [v.tobytes() for v in x]
+                ids, raw = batch.column("ids").to_pylist(), [v.tobytes() for v in x.astype(kind)]
                 for t in range(len(hashing.offsets)):
                     bucket, group = hashing.filed(x, t)
                     part = parts.first[group] + _spread(x) % parts.salts[group]
@@ -248,7 +248,7 @@ def _filed(hashing: Hashing, parts: _Parts, dims: int):
     return run
 
 
-def _asked(hashing: Hashing, parts: _Parts, dims: int):
+def _asked(hashing: Hashing, parts: _Parts, dims: int, kind: str):
     """The probes: a row a query and part that some of its probes are in."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -256,6 +256,7 @@ def _asked(hashing: Hashing, parts: _Parts, dims: int):
             for a in range(0, whole.num_rows, 128):
                 batch = whole.slice(a, 128)
                 q, names = _matrix(batch.column("_x"), dims), batch.column("_q").to_pylist()
+                raw = [v.tobytes() for v in q.astype(kind)]
                 rows: tuple[list, list, list, list] = ([], [], [], [])
                 for t in range(len(hashing.offsets)):
                     bucket, group = hashing.probed(q, t)
@@ -266,14 +267,14 @@ def _asked(hashing: Hashing, parts: _Parts, dims: int):
                         edges = np.r_[0, np.flatnonzero(own[1:] != own[:-1]) + 1, len(own)]
                         for lo, hi in zip(edges[:-1], edges[1:]):
                             for salt in range(int(parts.salts[group[i][order[lo]]])):
-                                for column, value in zip(rows, (int(own[lo]) + salt, [name], q[i].tobytes(), keys[lo:hi].tobytes())):
+                                for column, value in zip(rows, (int(own[lo]) + salt, [name], raw[i], keys[lo:hi].tobytes())):
                                     column.append(value)
                 yield _entries(rows[0], 1, *rows[1:])
 
     return run
 
 
-def _searched(dims: int, k: int):
+def _searched(dims: int, kind: str, k: int):
     """Meetings of a partition that is sorted by part, vectors before queries."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -291,12 +292,12 @@ def _searched(dims: int, k: int):
                 if not waiting[0]:
                     continue
                 if x is None:
-                    x = np.frombuffer(b"".join(waiting[1])).reshape(-1, dims)
+                    x = np.frombuffer(b"".join(waiting[1]), kind).astype(float).reshape(-1, dims)
                     bucket = np.frombuffer(b"".join(waiting[2]), np.uint64)
                     order = np.argsort(bucket, kind="stable")
                     x, bucket = x[order], bucket[order]
                     ids = [waiting[0][i] for i in order]
-                q = np.frombuffer(raw)
+                q = np.frombuffer(raw, kind).astype(float)
                 if keys is None:  # such a query visits every bucket
                     some = np.arange(len(x))
                 else:
@@ -333,10 +334,10 @@ def _least(far: np.ndarray, some: np.ndarray, ids: list, most: int) -> list[tupl
         take *= 2
 
 
-def _met(rows: DataFrame, dims: int, k: int) -> DataFrame:
+def _met(rows: DataFrame, dims: int, kind: str, k: int) -> DataFrame:
     """(_q, found: up to k + 1 of (score, id), compared) of index and probes."""
     dealt = rows.repartition("part").sortWithinPartitions("part", "asks")
-    met = dealt.mapInArrow(_searched(dims, k), "_q long, id long, score double, compared long")
+    met = dealt.mapInArrow(_searched(dims, kind, k), "_q long, id long, score double, compared long")
     each = met.groupBy("_q", "id").agg(F.min("score").alias("score"), F.sum("compared").alias("compared"))
     total = Window.partitionBy("_q")
     ranked = each.select(
@@ -359,7 +360,7 @@ def _copied(index: DataFrame, probes: DataFrame) -> DataFrame:
     return index.unionByName(probes)
 
 
-def _of_one_length(rows: DataFrame, dims: int, k: int) -> DataFrame:
+def _of_one_length(rows: DataFrame, dims: int, kind: str, k: int) -> DataFrame:
     """Neighbours among distinct ``rows`` (_id, _x, _asks) of ``dims`` components."""
     first = Window.partitionBy("_x").orderBy("_id")
     # of equal vectors, the k + 1 smallest ids come before all others
@@ -376,8 +377,8 @@ def _of_one_length(rows: DataFrame, dims: int, k: int) -> DataFrame:
     if hashing is not None:
         counts = nodes.select("_x").mapInArrow(_counted(hashing, dims), "g long, n long").groupBy("g").agg(F.sum("n").alias("n"))
         parts = _Parts.of({r["g"]: r["n"] for r in counts.collect()})  # GROUPS a table at most
-        probes = stored(queries.select("_q", "_x").mapInArrow(_asked(hashing, parts, dims), _ROW), "probes")
-        found = stored(_met(_copied(nodes.mapInArrow(_filed(hashing, parts, dims), _ROW), probes), dims, k), "met")
+        probes = stored(queries.select("_q", "_x").mapInArrow(_asked(hashing, parts, dims, kind), _ROW), "probes")
+        found = stored(_met(_copied(nodes.mapInArrow(_filed(hashing, parts, dims, kind), _ROW), probes), dims, kind, k), "met")
         short = queries.join(found.where(F.size("found") >= want).select("_q"), "_q", "left_anti")
     else:
         short = queries
@@ -385,9 +386,9 @@ def _of_one_length(rows: DataFrame, dims: int, k: int) -> DataFrame:
     if short.limit(1).count():
         # too few candidates: such queries meet all vectors, shard by shard
         shards = -(-n_nodes // PART_ROWS)
-        base = nodes.mapInArrow(_sharded(shards, dims), _ROW)
-        asks = short.mapInArrow(_everywhere(shards, dims), _ROW)
-        exact = _met(_copied(base, stored(asks, "everywhere")), dims, k)
+        base = nodes.mapInArrow(_sharded(shards, dims, kind), _ROW)
+        asks = short.mapInArrow(_everywhere(shards, dims, kind), _ROW)
+        exact = _met(_copied(base, stored(asks, "everywhere")), dims, kind, k)
         found = exact if found is None else found.where(F.size("found") >= want).unionByName(exact)
     members = hot_join(asking.select("_id", "_x"), "_x", queries.select("_x", "_q", F.col("_n")), "_x", "_n", rows.count())
     sizes = found.join(queries.select("_q", "_n"), "_q")
@@ -399,20 +400,20 @@ def _of_one_length(rows: DataFrame, dims: int, k: int) -> DataFrame:
     )
 
 
-def _sharded(shards: int, dims: int):
+def _sharded(shards: int, dims: int, kind: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = _matrix(batch.column("_x"), dims)
-            yield _entries((_spread(x) % shards).tolist(), 0, batch.column("ids").to_pylist(), [v.tobytes() for v in x], [b"\0" * 8] * len(x))
+            yield _entries((_spread(x) % shards).tolist(), 0, batch.column("ids").to_pylist(), [v.tobytes() for v in x.astype(kind)], [b"\0" * 8] * len(x))
 
     return run
 
 
-def _everywhere(shards: int, dims: int):
+def _everywhere(shards: int, dims: int, kind: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             names = [[n] for n in batch.column("_q").to_pylist()]
-            raw = [v.tobytes() for v in _matrix(batch.column("_x"), dims)]
+            raw = [v.tobytes() for v in _matrix(batch.column("_x"), dims).astype(kind)]
             for shard in range(shards):
                 yield _entries([shard] * len(raw), 1, names, raw, [None] * len(raw))
 
@@ -438,7 +439,9 @@ def nearest_neighbours(
     Returns ``query_id, rank, vec_id, score`` and ``compared``, the number of
     distances that were computed for the query's vector.
     """
-    x = F.col(vector_col).cast("array<double>")
+    # vectors travel as they are stored; distances are of doubles always
+    single = vectors.schema[vector_col].dataType.simpleString() == "array<float>"
+    x = F.col(vector_col) if single else F.col(vector_col).cast("array<double>")
     fine = vectors.where(usable(F.col(vector_col)) & F.col(id_col).isNotNull()).select(
         F.col(id_col).cast("long").alias("_id"), x.alias("_x"), F.coalesce(is_query, F.lit(False)).alias("_asks")
     )
@@ -449,7 +452,7 @@ def nearest_neighbours(
     lengths = [r["n"] for r in rows.groupBy(F.size("_x").alias("n")).agg(F.max("_asks").alias("a")).where("a").collect()]
     made = None
     for dims in sorted(lengths):  # one, but for odd tables
-        found = _of_one_length(rows.where(F.size("_x") == dims), dims, k)
+        found = _of_one_length(rows.where(F.size("_x") == dims), dims, "<f4" if single else "<f8", k)
         made = found if made is None else made.unionByName(found)
     if made is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double, compared long")
