@@ -113,7 +113,7 @@ def tree_predictions(train: DataFrame, test: DataFrame, features: list[str], tar
 
 def classifier_probability(train: DataFrame, test: DataFrame, features: list[str], label: str, kind: str = "logistic", seed: int = 3) -> DataFrame:
     """``test`` with ``p``: probability that the label is 1."""
-    from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
+    from pyspark.ml.classification import GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.functions import vector_to_array
 
@@ -123,6 +123,7 @@ def classifier_probability(train: DataFrame, test: DataFrame, features: list[str
         "logistic": lambda: LogisticRegression(regParam=0.01, **args),
         "forest": lambda: RandomForestClassifier(numTrees=20, maxDepth=5, seed=seed, **args),
         "boosted": lambda: GBTClassifier(maxIter=10, maxDepth=3, seed=seed, **args),
+        "neural": lambda: MultilayerPerceptronClassifier(layers=[len(features), 8, 2], maxIter=50, seed=seed, **args),
     }[kind]().fit(make.transform(train))
     scored = model.transform(make.transform(test)).withColumn("p", F.get(vector_to_array("probability"), F.lit(1)))
     return scored.drop("_f", "rawPrediction", "probability", "prediction")
@@ -136,3 +137,100 @@ def bandit(log: DataFrame, cell: str) -> DataFrame:
     kind = log.schema[cell].dataType
     both = per.unionByName(whole.select(F.lit(None).cast(kind).alias(cell), "b"))
     return both.select(cell, F.col("b.view").alias("view"), F.round("b.utility", 6).alias("utility"))
+
+
+def selective_regression(rows: DataFrame, features: list[str], gain: str, cheap: str, rich: str, seed: int = 3, at: tuple[float, ...] = (0.1, 0.25, 0.5, 0.75, 0.9)) -> DataFrame:
+    """Routes of the test part: ``rich`` where a forest of the train part
+    predicts a ``gain`` above the threshold that does best on the dev part.
+
+    ``rows`` has ``split``, ``u_<cheap>`` and ``u_<rich>``.  Thresholds are 0 and
+    quantiles of the dev part's predictions.
+    """
+    made = tree_predictions(rows.where("split = 'train'"), rows.where("split != 'train'"), features, {rich: gain}, seed=seed).select("query_id", F.col("prediction").alias("p"))
+    scored = rows.where("split != 'train'").select("query_id", "split", f"u_{cheap}", f"u_{rich}").join(made, "query_id")
+    dev = scored.where("split = 'dev'")
+    cuts = [("p", 0.0), *quantile_thresholds(dev, ["p"], list(at))]
+    best = gate_grid(dev, cuts, cheap, rich).where("direction = 'above'").agg(F.max_by("threshold", F.struct("utility", -F.col("threshold")))).first()[0]
+    return apply_gate(scored.where("split = 'test'"), F.col("p"), F.lit(float(best or 0.0)), cheap, rich, "selective_reg")
+
+
+def _best(views: list[str]) -> Column:
+    """Index of the view of the highest ``u_<view>``, the first on ties."""
+    top = F.greatest(*[F.col(f"u_{v}") for v in views])
+    out = F.lit(float(len(views) - 1))
+    for i in reversed(range(len(views) - 1)):
+        out = F.when(F.col(f"u_{views[i]}") == top, F.lit(float(i))).otherwise(out)
+    return out
+
+
+def _named(index: Column, views: list[str]) -> Column:
+    return F.get(F.array(*[F.lit(v) for v in views]), index.cast("int"))
+
+
+def best_view_classifier(train: DataFrame, test: DataFrame, features: list[str], views: list[str], policy: str = "deferral", kind: str = "forest", seed: int = 3) -> DataFrame:
+    """Routes of ``test`` by a classifier of each row's best view."""
+    from pyspark.ml.classification import DecisionTreeClassifier, RandomForestClassifier
+    from pyspark.ml.feature import VectorAssembler
+
+    make = VectorAssembler(inputCols=features, outputCol="_f", handleInvalid="keep")
+    args = {"featuresCol": "_f", "labelCol": "_y", "predictionCol": "_p", "seed": seed}
+    learner = DecisionTreeClassifier(maxDepth=4, **args) if kind == "tree" else RandomForestClassifier(numTrees=20, maxDepth=5, **args)
+    model = learner.fit(make.transform(train.withColumn("_y", _best(views))))
+    return model.transform(make.transform(test)).select("query_id", F.lit(policy).alias("policy"), _named(F.col("_p"), views).alias("view"))
+
+
+def grouped_router(rows: DataFrame, group: str, features: list[str], views: list[str], kind: str, folds_: int) -> DataFrame:
+    """Routes of all rows, each by a model of the other folds; a group is in one
+    fold.  Missing features get the median of the rows that are learnt from."""
+    from pyspark.ml.feature import Imputer
+
+    from .splits import folds
+
+    parts = folds(rows, group, folds_)
+    out = []
+    for k in range(folds_):
+        train, test = parts.where(F.col("fold") != k), parts.where(F.col("fold") == k)
+        fill = Imputer(strategy="median", inputCols=features, outputCols=features).fit(train)
+        out.append(best_view_classifier(fill.transform(train), fill.transform(test), features, views, f"proxy_{kind}", kind))
+    return reduce(DataFrame.unionByName, out)
+
+
+#: Rows that a feature is dealt anew among, on average.
+DEAL_ROWS = 10_000
+
+
+def dealt_anew(rows: DataFrame, key: str, column: str, salt: str) -> DataFrame:
+    """``rows`` with a column's values dealt anew, among groups of rows that a
+    hash puts together, so that no task orders all rows."""
+    from pyspark.sql import Window
+
+    deals = max(1, rows.count() // DEAL_ROWS)
+    h = lambda s: F.xxhash64(F.lit(f"{salt}:{s}"), F.col(key))
+    cut = rows.withColumn("_g", F.pmod(h("group"), F.lit(deals)))
+    to = cut.withColumn("_k", F.row_number().over(Window.partitionBy("_g").orderBy(key))).drop(column)
+    of = cut.select("_g", F.col(column), F.row_number().over(Window.partitionBy("_g").orderBy(h("place"), key)).alias("_k"))
+    return to.join(of, ["_g", "_k"]).select(*rows.columns)
+
+
+def cross_validated_importance(rows: DataFrame, key: str, features: list[str], target: str, folds: int = 5, repeats: int = 3, trees: int = 50, seed: int = 3) -> DataFrame:
+    """(dealt, mae, rmse, corr, worse) of a forest by cross-validation: for no
+    feature (``none``), and for each dealt anew, means over the repeats."""
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import RandomForestRegressor
+
+    from .splits import folds as cut
+
+    make = VectorAssembler(inputCols=features, outputCol="_f")
+    parts = cut(rows, key, folds)
+    made = []
+    for k in range(folds):
+        train, test = parts.where(F.col("fold") != k), parts.where(F.col("fold") == k).drop("fold")
+        model = RandomForestRegressor(featuresCol="_f", labelCol=target, numTrees=trees, maxDepth=5, seed=seed).fit(make.transform(train))
+        score = lambda d, name, r: model.transform(make.transform(d)).select(F.lit(name).alias("dealt"), F.lit(r).alias("r"), F.col(target).alias("t"), F.col("prediction").alias("p"))  # noqa: E731, B023
+        made.append(score(test, "none", 0))
+        made += [score(dealt_anew(test, key, f, f"{k}:{r}:{f}"), f, r) for f in features for r in range(repeats)]
+    whole = reduce(DataFrame.unionByName, made).groupBy("dealt", "r").agg(
+        F.avg(F.abs(F.col("t") - F.col("p"))).alias("mae"), F.sqrt(F.avg(F.pow(F.col("t") - F.col("p"), 2))).alias("rmse"), F.corr("t", "p").alias("corr")
+    ).groupBy("dealt").agg(*[F.avg(c).alias(c) for c in ("mae", "rmse", "corr")])
+    base = whole.where("dealt = 'none'").select(F.col("mae").alias("_b"))
+    return whole.crossJoin(base).select("dealt", *[F.round(c, 6).alias(c) for c in ("mae", "rmse", "corr")], F.round(F.col("mae") - F.col("_b"), 6).alias("worse"))

@@ -155,3 +155,61 @@ def probe(base: DataFrame, queries: DataFrame, k: int, cells: int, nprobe: int,
     met = asked.select("qid", "_q", F.col("p.cell").alias("cell")).join(held.select(F.col(id_col).alias("did"), F.col(vector_col).alias("_d"), "cell"), "cell")
     scores = met.where("qid != did").select("qid", "did", F.round(C.dot(VIEWS[view](F.col("_q")), VIEWS[view](F.col("_d"))), DIGITS).alias("score"))
     return ranked(scores, k, f"nprobe{nprobe}")
+
+
+def encoded(texts: DataFrame, encoder, id_col: str = "id", text_col: str = "text") -> DataFrame:
+    """(id, embedding): texts under ``encoder``, a function of a list of texts
+    that gives a matrix, called batch by batch where the texts are."""
+    import numpy as np
+    import pyarrow as pa
+
+    def run(batches):
+        for batch in batches:
+            made = np.asarray(encoder([t or "" for t in batch.column(1).to_pylist()]), dtype=np.float64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(made), pa.list_(pa.float64()))], [id_col, "embedding"])
+
+    kind = texts.schema[id_col].dataType.simpleString()
+    return texts.select(id_col, text_col).mapInArrow(run, f"{id_col} {kind}, embedding array<double>")
+
+
+def hashed_encoder(dims: int):
+    """An encoder without a model: signed counts of hashed words, normed."""
+
+    def encode(texts: list[str]):
+        import hashlib
+        import re
+
+        import numpy as np
+
+        out = np.zeros((len(texts), dims))
+        for i, text in enumerate(texts):
+            for w in re.findall("[a-z0-9]+", text.lower()):
+                h = int.from_bytes(hashlib.md5(w.encode()).digest()[:8], "little")
+                out[i, h % dims] += 1.0 if h >> 63 else -1.0
+        return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
+
+    return encode
+
+
+def rerank_pairs(pool: DataFrame, queries: DataFrame, docs: DataFrame, scorer, k: int, view: str = "ce") -> DataFrame:
+    """A pool (qid, did) ranked anew by ``scorer``, a function of two lists of
+    texts (queries, documents) that gives a score a pair, called batch by batch."""
+    import numpy as np
+    import pyarrow as pa
+
+    def run(batches):
+        for batch in batches:
+            q, d = ([t or "" for t in batch.column(c).to_pylist()] for c in (2, 3))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.asarray(scorer(q, d), dtype=np.float64))], ["qid", "did", "score"])
+
+    pairs = pool.join(queries.select("qid", F.col("text").alias("_q")), "qid").join(docs.select("did", F.col("text").alias("_d")), "did").select("qid", "did", "_q", "_d")
+    fields = ", ".join(f"{c} {pairs.schema[c].dataType.simpleString()}" for c in ("qid", "did"))
+    return ranked(pairs.mapInArrow(run, f"{fields}, score double"), k, view)
+
+
+def overlap_scorer(queries: list[str], docs: list[str]) -> list[float]:
+    """A scorer without a model: share of the query's words in the document."""
+    import re
+
+    words = lambda t: set(re.findall("[a-z0-9]+", t.lower()))
+    return [round(len(words(q) & words(d)) / max(1, len(words(q))), 9) for q, d in zip(queries, docs)]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import gates as G
@@ -16,9 +16,36 @@ from .registry import query, read
 from .stats_queries import _FEATURES, _learning
 
 
-@query()
+_N = 120
+
+
+def _z(name: str, axis: str, at: str) -> str:
+    half = lambda k: f"(('0x' || substr(md5('{L.instance_seed(name)}:{axis}{k}:' || ({at})::varchar), 1, 8))::bigint / 4294967296.0::double)"
+    return f"sqrt(-2 * ln({half('r')} + 1e-12::double)) * cos(2 * pi() * {half('a')})"
+
+
+_VOLATILE = " + ".join(f"case when i + {k} between 0 and {_N - 1} then (0.05::double + case when sin(5 * pi() * (i + {k}) / {_N - 1}) > 0 then 0.22::double else 0 end) * ({_z('volatility-clustering_medium', 'v', f'i + {k}')}) else 0 end" for k in range(-2, 3))
+_SHAPES = {
+    "trend": ("t", "0.15 * sin(6 * pi() * t) + 0.9 * t"),
+    "bubble-crash": ("t", "0.25 * t + 0.9 * exp(-pow((t - 0.58) * 10, 2)) - 1.8 * greatest(t - 0.62, 0)"),
+    "regime-shift": ("t", "0.25 * sin(4 * pi() * t) + case when t < 0.5 then -0.35 else 0.45 end + 0.08 * sign(t - 0.5)"),
+    "volatility-clustering": ("t", f"({_VOLATILE}) / 5"),
+    "mean-reversion": ("t", "0.5 * sin(10 * pi() * t) * exp(-0.4 * t)"),
+    "star": tuple(f"(0.5 + 0.25 * sign(sin(10 * pi() * u))) * {f}(2 * pi() * u)" for f in ("cos", "sin")),
+    "spiral": tuple(f"(0.05 + 0.75 * t) * {f}(0.2 + (4 * pi() - 0.2) * t)" for f in ("cos", "sin")),
+    "double-loop": ("sin(2 * pi() * t)", "sin(2 * pi() * t) * cos(2 * pi() * t)"),
+    "ring-hole": tuple(f"(0.75 + 0.02 * {_z('ring-hole_medium', 'r', 'i')}) * {f}(2 * pi() * u)" for f in ("cos", "sin")),
+    "s-curve": ("2 * t - 1", "tanh(2.2 * (2 * t - 1))"),
+}
+_CURVES = f"with p as (select i, i / {_N - 1}.0::double as t, i / {_N}.0::double as u from (select unnest(range({_N})) as i)) " + " union all ".join(
+    f"select {k}::bigint as cell, '{n}' as family, i as idx, round({x} + 0.01 * {_z(n + '_medium', 'x', 'i')}, 5) as x, round({y} + 0.01 * {_z(n + '_medium', 'y', 'i')}, 5) as y from p" for k, (n, (x, y)) in enumerate(_SHAPES.items())
+)
+
+
+@query(_CURVES)
 def families(spark, sf_dir):
-    return L.curves(spark, 120)
+    """Points of an instance of each of the ten curve families."""
+    return L.curves(spark, _N).select("cell", "family", "idx", F.round("x", 5).alias("x"), F.round("y", 5).alias("y"))
 
 
 @query()
@@ -108,46 +135,6 @@ def router_fitted_q(spark, sf_dir):
     return P.evaluate(G.route_argmax(made, "fitted_q"), view_table(spark, sf_dir))
 
 
-@query()
-def learners_extra(spark, sf_dir):
-    """Headroom of classifiers of "full beats PQ": accuracy on the test part."""
-    y = (F.col("u_full") > F.col("u_pq")).cast("double")
-    _, train, test = _learning(spark, sf_dir)
-    out = []
-    for kind in ("logistic", "forest", "boosted"):
-        p = G.classifier_probability(train.withColumn("y", y), test.withColumn("y", y), _FEATURES, "y", kind)
-        out.append(p.agg(F.lit(kind).alias("learner"), F.round(F.avg(((F.col("p") > 0.5).cast("double") == F.col("y")).cast("double")), 6).alias("accuracy")))
-    return reduce(DataFrame.unionByName, out)
-
-
-@query()
-def hardness_model(spark, sf_dir):
-    """Forest of a path's last value from its shape; error, and how much worse
-    it gets when a feature is dealt anew."""
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import RandomForestRegressor
-
-    from .geometry_queries import _paths
-
-    paths = _paths(spark, sf_dir)
-    features = ["width", "height", "path", "turns"]
-    rows = Geo.structure(paths).join(paths.groupBy("cell").agg(F.max_by("y", "idx").alias("target")), "cell").na.fill(0)
-    model = RandomForestRegressor(featuresCol="_f", labelCol="target", numTrees=20, maxDepth=5, seed=3)
-    make = VectorAssembler(inputCols=features, outputCol="_f")
-    fitted = model.fit(make.transform(rows))
-
-    def error(d: DataFrame, name: str) -> DataFrame:
-        return fitted.transform(make.transform(d)).agg(F.lit(name).alias("dealt"), F.round(F.avg(F.abs(F.col("prediction") - F.col("target"))), 6).alias("mae"))
-
-    out = [error(rows, "none")]
-    for f in features:
-        by = Window.orderBy(F.md5(F.concat(F.lit(f), F.col("cell").cast("string"))))
-        order = rows.select(F.col(f).alias("_d"), F.row_number().over(by).alias("_k"))
-        dealt = rows.withColumn("_k", F.row_number().over(Window.orderBy("cell"))).join(order, "_k").drop(f).withColumnRenamed("_d", f)
-        out.append(error(dealt, f))
-    return reduce(DataFrame.unionByName, out)
-
-
 @query()
 def probing(spark, sf_dir):
     """Best of 1, 3 or 10 submitted gates by the dev part, and on the test part."""
@@ -175,3 +162,76 @@ def hash_svd(spark, sf_dir):
     weighed = IDF(inputCol="tf", outputCol="w").fit(tf).transform(tf)
     reduced = PCA(k=16, inputCol="w", outputCol="p").fit(weighed).transform(weighed)
     return Normalizer(inputCol="p", outputCol="v").transform(reduced).select("item_id", vector_to_array("v").alias("vector"))
+
+
+@query()
+def router_selective_reg(spark, sf_dir):
+    """Full where a forest predicts a gain over PQ above a threshold that is
+    chosen on the dev part."""
+    rows, _, _ = _learning(spark, sf_dir)
+    made = G.selective_regression(rows.withColumn("gain", F.col("u_full") - F.col("u_pq")), _FEATURES, "gain", "pq", "full")
+    return P.evaluate(made, view_table(spark, sf_dir), costly="full")
+
+
+@query()
+def router_deferral(spark, sf_dir):
+    """A classifier of each query's best view."""
+    _, train, test = _learning(spark, sf_dir)
+    return P.evaluate(G.best_view_classifier(train, test, _FEATURES, ["summary", "pq", "full"]), view_table(spark, sf_dir), costly="full")
+
+
+@query()
+def router_proxy(spark, sf_dir):
+    """Routers by order date: no date is in two folds; missing features are
+    imputed by the median of the training folds."""
+    day = read(spark, sf_dir, "orders").select("o_orderkey", F.to_date("o_orderdate").cast("string").alias("day"))
+    rows, _, _ = _learning(spark, sf_dir)
+    rows = rows.drop("split").join(day, F.col("query_id") == F.col("o_orderkey")).withColumn("scaled_price", F.when(F.col("o_orderkey") % 10 != 0, F.col("scaled_price")))
+    routes = [G.grouped_router(rows, "day", _FEATURES, ["summary", "pq", "full"], kind, 3) for kind in ("tree", "forest")]
+    return P.evaluate(reduce(DataFrame.unionByName, routes), view_table(spark, sf_dir), costly="full")
+
+
+@query()
+def learners_extra(spark, sf_dir):
+    """Headroom of classifiers of "full beats PQ": accuracy on the test part."""
+    y = (F.col("u_full") > F.col("u_pq")).cast("double")
+    _, train, test = _learning(spark, sf_dir)
+    out = []
+    for kind in ("logistic", "forest", "boosted", "neural"):
+        p = G.classifier_probability(train.withColumn("y", y), test.withColumn("y", y), _FEATURES, "y", kind)
+        out.append(p.agg(F.lit(kind).alias("learner"), F.round(F.avg(((F.col("p") > 0.5).cast("double") == F.col("y")).cast("double")), 6).alias("accuracy")))
+    return reduce(DataFrame.unionByName, out)
+
+
+@query()
+def hardness_model(spark, sf_dir):
+    """Forest of a path's last value from its shape, cross-validated: errors and
+    correlation, and how much worse it gets when a feature is dealt anew."""
+    from .geometry_queries import _paths
+
+    paths = _paths(spark, sf_dir)
+    features = ["width", "height", "path", "turns"]
+    rows = Geo.structure(paths).join(paths.groupBy("cell").agg(F.max_by("y", "idx").alias("target")), "cell").na.fill(0)
+    return G.cross_validated_importance(rows, "cell", features, "target", folds=3, repeats=3)
+
+
+@query()
+def encode_texts(spark, sf_dir):
+    """Passages under an encoder that is handed in: here hashed word vectors."""
+    from ..operators import search as S
+
+    texts = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), "text")
+    return S.encoded(texts, S.hashed_encoder(32)).select(F.col("id").alias("item_id"), F.size("embedding").alias("dims"), F.transform("embedding", lambda x: F.round(x, 6)).alias("embedding"))
+
+
+@query()
+def rerank_scorer(spark, sf_dir):
+    """BM25's first ten, ranked anew by a scorer of (query, text) pairs."""
+    from ..operators import search as S
+    from ..operators import text as T
+    from .text_queries import _pool
+
+    qs, pool = _pool(spark, sf_dir)
+    top = T.bm25_local(qs, pool).withColumn("rank", F.row_number().over(T.by_score())).where("rank <= 10").select("qid", "did")
+    docs = pool.select("did", "text")
+    return S.rerank_pairs(top, qs, docs, S.overlap_scorer, 10)
