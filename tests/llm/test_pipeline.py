@@ -109,3 +109,72 @@ def test_run_gives_the_last_stage(spark, stages):
     made = pipe.run(spark, SMALL)
     key = lambda d: sorted((r["doc_id"], r["piece"], r["ids_crc32"]) for r in d.collect())
     assert key(made) == key(stages[-1][2])
+
+
+ODD = "doc_id long, text string, lang string, source string, n_chars long, _id long, size string, _key_id string, repeats int"
+
+
+def _odd(spark, rows):
+    return spark.createDataFrame([(i, t, "en", s, None, 7, "x", "y", 3) for i, t, s in rows], ODD)
+
+
+@pytest.fixture(scope="module")
+def odd_stages(spark, tmp_path_factory):
+    """All stages over a folder of odd documents; labels as they are."""
+    import corpus_pipeline as pipe
+    from viewmint.llm.common import stored, table
+
+    docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()}
+    some = [t for _, t in sorted(docs.items()) if t][:30]
+    rows = [(i, t, f"s{i % 2}") for i, t in enumerate(some)]
+    rows += [(None, some[0], "s0"), (None, some[3] + " and so on", None), (5, some[5], "s1"), (5, some[5], "s1"), (6, some[7] + " more", "s0"), (100, None, "s0"), (101, "", None), (102, " \n", "s1"), (103, " leading space", "s0"), (104, some[2] * 40, "s1")]
+    where = tmp_path_factory.mktemp("odd")
+    _odd(spark, rows).repartition(3).write.parquet(str(where / "documents.parquet"))
+    spark.read.parquet(f"{SMALL}/labels.parquet").write.parquet(str(where / "labels.parquet"))
+    made = table(spark, str(where), "documents")
+    out = []
+    for name, stage in pipe.STAGES:
+        before, made = made, stored(stage(spark, made, str(where)), f"odd-{name}")
+        out.append((name, before, made))
+    return str(where), out
+
+
+def _texts(df):
+    return Counter((r["doc_id"], r["text"], r["source"]) for r in df.collect())
+
+
+def test_odd_rows_go_through_all_stages(spark, odd_stages):
+    from viewmint.llm.quality import quality_scores
+
+    where, stages = odd_stages
+    for _, before, after in stages[:-1]:
+        assert after.columns == before.columns
+    _, before, after = stages[0]
+    scored = quality_scores(before, spark.read.parquet(f"{where}/labels.parquet")).collect()
+    assert sum(after.groupBy().count().first()) == sum(r["predicted"] for r in scored)
+    _, before, after = stages[1]
+    norm = lambda d: Counter(SPACE.sub(" ", t or "") for (_, t, _), n in _texts(d).items() for _ in range(n))
+    assert norm(after) == Counter(dict.fromkeys(norm(before), 1))
+    _, before, after = stages[2]
+    rows = sorted(_texts(before).elements(), key=str)
+    prints = [_fingerprint(t or "") for _, t, _ in rows]
+    root = list(range(len(rows)))
+    for _ in rows:
+        root = [min(root[j] for j in range(len(rows)) if (prints[i] ^ prints[j]).bit_count() <= 4) for i in range(len(rows))]
+    least = {r: min((rows[i][0] for i in range(len(rows)) if root[i] == r and rows[i][0] is not None), default=None) for r in root}
+    assert _texts(after) == Counter(row for row, r in zip(rows, root) if row[0] == least[r])
+    _, before, after = stages[3]
+    there = _texts(before)
+    assert all(n <= 3 * there[k] for k, n in _texts(after).items())
+    _, before, after = stages[4]
+    rows = after.collect()
+    assert len({(r["sequence_id"], r["offset"]) for r in rows}) == len(rows)
+    assert Counter(r["doc_id"] for r in rows if r["start"] == 0) == Counter(r["doc_id"] for r in before.collect())
+
+
+def test_an_empty_table_goes_through(spark, tmp_path):
+    import corpus_pipeline as pipe
+
+    _odd(spark, []).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.read.parquet(f"{SMALL}/labels.parquet").write.parquet(str(tmp_path / "labels.parquet"))
+    assert pipe.run(spark, str(tmp_path)).count() == 0

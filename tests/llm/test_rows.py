@@ -178,3 +178,82 @@ def test_packing_and_token_output_of_leading_spaces(spark):
 
     docs = spark.createDataFrame([(1, "foo"), (2, " bar"), (3, "\n x"), (4, ""), (5, " ")], "doc_id long, text string").coalesce(1)
     assert pack_sequences(docs).count() == 5 and tokens_round_trip(docs).count() == 5
+
+
+def _independent_scores(x, y, to_pooled, to_identity):
+    """Log odds of regularised quadratic discriminants, by solving with the
+    covariances themselves."""
+    own = [np.cov(x[y == c].T, bias=True) for c in (0, 1)]
+    n = np.array([(y == c).sum() for c in (0, 1)])
+    pooled = (own[0] * n[0] + own[1] * n[1]) / n.sum()
+    p = x.shape[1]
+
+    def density(v, c):
+        cov = (1 - to_identity) * ((1 - to_pooled) * own[c] + to_pooled * pooled) + to_identity * (np.trace(pooled) / p + 1e-6) * np.eye(p)
+        d = v - x[y == c].mean(axis=0)
+        return -0.5 * np.sum(d * np.linalg.solve(cov, d.T).T, axis=1) - 0.5 * np.linalg.slogdet(cov)[1] + np.log((n[c] + 1) / (n.sum() + 2))
+
+    return lambda v: 1 / (1 + np.exp(-np.clip(density(v, 1) - density(v, 0), -500, 500)))
+
+
+def test_quality_scores_are_those_of_an_independent_fit(spark):
+    import zlib
+
+    from viewmint.llm.quality import KEEP_FROM, TO_IDENTITY, TO_POOLED, features, quality_scores
+
+    data = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{data}/documents.parquet"), spark.read.parquet(f"{data}/labels.parquet")
+    x = {r["_id"]: np.array(r["_x"]) for r in features(docs, "doc_id", "text").collect()}
+    told = {r["doc_id"]: r["quality"] for r in labels.collect() if r["doc_id"] in x and zlib.crc32(str(r["doc_id"]).encode()) % 5}
+    ids = sorted(told)
+    score = _independent_scores(np.array([x[i] for i in ids]), np.array([told[i] for i in ids]), TO_POOLED, TO_IDENTITY)
+    every = sorted(x)
+    want = dict(zip(every, score(np.array([x[i] for i in every]))))
+    rows = quality_scores(docs, labels).collect()
+    assert len(rows) == len(every)
+    for r in rows:
+        assert r["score"] == pytest.approx(want[r["doc_id"]], abs=1e-8) and r["predicted"] == int(r["score"] >= KEEP_FROM)
+        assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0)
+
+
+def test_statistics_by_hand(spark):
+    from viewmint.llm.quality import features
+
+    texts = [(1, "The cat cat sat."), (2, None), (3, ""), (4, " \t "), (5, "A! #1 |x|")]
+    rows = {r["_id"]: r["_x"] for r in features(spark.createDataFrame(texts, "doc_id long, text string"), "doc_id", "text").collect()}
+    assert rows[2] == rows[3] and all(np.isfinite(v).all() for v in rows.values())
+    assert rows[1][0] == pytest.approx(np.log(5)) and rows[1][1] == pytest.approx(np.log(0.002 + (3 + 8) / 14)) and rows[1][2] == pytest.approx(np.log(0.002 + 1.1 / 14))
+    assert rows[4][0] == 0 and rows[5][0] == pytest.approx(np.log(4))
+
+
+def test_preferences_of_odd_conversations(spark):
+    from viewmint.llm.preference import conversations_of, format_preferences, replies_as_pairs
+
+    long = "word " * 200_000
+    fields = "conv_id long, turn long, role string, text string, prompt string, chosen int, usable string"
+    rows = [
+        (1, 0, "user", long, "p", 1, "u"), (1, 1, "assistant", "a", "p", 1, "u"), (1, 2, "assistant", long, "p", 1, "u"), (1, 3, "user", "after", "p", 1, "u"),
+        (2, 0, "assistant", "x", None, None, None), (2, 0, "assistant", "x", None, None, None),
+        (None, 5, "user", "lonely", None, None, None), (None, 5, "user", "lonely", None, None, None), (None, None, None, None, None, None, None),
+    ]
+    df = spark.createDataFrame(rows, fields).repartition(3)
+    assert sum(len(r["turns"]) for r in conversations_of(df).collect()) == len(rows)
+    made = format_preferences(replies_as_pairs(df)).collect()
+    assert len(made) == 5 and sum(r["conv_id"] is None for r in made) == 3
+    one = next(r for r in made if r["conv_id"] == 1)
+    assert one["n_prompt_turns"] == 2 and one["chosen"].endswith("<|user|>\nafter<|end|>\n") and one["rejected"] == "<|assistant|>\na<|end|>\n<|user|>\nafter<|end|>\n" and one["usable"]
+    assert long in one["prompt"] and long in one["chosen"]
+    twice = spark.createDataFrame([(1, [("user", "q"), ("assistant", "a")], [("user", "q"), ("assistant", "b")])] * 2 + [(2, [("user", "q")], None)], "conv_id long, chosen array<struct<role:string,text:string>>, rejected array<struct<role:string,text:string>>")
+    again = format_preferences(twice).collect()
+    assert [r["n_prompt_turns"] for r in again if r["conv_id"] == 1] == [1, 1] and [r["usable"] for r in again if r["conv_id"] == 2] == [False]
+
+
+def test_no_turn_is_left_out(spark):
+    from viewmint.llm.preference import format_preferences, replies_as_pairs
+
+    turns = spark.read.parquet("/root/testdata/sf0.01/conversations.parquet")
+    whole: dict = {}
+    for r in turns.orderBy("conv_id", "turn", "role", "text").collect():
+        whole.setdefault(r["conv_id"], []).append(f"<|{r['role']}|>\n{r['text']}<|end|>\n")
+    for r in format_preferences(replies_as_pairs(turns)).collect():
+        assert r["prompt"] + r["chosen"] == "".join(whole[r["conv_id"]])
