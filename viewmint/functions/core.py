@@ -35,6 +35,15 @@ def hash_index(key: Column, n: Column) -> Column:
     return F.pmod(F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("long"), n)
 
 
+def mix32(x: Column) -> Column:
+    """32 well mixed bits of a whole number's lowest 32, as a long."""
+    low = F.lit(0xFFFFFFFF)
+    x = x.bitwiseAND(low)
+    for shift, factor in ((16, 0x7FEB352D), (15, 0x045D9F3B)):
+        x = (x.bitwiseXOR(F.shiftright(x, shift)) * F.lit(factor).cast("long")).bitwiseAND(low)
+    return x.bitwiseXOR(F.shiftright(x, 16))
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, x: s + x)
 

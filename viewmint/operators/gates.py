@@ -9,12 +9,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .policy import best_by
-from .stats import quantiles
+from .stats import quantiles_of
 
 
 def quantile_thresholds(rows: DataFrame, features: list[str], at: list[float]) -> list[tuple[str, float]]:
     """(feature, threshold) at exact quantiles; a list of bounded size."""
-    return [(f, round(t, 9)) for f in features for t in quantiles(rows, f, at)]
+    found = quantiles_of(rows, features, at)
+    return [(f, round(t, 9)) for f in features for t in found[f]]
 
 
 def margin_grid(rows: DataFrame, margins: list[str], utilities: list[str], at: list[float]) -> DataFrame:
@@ -26,7 +27,8 @@ def margin_grid(rows: DataFrame, margins: list[str], utilities: list[str], at: l
     passes, so the grid is made of those cells and not of the rows.  Returns
     ``t1``, ``t2`` and so on and ``utility``.
     """
-    cuts = [[round(t, 9) for t in quantiles(rows, m, at)] for m in margins]
+    found = quantiles_of(rows, margins, at)
+    cuts = [[round(t, 9) for t in found[m]] for m in margins]
     passed = [sum((F.when(F.col(m) > t, 1).otherwise(0) for t in c), F.lit(0)).alias(f"b{i}") for i, (m, c) in enumerate(zip(margins, cuts))]
     cells = rows.select(*passed, *utilities).groupBy(*[f"b{i}" for i in range(len(margins))]).agg(*[F.sum(u).alias(u) for u in utilities], F.count(F.lit(1)).alias("n"))
     gates = cells.sparkSession.range(1).select(F.lit(0).alias("_one"))

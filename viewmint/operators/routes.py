@@ -23,21 +23,51 @@ _MENU = f"struct<views:array<{_VIEW}>,hidden_evaluator_fields:array<string>,eval
 _NUMBER = r"^(TINYINT|SMALLINT|INT|BIGINT|FLOAT|DOUBLE|DECIMAL.*)$"
 
 
-def kind(v: Column, key: str) -> Column:
-    """Type name of a variant's field: null if it isn't there, VOID if it is null."""
-    return F.schema_of_variant(F.try_variant_get(v, f"$.{key}", "variant"))
+class Fields:
+    """Fields of a JSON object that was parsed to a variant."""
 
+    def __init__(self, v: Column):
+        self.v = v
 
-def text_of(v: Column, key: str) -> Column:
-    """A field that is a string, else null."""
-    return F.when(kind(v, key) == "STRING", F.try_variant_get(v, f"$.{key}", "string"))
+    def kind(self, key: str) -> Column:
+        """Type name of a field: null if it isn't there, VOID if it is null."""
+        return F.schema_of_variant(F.try_variant_get(self.v, f"$.{key}", "variant"))
+
+    def shown(self, key: str) -> Column:
+        return F.try_variant_get(self.v, f"$.{key}", "string")
+
+    def text(self, key: str) -> Column:
+        """A field that is a string, else null."""
+        return F.when(self.kind(key) == "STRING", self.shown(key))
+
+    def truthy(self, key: str) -> Column:
+        """Whether a field is there and neither null, false, zero nor empty."""
+        empty = F.when(self.kind(key) == "STRING", self.shown(key) == "").otherwise(self.shown(key).isin("[]", "{}", "0", "0.0", "false"))
+        return F.coalesce((self.kind(key) != "VOID") & ~empty, F.lit(False))
+
+    def names(self, key: str) -> Column:
+        """A field that is a list of strings, the empty list included, else null."""
+        nulls = (self.kind(key) == "ARRAY<VOID>") & (self.shown(key) != "[]")
+        return F.when(self.kind(key).isin("ARRAY<STRING>", "ARRAY<VOID>") & ~nulls, F.try_variant_get(self.v, f"$.{key}", "array<string>"))
 
 
-def truthy(v: Column, key: str) -> Column:
-    """Whether a field is there and neither null, false, zero nor empty."""
-    shown = F.try_variant_get(v, f"$.{key}", "string")
-    empty = F.when(kind(v, key) == "STRING", shown == "").otherwise(shown.isin("[]", "{}", "0", "0.0", "false"))
-    return F.coalesce((kind(v, key) != "VOID") & ~empty, F.lit(False))
+class ReadFields(Fields):
+    """Fields whose types and texts were read into columns, once a row."""
+
+    @staticmethod
+    def columns(v: Column, keys: tuple[str, ...]) -> list[Column]:
+        f = Fields(v)
+        return [*[f.kind(k).alias(f"_kind_{k}") for k in keys], *[f.shown(k).alias(f"_text_{k}") for k in keys]]
+
+    def kind(self, key: str) -> Column:
+        return F.col(f"_kind_{key}")
+
+    def shown(self, key: str) -> Column:
+        return F.col(f"_text_{key}")
+
+
+def text_of(v: Column, key: str) -> Column:
+    return Fields(v).text(key)
 
 
 def cost_menu_id(menu: Column) -> Column:
@@ -63,12 +93,12 @@ def forbidden_names(menu: Column) -> Column:
 
 
 def allows_sets(menu: Column, costs: Column) -> Column:
-    return truthy(F.try_parse_json(menu), "set_rule") | truthy(F.try_parse_json(costs), "set_rule")
+    return Fields(F.try_parse_json(menu)).truthy("set_rule") | Fields(F.try_parse_json(costs)).truthy("set_rule")
 
 
 def allows_abstaining(menu: Column, costs: Column) -> Column:
-    m, c = F.try_parse_json(menu), F.try_parse_json(costs)
-    return truthy(m, "abstain_rule") | truthy(c, "abstain_rule") | kind(c, "abstain_cost").isNotNull()
+    m, c = Fields(F.try_parse_json(menu)), Fields(F.try_parse_json(costs))
+    return m.truthy("abstain_rule") | c.truthy("abstain_rule") | c.kind("abstain_cost").isNotNull()
 
 
 @dataclass(frozen=True)
@@ -95,28 +125,33 @@ class Rules:
         return cls(tuple(row[0]), row[1], tuple(row[2] or ()), tuple(row[3]), row[4], row[5], **options)
 
 
-def primary_actions(v: Column) -> Column:
-    """Names of the actions that a route row takes."""
-    route = kind(v, "route")
+def _actions(f: Fields) -> Column:
+    route = f.kind("route")
     return F.array_compact(
         F.array(
-            F.when(F.nullif(text_of(v, "route"), F.lit("")).isNotNull(), F.lit("route")),
-            F.when((route.isNull() | (route == "VOID")) & truthy(v, "ranked_views"), F.lit("ranked_views")),
-            F.when(truthy(v, "view_set"), F.lit("view_set")),
-            F.when((kind(v, "abstain") == "BOOLEAN") & truthy(v, "abstain"), F.lit("abstain")),
+            F.when(F.nullif(f.text("route"), F.lit("")).isNotNull(), F.lit("route")),
+            F.when((route.isNull() | (route == "VOID")) & f.truthy("ranked_views"), F.lit("ranked_views")),
+            F.when(f.truthy("view_set"), F.lit("view_set")),
+            F.when((f.kind("abstain") == "BOOLEAN") & f.truthy("abstain"), F.lit("abstain")),
         )
     )
 
 
+def primary_actions(v: Column) -> Column:
+    """Names of the actions that a route row takes."""
+    return _actions(Fields(v))
+
+
 def selected_view(v: Column, strict: bool = False) -> Column:
     """The view that is scored: abstain, else the route, else the first ranked
     view.  A set of views alone has none: null, or an error if strict."""
-    ranked = F.when(kind(v, "ranked_views").startswith("ARRAY"), F.try_variant_get(v, "$.ranked_views[0]", "string"))
-    sets = kind(v, "view_set").startswith("ARRAY") & truthy(v, "view_set")
+    f = Fields(v)
+    ranked = F.when(f.kind("ranked_views").startswith("ARRAY"), F.try_variant_get(v, "$.ranked_views[0]", "string"))
+    sets = f.kind("view_set").startswith("ARRAY") & f.truthy("view_set")
     refused = F.raise_error(F.lit("sets of views aren't scored")).cast("string") if strict else F.lit(None).cast("string")
     return (
-        F.when((kind(v, "abstain") == "BOOLEAN") & truthy(v, "abstain"), F.lit("abstain"))
-        .when(F.nullif(text_of(v, "route"), F.lit("")).isNotNull(), text_of(v, "route"))
+        F.when((f.kind("abstain") == "BOOLEAN") & f.truthy("abstain"), F.lit("abstain"))
+        .when(F.nullif(f.text("route"), F.lit("")).isNotNull(), f.text("route"))
         .when(ranked.isNotNull(), ranked)
         .when(sets, refused)
         .otherwise(F.lit("abstain"))
@@ -183,8 +218,8 @@ def faults(rows: DataFrame, rules: Rules, manifest: DataFrame | None = None) ->
     parsed = rows.select("line", "raw", F.try_parse_json("raw").alias("v"))
     fine = F.coalesce(F.schema_of_variant("v").startswith("OBJECT"), F.lit(False))
     odd = parsed.where(~fine).select("line", F.lit("not a JSON object").alias("error"))
-    v = F.col("v")
-    ok = parsed.where(fine).select("line", "raw", "v", text_of(v, "query_id").alias("q"), text_of(v, "cell_id").alias("c"))
+    f = ReadFields(F.col("v"))
+    ok = parsed.where(fine).select("line", "raw", "v", *ReadFields.columns(F.col("v"), ROUTE_KEYS)).withColumns({"q": f.text("query_id"), "c": f.text("cell_id")})
     known = F.array(*[F.lit(x) for x in rules.views])
     if manifest is None:
         met = ok.withColumns({"m": F.lit(None).cast("struct<tier:string,cost_menu:string,declared_views:array<string>>"), "asked": F.lit(False)})
@@ -195,14 +230,14 @@ def faults(rows: DataFrame, rules: Rules, manifest: DataFrame | None = None) ->
     narrowed = F.col("m.declared_views")
     bad_list = narrowed.isNotNull() & ((F.size(narrowed) == 0) | F.exists(narrowed, lambda x: F.coalesce(x == "", F.lit(True))))
     shared = F.array_intersect(known, narrowed)
-    met = met.withColumn("views", F.when(narrowed.isNull() | bad_list, known).otherwise(shared)).withColumn("acts", primary_actions(v))
+    met = met.withColumn("views", F.when(narrowed.isNull() | bad_list, known).otherwise(shared)).withColumn("acts", _actions(f))
     extra = F.array_sort(F.array_except(F.json_object_keys("raw"), F.array(*[F.lit(k) for k in rules.keys])))
     found: list[Column] = []
     if rules.strict:
         found.append(F.when(F.size(extra) > 0, F.concat(F.lit("unknown keys: "), F.array_join(extra, ", "))))
     for key in ("query_id", "cell_id", "tier", "cost_menu"):
-        found.append(F.when(F.coalesce(text_of(v, key), F.lit("")) == "", F.lit(f"no string in {key}")))
-    tier, menu = text_of(v, "tier"), text_of(v, "cost_menu")
+        found.append(F.when(F.coalesce(f.text(key), F.lit("")) == "", F.lit(f"no string in {key}")))
+    tier, menu = f.text("tier"), f.text("cost_menu")
     if rules.tiers:
         found.append(F.when(tier.isNotNull() & ~tier.isin(*rules.tiers), F.concat(F.lit("tier isn't allowed: "), tier)))
     found.append(F.when(menu != rules.cost_menu, F.concat(F.lit("cost menu isn't the declared one: "), menu)))
@@ -219,20 +254,18 @@ def faults(rows: DataFrame, rules: Rules, manifest: DataFrame | None = None) ->
         found.append(F.when(F.array_contains(acts, "view_set"), F.lit("no rule for sets of views")))
     if not rules.abstaining:
         found.append(F.when(F.array_contains(acts, "abstain"), F.lit("no rule for abstaining")))
-    route, there = text_of(v, "route"), kind(v, "route")
+    route, there = f.text("route"), f.kind("route")
     found.append(F.when(there.isNotNull() & (there != "VOID") & (F.coalesce(route, F.lit("")) == ""), F.lit("route is no name")))
     found.append(F.when((route != "") & ~F.array_contains("views", route), F.concat(F.lit("route isn't declared: "), route)))
     for key in ("ranked_views", "view_set"):
-        is_ = kind(v, key)
-        names = F.when(is_.isin("ARRAY<STRING>", "ARRAY<VOID>") & ~truthy_void(v, key), F.try_variant_get(v, f"$.{key}", "array<string>"))
+        is_, names = f.kind(key), f.names(key)
         other = F.array_sort(F.array_except(F.array_distinct(names), F.col("views")))
         twice = F.size(names) != F.size(F.array_distinct(names))
         found.append(F.when(is_.isNotNull() & (is_ != "VOID") & names.isNull(), F.lit(f"{key} is no list of names")))
         found.append(F.when(twice, F.lit(f"{key} names a view twice")))
         found.append(F.when(~twice & (F.size(other) > 0), F.concat(F.lit(f"{key} has undeclared views: "), F.array_join(other, ", "))))
-    found.append(F.when(kind(v, "abstain") != "BOOLEAN", F.lit("abstain is no boolean")))
-    runtime = kind(v, "runtime_s")
-    number = F.try_variant_get(v, "$.runtime_s", "double")
+    found.append(F.when(f.kind("abstain") != "BOOLEAN", F.lit("abstain is no boolean")))
+    runtime, number = f.kind("runtime_s"), f.shown("runtime_s").try_cast("double")
     found.append(F.when(runtime.isNotNull() & (~runtime.rlike(_NUMBER) | (number < 0)), F.lit("runtime_s is no number from 0 up")))
     each = met.select("line", F.explode(F.array_compact(F.array(*found))).alias("error"))
     keyed = ok.where("q is not null and c is not null").select("line", "q", "c")
@@ -241,8 +274,3 @@ def faults(rows: DataFrame, rules: Rules, manifest: DataFrame | None = None) ->
     below = leaks(ok.select("line", "raw"), "line", "raw", rules.forbidden).groupBy("line")
     leaking = below.agg(F.concat(F.lit("forbidden keys: "), F.array_join(F.array_sort(F.collect_list("path")), ", ")).alias("error"))
     return odd.unionByName(each).unionByName(again).unionByName(leaking)
-
-
-def truthy_void(v: Column, key: str) -> Column:
-    """Whether an array holds nulls only, one at least."""
-    return (kind(v, key) == "ARRAY<VOID>") & (F.try_variant_get(v, f"$.{key}", "string") != "[]")

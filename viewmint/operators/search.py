@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import core as C
 
 #: Rows of a shard of the base, and of a block of queries.
-SHARD_ROWS, BLOCK_ROWS = 20_000, 4_000
+SHARD_ROWS, BLOCK_ROWS = 20_000, 500
 #: Digits that scores are rounded to before they are ranked.
 DIGITS = 9
 
@@ -28,43 +28,59 @@ VIEWS = {
 }
 
 
-def _meet(k: int):
+def best_of(score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of each row's ``k`` highest scores above minus infinity,
+    best first, ties by column.  Only what reaches the k-th score is sorted."""
+    k = min(k, score.shape[1])
+    least = np.partition(score, score.shape[1] - k, axis=1)[:, score.shape[1] - k]
+    row, column = np.nonzero((score >= least[:, None]) & (score > -np.inf))
+    order = np.lexsort((column, -score[row, column], row))
+    row, column = row[order], column[order]
+    place = np.arange(len(row)) - np.searchsorted(row, row)
+    return row[place < k], column[place < k]
+
+
+def _meet(k: int, views: list[str]):
     def run(base: pa.Table, queries: pa.Table) -> pa.Table:
-        qs, ds, ss = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
+        out: dict[str, list] = {"qid": [np.zeros(0, np.int64)], "view": [], "did": [np.zeros(0, np.int64)], "score": [np.zeros(0)]}
         if base.num_rows and queries.num_rows:
-            x, q = (
-                t.column("_e").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(t.num_rows, -1) for t in (base, queries)
-            )
             did, qid = base.column("_id").to_numpy(), queries.column("_id").to_numpy()
             by_id = np.argsort(did)
-            x, did = x[by_id], did[by_id]
-            for a in range(0, len(q), 256):
-                score = np.round(q[a : a + 256] @ x.T, DIGITS)
-                score[qid[a : a + 256, None] == did[None, :]] = -np.inf
-                best = np.argsort(-score, axis=1, kind="stable")[:, :k]
-                top = np.take_along_axis(score, best, axis=1)
-                keep = top > -np.inf
-                qs.append(np.broadcast_to(qid[a : a + 256, None], best.shape)[keep])
-                ds.append(did[best][keep])
-                ss.append(top[keep])
-        return pa.table({"qid": np.concatenate(qs), "did": np.concatenate(ds), "score": np.concatenate(ss)})
+            did = did[by_id]
+            for v in views:
+                x, q = (t.column(f"_{v}").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(t.num_rows, -1) for t in (base, queries))
+                x = x[by_id]
+                for a in range(0, len(q), 256):
+                    score = np.round(q[a : a + 256] @ x.T, DIGITS)
+                    score[qid[a : a + 256, None] == did[None, :]] = -np.inf
+                    row, column = best_of(score, k)
+                    out["qid"].append(qid[a : a + 256][row])
+                    out["view"] += [v] * len(row)
+                    out["did"].append(did[column])
+                    out["score"].append(score[row, column])
+        return pa.table({n: pa.array(c, pa.string()) if n == "view" else np.concatenate(c) for n, c in out.items()})
 
     return run
 
 
-def top_k(base: DataFrame, queries: DataFrame, k: int, view: str = "full", id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """(qid, view, rank, did, score): inner-product top ``k`` under a view.
+def top_k_views(base: DataFrame, queries: DataFrame, k: int, views: list[str], id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """(qid, view, rank, did, score): inner-product top ``k`` under each view,
+    all of which meet at once.
 
     A row doesn't find itself.  Ties go to the smaller id.
     """
-    encode = VIEWS[view]
-    b = base.where(F.col(vector_col).isNotNull()).select(F.col(id_col).cast("long").alias("_id"), encode(F.col(vector_col)).alias("_e"))
-    q = queries.where(F.col(vector_col).isNotNull()).select(F.col(id_col).cast("long").alias("_id"), encode(F.col(vector_col)).alias("_e"))
+    side = lambda d: d.where(F.col(vector_col).isNotNull()).select(F.col(id_col).cast("long").alias("_id"), *[VIEWS[v](F.col(vector_col)).alias(f"_{v}") for v in views])
     shards, blocks = max(1, -(-base.count() // SHARD_ROWS)), max(1, -(-queries.count() // BLOCK_ROWS))
-    b = b.select("*", F.pmod(F.xxhash64("_id"), F.lit(shards)).cast("int").alias("_s"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_b"))
-    q = q.select("*", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("_s"), F.pmod(F.xxhash64("_id"), F.lit(blocks)).cast("int").alias("_b"))
-    met = b.groupBy("_s", "_b").cogroup(q.groupBy("_s", "_b")).applyInArrow(_meet(k), "qid long, did long, score double")
-    return ranked(met, k, view)
+    b = side(base).select("*", F.pmod(F.xxhash64("_id"), F.lit(shards)).cast("int").alias("_s"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_b"))
+    q = side(queries).select("*", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("_s"), F.pmod(F.xxhash64("_id"), F.lit(blocks)).cast("int").alias("_b"))
+    met = b.groupBy("_s", "_b").cogroup(q.groupBy("_s", "_b")).applyInArrow(_meet(k, views), "qid long, view string, did long, score double")
+    by = Window.partitionBy("qid", "view").orderBy(F.col("score").desc(), "did")
+    return met.withColumn("rank", F.row_number().over(by).cast("long")).where(F.col("rank") <= k).select("qid", "view", "rank", "did", "score")
+
+
+def top_k(base: DataFrame, queries: DataFrame, k: int, view: str = "full", id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """:func:`top_k_views` under one view."""
+    return top_k_views(base, queries, k, [view], id_col, vector_col)
 
 
 def ranked(scores: DataFrame, k: int, view: str) -> DataFrame:

@@ -8,32 +8,29 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.core import mix32
+
 
 #: Chances of at most 0, 1, 2 and so on of a Poisson variable of
-#: mean 1, in 32768ths, rounded.
-POISSON = (12055, 24109, 30137, 32146, 32648, 32749, 32765)
-#: Draws that one hash yields, of 15 bits each.
-DRAWS = 8
+#: mean 1, in 65536ths, rounded.
+POISSON = (24109, 48219, 60273, 64292, 65296, 65497, 65531, 65535)
 
 
 def bootstrap_ci(values: DataFrame, value: str, reps: int, seed: int = 11, index: str = "i") -> DataFrame:
     """(mean, lo, hi, positive, reps): percentile interval of resampled means,
     and the share of them above 0.
 
-    Rows are drawn by Poisson weights that a hash of (seed, block of draws,
-    ``index``) gives, so that every row draws for itself: one pass, in which
+    Rows are drawn by Poisson weights that a hash of seed, draw and ``index`` (a
+    whole number) gives, so that every row draws for itself: one pass, in which
     only a sum and a weight a draw leave a task.  For paired differences
     ``value`` is the difference.
     """
-    blocks = F.explode(F.sequence(F.lit(0), F.lit(-(-reps // DRAWS) - 1))).alias("_b")
-    drawn = values.select(F.col(value).alias("_v"), F.col(index).alias("_i"), blocks)
-    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("_b").cast("string"), F.col("_i").cast("string")))
-    halves = drawn.select("_v", "_b", digest.alias("_h")).select("_v", "_b", *[F.conv(F.substring("_h", at, 15), 16, 10).cast("long").alias(f"_h{at}") for at in (1, 17)])
-    bits = [F.shiftright(f"_h{at}", 15 * j).bitwiseAND(F.lit(32767)) for at in (1, 17) for j in range(DRAWS // 2)]
+    own = mix32(F.col(index).cast("long").bitwiseXOR(F.lit(seed).cast("long") * 1000003))
+    drawn = values.select(F.col(value).alias("_v"), own.alias("_h")).select("_v", "_h", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep"))
+    hashed = drawn.select("_v", "rep", mix32(F.col("_h") + F.col("rep") * F.lit(40503).cast("long")).bitwiseAND(F.lit(65535)).alias("_u")).where(F.col("_u") >= POISSON[0])
     weight = sum((F.when(F.col("_u") >= c, 1).otherwise(0) for c in POISSON), F.lit(0))
-    each = halves.select("_v", "_b", F.posexplode(F.array(*bits)).alias("_j", "_u")).where(F.col("_u") >= POISSON[0]).withColumn("_w", weight)
-    sums = each.groupBy((F.col("_b") * DRAWS + F.col("_j")).alias("rep")).agg((F.sum(F.col("_w") * F.col("_v")) / F.sum("_w")).alias("m"))
-    ends = sums.where(F.col("rep") < reps).agg(
+    sums = hashed.select("rep", "_v", weight.alias("_w")).groupBy("rep").agg((F.sum(F.col("_w") * F.col("_v")) / F.sum("_w")).alias("m"))
+    ends = sums.agg(
         F.percentile("m", F.array(F.lit(0.025), F.lit(0.975))).alias("q"), F.avg((F.col("m") > 0).cast("double")).alias("p"), F.count(F.lit(1)).alias("reps")
     )
     return values.agg(F.round(F.avg(value), 6).alias("mean")).crossJoin(ends).select("mean", F.round(F.col("q")[0], 6).alias("lo"), F.round(F.col("q")[1], 6).alias("hi"), F.round("p", 6).alias("positive"), "reps")
@@ -84,23 +81,55 @@ def running(rows: DataFrame, key: str, sums: list[str], descending: bool = False
     return joined.select(*[F.col(c) for c in rows.columns], *[(F.col(f"_s{i}") + F.col(f"_i{i}")).alias(f"{c}_before") for i, c in enumerate(sums)])
 
 
-def quantiles(rows: DataFrame, column: str, at: list[float]) -> list[float]:
-    """Exact quantiles of a numeric column, interpolated between neighbours;
-    nulls are passed over.  Only the neighbours come to the driver, and no task
-    counts all values."""
-    counts = rows.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_n")).persist()
+def quantiles_of(rows: DataFrame, columns: list[str], at: list[float]) -> dict[str, list[float]]:
+    """Exact quantiles of numeric columns, interpolated between neighbours;
+    nulls are passed over, and a column without values has none.
+
+    Values are counted by range; only the ranges that a quantile falls into are
+    looked at value by value, and only its neighbours come to the driver.
+    """
+    held = rows.select(*[F.col(c).cast("double").alias(c) for c in columns]).persist()  # read three times, and let go below
     try:
-        total = counts.agg(F.sum("_n")).first()[0]
-        if not total:
-            return []
-        places = [a * (total - 1) for a in at]
-        wanted = sorted({int(x) for p in places for x in (math.floor(p), math.ceil(p))})
-        hit = reduce(lambda a, b: a | b, [(F.col("_n_before") <= w) & (F.col("_n_before") + F.col("_n") > w) for w in wanted])
-        found = [(r["_n_before"], r["_n"], r["_v"]) for r in running(counts, "_v", ["_n"]).where(hit).collect()]  # two a quantile at most
+        return _quantiles_of(held, columns, at)
     finally:
-        counts.unpersist()
-    value = {w: v for w in wanted for before, n, v in found if before <= w < before + n}
-    return [value[math.floor(p)] + (value[math.ceil(p)] - value[math.floor(p)]) * (p - math.floor(p)) for p in places]
+        held.unpersist()
+
+
+def _quantiles_of(rows: DataFrame, columns: list[str], at: list[float]) -> dict[str, list[float]]:
+    cut = [sorted(set(e)) for e in rows.approxQuantile(columns, [i / RANGES for i in range(1, RANGES)], 1 / (4 * RANGES))]
+    range_of = lambda c, edges: F.size(F.filter(F.array(*[F.lit(float(e)) for e in edges]), lambda e: e <= F.col(c))) if edges else F.lit(0)
+    cells = [F.struct(F.lit(i).alias("c"), F.col(c).cast("double").alias("v"), range_of(c, cut[i]).alias("r")) for i, c in enumerate(columns)]
+    long = rows.select(F.explode(F.array(*cells)).alias("x")).select("x.*").where("v is not null")
+    counts = sorted((r["c"], r["r"], r["n"]) for r in long.groupBy("c", "r").agg(F.count(F.lit(1)).alias("n")).collect())  # columns x RANGES at most
+    places, before, wanted = {}, {}, {}
+    for i in range(len(columns)):
+        total = sum(n for c, _, n in counts if c == i)
+        places[i] = [a * (total - 1) for a in at] if total else []
+        need = {int(x) for p in places[i] for x in (math.floor(p), math.ceil(p))}
+        start = 0
+        for c, r, n in counts:
+            if c == i:
+                for w in need:
+                    if start <= w < start + n:
+                        wanted.setdefault((i, r), []).append(w)
+                before[i, r], start = start, start + n
+    if not wanted:
+        return {c: [] for c in columns}
+    some = long.where(reduce(lambda a, b: a | b, [(F.col("c") == c) & (F.col("r") == r) for c, r in wanted]))
+    seen = F.sum("n").over(Window.partitionBy("c", "r").orderBy("v"))
+    runs = some.groupBy("c", "r", "v").agg(F.count(F.lit(1)).alias("n")).withColumn("upto", seen)
+    hit = reduce(lambda a, b: a | b, [(F.col("c") == c) & (F.col("r") == r) & (F.col("upto") > w - before[c, r]) & (F.col("upto") - F.col("n") <= w - before[c, r]) for (c, r), ws in wanted.items() for w in ws])
+    value = {}
+    for row in runs.where(hit).collect():  # two a quantile and column at most
+        for w in wanted[row["c"], row["r"]]:
+            if row["upto"] - row["n"] <= w - before[row["c"], row["r"]] < row["upto"]:
+                value[row["c"], w] = row["v"]
+    low = lambda i, p: value[i, math.floor(p)]
+    return {c: [low(i, p) + (value[i, math.ceil(p)] - low(i, p)) * (p - math.floor(p)) for p in places[i]] for i, c in enumerate(columns)}
+
+
+def quantiles(rows: DataFrame, column: str, at: list[float]) -> list[float]:
+    return quantiles_of(rows, [column], at)[column]
 
 
 def top_rows(rows: DataFrame, value: str, key: str, share: float) -> DataFrame:

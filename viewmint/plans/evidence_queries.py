@@ -68,9 +68,9 @@ def _family(family: str) -> None:
     query(f"{long} select qid, view, ord, did, score, rank from rk", f"views_{family}")(lambda spark, sf_dir: E.views(_signals(spark, sf_dir), family))
 
     def quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-        s = _signals(spark, sf_dir).persist()
-        rel = s.where("gold = 1").select("qid", "did", F.lit(1.0).alias("rel"))
-        return M.ndcg(E.views(s, family), rel, 4).groupBy("view").agg(F.round(F.avg("ndcg"), 6).alias("ndcg"))
+        qs, pool = _pool(spark, sf_dir)
+        held = pool.join(qs.select("qid", F.col("text").alias("_q")), "qid").where(F.contains("text", "_q"))
+        return M.ndcg(E.views(_signals(spark, sf_dir), family), held.select("qid", "did", F.lit(1.0).alias("rel")), 4).groupBy("view").agg(F.round(F.avg("ndcg"), 6).alias("ndcg"))
 
     query(
         f"""{long}, rel as (select qid, did from sig where gold = 1), n as (select qid, list_sum(list_transform(range(1, least(count(*), 4) + 1), lambda k: 1 / log2(k + 1))) as ideal from rel group by qid),

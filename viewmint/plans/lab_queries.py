@@ -51,7 +51,7 @@ def families(spark, sf_dir):
 @query()
 def recon_methods(spark, sf_dir):
     """Every method's course on every family."""
-    points = L.curves(spark, 90).persist()
+    points = L.curves(spark, 90)
     return reduce(DataFrame.unionByName, [L.reconstruct(points, m).withColumn("method", F.lit(m)) for m in L.METHODS])
 
 
@@ -64,7 +64,7 @@ def sketches(spark, sf_dir):
 def view_choice(spark, sf_dir):
     """Each family's nearest other family by coarse sketch, and if it has as
     many parts: a correct pick minus its price."""
-    s = L.sketch(L.curves(spark, 120)).persist()
+    s = L.sketch(L.curves(spark, 120))
     o = s.select(F.col("cell").alias("other"), "i", "j", F.col("share").alias("os"))
     cells = s.select("cell").distinct()
     pairs = cells.crossJoin(cells.withColumnRenamed("cell", "other")).where("cell != other")
@@ -80,7 +80,7 @@ def view_choice(spark, sf_dir):
 @query()
 def solvers(spark, sf_dir):
     """Chamfer distance of three solvers' clouds to the curves."""
-    points = L.curves(spark, 90).drop("family").persist()
+    points = L.curves(spark, 90).drop("family")
     made = {"template": L.moment_gaussian, "blind": L.blind_search, "random": L.random_support}
     return reduce(DataFrame.unionByName, [Geo.chamfer(L.solve_cells(points, f), points).withColumn("solver", F.lit(n)) for n, f in made.items()])
 

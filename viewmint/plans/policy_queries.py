@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -287,15 +289,19 @@ def dag_accounting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     means = _means(view_table(spark, sf_dir)).select("view", "cost")
     edges = spark.createDataFrame(list(DENSE_PARENTS.items()), "view string, parent string")
-    means.createOrReplaceTempView("dag_costs")
-    edges.createOrReplaceTempView("dag_edges")
-    return spark.sql("""
+    names = {n: f"dag_{n}_{uuid.uuid4().hex}" for n in ("costs", "edges")}
+    means.createOrReplaceTempView(names["costs"])
+    edges.createOrReplaceTempView(names["edges"])
+    summed = spark.sql(f"""
         with recursive up(view, at, total) as (
-          select view, view, cost from dag_costs
+          select view, view, cost from {names["costs"]}
           union all
-          select u.view, e.parent, u.total + c.cost from up u join dag_edges e on e.view = u.at join dag_costs c on c.view = e.parent)
+          select u.view, e.parent, u.total + c.cost from up u join {names["edges"]} e on e.view = u.at join {names["costs"]} c on c.view = e.parent)
         select c.view, coalesce(e.parent, '') as parent, c.cost as incremental_cost, round(max(u.total), 6) as cumulative_cost
-        from up u join dag_costs c on c.view = u.view left join dag_edges e on e.view = c.view group by 1, 2, 3""")
+        from up u join {names["costs"]} c on c.view = u.view left join {names["edges"]} e on e.view = c.view group by 1, 2, 3""")
+    for name in names.values():
+        spark.catalog.dropTempView(name)
+    return summed
 
 
 @query(_MEANS + """, s as (select *, lag(quality) over w as q0, lag(cost) over w as c0 from m window w as (order by ord)),

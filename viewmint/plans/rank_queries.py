@@ -42,8 +42,10 @@ def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def rankings(spark: SparkSession, sf_dir: str, *views: str) -> DataFrame:
     e = _vectors(spark, sf_dir)
-    made = [S.centroid_search(e, e, K, F.expr(CELL)) if v == "summary" else S.top_k(e, e, K, v) for v in views or COSTS]
-    return reduce(DataFrame.unionByName, made)
+    wanted = list(views or COSTS)
+    flat = [v for v in wanted if v != "summary"]
+    made = [S.centroid_search(e, e, K, F.expr(CELL))] if "summary" in wanted else []
+    return reduce(DataFrame.unionByName, made + ([S.top_k_views(e, e, K, flat)] if flat else []))
 
 
 def teacher(ranked: DataFrame) -> DataFrame:

@@ -160,9 +160,17 @@ def router_pairwise(spark: SparkSession, sf_dir: str) -> DataFrame:
 _REPS = 1000
 
 
-@query(f"""with {_WIDE}, h as (select query_id, u_full - u_pq as v, b, md5('11:' || b::varchar || ':' || query_id::varchar) as m from wide, (select unnest(range({_REPS // T.DRAWS})) as b)),
-u as (select b, v, j, ((('0x' || substr(m, case when j < 4 then 1 else 17 end, 15))::bigint >> (15 * (j % 4))) & 32767) as u from h, (select unnest(range({T.DRAWS})) as j)),
-w as (select b * {T.DRAWS} + j as rep, v, {" + ".join(f"(u >= {c})::int" for c in T.POISSON)} as w from u),
+def _mix(x: str, name: str, source: str) -> str:
+    """``source`` with the 32-bit mixer of ``x`` as a column more."""
+    low = "4294967295"
+    first = f"(select *, ({x}) & {low} as _a from {source})"
+    second = f"(select *, (xor(_a, _a >> 16) * 2146121005) & {low} as _b from {first})"
+    return f"(select * exclude (_a, _b, _c), xor(_c, _c >> 16) as {name} from (select *, (xor(_b, _b >> 15) * 73244475) & {low} as _c from {second}))"
+
+
+@query(f"""with {_WIDE}, d as (select h, v, rep from {_mix("xor(query_id, 11 * 1000003)", "h", "(select query_id, u_full - u_pq as v from wide)")}, (select unnest(range({_REPS})) as rep)),
+u as (select rep, v, g & 65535 as u from {_mix("h + rep * 40503", "g", "d")}),
+w as (select rep, v, {" + ".join(f"(u >= {c})::int" for c in T.POISSON)} as w from u),
 m as (select rep, sum(w * v) / sum(w) as m from w group by rep)
 select (select round(avg(u_full - u_pq), 6) from wide) as mean, round(quantile_cont(m, 0.025), 6) as lo, round(quantile_cont(m, 0.975), 6) as hi, round(avg((m > 0)::int::double), 6) as positive, count(*) as reps from m""")
 def boot_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
