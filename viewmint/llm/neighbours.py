@@ -30,7 +30,7 @@ from .common import hot_join, stored
 WIDTH = 2.4
 #: Tables, projections of a cell, and most probes of a table that the fit
 #: chooses from.
-TABLES, HASHES, MOST_PROBES = (2, 4, 8), (4, 8, 12, 16), 2048
+TABLES, HASHES, MOST_PROBES = (2, 4, 8), (4, 8, 12, 16), 1024
 #: Vectors of the sample on average, those of it whose neighbours are looked
 #: up, and the share of these neighbours that the probes have to meet.
 SAMPLE_ROWS, SAMPLE_QUERIES, AIM = 4096, 48, 0.95
