@@ -21,6 +21,8 @@ from .common import SPACES, row_key, stored, without
 
 #: Shrinkage towards the pooled covariance, and then towards the identity.
 TO_POOLED, TO_IDENTITY = 0.1, 0.02
+#: Characters of markup, tables, code and noise, which prose has few of.
+MARKS = r"#$%&*|<>{}\[\]\\^~`"
 #: A document is kept if its score is at least this.
 KEEP_FROM = 0.3
 
@@ -52,10 +54,9 @@ def statistics(text: Column) -> list[Column]:
         rate(again, n, 0.01, 10),
         rate(short, n, 0.4, 10),
         rate(_count(text, r"A-Z"), chars, 0.03, 60),
-        rate(_count(text, r"#$%&*"), chars, 0.001, 60),
-        rate(_count(text, r"!"), chars, 0.0005, 60),
-        rate(_count(text, r"|"), chars, 0.0005, 60),
-        rate(_count(text, r".,"), chars, 0.02, 60),
+        rate(_count(text, MARKS), chars, 0.002, 60),
+        rate(_count(text, r"!?"), chars, 0.001, 60),
+        rate(_count(text, r".,;:"), chars, 0.02, 60),
         rate(_count(text, r"0-9"), chars, 0.003, 60),
         F.log((chars + 60) / (n + 10)),
     ]
