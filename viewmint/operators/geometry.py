@@ -149,12 +149,41 @@ def structure(points: DataFrame) -> DataFrame:
     )
 
 
-def drawdown_view(prices: DataFrame) -> DataFrame:
-    """(cell, drawdown, vol, view) of a price path (cell, idx, price): the
-    largest fall from a running peak, and the deviation of log returns."""
-    along = Window.partitionBy("cell").orderBy("idx")
-    peak = F.max("price").over(along.rowsBetween(Window.unboundedPreceding, 0))
-    path = prices.select("cell", "idx", ((peak - F.col("price")) / peak).alias("fall"), (F.log("price") - F.log(F.lag("price").over(along))).alias("r"))
-    per = path.groupBy("cell").agg(F.max("fall").alias("drawdown"), F.coalesce(F.stddev_pop("r"), F.lit(0.0)).alias("vol"))
-    view = F.when(F.col("drawdown") >= 0.18, "point").when(F.col("vol") >= 0.018, "raster").when(F.col("vol") >= 0.010, "occupancy").otherwise("moments")
-    return per.select("cell", F.round("drawdown", 6).alias("drawdown"), F.round("vol", 6).alias("vol"), view.alias("view"))
+def failure(made: DataFrame, target: DataFrame, source: DataFrame) -> DataFrame:
+    """(cell, locking, collapse, topology, dominant) of points that should come
+    to ``target`` and started at ``source``.
+
+    Locking: how much nearer they stay to the source, in mean squared nearest
+    distance; collapse: what isn't covered, by how uneven the points are;
+    topology: cells of the raster that only one of the two has.  The largest
+    dominates, the first in that order on ties.
+    """
+    near = lambda to, name: nearest(made, to).groupBy("cell").agg(F.avg(F.pow("d", 2)).alias(name))
+    parts = coverage(made, target).join(uniformity(made), "cell").join(raster_overlap(made, target).select("cell", "xor"), "cell").join(near(target, "dt"), "cell").join(near(source, "ds"), "cell", "left")
+    r = lambda c: F.round(c, 6)
+    locking = r(F.greatest(F.lit(0.0), F.coalesce(F.col("dt") - F.col("ds"), F.lit(0.0))))
+    scored = parts.select("cell", locking.alias("locking"), r(F.greatest(F.lit(0.0), (1 - F.col("coverage")) * F.greatest("uniformity", F.lit(0.0)))).alias("collapse"), r("xor").alias("topology"))
+    top = F.greatest("locking", "collapse", "topology")
+    return scored.withColumn("dominant", F.when(F.col("locking") == top, "locking").when(F.col("collapse") == top, "collapse").otherwise("topology"))
+
+
+def price_windows(prices: DataFrame, size: int, windows: int) -> DataFrame:
+    """(cell, start, idx, x, y, price): evenly spaced windows of ``size`` prices
+    of each series (cell, idx from 1, price), ``windows`` of them at most; a
+    series of ``size`` or fewer is one window.
+
+    x runs from -1 to 1; y is the cumulative log return, centred and scaled to a
+    deviation of 0.35.
+    """
+    n = prices.groupBy("cell").agg(F.max("idx").alias("n"))
+    last = F.col("n") - size
+    steps = F.when(last <= 0, F.array(F.lit(0).cast("long"))).when(last + 1 <= windows, F.sequence(F.lit(0).cast("long"), F.greatest(last, F.lit(0)).cast("long")))
+    spaced = F.transform(F.sequence(F.lit(0), F.lit(windows - 1)), lambda i: F.rint(i * last / F.lit(float(max(windows - 1, 1)))).cast("long"))
+    starts = n.select("cell", F.explode(F.array_sort(F.array_distinct(F.coalesce(steps, spaced)))).alias("start"))
+    within = prices.join(starts, "cell").where((F.col("idx") > F.col("start")) & (F.col("idx") <= F.col("start") + size)).withColumn("at", F.col("idx") - F.col("start"))
+    w = Window.partitionBy("cell", "start")
+    base = F.min_by(F.log("price"), "at").over(w)
+    path = within.withColumn("_c", F.log("price") - base).withColumn("_k", F.count(F.lit(1)).over(w)).withColumn("_m", F.avg("_c").over(w)).withColumn("_s", F.stddev_pop("_c").over(w))
+    scale = F.when(F.col("_s") > 1e-12, F.col("_s")).otherwise(1.0)
+    x = F.lit(-1.0) + F.lit(2.0) * (F.col("at") - 1) / F.greatest(F.col("_k") - 1, F.lit(1))
+    return path.select("cell", "start", F.col("at").alias("idx"), F.round(x, 6).alias("x"), F.round(0.35 * (F.col("_c") - F.col("_m")) / scale, 6).alias("y"), "price")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.core import tokens
+from ..functions.core import norm_title, token_set, tokens
 
 #: Fixed values of BM25.
 K1, B = 1.2, 0.75
@@ -135,3 +135,37 @@ def fallback_anchor(score: Column, at_least: float) -> Column:
     """Rows that reach a score, or the best of the query if none does."""
     best = F.max(score).over(Window.partitionBy("qid"))
     return (score >= at_least) | ((best < at_least) & (score == best))
+
+
+def title_anchors(pairs: DataFrame, least: float = 0.5) -> DataFrame:
+    """(qid, did, anchor) of titles (qid, did, question, title): a title that
+    stands in the question, or that shares ``least`` of its words with it and one
+    at least; the first of those that share most words if there is none."""
+    q, t = token_set(F.col("question")), token_set(F.col("title"))
+    both = pairs.select("qid", "did", F.size(F.array_intersect(q, t)).alias("_n"), F.size(t).alias("_t"), F.contains(norm_title(F.col("question")), norm_title(F.col("title"))).alias("_in"), (norm_title(F.col("title")) != "").alias("_some"))
+    plain = (F.col("_some") & F.col("_in")) | ((F.col("_n") >= least * F.greatest(F.col("_t"), F.lit(1))) & (F.col("_n") >= 1))
+    of = Window.partitionBy("qid")
+    ranked = both.withColumn("_a", F.coalesce(plain, F.lit(False))).withColumn("_any", F.max("_a").over(of)).withColumn("_r", F.row_number().over(of.orderBy(F.col("_n").desc(), "did")))
+    return ranked.select("qid", "did", F.when(F.col("_any"), F.col("_a")).otherwise(F.col("_r") == 1).alias("anchor"))
+
+
+def hyper_scores(pool: DataFrame, edges: DataFrame, first: DataFrame) -> DataFrame:
+    """(qid, node, one, two): links into each node of a query's pool.
+
+    ``pool``: qid, node, anchor, overlap; ``edges``: src, dst, distinct;
+    ``first``: qid, node, the titles that a first hop found.  A link from the
+    pool weighs 1.5 from an anchor, else 0.35.  A link from a first-hop title
+    adds 0.6 if that title has one-hop weight itself, else 0.3.  Degree, up to
+    50, adds a hundredth and the title's overlap a twentieth.
+    """
+    # an anchor's link counts twice: its weight of 1 and half a point as a link of an anchor
+    weight = F.when(F.col("anchor"), 1.5).otherwise(0.35)
+    into = pool.select("qid", F.col("node").alias("src"), weight.alias("w")).join(edges, "src").groupBy("qid", F.col("dst").alias("node")).agg(F.sum("w").alias("one"))
+    one = pool.join(into, ["qid", "node"], "left").na.fill(0.0, ["one"])
+    deg = edges.groupBy(F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("deg"))
+    mids = first.select("qid", "node").distinct().join(one.select("qid", "node", F.col("one").alias("_o")), ["qid", "node"], "left")
+    mids = mids.select("qid", F.col("node").alias("src"), F.when(F.col("_o") > 0, 0.6).otherwise(0.3).alias("w"))
+    over = mids.join(edges, "src").groupBy("qid", F.col("dst").alias("node")).agg(F.sum("w").alias("hop"))
+    met = one.join(over, ["qid", "node"], "left").join(deg, "node", "left").na.fill(0, ["hop", "deg"])
+    two = F.col("one") + F.col("hop") + 0.01 * F.least("deg", F.lit(50)) + 0.05 * F.col("overlap")
+    return met.select("qid", "node", F.round("one", 6).alias("one"), F.round(two, 6).alias("two"))

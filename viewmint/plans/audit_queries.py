@@ -23,18 +23,6 @@ def legacy_leaderboard(spark, sf_dir):
     return m.withColumn("place", F.row_number().over(Window.orderBy(F.col("feasible").desc(), "score", "method")).cast("long"))
 
 
-@query(f"""with {VM}, w as (select query_id, max(case when view = 'summary' then quality end) as s, max(case when view = 'full' then quality end) as g from vm group by query_id)
-select min(query_id) as first_query, count(*) as traces from w where g > s + 0.05::double""")
-def trace_row(spark, sf_dir):
-    wide = view_table(spark, sf_dir).groupBy("query_id").pivot("view", ["summary", "full"]).agg(F.max("quality"))
-    return wide.where(F.col("full") > F.col("summary") + 0.05).agg(F.min("query_id").alias("first_query"), F.count(F.lit(1)).alias("traces"))
-
-
-@query(_BM25 + ", m as (select *, max(score) over (partition by qid) as top from bm) select qid, did, score >= 12 or (top < 12 and score = top) as anchor from m")
-def anchors(spark, sf_dir):
-    return T.bm25_local(*_pool(spark, sf_dir)).select("qid", "did", T.fallback_anchor(F.col("score"), 12.0).alias("anchor"))
-
-
 @query(_BM25 + """, p as (select qid, did, row_number() over (partition by qid order by md5(qid::varchar || ':degree:' || did::varchar), did) as place from bm),
 w as (select qid, score, row_number() over (partition by qid order by score desc, did) as place from bm where score > 0) select p.qid, p.did, coalesce(w.score, 0) as score from p left join w using (qid, place)""")
 def ctl_degree(spark, sf_dir):
@@ -123,14 +111,6 @@ def local_density(spark, sf_dir):
     return m.groupBy("cell").agg(F.round(F.avg("m"), 6).alias("density"), F.round(F.var_pop("m") / F.greatest(F.pow(F.avg("m"), 2), F.lit(1e-12)), 6).alias("variation"))
 
 
-@query(f"""with {VM}, w as (select query_id, max(case when view = 'summary' then quality end) as bi, max(case when view = 'full' then quality end) as cross_ from vm group by query_id)
-select query_id, round(cross_ - bi, 6) as raw_gain, round(cross_ - bi - 0.08::double * 0.45::double, 6) as net_gain, cross_ - bi > 0.08::double * 0.45::double as worth_buying from w""")
-def boundary_table(spark, sf_dir):
-    w = view_table(spark, sf_dir).groupBy("query_id").pivot("view", ["summary", "full"]).agg(F.max("quality"))
-    gain, price = F.col("full") - F.col("summary"), F.lit(0.08) * F.lit(0.45)
-    return w.select("query_id", F.round(gain, 6).alias("raw_gain"), F.round(gain - price, 6).alias("net_gain"), (gain > price).alias("worth_buying"))
-
-
 @query(f"""with {VM}, r as (select query_id, case when price > 200000 then 'full' else 'pq' end as view from vm where ord = 0),
 u as (select dataset, utility from r join vm using (query_id, view)) select dataset, count(*) as queries, round(avg(utility), 8) as chosen_utility from u group by dataset""")
 def util_for_choices(spark, sf_dir):
@@ -151,15 +131,6 @@ def fitted_q_scopes(spark, sf_dir):
     return w.groupBy("dataset").agg(F.count(F.lit(1)).alias("complete"), F.round(F.avg("binary"), 6).alias("binary_reward"), F.round(F.avg("full"), 6).alias("full_reward"))
 
 
-@query("""with a as (select c_mktsegment as method, avg(c_acctbal) as v from customer where c_custkey % 2 = 0 group by 1), b as (select c_mktsegment as method, avg(c_acctbal) as v from customer where c_custkey % 2 = 1 group by 1)
-select method, round(a.v, 4) as public, round(b.v, 4) as private, round(abs(a.v - b.v), 4) as delta from a join b using (method)""")
-def private_seed(spark, sf_dir):
-    """The same board under two halves of the seeds, and how far they differ."""
-    side = lambda k: F.avg(F.when(F.col("c_custkey") % 2 == k, F.col("c_acctbal")))
-    m = read(spark, sf_dir, "customer").groupBy(F.col("c_mktsegment").alias("method")).agg(side(0).alias("a"), side(1).alias("b"))
-    return m.select("method", F.round("a", 4).alias("public"), F.round("b", 4).alias("private"), F.round(F.abs(F.col("a") - F.col("b")), 4).alias("delta"))
-
-
 @query("select event_type, arg_max(event_id, (value, -event_id)) as hardest, round(max(value), 6) as severity, round(median(value), 6) as middle from events group by 1")
 def representative(spark, sf_dir):
     return read(spark, sf_dir, "events").groupBy("event_type").agg(F.max_by("event_id", F.struct(F.col("value"), -F.col("event_id"))).alias("hardest"), F.round(F.max("value"), 6).alias("severity"), F.round(F.percentile("value", F.lit(0.5)), 6).alias("middle"))

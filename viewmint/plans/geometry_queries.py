@@ -118,13 +118,6 @@ def feat_struct(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.structure(_paths(spark, sf_dir))
 
 
-@query(f"""with {_PATHS}, p as (select cell, idx, y + 1 as price from ev), q as (select *, max(price) over (partition by cell order by idx) as peak, ln(price) - ln(lag(price) over (partition by cell order by idx)) as r from p),
-s as (select cell, max((peak - price) / peak) as drawdown, coalesce(stddev_pop(r), 0) as vol from q group by cell)
-select cell, round(drawdown, 6) as drawdown, round(vol, 6) as vol, case when drawdown >= 0.18 then 'point' when vol >= 0.018 then 'raster' when vol >= 0.010 then 'occupancy' else 'moments' end as view from s""")
-def price_window(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.drawdown_view(_paths(spark, sf_dir).select("cell", "idx", (F.col("y") + 1).alias("price")))
-
-
 @query(f"""with {_PATHS} select cell, round(arg_min(y, idx), 6) as first_y, round(arg_max(y, idx), 6) as last_y, count(*) as steps from ev group by cell""")
 def archetypes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """First and last state of each trajectory."""

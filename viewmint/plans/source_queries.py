@@ -62,19 +62,6 @@ def expand_text(spark, sf_dir):
     return best.select("qid", F.array_join(F.transform("l", lambda s: s["node"]), " ").alias("text"))
 
 
-@query(f"""with {_CTX}, deg as (select src as node, count(*) as deg from edges group by 1),
-ins as (select a.qid, dst as node, sum(case when a.anchor then 1.5::double else 1.0::double end) as w from pool a join edges on a.node = src join pool b on b.qid = a.qid and b.node = dst group by all)
-select qid, node, round(coalesce(w, 0) + 0.01::double * least(coalesce(deg, 0), 50), 6) as score from pool left join ins using (qid, node) left join deg using (node)""")
-def graph_hyper(spark, sf_dir):
-    """Links from the context, more from anchors, and a little for degree."""
-    pool, edges = _context(spark, sf_dir)
-    deg = edges.groupBy(F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("deg"))
-    a = pool.select("qid", F.col("node").alias("src"), F.when(F.col("anchor"), 1.5).otherwise(1.0).alias("w"))
-    into = a.join(edges, "src").groupBy("qid", F.col("dst").alias("node")).agg(F.sum("w").alias("w"))
-    joined = pool.join(into, ["qid", "node"], "left").join(deg, "node", "left").na.fill(0, ["w", "deg"])
-    return joined.select("qid", "node", F.round(F.col("w") + 0.01 * F.least("deg", F.lit(50)), 6).alias("score"))
-
-
 @query("""select 'orders' as audit, max(o_totalprice) as top, count(*) as n from orders union all select 'lines', max(l_extendedprice), count(*) from lineitem union all select 'events', max(value), count(*) from events""")
 def compact_audit(spark, sf_dir):
     one = lambda t, c, n: read(spark, sf_dir, t).agg(F.lit(n).alias("audit"), F.max(c).alias("top"), F.count(F.lit(1)).alias("n"))
@@ -119,15 +106,6 @@ def src_ir(spark, sf_dir):
     return rel.join(q.select("qid").orderBy(order, "qid").limit(15), "qid", "left_semi")
 
 
-@query(f"""with {_POINTS}, s as (select cell, count(*) as n, count(distinct (floor(x), floor(y))) as cells, stddev_pop(x) + stddev_pop(y) as spread from a group by cell)
-select cell, round(1 - cells / n, 6) as collapse, round(spread, 4) as spread, case when 1 - cells / n > 0.1 then 'collapse' when spread < 20 then 'locking' else 'topology' end as dominant from s""")
-def failure(spark, sf_dir):
-    a = _sides(spark, sf_dir)[0]
-    s = a.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.countDistinct(F.struct(F.floor("x"), F.floor("y"))).alias("cells"), (F.stddev_pop("x") + F.stddev_pop("y")).alias("spread"))
-    gone = 1 - F.col("cells") / F.col("n")
-    return s.select("cell", F.round(gone, 6).alias("collapse"), F.round("spread", 4).alias("spread"), F.when(gone > 0.1, "collapse").when(F.col("spread") < 20, "locking").otherwise("topology").alias("dominant"))
-
-
 @query("""with p as (select user_id, max((event_type = 'purchase')::int) as bought, max((event_type = 'error')::int) as failed from events group by 1)
 select bought, failed, count(*) as n, round(count(*) / sum(count(*)) over (), 6) as share, bought <> failed as disagree from p group by bought, failed""")
 def action_audit(spark, sf_dir):
