@@ -227,3 +227,49 @@ def test_collections_as_published(spark, tmp_path):
     rel = S.load_docred(read(S.RAW_DOCRED, doc, {"doc_id": "short", "sents": [["x"]], "labels": [{"h": 0, "t": 0, "r": "P", "evidence": [0]}]}), spark.createDataFrame([("P9", "met with")], "r string, name string")).collect()
     assert len(rel) == 1 and (rel[0]["head"], rel[0]["tail"], rel[0]["relevant_local"]) == ("Anny", "Bob", [0])
     assert rel[0]["query_text"] == "T: evidence for relation met with between Anny and Bob" and rel[0]["summary_scores"] == pytest.approx([2.0 + 0.25 * 0.5, -0.001])
+
+
+def test_documents_and_inventories(spark, tmp_path):
+    files.write_json(spark.createDataFrame([(2, "y"), (1, "x")], "b int, a string"), str(tmp_path / "doc"))
+    assert [json.loads(r["value"]) for r in spark.read.text(str(tmp_path / "doc")).collect()] == [[{"a": "x", "b": 1}, {"a": "y", "b": 2}]]
+    root = tmp_path / "tree"
+    for name in ("top.md", "reports/r.json", "docs/d.md", "docs/x_cache/skip.bin"):
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_text(name)
+    got = {r["path"]: (r["role"], r["bytes"], r["sha256"] == files.sha256_of(str(root / r["path"]))) for r in files.inventory(spark, str(root), [("/", "entry"), ("reports/", "report")], [r"_cache/"]).collect()}
+    assert got == {"top.md": ("entry", 6, True), "reports/r.json": ("report", 14, True), "docs/d.md": ("file", 9, True)}
+    catalog = spark.createDataFrame([("a", 1)], "name string, n int")
+    assert files.lookup(catalog, "name", "a")["n"] == 1
+    with pytest.raises(KeyError):
+        files.lookup(catalog, "name", "b")
+
+
+def test_logs_are_appended_once(spark, tmp_path):
+    from viewmint.streaming import streams
+
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    events.where("event_id % 2 = 0").write.mode("append").parquet(str(tmp_path / "in"))
+    rows = streams.event_stream(spark, str(tmp_path / "in"), 10).select("event_id")
+    for _ in range(2):
+        streams.append_log(rows, str(tmp_path / "log"), str(tmp_path / "cp")).awaitTermination()
+    assert spark.read.json(str(tmp_path / "log")).count() == events.where("event_id % 2 = 0").count()
+    events.where("event_id % 2 = 1").write.mode("append").parquet(str(tmp_path / "in"))
+    streams.append_log(rows, str(tmp_path / "log"), str(tmp_path / "cp")).awaitTermination()
+    assert spark.read.json(str(tmp_path / "log")).count() == events.count()
+
+
+def test_tasks_by_name(spark):
+    from viewmint.operators import tasks
+
+    truth = spark.createDataFrame([(1, "a"), (2, "a"), (3, "b")], "id long, label string")
+    got = tasks.evaluate("diagnosis", spark.createDataFrame([(1, "a"), (3, "a")], "id long, label string"), truth).first()
+    assert tuple(got) == (3, pytest.approx(1 / 3, abs=1e-6), 0.25)
+    views = truth.withColumnRenamed("label", "view")
+    assert tasks.evaluate("interpretation", views, views).first()["agreement"] == 1.0
+    points = spark.createDataFrame([(1, i, float(i), float(i % 3)) for i in range(6)], "cell long, idx long, x double, y double")
+    r = tasks.evaluate("recovery", points, points).first()
+    assert r["chamfer"] == 0 and r["iou"] == 1 and r["coverage"] == 1
+    ranked = spark.createDataFrame([(1, "v", 1, 5)], "qid long, view string, rank long, did long")
+    assert tasks.evaluate("retrieval", ranked, spark.createDataFrame([(1, 5, 1.0)], "qid long, did long, rel double")).first()["ndcg"] == 1.0
+    with pytest.raises(KeyError):
+        tasks.evaluate("other", truth, truth)

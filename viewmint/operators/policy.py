@@ -204,3 +204,29 @@ def success(real: DataFrame, control: DataFrame, least: float = 0.015, share: fl
     tests = {"delta_passes": F.col("delta") > least, "interval_passes": F.col("lo") > 0, "share_passes": F.col("positive") >= share, "beats_control": F.col("delta") > F.col("control_delta")}
     met = real.crossJoin(c).withColumns(tests)
     return met.withColumn("success", reduce(lambda a, b: a & b, [F.col(t) for t in tests]))
+
+
+def split_board(views: DataFrame, split: DataFrame, group: str, menus: dict[str, list[str]]) -> DataFrame:
+    """(menu, policy, queries, utility, regret) of one split, on its test part.
+
+    ``split`` has (query_id, split).  Under each menu, which restricts the views,
+    the fixed policy buys the view that is best on the train part, the grouped
+    one the view that is best there in the query's ``group`` (the fixed one for
+    groups that the train part lacks), and the oracle each query's best.
+    """
+    parts = views.join(split.select("query_id", "split"), "query_id")
+    out = []
+    for name, allowed in menus.items():
+        some = parts.where(F.col("view").isin(*allowed))
+        train, test = some.where("split = 'train'"), some.where("split = 'test'")
+        mean = F.round(F.avg("utility"), 9).alias("utility")
+        fixed = train.groupBy("view", "ord").agg(mean).agg(best_by("utility").alias("b")).select(F.col("b.view").alias("_fixed"))
+        own = train.groupBy(group, "view", "ord").agg(mean).groupBy(group).agg(best_by("utility").alias("b")).select(F.col(group).alias("_g"), F.col("b.view").alias("_own"))
+        bought = lambda v: F.max(F.when(F.col("view") == v, F.col("utility")))
+        met = test.join(own, F.col(group).eqNullSafe(F.col("_g")), "left").crossJoin(F.broadcast(fixed)).groupBy("query_id").agg(
+            bought(F.col("_fixed")).alias("fixed"), bought(F.coalesce("_own", "_fixed")).alias("grouped"), F.max("utility").alias("oracle")
+        )
+        cells = F.array(*[F.struct(F.lit(p).alias("policy"), F.col(p).alias("u")) for p in ("fixed", "grouped", "oracle")])
+        long = met.select("oracle", F.explode(cells).alias("c"))
+        out.append(long.groupBy(F.lit(name).alias("menu"), F.col("c.policy").alias("policy")).agg(F.count(F.lit(1)).alias("queries"), F.round(F.avg("c.u"), 6).alias("utility"), F.round(F.avg(F.col("oracle") - F.col("c.u")), 6).alias("regret")))
+    return reduce(DataFrame.unionByName, out)

@@ -9,9 +9,11 @@ from ..functions.core import hash_unit
 from ..operators import gates as G
 from ..operators import policy as P
 from ..operators import stats as T
+from ..operators.splits import split_602020
 from .fixtures import VM, view_table
 from .policy_queries import _CE, _MEANS, _gains, _means
 from .registry import query, read
+from .stats_queries import _SPLIT
 
 _AT7 = [0.05, 0.2, 0.35, 0.5, 0.65, 0.8, 0.95]
 _FOUR = ("summary", "pq", "int8", "full")
@@ -135,3 +137,26 @@ def label_budget(spark, sf_dir):
     per = drawn.groupBy("budget", "seed").agg(F.avg("gain").alias("g"), F.count(F.lit(1)).alias("c"))
     random = per.groupBy("budget").agg(F.round(F.avg("c"), 6).alias("labels"), F.round(F.avg("g"), 6).alias("mean_gain"), F.round(F.stddev_pop("g"), 6).alias("spread"))
     return valued.select(F.lit("valued").alias("arm"), "budget", "labels", "mean_gain", F.lit(0.0).alias("spread")).unionByName(random.select(F.lit("random").alias("arm"), "budget", "labels", "mean_gain", "spread"))
+
+
+_BOARD = {"all": ["summary", "binary", "pq", "int8", "hnsw16", "hnsw64", "full"], "cheap": ["summary", "binary", "pq"], "two": ["summary", "full"]}
+
+
+def _board_sql() -> str:
+    parts = []
+    for name, allowed in _BOARD.items():
+        views = ", ".join(f"'{v}'" for v in allowed)
+        parts.append(f"""select '{name}' as menu, p.policy, count(*) as queries, round(avg(u), 6) as utility, round(avg(o - u), 6) as regret from (
+  select query_id, max(utility) as o, max(case when view = fx then utility end) as uf, max(case when view = coalesce(ow, fx) then utility end) as ug from (
+    select t.query_id, t.view, t.utility, f.view as fx, g.view as ow from sv t left join (select dataset, view from (select dataset, view, ord, round(avg(utility), 9) as m from sv where split = 'train' and view in ({views}) group by all) qualify row_number() over (partition by dataset order by m desc, ord) = 1) g using (dataset),
+    (select view from (select view, ord, round(avg(utility), 9) as m from sv where split = 'train' and view in ({views}) group by all) order by m desc, ord limit 1) f where t.split = 'test' and t.view in ({views})) group by query_id) q,
+  lateral (select unnest(['fixed', 'grouped', 'oracle']) as policy, unnest([uf, ug, o]) as u) p group by p.policy""")
+    return " union all ".join(parts)
+
+
+@query(f"with {VM}, {_SPLIT}, sv as (select vm.*, split.split from vm join split on o_orderkey = query_id) {_board_sql()}")
+def split_driver(spark, sf_dir):
+    """Fixed, grouped and oracle policies of one split under three menus."""
+    views = view_table(spark, sf_dir)
+    split = split_602020(read(spark, sf_dir, "orders", "o_orderkey"), "o_orderkey", 7).withColumnRenamed("o_orderkey", "query_id")
+    return P.split_board(views, split, "dataset", _BOARD)

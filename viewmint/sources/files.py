@@ -36,6 +36,13 @@ def read_json(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame
     return spark.read.schema(schema).option("multiLine", True).json(path)
 
 
+def write_json(df: DataFrame, path: str) -> None:
+    """All rows as one JSON array, keys in order; for documents of a bounded
+    size, such as menus and summaries, as it is written by one task."""
+    rows = F.array_sort(F.collect_list(F.struct(*sorted(df.columns))))
+    df.agg(F.to_json(rows).alias("value")).coalesce(1).write.text(path)
+
+
 def read_csv(spark: SparkSession, path: str, schema: T.StructType, sep: str = ",") -> DataFrame:
     return spark.read.schema(schema).option("header", True).option("sep", sep).csv(path)
 
@@ -85,10 +92,32 @@ def unzip_safely(archive: str, into: str) -> list[str]:
         return z.namelist()
 
 
-def inventory(spark: SparkSession, path: str) -> DataFrame:
-    """(path, bytes, sha256) of the files under a folder."""
+def inventory(spark: SparkSession, path: str, roles: list[tuple[str, str]] | None = None, exclude: list[str] | None = None, other: str = "file") -> DataFrame:
+    """(path, role, bytes, sha256) of the files under a folder, paths relative
+    to it.
+
+    ``roles`` are (prefix, role), the first that fits counts, a prefix of ``/``
+    standing for files at the top; ``exclude`` are patterns of relative paths
+    that are left out.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    return files.select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    root = f"{path.rstrip('/')}/"
+    named = files.withColumn("path", F.element_at(F.split("path", root, 2), -1))
+    for pattern in exclude or []:
+        named = named.where(~F.col("path").rlike(pattern))
+    role = F.lit(other)
+    for prefix, name in reversed(roles or []):
+        fits = ~F.contains("path", F.lit("/")) if prefix == "/" else F.startswith(F.col("path"), F.lit(prefix))
+        role = F.when(fits, name).otherwise(role)
+    return named.select("path", role.alias("role"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+
+
+def lookup(catalog: DataFrame, key: str, value: str) -> dict:
+    """The catalog's row of a name; a ``KeyError`` if there's none."""
+    row = catalog.where(F.col(key) == value).first()
+    if row is None:
+        raise KeyError(value)
+    return row.asDict(recursive=True)
 
 
 def synthetic_pack(spark: SparkSession, rows: int, seed: int, views: list[tuple[str, float]]) -> DataFrame:

@@ -47,6 +47,12 @@ def score_submissions(routes: DataFrame, reference: DataFrame, sink: Callable[[D
     return routes.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def append_log(rows: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Appends a stream's rows to a log of JSON lines, each once: the log's
+    commits and the checkpoint tell what was written, also after a restart."""
+    return rows.writeStream.format("json").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+
+
 def replay(df: DataFrame, name: str, mode: str = "append") -> DataFrame:
     """Runs a stream over what is there and gives the rows it wrote."""
     q = df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
