@@ -19,14 +19,15 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from contextlib import nullcontext
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, with_rank
-from .tokens import LARGE, SMALL, WordEncoder, default_vocabulary, in_slices
+from .common import arrow_rows, stored, with_rank
+from .tokens import LARGE, SMALL, SMALL_BATCH, WordEncoder, default_vocabulary, in_slices
 
 CAPACITY = 1024
 END = 2
@@ -272,12 +273,10 @@ def pack_sequences(
     """
     kind = docs.schema[id_col].dataType.simpleString()
     fields = f"_id {kind}, piece int, start long, length long, ids_crc32 long"
-    pieces = stored(
-        docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).mapInArrow(
-            _pieces(vocabulary or default_vocabulary(), end, capacity, lean), fields
-        ),
-        "pieces",
-    )
+    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+    cut = texts.mapInArrow(_pieces(vocabulary or default_vocabulary(), end, capacity, lean), fields)
+    with arrow_rows(docs.sparkSession, SMALL_BATCH) if lean else nullcontext():
+        pieces = stored(cut, "pieces")
     counts = np.zeros(capacity + 1, np.int64)
     for r in pieces.groupBy("length").count().collect():  # capacity rows at most
         counts[r["length"]] = r["count"]

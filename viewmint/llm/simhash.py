@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hot_join, row_key, stored, without
+from .common import arrow_rows, hot_join, row_key, stored, without
 from .components import components, spanning_stars
 
 RADIUS = 4
@@ -32,6 +32,8 @@ SEGMENTS = {3: ((0, 22, 1), (22, 21, 1), (43, 21, 0)), 2: ((0, 32, 2), (32, 32,
 TWO_SEGMENTS_FROM = 1 << 26
 #: Fingerprints under one segment from which its bucket is cut by further bits.
 HOT_BUCKET = 20_000
+#: Rows of a batch of texts that are fingerprinted.
+TEXT_BATCH = 1000
 #: Pairs compared at a time.
 BLOCK = 1 << 21
 
@@ -182,12 +184,9 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     which tells rows of one id apart.
     """
     kind = docs.schema[id_col].dataType.simpleString()
-    every = stored(
-        docs.select(F.col(id_col).alias("_id"), row_key(id_col, text_col)[1], F.col(text_col).alias("_text")).mapInArrow(
-            _fingerprints, f"_id {kind}, _key_text long, _fp long"
-        ),
-        "fingerprints",
-    )
+    texts = docs.select(F.col(id_col).alias("_id"), row_key(id_col, text_col)[1], F.col(text_col).alias("_text"))
+    with arrow_rows(docs.sparkSession, TEXT_BATCH):
+        every = stored(texts.mapInArrow(_fingerprints, f"_id {kind}, _key_text long, _fp long"), "fingerprints")
     nodes = stored(every.groupBy("_fp").agg(F.min("_id").alias("_node"), F.count(F.lit(1)).alias("_n")), "nodes")
     distinct = nodes.count()
     found = components(near_links(nodes.select("_fp"), distinct))

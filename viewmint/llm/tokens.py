@@ -23,7 +23,9 @@ import pyarrow.compute as pc
 #: Bytes of text that are encoded at a time, words that a worker keeps the ids
 #: of (40 bytes each), and words encoded in one call: small, where a worker
 #: shares its executor with other stages, or large, for speed.
-SMALL, LARGE = (3_000_000, 400_000, 4_000), (10_000_000, 1_500_000, 20_000)
+SMALL, LARGE = (2_000_000, 250_000, 4_000), (10_000_000, 1_500_000, 20_000)
+#: Rows of a batch of texts where memory is short.
+SMALL_BATCH = 1000
 
 _WHITE = r"\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 _RARE = r"\t\r\f" + _WHITE[2:]
