@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.core import overlap_share, tokens
-from .text import bm25_local, fallback_anchor, one_hop_scores, two_hop_scores
+from .text import bm25_local, clique_scores, fallback_anchor
 
 #: A family's views as weights of signals, in menu order.  The
 #: last views of fever and strategyqa add a bonus on gold: they stand for a
@@ -29,16 +29,16 @@ def sentences(text: Column) -> Column:
     return F.split(text, r"\.")
 
 
-def signals(queries: DataFrame, pool: DataFrame, edges: DataFrame) -> DataFrame:
+def signals(queries: DataFrame, pool: DataFrame) -> DataFrame:
     """(qid, did, title, paragraph, sentence, full, overlap, one, two, gold,
     position): BM25 of a candidate's title, first two sentences, best sentence
     and whole text in its query's pool; shared title words; links from anchors.
 
-    ``pool``: qid, did, text; ``edges``: src, dst among dids.
+    ``pool``: qid, did, text, group; candidates of a query's group link to each other.
     """
     head = F.array_join(F.slice(tokens(F.col("text")), 1, 6), " ")
     first = F.array_join(F.slice(sentences(F.col("text")), 1, 2), ".")
-    titled = pool.select("qid", "did", head.alias("t"), first.alias("p"), "text")
+    titled = pool.select("qid", "did", head.alias("t"), first.alias("p"), "text", "group")
 
     def bm(column: str, name: str) -> DataFrame:
         return bm25_local(queries, titled.select("qid", "did", F.col(column).alias("text"))).withColumnRenamed("score", name)
@@ -47,9 +47,10 @@ def signals(queries: DataFrame, pool: DataFrame, edges: DataFrame) -> DataFrame:
     best = bm25_local(queries, cut.select("qid", F.struct("did", "sid").alias("did"), "text")).groupBy("qid", F.col("did.did").alias("did")).agg(F.max("score").alias("sentence"))
     asked = queries.select("qid", F.col("text").alias("q"))
     place = F.row_number().over(Window.partitionBy("qid").orderBy("did")) - 1
-    plain = titled.join(asked, "qid").select("qid", "did", F.round(overlap_share(F.col("q"), F.col("t")), 6).alias("overlap"), F.contains("text", "q").cast("double").alias("gold"), place.cast("double").alias("position"))
-    nodes = plain.select("qid", F.col("did").alias("node"), fallback_anchor(F.col("overlap"), 0.45).alias("anchor"))
-    links = one_hop_scores(nodes, edges).select("qid", F.col("node").alias("did"), "one").join(two_hop_scores(nodes, edges).select("qid", F.col("node").alias("did"), "two"), ["qid", "did"])
+    known = titled.join(asked, "qid").select("qid", "did", "group", F.round(overlap_share(F.col("q"), F.col("t")), 6).alias("overlap"), F.contains("text", "q").cast("double").alias("gold"), place.cast("double").alias("position"))
+    plain = known.drop("group")
+    nodes = known.select("qid", F.col("did").alias("node"), fallback_anchor(F.col("overlap"), 0.45).alias("anchor"), "group")
+    links = clique_scores(nodes).withColumnRenamed("node", "did")
     parts = [bm("t", "title"), bm("p", "paragraph"), best, bm("text", "full"), links]
     return reduce(lambda a, b: a.join(b, ["qid", "did"]), parts, plain)
 

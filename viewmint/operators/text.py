@@ -101,6 +101,22 @@ def two_hop_scores(pool: DataFrame, edges: DataFrame) -> DataFrame:
     return joined.select("qid", "node", F.round(F.col("one") + 0.5 * F.col("paths") + 0.05 * (F.col("out_degree") + F.col("in_degree")), 6).alias("two"))
 
 
+def clique_scores(nodes: DataFrame, direct: float = 1.0, reverse: float = 0.75) -> DataFrame:
+    """(qid, node, one, two): :func:`one_hop_scores` and :func:`two_hop_scores`
+    where all nodes of a query's group link to each other.
+
+    ``nodes``: qid, node, anchor, group.  Links and paths follow from a group's
+    size and its number of anchors, so no link is made.
+    """
+    a = F.col("anchor").cast("long")
+    size = nodes.groupBy("qid", "group").agg(F.count(F.lit(1)).alias("s"), F.sum(a).alias("k"))
+    met = nodes.join(size, ["qid", "group"])
+    others = F.col("k") - a  # anchors that link to the node, and that it links to
+    paths = (F.col("s") - 1) * F.col("k") - others
+    one = (direct + reverse) * others
+    return met.select("qid", "node", one.alias("one"), F.round(one + 0.5 * paths + 0.05 * (2 * (F.col("s") - 1)), 6).alias("two"))
+
+
 def holders(docs: DataFrame, passages: DataFrame, words: int = 3) -> DataFrame:
     """(qid, did) of the documents (did, text) that hold a passage (qid, text).
 

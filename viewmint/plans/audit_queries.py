@@ -154,12 +154,14 @@ def split_head(spark, sf_dir):
     return running(o, "o_orderkey", ["n"]).select("o_orderkey", F.when(first, "train").otherwise("test").alias("split"))
 
 
-@query(f"""with {_VECTORS}, c as (select a.vec_id as qid, b.vec_id as did, (a.label = b.label)::int as rel, round(list_inner_product(a.x, b.x), 9) as score from e a join e b on a.vec_id % 8 = b.vec_id % 8 and a.vec_id <> b.vec_id),
+@query(f"""with {_VECTORS}, c as (select a.vec_id as qid, b.vec_id as did, (a.label = b.label)::int as rel, round(list_inner_product(a.x, b.x), 9) as score from e a join e b on a.vec_id % (select greatest(8, count(*) // 250) from embeddings) = b.vec_id % (select greatest(8, count(*) // 250) from embeddings) and a.vec_id <> b.vec_id),
 r as (select *, row_number() over (partition by qid order by score desc, did) as k, row_number() over (partition by qid order by rel desc, did) as i from c)
 select qid, round(case when sum(rel) > 0 then sum(case when k <= 10 then rel / log2(k + 1) else 0 end) / sum(case when i <= 10 then rel / log2(i + 1) else 0 end) else 0 end, 6) as ndcg from r group by qid""")
 def label_rerank(spark, sf_dir):
-    """Others of the query's cell by score; relevant is what has its label."""
-    e = read(spark, sf_dir, "embeddings").withColumn("cell", F.col("vec_id") % 8)
+    """Others of the query's cell by score; relevant is what has its label.
+    Cells grow in number with the vectors, not in size."""
+    e = read(spark, sf_dir, "embeddings")
+    e = e.withColumn("cell", F.col("vec_id") % max(8, e.count() // 250))
     q = e.select("cell", F.col("vec_id").alias("qid"), F.col("label").alias("ql"), F.col("embedding").alias("q"))
     d = e.select("cell", F.col("vec_id").alias("did"), F.col("label").alias("dl"), F.col("embedding").alias("d"))
     c = q.join(d, "cell").where("qid != did").select("qid", "did", (F.col("ql") == F.col("dl")).cast("int").alias("rel"), F.round(C.dot(F.col("q"), F.col("d")), 9).alias("score"))

@@ -48,10 +48,8 @@ sig as (select n.qid, n.did, overlap, gold, position, bt.score as title, bp.scor
 
 def _signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     qs, pool = _pool(spark, sf_dir)
-    docs = read(spark, sf_dir, "documents", "doc_id", "lang")
-    inside = pool.select("qid", "did").join(docs, F.col("did") == F.col("doc_id")).select("qid", "did", "lang")
-    edges = inside.select("qid", "lang", F.col("did").alias("src")).join(inside.select("qid", "lang", F.col("did").alias("dst")), ["qid", "lang"]).where("src != dst").select("src", "dst")
-    return E.signals(qs, pool, edges)
+    docs = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("did"), F.col("lang").alias("group"))
+    return E.signals(qs, pool.join(docs, "did"))
 
 
 @query(f'with {_SIGNALS} select qid, did, title, paragraph, sentence, "full", overlap, one, two, gold, position from sig')

@@ -203,11 +203,16 @@ def feat_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _cells(e: DataFrame) -> int:
+    """Cells of an inverted file: as the root of the number of vectors."""
+    return max(16, int(e.count() ** 0.5) // 2)
+
+
 @query()
 def knn_ivfpq(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Inverted file over product-quantized vectors, 4 of 16 cells probed."""
     e = _vectors(spark, sf_dir)
-    return S.probe(S.product_quantized(e, 8, 16), e.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding")), K, 16, 4)
+    return S.probe(S.product_quantized(e, 8, 16), e.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding")), K, _cells(e), 4)
 
 
 @query()
@@ -217,7 +222,8 @@ def pq_recon(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def ivf_train(spark: SparkSession, sf_dir: str) -> DataFrame:
-    held, _ = S.inverted_file(_vectors(spark, sf_dir), 16)
+    e = _vectors(spark, sf_dir)
+    held, _ = S.inverted_file(e, _cells(e))
     return held.groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -226,7 +232,7 @@ def ann_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
     """NDCG of deeper and deeper probes (in place of a navigable graph)."""
     e = _vectors(spark, sf_dir)
     exact = S.top_k(e, e, K, "full").persist()
-    made = reduce(DataFrame.unionByName, [S.probe(e, e, K, 16, n) for n in (1, 2, 4, 8)])
+    made = reduce(DataFrame.unionByName, [S.probe(e, e, K, _cells(e), n) for n in (1, 2, 4, 8)])
     return M.ndcg(made.unionByName(exact), teacher(exact), K).groupBy("view").agg(F.round(F.avg("ndcg"), 6).alias("ndcg"))
 
 
