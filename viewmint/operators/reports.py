@@ -82,7 +82,7 @@ def joined_families(parts: dict[str, DataFrame | None], keys: list[str], value:
         raise ValueError("no family is there")
     names = list(there)
     wide = reduce(lambda a, b: a.join(b, keys), there.values())
-    cells = F.array(*[F.struct(F.lit(n).alias("family"), F.col(n).alias(value), F.round(F.col(n) - F.col(names[0]), 6).alias("delta")) for n in names])
+    cells = F.array(*[F.struct(F.lit(n).alias("family"), F.col(n).alias(value), F.round(F.col(n) - F.col(names[0]), 8).alias("delta")) for n in names])
     return wide.select(*keys, F.explode(cells).alias("c")).select(*keys, "c.*")
 
 

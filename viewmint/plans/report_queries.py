@@ -68,12 +68,12 @@ def cost_smoke(spark, sf_dir):
     return R.cost_smoke(read(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("name"), F.expr(_PROFILE).alias("raw")))
 
 
-@query(f"""with {VM}, m as (select dataset, view, ord, round(avg(utility), 6) as utility from vm group by all), a as (select dataset, ord, utility from m where view <> 'full'), b as (select o_orderpriority as dataset, ord, round(avg(o_totalprice) / 1e6, 6) as utility from orders, (select distinct ord from m) group by all),
-j as (select dataset, ord, a.utility as x, b.utility as y from a join b using (dataset, ord)) select dataset, ord, 'flow' as family, x as utility, 0.0::double as delta from j union all select dataset, ord, 'context', y, round(y - x, 6) from j""")
+@query(f"""with {VM}, m as (select dataset, view, ord, round(avg(utility), 9) as utility from vm group by all), a as (select dataset, ord, utility from m where view <> 'full'), b as (select o_orderpriority as dataset, ord, round(avg(o_totalprice) / 1e6, 9) as utility from orders, (select distinct ord from m) group by all),
+j as (select dataset, ord, a.utility as x, b.utility as y from a join b using (dataset, ord)) select dataset, ord, 'flow' as family, x as utility, 0.0::double as delta from j union all select dataset, ord, 'context', y, round(y - x, 8) from j""")
 def tag_family_fallback(spark, sf_dir):
     """Two families that are there, and one that isn't."""
-    m = view_table(spark, sf_dir).groupBy("dataset", "view", "ord").agg(F.round(F.avg("utility"), 6).alias("utility"))
-    o = read(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("dataset")).agg(F.round(F.avg("o_totalprice") / 1e6, 6).alias("utility"))
+    m = view_table(spark, sf_dir).groupBy("dataset", "view", "ord").agg(F.round(F.avg("utility"), 9).alias("utility"))
+    o = read(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("dataset")).agg(F.round(F.avg("o_totalprice") / 1e6, 9).alias("utility"))
     b = o.crossJoin(F.broadcast(m.select("ord").distinct()))
     return R.joined_families({"flow": m.where("view != 'full'"), "transformer": None, "context": b}, ["dataset", "ord"], "utility")
 
