@@ -33,7 +33,7 @@ WIDTH = 2.4
 TABLES, HASHES, MOST_PROBES = (2, 4, 8), (4, 8, 12, 16), 1024
 #: Vectors of the sample on average, those of it whose neighbours are looked
 #: up, and the share of these neighbours that the probes have to meet.
-SAMPLE_ROWS, SAMPLE_QUERIES, AIM = 4096, 48, 0.95
+SAMPLE_ROWS, SAMPLE_QUERIES, AIM = 4096, 48, 0.97
 #: Vectors that a part of the index holds, and groups of cells of a table by
 #: their first projections, which parts are made of.
 PART_ROWS, GROUPS, GROUP_HASHES = 4096, 1024, 6
