@@ -44,7 +44,7 @@ def view_utilities(best: Column) -> Column:
     return F.create_map(*entries)
 
 
-def cells(points: DataFrame, phases: DataFrame, tolerance: float = 1e-2) -> DataFrame:
+def cells(points: DataFrame, phases: DataFrame, tolerance: float = 1e-2, protocol: str = "legacy") -> DataFrame:
     """A row a cell of ``points`` (cell, idx, x, y) with ``phases`` (cell,
     phase): summary, best view and utilities, all figures to six digits."""
     r = lambda c: F.round(c, 6)
@@ -52,7 +52,7 @@ def cells(points: DataFrame, phases: DataFrame, tolerance: float = 1e-2) -> Data
     cov = F.array(F.array(r("vxx"), r("vxy")), F.array(r("vxy"), r("vyy")))
     summary = F.struct(F.array(r("mx"), r("my")).alias("mean"), cov.alias("covariance"), F.col("n").alias("n_points"), F.lit(tolerance).alias("tolerance"))
     best = best_view(F.col("phase"), condition("vxx", "vyy", "vxy"))
-    return m.select(F.concat(F.lit("pb_"), F.lpad(F.col("cell").cast("string"), 5, "0")).alias("cell_id"), F.lit("Protocol B").alias("protocol"), F.col("n").alias("n_points"), summary.alias("summary"), best.alias("oracle_view"), view_utilities(best).alias("view_utilities"))
+    return m.select(F.concat(F.lit("pb_"), F.lpad(F.col("cell").cast("string"), 5, "0")).alias("cell_id"), F.lit(protocol).alias("protocol"), F.col("n").alias("n_points"), summary.alias("summary"), best.alias("oracle_view"), view_utilities(best).alias("view_utilities"))
 
 
 def split_hidden(rows: DataFrame, public: tuple[str, ...] = PUBLIC) -> tuple[DataFrame, DataFrame]:
