@@ -18,6 +18,7 @@ from .rans import tokens_round_trip
 from .sharding import shard_records
 from .simhash import simhash_components
 from .substrings import remove_repeats
+from .urls import judge_urls, rules_table
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,6 +64,11 @@ def op10_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
     return format_preferences(replies_as_pairs(table(spark, sf_dir, "conversations")))
 
 
+def op13_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host, path, rule and verdict of every page; odd URLs as in :func:`judge_urls`."""
+    return judge_urls(table(spark, sf_dir, "pages"), rules_table(spark))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -76,5 +82,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_token_output,
         op9_simhash,
         op10_preference,
+        op13_url_filters,
     )
 }

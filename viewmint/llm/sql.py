@@ -100,9 +100,22 @@ select conv_id, n::int as n_prompt_turns, {_render("p")} as prompt,
     and len(list_filter(r, lambda t: t.role = 'assistant' and t.text <> '')) > 0 as usable
 from cut"""
 
+_LOWER_AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+
+OP13 = rf"""
+with rules (host, path, verdict) as (values ('com', '/', 'allow'), ('example.com', '/en/', 'block'),
+  ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block')),
+urls as (select row_number() over () as n, page_id, translate(regexp_extract(coalesce(url, ''), '://([^/?#]*)', 1), {_LOWER_AZ}) as host,
+  regexp_extract(coalesce(url, ''), '://[^/?#]*([^?#]*)', 1) as path from pages),
+met as (select u.*, r.host || r.path as rule, r.verdict from urls u left join rules r
+  on ends_with('.' || u.host, '.' || r.host) and starts_with(u.path, r.path))
+select page_id, host, path, rule, coalesce(verdict, 'allow') as verdict from met
+qualify row_number() over (partition by n order by length(rule) desc nulls last) = 1"""
+
 ORACLES: dict[str, str] = {
     "op2_exact_dedup": OP2,
     "op3_mixing": OP3,
     "op7_sharding": OP7,
     "op10_preference": OP10,
+    "op13_url_filters": OP13,
 }
