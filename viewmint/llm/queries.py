@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .exact_dedup import exact_dedup
+from .importance import importance_scores
 from .mixing import mix_sources
 from .neighbours import nearest_neighbours
 from .packing import pack_sequences
@@ -64,6 +65,11 @@ def op10_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
     return format_preferences(replies_as_pairs(table(spark, sf_dir, "conversations")))
 
 
+def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weight, score and rank of every document against ``benchmark``; odd rows as in :func:`importance_scores`."""
+    return importance_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op13_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Host, path, rule and verdict of every page; odd URLs as in :func:`judge_urls`."""
     return judge_urls(table(spark, sf_dir, "pages"), rules_table(spark))
@@ -82,6 +88,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_token_output,
         op9_simhash,
         op10_preference,
+        op12_importance,
         op13_url_filters,
     )
 }

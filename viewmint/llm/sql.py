@@ -102,6 +102,26 @@ from cut"""
 
 _LOWER_AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 
+#: A checksum for each distinct word, then everything by words.
+OP12 = rf"""
+with {_CRC_TABLE},
+spoken as (select row_number() over () as n, doc_id, regexp_extract_all(translate(coalesce(text, ''), {_LOWER_AZ}), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as said from documents),
+wanted as (select unnest(regexp_extract_all(translate(coalesce(text, ''), {_LOWER_AZ}), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) as w from benchmark),
+per as (select n, w, count(*) as c from (select n, unnest(said) as w from spoken) group by n, w),
+hashed as (select w, {_crc("w")} % 10000 as b from (select w from per union select w from wanted), crc_table),
+s as (select b, sum(c)::double as s from per join hashed using (w) group by b),
+t as (select b, count(*)::double as t from wanted join hashed using (w) group by b),
+gain as (select b, floor(1000 * ln((coalesce(t, 0) + 1.0::double) * ((select coalesce(sum(s), 0) from s) + 10000.0::double)
+  / ((coalesce(s, 0) + 1.0::double) * ((select coalesce(sum(t), 0) from t) + 10000.0::double))))::bigint as gain
+  from s full join t using (b)),
+weighed as (select n, sum(c * gain)::bigint as weight from per join hashed using (w) join gain using (b) group by n),
+scored as (select n, doc_id, len(said)::bigint as n_features, coalesce(weight, 0)::bigint as weight, len(said) >= 20 as long,
+  coalesce(weight, 0)::bigint + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || coalesce(doc_id::varchar, '')), 1, 8))::bigint + 0.5::double) / 4294967296)))::bigint as score
+  from spoken left join weighed using (n)),
+placed as (select *, row_number() over (order by long desc, score desc, doc_id nulls last) as place from scored)
+select doc_id, n_features, weight, score,
+  case when place <= (select count(*) * 10 // 100 from scored where long) then place end as rank from placed"""
+
 OP13 = rf"""
 with rules (host, path, verdict) as (values ('com', '/', 'allow'), ('example.com', '/en/', 'block'),
   ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block')),
@@ -117,5 +137,6 @@ ORACLES: dict[str, str] = {
     "op3_mixing": OP3,
     "op7_sharding": OP7,
     "op10_preference": OP10,
+    "op12_importance": OP12,
     "op13_url_filters": OP13,
 }
