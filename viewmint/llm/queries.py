@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .alignment import align_documents
 from .common import table
 from .exact_dedup import exact_dedup
 from .importance import importance_scores
@@ -65,6 +66,11 @@ def op10_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
     return format_preferences(replies_as_pairs(table(spark, sf_dir, "conversations")))
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups and links of both tokenizers' ids in every document; odd rows as in :func:`align_documents`."""
+    return align_documents(table(spark, sf_dir, "documents"))
+
+
 def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weight, score and rank of every document against ``benchmark``; odd rows as in :func:`importance_scores`."""
     return importance_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -88,6 +94,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_token_output,
         op9_simhash,
         op10_preference,
+        op11_alignment,
         op12_importance,
         op13_url_filters,
     )
