@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..menus import LAMBDA
+from ..operators import coded as D
+from ..operators import graph_index as I
 from ..operators import metrics as M
 from ..operators import policy as P
 from ..operators import search as S
@@ -208,11 +210,25 @@ def _cells(e: DataFrame) -> int:
     return max(16, int(e.count() ** 0.5) // 2)
 
 
+def _asked(e: DataFrame) -> DataFrame:
+    """The queries of indexed search: every 20th vector, against all."""
+    return e.where(F.col("vec_id") % 20 == 0)
+
+
 @query()
 def knn_ivfpq(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Inverted file over product-quantized vectors, 4 of 16 cells probed."""
+    """Inverted file of residual codes, 8 parts of 16 codes, 8 cells probed."""
+    e = _vectors(spark, sf_dir)
+    found = D.coded_search(D.coded_file(e, _cells(e), 8, 16), _asked(e), K, 8)
+    return found.select("qid", F.lit("ivfpq").alias("view"), "rank", "did", "score")
+
+
+@query()
+def knn_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Layered neighbour graph, searched with a beam of 64."""
     e = _vectors(spark, sf_dir)
-    return S.probe(S.product_quantized(e, 8, 16), e.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding")), K, _cells(e), 4)
+    found = I.graph_search(I.layered_graph(e), _asked(e), K, 64)
+    return found.select("qid", F.lit("hnsw64").alias("view"), "rank", "did", "score", "distances")
 
 
 @query()
@@ -229,7 +245,7 @@ def ivf_train(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def ann_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """NDCG of deeper and deeper probes (in place of a navigable graph)."""
+    """NDCG of deeper and deeper probes of an inverted file."""
     e = _vectors(spark, sf_dir)
     exact = S.top_k(e, e, K, "full").persist()
     made = reduce(DataFrame.unionByName, [S.probe(e, e, K, _cells(e), n) for n in (1, 2, 4, 8)])
