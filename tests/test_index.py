@@ -142,3 +142,44 @@ def test_codes_of_odd_rows(spark):
         coded.coded_file(base, 2, 3, 4)
     empty = coded.coded_file(base.limit(0), 2, 2, 4)
     assert coded.coded_search(empty, base, 3, 1).count() == 0
+
+
+def _drawn(asked, index, seed, nearest):
+    """The sequential draw, title by title."""
+    import hashlib
+
+    out = []
+    for qid, sources, excluded in asked:
+        unused = {t: d for t, d in index.items() if t not in (excluded or [])}
+        draw = 0
+        for i, degree in enumerate([index.get(s, 0) for s in sources or []] or [0]):
+            near = sorted(unused, key=lambda t: (abs(unused[t] - degree), t))[:nearest]
+            if near:
+                h = int(hashlib.md5(f"{seed}:{qid}:{i}".encode()).hexdigest()[:8], 16)
+                out.append((qid, draw, near[h % len(near)]))
+                del unused[out[-1][2]]
+                draw += 1
+    return sorted(out)
+
+
+def test_degree_matched_titles(spark):
+    import random
+
+    from viewmint.operators.draws import degree_matched
+
+    draw = random.Random(4)
+    index = {f"t{i}": int(draw.paretovariate(0.7)) for i in range(300)} | {f"same{i}": 3 for i in range(400)}
+    titles = sorted(index)
+    asked = [(q, draw.choices([*titles, "gone"], k=draw.randint(0, 9)), draw.choices(titles, k=draw.randint(0, 20))) for q in range(40)]
+    asked += [(100, None, None), (101, ["t1"], None)]
+    rows = spark.createDataFrame(asked, "qid long, sources array<string>, excluded array<string>")
+    table = spark.createDataFrame(list(index.items()), "title string, degree long")
+    found = sorted(tuple(r) for r in degree_matched(rows, table, 5, 16).collect())
+    assert found == _drawn(asked, index, 5, 16)
+    assert len({(q, t) for q, _, t in found}) == len(found)  # no title twice a query
+    few = {"a": 1, "b": 2, "c": 9}
+    some = spark.createDataFrame(list(few.items()), "title string, degree long")
+    asked = [(1, ["a", "b", "c", "d", "a"], ["c"]), (2, ["x"], ["a", "b", "c"])]
+    rows = spark.createDataFrame(asked, "qid long, sources array<string>, excluded array<string>")
+    assert sorted(tuple(r) for r in degree_matched(rows, some, 5, 16).collect()) == _drawn(asked, few, 5, 16)
+    assert degree_matched(rows, some.limit(0), 5).count() == 0 and degree_matched(rows.limit(0), some, 5).count() == 0
