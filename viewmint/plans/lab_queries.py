@@ -11,6 +11,7 @@ from ..operators import gates as G
 from ..operators import geometry as Geo
 from ..operators import lab as L
 from ..operators import policy as P
+from ..operators import trees as Tr
 from .fixtures import view_table
 from .registry import query, read
 from .stats_queries import _FEATURES, _learning
@@ -196,11 +197,13 @@ def learners_extra(spark, sf_dir):
     """Headroom of classifiers of "full beats PQ": accuracy on the test part."""
     y = (F.col("u_full") > F.col("u_pq")).cast("double")
     _, train, test = _learning(spark, sf_dir)
-    out = []
-    for kind in ("logistic", "forest", "boosted", "neural"):
-        p = G.classifier_probability(train.withColumn("y", y), test.withColumn("y", y), _FEATURES, "y", kind)
-        out.append(p.agg(F.lit(kind).alias("learner"), F.round(F.avg(((F.col("p") > 0.5).cast("double") == F.col("y")).cast("double")), 6).alias("accuracy")))
-    return reduce(DataFrame.unionByName, out)
+    train, test = train.withColumn("y", y), test.withColumn("y", y)
+    scored = {kind: G.classifier_probability(train, test, _FEATURES, "y", kind) for kind in ("logistic", "forest", "boosted", "neural")}
+    scored["extra_trees"] = Tr.predicted(test, Tr.extra_trees(train, _FEATURES, "y"), "p")
+    odds = Tr.predicted(test, Tr.boosted_histograms(train, _FEATURES, "y", "logistic"), "odds")
+    scored["histogram"] = odds.withColumn("p", 1 / (1 + F.exp(-F.col("odds"))))
+    right = F.avg(((F.col("p") > 0.5).cast("double") == F.col("y")).cast("double"))
+    return reduce(DataFrame.unionByName, [p.agg(F.lit(kind).alias("learner"), F.round(right, 6).alias("accuracy")) for kind, p in scored.items()])
 
 
 @query()
