@@ -17,6 +17,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import core as C
 from .lineage import cut
 
 
@@ -237,4 +238,4 @@ def predicted(rows: DataFrame, forest: Forest, name: str = "prediction") -> Data
     """``rows`` with a forest's total."""
     if not forest.trees:
         return rows.withColumn(name, F.lit(forest.base))
-    return rows.withColumn("_bins", binned(forest.features, forest.edges)).withColumn(name, forest.total(F.col("_bins"))).drop("_bins")
+    return rows.withColumn(name, C.bound(binned(forest.features, forest.edges), forest.total))

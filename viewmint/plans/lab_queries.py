@@ -11,6 +11,7 @@ from ..operators import gates as G
 from ..operators import geometry as Geo
 from ..operators import lab as L
 from ..operators import policy as P
+from ..operators import text_vectors as V
 from ..operators import trees as Tr
 from .fixtures import view_table
 from .registry import query, read
@@ -152,17 +153,8 @@ def probing(spark, sf_dir):
 
 @query()
 def hash_svd(spark, sf_dir):
-    """Character n-grams, hashed, weighted and reduced to 16 dimensions."""
-    from pyspark.ml.feature import IDF, HashingTF, Normalizer, PCA
-    from pyspark.ml.functions import vector_to_array
-
-    text = F.lower("text")
-    grams = F.flatten(F.array(*[F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(1))), lambda i, n=n: F.substr(text, i, F.lit(n))) for n in (2, 3)]))
-    rows = read(spark, sf_dir, "benchmark").select("item_id", grams.alias("g"))
-    tf = HashingTF(inputCol="g", outputCol="tf", numFeatures=512).transform(rows)
-    weighed = IDF(inputCol="tf", outputCol="w").fit(tf).transform(tf)
-    reduced = PCA(k=16, inputCol="w", outputCol="p").fit(weighed).transform(weighed)
-    return Normalizer(inputCol="p", outputCol="v").transform(reduced).select("item_id", vector_to_array("v").alias("vector"))
+    """Character runs of whole documents, hashed, weighted and reduced to 16 dimensions."""
+    return V.text_vectors(read(spark, sf_dir, "documents"))
 
 
 @query()
