@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import core as C
 from ..operators import contract as K
 from ..operators import text as T
+from ..sources.corpus import scan_titles
 from .registry import query, read
 
 _POOL = """
@@ -175,14 +176,25 @@ def dedup_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "part").groupBy("p_type").agg(F.array_join(F.array_distinct(listed), " | ").alias("titles"))
 
 
-@query("""with s as (select page_id, unnest(list_distinct(regexp_extract_all(html, 'href="/([^"]*)"', 1))) as slug from pages)
-select page_id, count(*) as links, min(slug) as first_slug, max(slug) as last_slug from s group by page_id""")
+_TITLED = r"""with p as (select page_id, regexp_extract(html, '<title>([^<]*)', 1) as title, regexp_extract_all(html, '<p>([^<]*)', 1) as sentences, regexp_extract_all(html, 'href="/([^"]*)"', 1) as slugs from pages),
+n as (select *, trim(regexp_replace(lower(replace(title, '_', ' ')), '\s+', ' ', 'g')) as norm_title from p)
+select page_id::varchar as id, norm_title, len(sentences) as sentences, array_to_string(sentences, ' ') as text,
+  len(list_distinct(list_transform(list_filter(slugs, lambda x: trim(x) <> ''), lambda x: trim(regexp_replace(lower(replace(x, '_', ' ')), '\s+', ' ', 'g'))))) as degree
+from n where norm_title in (select norm_title from n where page_id % 10 = 3)"""
+
+
+@query(_TITLED)
 def src_linkcorpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Page to slug links, taken from raw text before any parsing."""
-    slugs = F.array_distinct(F.regexp_extract_all("html", F.lit('href="/([^"]*)"'), F.lit(1)))
-    return read(spark, sf_dir, "pages").where(F.contains("html", F.lit('href="/'))).select("page_id", F.explode(slugs).alias("slug")).groupBy("page_id").agg(
-        F.count(F.lit(1)).alias("links"), F.min("slug").alias("first_slug"), F.max("slug").alias("last_slug")
+    """Pages as lines of JSON, scanned for the titles of every tenth page."""
+    pages = read(spark, sf_dir, "pages")
+    slugs = F.regexp_extract_all("html", F.lit('href="/([^"]*)"'), F.lit(1))
+    row = F.struct(
+        F.col("page_id").cast("string").alias("id"), F.regexp_extract("html", "<title>([^<]*)", 1).alias("title"), F.regexp_extract_all("html", F.lit("<p>([^<]*)"), F.lit(1)).alias("sentences"),
+        F.transform(slugs, lambda s: F.struct(s.alias("ref_url"))).alias("mentions"),
     )
+    needed = pages.where("page_id % 10 = 3").select(F.translate(F.regexp_extract("html", "<title>([^<]*)", 1), " ", "_").alias("title"))
+    found = scan_titles(pages.select(F.to_json(row).alias("value")), needed)
+    return found.select("id", "norm_title", F.size("sentences").alias("sentences"), "text", "degree")
 
 
 @query("""with k as (select p_partkey, lower(trim(' ' || p_name || '-' || p_brand || '! ')) as k from part) select p_partkey, regexp_replace(regexp_replace(k, '[^a-z0-9_]+', '_', 'g'), '^_+|_+$', '', 'g') as key from k""")
