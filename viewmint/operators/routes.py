@@ -158,7 +158,8 @@ def selected_view(v: Column, strict: bool = False) -> Column:
     )
 
 
-def _walk(banned: set[str], id_col: str):
+def forbidden_paths(text: str, banned: set[str]) -> Iterator[str]:
+    """Paths of the forbidden keys in a JSON text; ``$`` if it isn't JSON."""
     import re
 
     def key(name: str) -> str:
@@ -174,14 +175,20 @@ def _walk(banned: set[str], id_col: str):
             for i, x in enumerate(node):
                 yield from below(x, f"{path}[{i}]")
 
+    try:
+        read = json.loads(text)
+    except ValueError:
+        yield "$"
+        return
+    yield from below(read, "$")
+
+
+def _walk(banned: set[str], id_col: str):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, paths = [], []
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                try:
-                    found = list(below(json.loads(text), "$"))
-                except ValueError:
-                    found = ["$"]
+                found = list(forbidden_paths(text, banned))
                 ids += [i] * len(found)
                 paths += found
             yield pa.RecordBatch.from_arrays([pa.array(ids, batch.column(0).type), pa.array(paths, pa.string())], [id_col, "path"])
