@@ -21,12 +21,12 @@ from .stats_queries import _FEATURES, _learning
 _N = 120
 
 
-def _z(name: str, axis: str, at: str) -> str:
-    half = lambda k: f"(('0x' || substr(md5('{L.instance_seed(name)}:{axis}{k}:' || ({at})::varchar), 1, 8))::bigint / 4294967296.0::double)"
+def _z(axis: str, at: str) -> str:
+    half = lambda k: f"(('0x' || substr(md5(cell::varchar || ':{axis}{k}:' || ({at})::varchar), 1, 8))::bigint / 4294967296.0::double)"
     return f"sqrt(-2 * ln({half('r')} + 1e-12::double)) * cos(2 * pi() * {half('a')})"
 
 
-_VOLATILE = " + ".join(f"case when i + {k} between 0 and {_N - 1} then (0.05::double + case when sin(5 * pi() * (i + {k}) / {_N - 1}) > 0 then 0.22::double else 0 end) * ({_z('volatility-clustering_medium', 'v', f'i + {k}')}) else 0 end" for k in range(-2, 3))
+_VOLATILE = " + ".join(f"case when i + {k} between 0 and {_N - 1} then (0.05::double + case when sin(5 * pi() * (i + {k}) / {_N - 1}) > 0 then 0.22::double else 0 end) * ({_z('v', f'i + {k}')}) else 0 end" for k in range(-2, 3))
 _SHAPES = {
     "trend": ("t", "0.15 * sin(6 * pi() * t) + 0.9 * t"),
     "bubble-crash": ("t", "0.25 * t + 0.9 * exp(-pow((t - 0.58) * 10, 2)) - 1.8 * greatest(t - 0.62, 0)"),
@@ -36,45 +36,55 @@ _SHAPES = {
     "star": tuple(f"(0.5 + 0.25 * sign(sin(10 * pi() * u))) * {f}(2 * pi() * u)" for f in ("cos", "sin")),
     "spiral": tuple(f"(0.05 + 0.75 * t) * {f}(0.2 + (4 * pi() - 0.2) * t)" for f in ("cos", "sin")),
     "double-loop": ("sin(2 * pi() * t)", "sin(2 * pi() * t) * cos(2 * pi() * t)"),
-    "ring-hole": tuple(f"(0.75 + 0.02 * {_z('ring-hole_medium', 'r', 'i')}) * {f}(2 * pi() * u)" for f in ("cos", "sin")),
+    "ring-hole": tuple(f"(0.75 + 0.02 * {_z('r', 'i')}) * {f}(2 * pi() * u)" for f in ("cos", "sin")),
     "s-curve": ("2 * t - 1", "tanh(2.2 * (2 * t - 1))"),
 }
-_CURVES = f"with p as (select i, i / {_N - 1}.0::double as t, i / {_N}.0::double as u from (select unnest(range({_N})) as i)) " + " union all ".join(
-    f"select {k}::bigint as cell, '{n}' as family, i as idx, round({x} + 0.01 * {_z(n + '_medium', 'x', 'i')}, 5) as x, round({y} + 0.01 * {_z(n + '_medium', 'y', 'i')}, 5) as y from p" for k, (n, (x, y)) in enumerate(_SHAPES.items())
+_CURVES = f"with p as (select s_suppkey as cell, i, i / {_N - 1}.0::double as t, i / {_N}.0::double as u from supplier, (select unnest(range({_N})) as i)) " + " union all ".join(
+    f"select cell, '{n}' as family, i as idx, round({x} + 0.01 * {_z('x', 'i')}, 5) as x, round({y} + 0.01 * {_z('y', 'i')}, 5) as y from p where cell % {len(_SHAPES)} = {k}" for k, (n, (x, y)) in enumerate(_SHAPES.items())
 )
 
 
+def _curves(spark, sf_dir: str, points: int) -> DataFrame:
+    """A curve for every supplier, of the family that its number says."""
+    names = F.array(*[F.lit(n) for n in L.FAMILIES])
+    key = F.col("s_suppkey")
+    return L.curves(read(spark, sf_dir, "supplier", "s_suppkey").select(key.alias("cell"), F.get(names, (key % len(L.FAMILIES)).cast("int")).alias("family")), points)
+
+
 @query(_CURVES)
 def families(spark, sf_dir):
-    """Points of an instance of each of the ten curve families."""
-    return L.curves(spark, _N).select("cell", "family", "idx", F.round("x", 5).alias("x"), F.round("y", 5).alias("y"))
+    """Points of a curve for every supplier, of ten families."""
+    return _curves(spark, sf_dir, _N).select("cell", "family", "idx", F.round("x", 5).alias("x"), F.round("y", 5).alias("y"))
 
 
 @query()
 def recon_methods(spark, sf_dir):
-    """Every method's course on every family."""
-    points = L.curves(spark, 90)
+    """Every method's course on every supplier's curve."""
+    points = _curves(spark, sf_dir, 90)
     return reduce(DataFrame.unionByName, [L.reconstruct(points, m).withColumn("method", F.lit(m)) for m in L.METHODS])
 
 
 @query()
 def sketches(spark, sf_dir):
-    return L.sketch(L.curves(spark, 120)).join(L.graph_components(L.curves(spark, 120), 0.2), "cell")
+    points = _curves(spark, sf_dir, 120)
+    return L.sketch(points).join(L.graph_components(points, 0.2), "cell")
 
 
 @query()
 def view_choice(spark, sf_dir):
-    """Each family's nearest other family by coarse sketch, and if it has as
-    many parts: a correct pick minus its price."""
-    s = L.sketch(L.curves(spark, 120))
-    o = s.select(F.col("cell").alias("other"), "i", "j", F.col("share").alias("os"))
-    cells = s.select("cell").distinct()
-    pairs = cells.crossJoin(cells.withColumnRenamed("cell", "other")).where("cell != other")
+    """Of the first curve of each family, another than itself, the nearest to
+    every curve by coarse sketch, and if it has as many parts: a correct pick
+    minus its price."""
+    points = _curves(spark, sf_dir, 120)
+    s = L.sketch(points)
+    first = points.select("cell", "family").groupBy("family").agg(F.min("cell").alias("other")).select("other")  # a row a family
+    o = s.join(F.broadcast(first), F.col("cell") == F.col("other")).select("other", "i", "j", F.col("share").alias("os"))
+    pairs = points.select("cell").distinct().crossJoin(F.broadcast(first)).where("cell != other")
     grid = spark.range(16).select((F.col("id") % 4).cast("int").alias("i"), F.floor(F.col("id") / 4).cast("int").alias("j"))
-    d = pairs.crossJoin(grid).join(s, ["cell", "i", "j"], "left").join(o, ["other", "i", "j"], "left").na.fill(0, ["share", "os"])
+    d = pairs.crossJoin(F.broadcast(grid)).join(s, ["cell", "i", "j"], "left").join(F.broadcast(o), ["other", "i", "j"], "left").na.fill(0, ["share", "os"])
     far = d.groupBy("cell", "other").agg(F.round(F.sum(F.abs(F.col("share") - F.col("os"))), 6).alias("d"))
     best = far.groupBy("cell").agg(F.min_by("other", F.struct("d", "other")).alias("chosen"), F.min("d").alias("d"))
-    parts = L.graph_components(L.curves(spark, 120), 0.2).select("cell", "parts")
+    parts = L.graph_components(points, 0.2).select("cell", "parts")
     met = best.join(parts, "cell").join(parts.select(F.col("cell").alias("chosen"), F.col("parts").alias("theirs")), "chosen")
     return met.select("cell", "chosen", "d", ((F.col("parts") == F.col("theirs")).cast("double") - 0.28).alias("utility"))
 
@@ -82,7 +92,7 @@ def view_choice(spark, sf_dir):
 @query()
 def solvers(spark, sf_dir):
     """Chamfer distance of three solvers' clouds to the curves."""
-    points = L.curves(spark, 90).drop("family")
+    points = _curves(spark, sf_dir, 90).drop("family")
     made = {"template": L.moment_gaussian, "blind": L.blind_search, "random": L.random_support}
     return reduce(DataFrame.unionByName, [Geo.chamfer(L.solve_cells(points, f), points).withColumn("solver", F.lit(n)) for n, f in made.items()])
 
@@ -99,7 +109,7 @@ def assign(spark, sf_dir):
         to = L.assignment(L._pairwise(p, t))
         return pd.DataFrame({"cell": pdf.cell.iloc[0], "idx": np.arange(len(t)), "target": to, "d": np.sqrt(((p - t[to]) ** 2).sum(axis=1))})
 
-    return L.curves(spark, 60).groupBy("cell").applyInPandas(run, "cell long, idx long, target long, d double")
+    return _curves(spark, sf_dir, 60).groupBy("cell").applyInPandas(run, "cell long, idx long, target long, d double")
 
 
 @query()
