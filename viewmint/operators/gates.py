@@ -97,6 +97,17 @@ def linear(weights: np.ndarray, features: list[str]) -> Column:
     return reduce(lambda a, b: a + b, terms, F.lit(float(weights[0])))
 
 
+def predicted_gain_gate(train: DataFrame, test: DataFrame, features: list[str], rich: str, cheap: str, threshold: float, alpha: float = 1.0) -> DataFrame:
+    """(query_id, gain, view) of the test rows: ``rich`` where a ridge of the
+    train rows predicts that it gains more than ``threshold`` over ``cheap``.
+
+    Only the train rows' utilities (``u_<rich>``, ``u_<cheap>``) are looked at.
+    """
+    w = ridge_fit(train.withColumn("_gain", F.col(f"u_{rich}") - F.col(f"u_{cheap}")), features, ["_gain"], alpha)
+    gain = F.round(linear(w[:, 0], features), 9)
+    return test.select("query_id", F.round(gain, 6).alias("gain"), F.when(gain > threshold, rich).otherwise(cheap).alias("view"))
+
+
 def tree_predictions(train: DataFrame, test: DataFrame, features: list[str], targets: dict[str, str], kind: str = "forest", seed: int = 3) -> DataFrame:
     """(query_id, view, ord, prediction): one model a view, ``targets`` naming
     each view's utility column in menu order."""

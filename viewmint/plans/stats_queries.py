@@ -80,9 +80,15 @@ def gate_two_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wide.select(F.explode(rows).alias("r")).select("r.*")
 
 
-@query(f"with {_WIDE} select query_id, case when u_full - u_pq > 0.02::double then 'full' else 'pq' end as view from wide")
+@query(f"""with {_WIDE}, {_SPLIT}, tr as (select margin as x, u_full - u_pq as y from wide join split on o_orderkey = query_id where split = 'train'),
+s as (select count(*) + 1e-9::double as n, sum(x) as sx, sum(x * x) + 1 as sxx, sum(y) as sy, sum(x * y) as sxy from tr), w as (select (sy * sxx - sx * sxy) / (n * sxx - sx * sx) as w0, (n * sxy - sx * sy) / (n * sxx - sx * sx) as w1 from s),
+g as (select query_id, round(w0 + w1 * margin, 9) as gain from wide join split on o_orderkey = query_id, w where split = 'test')
+select query_id, round(gain, 6) as gain, case when gain > 0.02::double then 'full' else 'pq' end as view from g""")
 def gate_margin_ce(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _wide(spark, sf_dir).select("query_id", F.when(F.col("u_full") - F.col("u_pq") > 0.02, "full").otherwise("pq").alias("view"))
+    """Full where the gain over PQ that the train part predicts from the margin
+    is above 0.02; routes of the test part."""
+    _, train, test = _learning(spark, sf_dir)
+    return G.predicted_gain_gate(train, test, ["margin"], "full", "pq", 0.02)
 
 
 @query("select o_orderkey as query_id, case when o_orderpriority = '1-URGENT' then 'full' when o_totalprice > 300000 then 'int8' when o_orderstatus = 'O' then 'pq' else 'summary' end as route from orders")
