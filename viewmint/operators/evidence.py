@@ -64,3 +64,55 @@ def views(signal: DataFrame, family: str) -> DataFrame:
     long = signal.select("qid", "did", F.explode(F.array(*cells)).alias("c")).select("qid", "did", "c.*")
     order = Window.partitionBy("qid", "view").orderBy(F.col("score").desc(), "did")
     return long.withColumn("rank", F.row_number().over(order).cast("long"))
+
+
+def _ranked(scored: DataFrame, order: list[str]) -> DataFrame:
+    """(qid, view, ord, did, score, rank) of a column a view; ties by position."""
+    cells = F.array(*[F.struct(F.lit(v).alias("view"), F.lit(i).alias("ord"), (F.round(v, 12) + 0.0).alias("score")) for i, v in enumerate(order)])
+    long = scored.select("qid", "did", F.explode(cells).alias("c")).select("qid", "did", "c.*")
+    by = Window.partitionBy("qid", "view").orderBy(F.round("score", 9).desc(), "did")
+    return long.withColumn("rank", F.row_number().over(by).cast("long"))
+
+
+def decomposed_views(rows: DataFrame) -> DataFrame:
+    """(qid, view, ord, did, score, rank): the five views of questions that come
+    with sub-questions, on rows of ``load_musique``; ``did`` is a paragraph's place.
+
+    Titles are scored by the question, and by it and its sub-questions; whole
+    paragraphs by either and by the best of the sub-questions alone.  A row
+    without sub-questions has that part 0.  All weights are fixed values.
+    """
+    pool = rows.select(F.col("id").alias("qid"), F.posexplode("paragraphs").alias("did", "p")).select("qid", "did", F.col("p.title").alias("title"), F.concat("p.title", F.lit(". "), "p.paragraph_text").alias("text"))
+    both = F.trim(F.concat_ws(" ", "question", F.array_join("decomp_questions", " ")))
+    asked = rows.select(F.col("id").alias("qid"), "question", both.alias("both"))
+
+    def bm(by: str, of: str, name: str) -> DataFrame:
+        return bm25_local(asked.select("qid", F.col(by).alias("text")), pool.select("qid", "did", F.col(of).alias("text"))).withColumnRenamed("score", name)
+
+    steps = rows.select(F.col("id").alias("qid"), F.posexplode("decomp_questions").alias("step", "q"))
+    each = bm25_local(steps.select(F.struct("qid", "step").alias("qid"), F.col("q").alias("text")), pool.join(steps.select("qid", "step"), "qid").select(F.struct("qid", "step").alias("qid"), "did", "text"))
+    best = each.groupBy(F.col("qid.qid").alias("qid"), "did").agg(F.max("score").alias("best"))
+    parts = [bm("question", "title", "t"), bm("both", "title", "tb"), bm("question", "text", "p"), bm("both", "text", "pb")]
+    met = reduce(lambda a, b: a.join(b, ["qid", "did"]), parts, pool.select("qid", "did", "title").join(asked.select("qid", "question"), "qid"))
+    met = met.join(best, ["qid", "did"], "left").withColumn("best", F.coalesce("best", F.lit(0.0)))
+    met = met.withColumn("summary", F.col("t") + 0.5 * F.round(overlap_share(F.col("question"), F.col("title")), 6))
+    met = met.withColumn("decomp_title", F.col("tb") + 0.25 * F.col("summary")).withColumn("paragraph", F.col("p") + 0.15 * F.col("summary"))
+    met = met.withColumn("support_set", F.col("pb") + 0.3 * F.col("best") + 0.15 * F.col("paragraph")).withColumn("full_context", F.col("pb") + 0.2 * F.col("support_set"))
+    return _ranked(met, ["summary", "decomp_title", "paragraph", "support_set", "full_context"])
+
+
+def relation_views(rows: DataFrame, dense: DataFrame | None = None) -> DataFrame:
+    """(qid, view, ord, did, score, rank): views of a relation's evidence among
+    its document's sentences, on rows of ``load_docred``; ``did`` is a place.
+
+    By place; by the entities and relation words that a sentence names; by BM25
+    of the question; and, where ``dense`` (qid, did, score) is given, by that.
+    """
+    lines = rows.select(F.col("query_id").alias("qid"), F.posexplode(F.arrays_zip(F.col("candidate_texts").alias("text"), F.col("summary_scores").alias("named"))).alias("did", "c")).select("qid", "did", "c.text", "c.named")
+    bm = bm25_local(rows.select(F.col("query_id").alias("qid"), F.col("query_text").alias("text")), lines.select("qid", "did", "text"))
+    met = lines.select("qid", "did", (-0.001 * F.col("did")).alias("summary"), F.col("named").alias("co_mention")).join(bm.withColumnRenamed("score", "evidence_sentences"), ["qid", "did"])
+    order = ["summary", "co_mention", "evidence_sentences"]
+    if dense is not None:
+        met = met.join(dense.withColumnRenamed("score", "full_context"), ["qid", "did"])
+        order.append("full_context")
+    return _ranked(met, order)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..operators import evidence as E
+from ..operators.lineage import cut
 from ..sources import collections as S
 from .registry import query, read
 
@@ -107,6 +109,13 @@ select doc_id::varchar || ':' || nth::varchar as query_id, 't: evidence for rela
 from q join b using (doc_id, nth)""")
 def src_docred(spark, sf_dir):
     """Relations of documents: sentences part at full stops, entities are first words."""
+    made = _relations(spark, sf_dir)
+    best = F.array_max(F.transform("summary_scores", lambda x, i: F.struct(x.alias("x"), (-i).alias("i"))))["i"]
+    total = F.round(F.aggregate("summary_scores", F.lit(0.0), lambda a, x: a + x), 6)
+    return made.select("query_id", "query_text", "relation", F.array_join(F.transform("relevant_local", lambda e: _str(e)), "|").alias("relevant_local"), "candidate_count", total.alias("total"), (-best).alias("best"))
+
+
+def _relations(spark, sf_dir):
     s = F.split("text", r"\.")
     first = lambda x: F.split_part(F.ltrim(x), F.lit(" "), F.lit(1))
     at = F.sequence(F.lit(0), F.least(F.size("s"), F.lit(3)) - 1)
@@ -114,10 +123,55 @@ def src_docred(spark, sf_dir):
     label = lambda i: F.struct(i.alias("h"), F.least(F.size("s"), F.lit(3)).alias("t"), F.when(i % 2 == 0, "P1").otherwise(F.concat(F.lit("P"), _str(i))).alias("r"), F.array(i, i + 1, i + 1, F.lit(999)).alias("evidence"))
     docs = read(spark, sf_dir, "documents", "doc_id", "text").where("text is not null").withColumn("s", s)
     raw = docs.select(_str("doc_id").alias("doc_id"), F.lit("dev").alias("split"), F.lit("t").alias("title"), F.transform("s", lambda x: F.split(x, " ")).alias("sents"), vertices.alias("vertexSet"), F.transform(at, label).alias("labels"))
-    made = S.load_docred(raw, spark.createDataFrame([("P1", "part of")], "r string, name string"))
-    best = F.array_max(F.transform("summary_scores", lambda x, i: F.struct(x.alias("x"), (-i).alias("i"))))["i"]
-    total = F.round(F.aggregate("summary_scores", F.lit(0.0), lambda a, x: a + x), 6)
-    return made.select("query_id", "query_text", "relation", F.array_join(F.transform("relevant_local", lambda e: _str(e)), "|").alias("relevant_local"), "candidate_count", total.alias("total"), (-best).alias("best"))
+    return S.load_docred(raw, spark.createDataFrame([("P1", "part of")], "r string, name string"))
+
+
+def _bm(name: str, asked: str, pool: str, score: str) -> str:
+    """CTEs up to ``name`` (qid, did, score): BM25 of ``asked`` (qid, text) in ``pool`` (qid, did, text)."""
+    tokens = "regexp_extract_all(lower(text), '([a-z0-9]+)', 1)"
+    return f"""{name}_dt as (select qid, did, {tokens} as t from {pool}), {name}_sz as (select qid, did, greatest(len(t), 1) as dl from {name}_dt), {name}_st as (select qid, count(*) as n, avg(dl) as avgdl from {name}_sz group by qid),
+{name}_qt as (select qid, term, count(*) as qtf from (select qid, unnest({tokens}) as term from {asked}) group by all), {name}_tf as (select qid, did, term, count(*) as tf from (select qid, did, unnest(t) as term from {name}_dt) group by all),
+{name}_met as (select * from {name}_tf join {name}_qt using (qid, term)), {name}_df as (select qid, term, count(*) as df from {name}_met group by all),
+{name}_sc as (select qid, did, sum(qtf * ln(1 + (n - df + 0.5::double) / (df + 0.5::double)) * (tf * 2.2::double / (tf + 1.2::double * (0.25::double + 0.75::double * dl / avgdl)))) as s
+  from {name}_met join {name}_df using (qid, term) join {name}_sz using (qid, did) join {name}_st using (qid) group by all),
+{name} as (select qid, did, round(coalesce(s, 0), 6) as {score} from {name}_sz left join {name}_sc using (qid, did))"""
+
+
+_ORDER = "n, flag, p_name, p_type, p_brand, p_size"
+_IN = _NORM.format("{}")
+
+
+@query(f"""with {_LINES}, pl as (select o as qid, row_number() over (partition by o order by {_ORDER}) - 1 as did, p_name as title, p_name || '. ' || p_type || ' ' || p_brand as text, flag from l where p_size % 10 <> 0),
+kept as (select distinct qid from pl where flag = 'R' and qid % 7 <> 0), pp as (select pl.* from pl join kept using (qid)),
+qs as (select o as qid, coalesce(string_agg(p_type, ' ' order by {_ORDER}) filter (where flag = 'R'), '') as text, coalesce(string_agg(p_brand || ' ' || p_type, ' ' order by {_ORDER}) filter (where n <= 3 and p_size % 4 <> 0), '') as d from l where o in (select qid from kept) group by o),
+qb as (select qid, trim(text || ' ' || d) as text from qs), pt as (select qid, did, title as text from pp),
+st as (select o * 100 + row_number() over (partition by o order by {_ORDER}) as qid, o, p_brand || ' ' || p_type as text from l where n <= 3 and p_size % 4 <> 0 and o in (select qid from kept)), sp as (select st.qid, did, pp.text from st join pp on pp.qid = st.o),
+{_bm("t", "qs", "pt", "t")}, {_bm("tb", "qb", "pt", "tb")}, {_bm("p", "qs", "pp", "p")}, {_bm("pb", "qb", "pp", "pb")}, {_bm("e", "st", "sp", "e")}, best as (select qid // 100 as qid, did, max(e) as best from e group by all),
+tk as (select qid, did, list_distinct(regexp_extract_all(lower(title), '([a-z0-9]+)', 1)) as tt, list_distinct(regexp_extract_all(lower(qs.text), '([a-z0-9]+)', 1)) as qq, {_IN.format("title")} as nt, {_IN.format("qs.text")} as nq from pp join qs using (qid)),
+ov as (select qid, did, round(case when len(tt) > 0 then len(list_intersect(qq, tt)) / len(tt) else 0 end + case when nt <> '' and contains(nq, nt) then 1 else 0 end, 6) as ov from tk),
+a as (select qid, did, t + 0.5::double * ov as summary, tb, p, pb, coalesce(best, 0) as best from ov join t using (qid, did) join tb using (qid, did) join p using (qid, did) join pb using (qid, did) left join best using (qid, did)),
+b as (select *, tb + 0.25::double * summary as decomp_title, p + 0.15::double * summary as paragraph from a), c as (select *, pb + 0.3::double * best + 0.15::double * paragraph as support_set from b),
+v as (select qid, did, 'summary' as view, summary as s from c union all select qid, did, 'decomp_title', decomp_title from c union all select qid, did, 'paragraph', paragraph from c union all select qid, did, 'support_set', support_set from c union all select qid, did, 'full_context', pb + 0.2::double * support_set from c)
+select 'm' || qid::varchar as qid, view, did, round(s, 12) as score, row_number() over (partition by qid, view order by round(s, 9) desc, did) as rank from v""")
+def evidence_decomposed(spark, sf_dir):
+    """Views of questions with sub-questions, on the loader's own rows."""
+    raw = _lines(spark, sf_dir).select(
+        F.concat(F.lit("m"), _str("o")).alias("id"), F.array_join(F.transform(F.filter("l", lambda x: x["flag"] == "R"), lambda x: x["p_type"]), " ").alias("question"), F.lit("a").alias("answer"), F.array().cast("array<string>").alias("answer_aliases"), (F.col("o") % 7 != 0).alias("answerable"),
+        F.transform("l", lambda x: F.struct(x["n"].alias("idx"), x["p_name"].alias("title"), F.when(x["p_size"] % 10 == 0, " ").otherwise(F.concat_ws(" ", x["p_type"], x["p_brand"])).alias("paragraph_text"), (x["flag"] == "R").alias("is_supporting"))).alias("paragraphs"),
+        F.transform(F.filter("l", lambda x: x["n"] <= 3), lambda x: F.struct(F.when(x["p_size"] % 4 == 0, "").otherwise(F.concat_ws(" ", x["p_brand"], x["p_type"])).alias("question"), x["p_brand"].alias("answer"), x["n"].alias("paragraph_support_idx"))).alias("question_decomposition"),
+    )
+    return E.decomposed_views(cut(S.load_musique(raw))).select("qid", "view", "did", "score", "rank")
+
+
+@query(f"""with {_DOC}, qs as (select doc_id * 10 + nth as qid, 't: evidence for relation ' || name || ' between ' || head || ' and ' || tail as text, * from (select doc_id, nth, s, head, tail, name from q)),
+ln as (select qid, head, tail, name, j as did, s[j + 1] as text from (select *, unnest(range(0, len(s))) as j from qs)), {_bm("b", "qs", "ln", "bm")},
+w as (select qid, did, round(2.0::double * ((head <> '' and contains(lower(text), lower(head)))::int + contains(lower(text), tail)::int) + 0.25::double * (len(list_intersect(list_distinct(regexp_extract_all(lower(name), '([a-z0-9]+)', 1)), list_distinct(regexp_extract_all(lower(text), '([a-z0-9]+)', 1))))
+  / greatest(1, len(list_distinct(regexp_extract_all(lower(name), '([a-z0-9]+)', 1))))) - 0.001::double * did, 9) as co from ln),
+v as (select qid, did, 'summary' as view, -0.001::double * did as s from w union all select qid, did, 'co_mention', co from w union all select qid, did, 'evidence_sentences', bm from b)
+select (qid // 10)::varchar || ':' || (qid % 10)::varchar as qid, view, did, round(s, 6) + 0.0::double as score, row_number() over (partition by qid, view order by round(s, 9) desc, did) as rank from v""")
+def evidence_relations(spark, sf_dir):
+    """Views of relations' evidence, on the loader's own rows."""
+    return E.relation_views(cut(_relations(spark, sf_dir))).select("qid", "view", "did", (F.round("score", 6) + 0.0).alias("score"), "rank")
 
 
 @query("""with u as (select 'documents' as corpus, doc_id::varchar as did, text from documents union all select 'pages', page_id::varchar, html from pages union all select 'benchmark', item_id::varchar, text from benchmark),

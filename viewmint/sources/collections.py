@@ -141,7 +141,7 @@ def load_docred(raw: DataFrame, relations: DataFrame | None = None) -> DataFrame
     """A query for each relation that has evidence among its document's sentences.
 
     query_id, doc_id, split, title, query_text, head, tail, relation,
-    relevant_local, candidate_count, summary_scores.  ``relations`` (r, name)
+    relevant_local, candidate_count, summary_scores, candidate_texts.  ``relations`` (r, name)
     names relations in words; one that isn't there goes by its id.  Documents of
     one sentence and evidence outside of the document are left out.
     """
@@ -159,7 +159,7 @@ def load_docred(raw: DataFrame, relations: DataFrame | None = None) -> DataFrame
     return asked.select(
         F.concat_ws(":", "doc_id", F.col("nth").cast("string")).alias("query_id"), "doc_id", "split", "title",
         F.concat(F.col("title"), F.lit(": evidence for relation "), name, F.lit(" between "), "head", F.lit(" and "), "tail").alias("query_text"),
-        "head", "tail", "relation", "relevant_local", F.size("lines").alias("candidate_count"), F.transform("lines", score).alias("summary_scores"),
+        "head", "tail", "relation", "relevant_local", F.size("lines").alias("candidate_count"), F.transform("lines", score).alias("summary_scores"), F.col("lines").alias("candidate_texts"),
     )
 
 
