@@ -24,45 +24,55 @@ from .urls import judge_urls, rules_table
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score of every document by a discriminant fitted on the labelled rows; odd rows as in :func:`quality_scores`."""
     scored = quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return scored.select("doc_id", "held_out", "score", "predicted")
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Group, kept row and digest of every document; odd rows as in :func:`exact_dedup`."""
     found = exact_dedup(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix takes of every document; odd rows as in :func:`mix_sources`."""
     mixed = mix_sources(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Place of every piece of every document in a sequence; odd rows as in :func:`pack_sequences`."""
     return pack_sequences(table(spark, sf_dir, "documents"))
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that are left of every document; odd rows as in :func:`remove_repeats`."""
     return remove_repeats(table(spark, sf_dir, "documents"))
 
 
 def op6_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten nearest vectors of every hundredth one; odd rows as in :func:`nearest_neighbours`."""
     return nearest_neighbours(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shard and slot of every document; odd rows as in :func:`shard_records`."""
     return shard_records(table(spark, sf_dir, "documents"))
 
 
 def op8_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every document, read back from the files; odd rows as in :func:`tokens_round_trip`."""
     return tokens_round_trip(table(spark, sf_dir, "documents"))
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document; odd rows as in :func:`simhash_components`."""
     return simhash_components(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
 def op10_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prompt and masked completions of every conversation; odd rows as in :func:`format_preferences`."""
     return format_preferences(replies_as_pairs(table(spark, sf_dir, "conversations")))
 
 
