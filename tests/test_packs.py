@@ -51,3 +51,13 @@ def test_gains_are_predicted_from_the_train_part(spark):
     assert set(made) == set(range(300, 400)) and sum(made[i] == ("rich" if x[i, 0] > 0 else "cheap") for i in made) > 90
     blind = test.withColumns({"u_rich": F.lit(None).cast("double"), "u_cheap": F.lit(None).cast("double")})  # no answer to peek at
     assert {r["query_id"]: r["view"] for r in gates.predicted_gain_gate(train, blind, ["a", "b"], "rich", "cheap", 0.02).collect()} == made
+
+
+def test_shuffled_folds_are_even(spark):
+    from collections import Counter
+
+    from viewmint.operators.splits import shuffled_folds
+
+    for n in (0, 1, 3, 5, 23, 100):
+        folds = Counter(r["fold"] for r in shuffled_folds(spark.range(n), "id", 5, 3).collect())
+        assert [folds[i] for i in range(5)] == [n // 5 + (i < n % 5) for i in range(5)]

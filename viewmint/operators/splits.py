@@ -51,3 +51,13 @@ def split_stratified(rows: DataFrame, id_col: str, by: str, seed: int) -> DataFr
 def folds(rows: DataFrame, group_col: str, k: int) -> DataFrame:
     """Adds ``fold``: groups, whole, by their hash (not balanced by size)."""
     return rows.withColumn("fold", F.pmod(order_key(F.col(group_col), 0), F.lit(k)).cast("int"))
+
+
+def shuffled_folds(rows: DataFrame, id_col: str, k: int, seed: int) -> DataFrame:
+    """Adds ``fold``: ``k`` runs of the shuffled order whose sizes differ by one
+    at most, the larger ones first; of fewer than ``k`` rows each is its own."""
+    r = shuffled_rank(rows, id_col, seed)
+    size, more, at = F.floor(F.col("_n") / F.lit(k)), F.col("_n") % k, F.col("_rank") - 1
+    head = more * (size + 1)
+    fold = F.when(at < head, F.floor(at / (size + 1))).otherwise(more + F.floor((at - head) / F.greatest(size, F.lit(1))))
+    return r.withColumn("fold", fold.cast("int")).drop("_rank", "_n")

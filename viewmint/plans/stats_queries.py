@@ -37,6 +37,13 @@ def split_groupkfold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.folds(read(spark, sf_dir, "orders", "o_custkey"), "o_custkey", 5).groupBy("fold").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("o_custkey").alias("groups"))
 
 
+@query(f"""with r as (select o_orderkey, row_number() over (order by {_key(9, 'o_orderkey')}, o_orderkey) - 1 as a, count(*) over () as n from orders)
+select o_orderkey, (case when a < (n % 7) * (n // 7 + 1) then a // (n // 7 + 1) else n % 7 + (a - (n % 7) * (n // 7 + 1)) // greatest(n // 7, 1) end)::int as fold from r""")
+def split_kfold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Seven shuffled folds of equal sizes."""
+    return S.shuffled_folds(read(spark, sf_dir, "orders", "o_orderkey"), "o_orderkey", 7, 9)
+
+
 _WIDE = f"""{VM}, wide as (select query_id, any_value(price) as price, max(case when view = 'summary' then quality end) as margin,
   max(case when view = 'summary' then utility end) as u_summary, max(case when view = 'pq' then utility end) as u_pq, max(case when view = 'full' then utility end) as u_full from vm group by query_id)"""
 
