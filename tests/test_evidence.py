@@ -69,3 +69,14 @@ def test_views_of_relations(spark):
     assert [got["full_context", i][1] for i in range(3)] == [3, 2, 1] and [got["summary", i][1] for i in range(3)] == [1, 2, 3]
     assert {v for v, _ in got} == {"summary", "co_mention", "evidence_sentences", "full_context"}
     assert "full_context" not in {r["view"] for r in E.relation_views(rows).collect()}
+
+
+def test_pool_in_a_row_scores_as_a_pool_of_rows(spark):
+    from pyspark.sql import functions as F
+
+    from viewmint.operators import text as T
+
+    rows = spark.createDataFrame([(1, "a b a z", ["a c", "b b a", "", "c-A"]), (2, "", ["a"]), (3, "q", ["x", "y"]), (4, "a", [])], "qid int, text string, pool array<string>")
+    want = {(r["qid"], r["did"]): r["score"] for r in T.bm25_local(rows, rows.select("qid", F.posexplode("pool").alias("did", "text"))).collect()}
+    got = {(r["qid"], i): s for r in rows.select("qid", T.bm25_of(F.col("text"), F.col("pool")).alias("s")).collect() for i, s in enumerate(r["s"])}
+    assert got == want

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.core import overlap_share, tokens
-from .text import bm25_local, clique_scores, fallback_anchor
+from .text import bm25_local, bm25_of, clique_scores, fallback_anchor
 
 #: A family's views as weights of signals, in menu order.  The
 #: last views of fever and strategyqa add a bonus on gold: they stand for a
@@ -108,11 +108,13 @@ def relation_views(rows: DataFrame, dense: DataFrame | None = None) -> DataFrame
     By place; by the entities and relation words that a sentence names; by BM25
     of the question; and, where ``dense`` (qid, did, score) is given, by that.
     """
-    lines = rows.select(F.col("query_id").alias("qid"), F.posexplode(F.arrays_zip(F.col("candidate_texts").alias("text"), F.col("summary_scores").alias("named"))).alias("did", "c")).select("qid", "did", "c.text", "c.named")
-    bm = bm25_local(rows.select(F.col("query_id").alias("qid"), F.col("query_text").alias("text")), lines.select("qid", "did", "text"))
-    met = lines.select("qid", "did", (-0.001 * F.col("did")).alias("summary"), F.col("named").alias("co_mention")).join(bm.withColumnRenamed("score", "evidence_sentences"), ["qid", "did"])
-    order = ["summary", "co_mention", "evidence_sentences"]
-    if dense is not None:
-        met = met.join(dense.withColumnRenamed("score", "full_context"), ["qid", "did"])
-        order.append("full_context")
-    return _ranked(met, order)
+    made = {"summary": F.transform("candidate_texts", lambda t, i: -0.001 * i), "co_mention": F.col("summary_scores"), "evidence_sentences": bm25_of(F.col("query_text"), F.col("candidate_texts"))}
+    if dense is None:
+        # a relation's sentences are in its row, so each view is ranked there
+        cells = F.array(*[F.struct(F.lit(v).alias("view"), F.lit(i).alias("ord"), s.alias("scores")) for i, (v, s) in enumerate(made.items())])
+        each = rows.select(F.col("query_id").alias("qid"), F.explode(cells).alias("c")).select("qid", "c.*")
+        order = F.array_sort(F.transform("scores", lambda x, i: F.named_struct(F.lit("key"), -F.round(x, 9), F.lit("did"), i, F.lit("score"), F.round(x, 12) + 0.0)))
+        return each.select("qid", "view", "ord", F.posexplode(order).alias("at", "s")).select("qid", "view", "ord", "s.did", "s.score", (F.col("at") + 1).cast("long").alias("rank"))
+    zipped = F.arrays_zip(*[s.alias(v) for v, s in made.items()])
+    met = rows.select(F.col("query_id").alias("qid"), F.posexplode(zipped).alias("did", "c")).select("qid", "did", "c.*")
+    return _ranked(met.join(dense.withColumnRenamed("score", "full_context"), ["qid", "did"]), [*made, "full_context"])

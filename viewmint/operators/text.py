@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.core import norm_title, token_set, tokens
+from ..functions.core import bound, norm_title, token_set, tokens
 
 #: Fixed values of BM25.
 K1, B = 1.2, 0.75
@@ -33,6 +33,30 @@ def bm25_local(queries: DataFrame, pool: DataFrame, k1: float = K1, b: float = B
     return sized.select("qid", "did").join(per, ["qid", "did"], "left").select("qid", "did", F.round(F.coalesce("score", F.lit(0.0)), 6).alias("score"))
 
 
+def bm25_of(query: Column, texts: Column, k1: float = K1, b: float = B) -> Column:
+    """Array of :func:`bm25_local` scores of ``texts``, an array that is the
+    query's own pool: query and pool stand in one row, so nothing is shuffled."""
+    size = lambda a: F.aggregate(a, F.lit(0.0), lambda s, d: s + d["dl"]) / F.greatest(F.size(a), F.lit(1))
+    times = lambda a, t: F.size(F.filter(a, lambda x: x == t))
+
+    def read(terms: Column) -> Column:
+        one = lambda t: bound(tokens(t), lambda w: F.named_struct(F.lit("dl"), F.greatest(F.size(w), F.lit(1)), F.lit("hits"), F.filter(w, lambda x: F.array_contains(terms, x))))
+        return F.transform(texts, one)
+
+    def weigh(asked: Column, terms: Column, docs: Column) -> Column:
+        df = lambda t: F.size(F.filter(docs, lambda d: F.array_contains(d["hits"], t)))
+        idf = lambda n: F.log(1 + (F.size(docs) - n + 0.5) / (n + 0.5))
+        return F.transform(terms, lambda t: F.named_struct(F.lit("t"), t, F.lit("w"), times(asked, t) * bound(df(t), idf)))
+
+    def score(weights: Column, docs: Column, mean: Column) -> Column:
+        part = lambda d, w: bound(times(d["hits"], w["t"]), lambda tf: F.when(tf > 0, w["w"] * (tf * (k1 + 1) / (tf + k1 * (1 - b + b * d["dl"] / mean)))).otherwise(0.0))
+        return F.transform(docs, lambda d: F.round(F.aggregate(weights, F.lit(0.0), lambda s, w: s + part(d, w)), 6))
+
+    return bound(tokens(query), lambda asked: bound(F.array_distinct(asked), lambda terms: bound(read(terms), lambda docs: bound(
+        weigh(asked, terms, docs), lambda weights: bound(size(docs), lambda mean: score(weights, docs, mean))
+    ))))
+
+
 def by_score(*tie: str) -> Window:
     return Window.partitionBy("qid").orderBy(F.col("score").desc(), *(tie or ("did",)))
 

@@ -171,7 +171,7 @@ v as (select qid, did, 'summary' as view, -0.001::double * did as s from w union
 select (qid // 10)::varchar || ':' || (qid % 10)::varchar as qid, view, did, round(s, 6) + 0.0::double as score, row_number() over (partition by qid, view order by round(s, 9) desc, did) as rank from v""")
 def evidence_relations(spark, sf_dir):
     """Views of relations' evidence, on the loader's own rows."""
-    return E.relation_views(cut(_relations(spark, sf_dir))).select("qid", "view", "did", (F.round("score", 6) + 0.0).alias("score"), "rank")
+    return E.relation_views(_relations(spark, sf_dir)).select("qid", "view", "did", (F.round("score", 6) + 0.0).alias("score"), "rank")
 
 
 @query("""with u as (select 'documents' as corpus, doc_id::varchar as did, text from documents union all select 'pages', page_id::varchar, html from pages union all select 'benchmark', item_id::varchar, text from benchmark),
