@@ -80,3 +80,14 @@ def test_pool_in_a_row_scores_as_a_pool_of_rows(spark):
     want = {(r["qid"], r["did"]): r["score"] for r in T.bm25_local(rows, rows.select("qid", F.posexplode("pool").alias("did", "text"))).collect()}
     got = {(r["qid"], i): s for r in rows.select("qid", T.bm25_of(F.col("text"), F.col("pool")).alias("s")).collect() for i, s in enumerate(r["s"])}
     assert got == want
+
+
+def test_relations_are_scored_where_they_stand(spark):
+    """Most relations share a name: a join by it, or pools spread by term, put all documents through a few tasks."""
+    from viewmint.plans import QUERIES
+
+    for name in ("src_docred", "evidence_relations"):
+        plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert "Window" not in plan and "Aggregate" not in plan
+        assert plan.count("Join") == plan.count("rightHint=(strategy=broadcast)") == 1
+        assert "size(transform(sents" not in plan and "size(lines" not in plan

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.core import norm_title, token_set
+from ..functions.core import bound, norm_title, token_set
 
 _FACTS = "array<array<string>>"
 RAW_2WIKI = f"_id string, type string, question string, answer string, context array<struct<title:string,sentences:array<string>>>, supporting_facts {_FACTS}, evidences {_FACTS}"
@@ -131,9 +131,13 @@ def entity_name(vertices: Column, at: Column) -> Column:
 def co_mention(sentence: Column, head: Column, tail: Column, relation: Column) -> Column:
     """Twice the entities that a sentence names, and a quarter of the share of
     the relation's words that it has."""
-    named = lambda e: F.when((e != "") & F.contains(F.lower(sentence), F.lower(e)), 1.0).otherwise(0.0)
-    words = token_set(relation)
-    share = F.size(F.array_intersect(words, token_set(sentence))) / F.greatest(F.lit(1), F.size(words))
+    return _co_mention(F.lower(sentence), token_set(sentence), F.lower(head), F.lower(tail), token_set(relation))
+
+
+def _co_mention(sentence: Column, said: Column, head: Column, tail: Column, words: Column) -> Column:
+    """:func:`co_mention` of what is lower-cased and cut into words already."""
+    named = lambda e: F.when((e != "") & F.contains(sentence, e), 1.0).otherwise(0.0)
+    share = F.size(F.array_intersect(words, said)) / F.greatest(F.lit(1), F.size(words))
     return 2.0 * (named(head) + named(tail)) + 0.25 * share
 
 
@@ -145,21 +149,26 @@ def load_docred(raw: DataFrame, relations: DataFrame | None = None) -> DataFrame
     names relations in words; one that isn't there goes by its id.  Documents of
     one sentence and evidence outside of the document are left out.
     """
-    lines = F.transform("sents", lambda s: F.array_join(s, " "))
-    docs = raw.select("doc_id", "split", F.coalesce("title", F.lit("")).alias("title"), lines.alias("lines"), F.col("vertexSet").alias("v"), F.posexplode("labels").alias("nth", "l")).where(F.size("lines") >= 2)
-    evidence = F.array_sort(F.array_distinct(F.filter("l.evidence", lambda e: (e >= 0) & (e < F.size("lines")))))
+    # lambdas and filters name the number of sentences, so it is a column: an
+    # expression of ``lines`` there would join every sentence anew each time.
+    # A document's sentences are cut into words once, not for each relation.
+    line = lambda s: bound(F.array_join(s, " "), lambda t: F.named_struct(F.lit("text"), t, F.lit("low"), F.lower(t), F.lit("words"), token_set(t)))
+    docs = raw.where(F.size("sents") >= 2).select("doc_id", "split", F.coalesce("title", F.lit("")).alias("title"), F.transform("sents", line).alias("lines"), F.size("sents").alias("n"), F.col("vertexSet").alias("v"), F.posexplode("labels").alias("nth", "l"))
+    evidence = F.array_sort(F.array_distinct(F.filter("l.evidence", lambda e: (e >= 0) & (e < F.col("n")))))
     asked = docs.withColumns({"relevant_local": evidence, "relation": F.coalesce("l.r", F.lit("UNK"))}).where(F.size("relevant_local") > 0)
     asked = asked.withColumns({"head": entity_name(F.col("v"), F.coalesce("l.h", F.lit(-1))), "tail": entity_name(F.col("v"), F.coalesce("l.t", F.lit(-1)))})
     if relations is not None:
-        asked = asked.join(relations.select(F.col("r").alias("relation"), F.col("name").alias("_name")), "relation", "left")
+        # a vocabulary: documents stay where they are, whatever relation most have
+        asked = asked.join(F.broadcast(relations.select(F.col("r").alias("relation"), F.col("name").alias("_name"))), "relation", "left")
     else:
         asked = asked.withColumn("_name", F.lit(None).cast("string"))
     name = F.coalesce("_name", "relation")
-    score = lambda s, i: F.round(co_mention(s, F.col("head"), F.col("tail"), name) - 0.001 * i, 9)
+    score = lambda k: F.transform("lines", lambda s, i: F.round(_co_mention(s["low"], s["words"], k["head"], k["tail"], k["words"]) - 0.001 * i, 9))
+    scores = bound(F.named_struct(F.lit("head"), F.lower("head"), F.lit("tail"), F.lower("tail"), F.lit("words"), token_set(name)), score)
     return asked.select(
         F.concat_ws(":", "doc_id", F.col("nth").cast("string")).alias("query_id"), "doc_id", "split", "title",
         F.concat(F.col("title"), F.lit(": evidence for relation "), name, F.lit(" between "), "head", F.lit(" and "), "tail").alias("query_text"),
-        "head", "tail", "relation", "relevant_local", F.size("lines").alias("candidate_count"), F.transform("lines", score).alias("summary_scores"), F.col("lines").alias("candidate_texts"),
+        "head", "tail", "relation", "relevant_local", F.col("n").alias("candidate_count"), scores.alias("summary_scores"), F.col("lines.text").alias("candidate_texts"),
     )
 
 
