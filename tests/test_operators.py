@@ -273,3 +273,15 @@ def test_tasks_by_name(spark):
     assert tasks.evaluate("retrieval", ranked, spark.createDataFrame([(1, 5, 1.0)], "qid long, did long, rel double")).first()["ndcg"] == 1.0
     with pytest.raises(KeyError):
         tasks.evaluate("other", truth, truth)
+
+
+def test_a_mean_midway_is_rounded_up_in_any_order(spark):
+    """19.87525 / 500: sums of doubles fall on either side, by the order of their rows."""
+    from viewmint.operators import policy as P
+
+    values = [0.075497] * 250 + [0.004004] * 250
+    assert round(sum(values), 9) == 19.87525
+    views = spark.createDataFrame([(i, "v", 0, 0.0, v, v) for i, v in enumerate(values)], "query_id int, view string, ord int, cost double, quality double, utility double")
+    for parts in (1, 3, 7):
+        r = P.evaluate(P.fixed_routes(views), views.repartition(parts)).first()
+        assert r["mean_utility"] == r["mean_quality"] == 0.039751
