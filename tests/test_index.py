@@ -183,3 +183,41 @@ def test_degree_matched_titles(spark):
     rows = spark.createDataFrame(asked, "qid long, sources array<string>, excluded array<string>")
     assert sorted(tuple(r) for r in degree_matched(rows, some, 5, 16).collect()) == _drawn(asked, few, 5, 16)
     assert degree_matched(rows, some.limit(0), 5).count() == 0 and degree_matched(rows.limit(0), some, 5).count() == 0
+
+
+def test_products_of_runs_are_the_best_of_all():
+    """The k-th best is found from runs of products: ties, rows of their own and unfit vectors must not change it."""
+    import numpy as np
+
+    from viewmint.operators import search as S
+
+    rng = np.random.default_rng(3)
+    x = np.round(rng.normal(size=(40_000, 4)), 1)
+    x[::7] = x[0]
+    x[11] = np.nan
+    q, did = x[:50].copy(), np.arange(40_000)[::-1].copy()
+    row, column, score = S.best_products(q, x, did[:50], did, 10)
+    for i in range(50):
+        every = np.round(x @ q[i], S.DIGITS)
+        every[np.isnan(every)], every[i] = -np.inf, -np.inf
+        want = [c for c in np.lexsort((did, -every))[:10] if every[c] > -np.inf]
+        assert list(column[row == i]) == want and list(score[row == i]) == list(every[want])
+
+
+def test_search_copies_vectors_a_block_not_a_query(spark):
+    """What travels is the stored vector, not four wider views of it, once a block of many queries."""
+    from viewmint.operators import search as S
+
+    e = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet")
+    assert S.BLOCK_ROWS >= 20_000 and S.SHARD_ROWS >= 100_000
+    assert "transform(" not in S.top_k_views(e, e, 10, list(S.VIEWS))._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_probes_of_all_cells_are_exact(spark):
+    from viewmint.operators import search as S
+
+    e = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").limit(200).localCheckpoint()
+    got = S.probes(e, e, 5, 6, [1, 6]).collect()
+    exact = {(r["qid"], r["rank"]): r["did"] for r in S.top_k(e, e, 5).collect()}
+    assert {(r["qid"], r["rank"]): r["did"] for r in got if r["view"] == "nprobe6"} == exact
+    assert {r["view"] for r in got} == {"nprobe1", "nprobe6"}
