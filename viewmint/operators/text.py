@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.core import bound, norm_title, token_set, tokens
+from .lineage import cut
 
 #: Fixed values of BM25.
 K1, B = 1.2, 0.75
@@ -87,27 +88,49 @@ def expand(seeds: DataFrame, edges: DataFrame, cap: int, exclude: DataFrame | No
     return fresh.withColumn("place", F.row_number().over(place).cast("long")).where(F.col("place") <= cap)
 
 
-def inside_pool(pool: DataFrame, edges: DataFrame) -> DataFrame:
-    """(qid, src, dst, from_anchor, to_anchor): links within each query's pool."""
-    a = pool.select("qid", F.col("node").alias("src"), F.col("anchor").alias("from_anchor"))
-    b = pool.select("qid", F.col("node").alias("dst"), F.col("anchor").alias("to_anchor"))
-    return a.join(edges, "src").join(b, ["qid", "dst"])
+def _lists(nodes: DataFrame, value: str) -> DataFrame:
+    """(node, _q, _w): each node once, with its queries and a value for each."""
+    listed = nodes.groupBy("node").agg(F.array_sort(F.collect_list(F.struct("qid", F.col(value).alias("w")))).alias("l"))
+    return listed.select("node", F.col("l.qid").alias("_q"), F.col("l.w").alias("_w"))
 
 
-def one_hop_scores(pool: DataFrame, edges: DataFrame, direct: float = 1.0, reverse: float = 0.75, inside: DataFrame | None = None) -> DataFrame:
+def _spread(held: DataFrame, asked: DataFrame, edges: DataFrame, frm: str, to: str) -> DataFrame:
+    """(qid, node, w, n): sum of the values of ``held`` nodes, and number of the
+    nodes, that are linked to a node of the same query in ``asked``.
+
+    Both are of :func:`_lists`.  A link travels once, with its first node's
+    list, and only if ``asked`` has its other node; it becomes a row a query
+    where all links of that other node are, so that such rows aren't shuffled.
+    """
+    wanted = asked.select(F.col("node").alias("to"), F.col("_q").alias("_in"))
+    links = edges.select(F.col(frm).alias("node"), F.col(to).alias("to")).join(wanted.select("to"), "to", "left_semi")
+    met = links.join(held, "node").select("to", "_q", "_w").join(wanted, "to")
+    cells = F.filter(F.arrays_zip("_q", "_w"), lambda c: F.array_contains("_in", c["_q"]))
+    return met.select("to", F.explode(cells).alias("c")).groupBy("to", F.col("c._q").alias("qid")).agg(F.sum("c._w").alias("w"), F.count(F.lit(1)).alias("n")).select("qid", F.col("to").alias("node"), "w", "n")
+
+
+def neighbours(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(qid, node): distinct nodes that a query's ``nodes`` (qid, node) link to."""
+    held = nodes.groupBy("node").agg(F.collect_set("qid").alias("_q"))
+    met = edges.select(F.col("src").alias("node"), F.col("dst").alias("to")).join(held, "node").select("to", "_q").repartition("to")
+    return met.select("to", F.explode("_q").alias("qid")).groupBy("to", "qid").agg(F.lit(1)).select("qid", F.col("to").alias("node"))
+
+
+def one_hop_scores(pool: DataFrame, edges: DataFrame, direct: float = 1.0, reverse: float = 0.75) -> DataFrame:
     """(qid, node, one, out_degree, in_degree): links within each query's pool.
 
     ``pool``: qid, node, anchor (is it a start?).
     """
-    inside = inside_pool(pool, edges) if inside is None else inside
-    # either end of a link counts at its node: one pass, one aggregate
-    ends = inside.select("qid", F.explode(F.array(
-        F.struct(F.col("dst").alias("node"), F.col("from_anchor").cast("long").alias("d"), F.lit(0).cast("long").alias("r"), F.lit(1).cast("long").alias("i"), F.lit(0).cast("long").alias("o")),
-        F.struct(F.col("src").alias("node"), F.lit(0).cast("long").alias("d"), F.col("to_anchor").cast("long").alias("r"), F.lit(0).cast("long").alias("i"), F.lit(1).cast("long").alias("o")),
-    )).alias("e")).select("qid", "e.*")
-    per = ends.groupBy("qid", "node").agg(F.sum("d").alias("d"), F.sum("r").alias("r"), F.sum("i").alias("in_degree"), F.sum("o").alias("out_degree"))
-    joined = pool.join(per, ["qid", "node"], "left").na.fill(0, ["d", "r", "in_degree", "out_degree"])
-    return joined.select("qid", "node", (direct * F.col("d") + reverse * F.col("r")).alias("one"), "out_degree", "in_degree")
+    return _one_hop(pool, edges, direct, reverse).select("qid", "node", "one", "out_degree", "in_degree")
+
+
+def _one_hop(pool: DataFrame, edges: DataFrame, direct: float, reverse: float) -> DataFrame:
+    """:func:`one_hop_scores` with ``d``, the anchors that link to a node."""
+    lists = _lists(pool.select("qid", "node", F.col("anchor").cast("long").alias("a")), "a")
+    into = _spread(lists, lists, edges, "src", "dst").select("qid", "node", F.col("w").alias("d"), F.col("n").alias("in_degree"))
+    out = _spread(lists, lists, edges, "dst", "src").select("qid", "node", F.col("w").alias("r"), F.col("n").alias("out_degree"))
+    joined = pool.join(into, ["qid", "node"], "left").join(out, ["qid", "node"], "left").na.fill(0, ["d", "r", "in_degree", "out_degree"])
+    return joined.select("qid", "node", (direct * F.col("d") + reverse * F.col("r")).alias("one"), "out_degree", "in_degree", "d")
 
 
 def two_hop_scores(pool: DataFrame, edges: DataFrame) -> DataFrame:
@@ -117,10 +140,8 @@ def two_hop_scores(pool: DataFrame, edges: DataFrame) -> DataFrame:
     Paths are counted, not made: each middle node hands on how many anchors link
     to it, so that a link is one row however many paths go through it.
     """
-    inside = inside_pool(pool, edges)
-    one = one_hop_scores(pool, edges, inside=inside)
-    reached = inside.where("from_anchor").groupBy("qid", F.col("dst").alias("src")).agg(F.count(F.lit(1)).alias("ways"))
-    paths = inside.select("qid", "src", "dst").join(reached, ["qid", "src"]).groupBy("qid", F.col("dst").alias("node")).agg(F.sum("ways").alias("paths"))
+    one = cut(_one_hop(pool, edges, 1.0, 0.75))
+    paths = _spread(_lists(one.where("d > 0"), "d"), _lists(one, "d"), edges, "src", "dst").select("qid", "node", F.col("w").alias("paths"))
     joined = one.join(paths, ["qid", "node"], "left").na.fill(0, ["paths"])
     return joined.select("qid", "node", F.round(F.col("one") + 0.5 * F.col("paths") + 0.05 * (F.col("out_degree") + F.col("in_degree")), 6).alias("two"))
 
@@ -200,12 +221,13 @@ def hyper_scores(pool: DataFrame, edges: DataFrame, first: DataFrame) -> DataFra
     """
     # an anchor's link counts twice: its weight of 1 and half a point as a link of an anchor
     weight = F.when(F.col("anchor"), 1.5).otherwise(0.35)
-    into = pool.select("qid", F.col("node").alias("src"), weight.alias("w")).join(edges, "src").groupBy("qid", F.col("dst").alias("node")).agg(F.sum("w").alias("one"))
+    lists = _lists(pool.select("qid", "node", weight.alias("a")), "a")
+    into = _spread(lists, lists, edges, "src", "dst").select("qid", "node", F.col("w").alias("one"))
     one = pool.join(into, ["qid", "node"], "left").na.fill(0.0, ["one"])
     deg = edges.groupBy(F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("deg"))
     mids = first.select("qid", "node").distinct().join(one.select("qid", "node", F.col("one").alias("_o")), ["qid", "node"], "left")
-    mids = mids.select("qid", F.col("node").alias("src"), F.when(F.col("_o") > 0, 0.6).otherwise(0.3).alias("w"))
-    over = mids.join(edges, "src").groupBy("qid", F.col("dst").alias("node")).agg(F.sum("w").alias("hop"))
+    mids = _lists(mids.select("qid", "node", F.when(F.col("_o") > 0, 0.6).otherwise(0.3).alias("a")), "a")
+    over = _spread(mids, lists, edges, "src", "dst").select("qid", "node", F.col("w").alias("hop"))
     met = one.join(over, ["qid", "node"], "left").join(deg, "node", "left").na.fill(0, ["hop", "deg"])
     two = F.col("one") + F.col("hop") + 0.01 * F.least("deg", F.lit(50)) + 0.05 * F.col("overlap")
     return met.select("qid", "node", F.round("one", 6).alias("one"), F.round(two, 6).alias("two"))
