@@ -36,7 +36,7 @@ def graph_hyper(spark, sf_dir):
     """First-hop titles are every fifth neighbour of an anchor; the titles'
     overlap is a made-up share of their number."""
     pool, edges = _context(spark, sf_dir)
-    first = pool.where("anchor").join(edges, F.col("node") == F.col("src")).where("dst % 5 = 0").select("qid", F.col("dst").alias("node"))
+    first = T.neighbours(pool.where("anchor"), edges.where("dst % 5 = 0"))
     return T.hyper_scores(pool.withColumn("overlap", F.col("node") % 10 / F.lit(10.0)), edges, first)
 
 
