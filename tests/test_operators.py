@@ -285,3 +285,36 @@ def test_a_mean_midway_is_rounded_up_in_any_order(spark):
     for parts in (1, 3, 7):
         r = P.evaluate(P.fixed_routes(views), views.repartition(parts)).first()
         assert r["mean_utility"] == r["mean_quality"] == 0.039751
+
+
+def test_links_travel_once_with_their_queries(spark):
+    """A link was copied for each query of its node before the other node was looked at."""
+    import itertools
+
+    from viewmint.operators import text as T
+
+    pool = {(q, n): (q + n) % 3 == 0 for q in range(4) for n in range(12) if (q * n) % 5 != 1}
+    links = {(a, b) for a, b in itertools.product(range(20), repeat=2) if (a * 7 + b * 3) % 4 == 0}
+    p = spark.createDataFrame([(q, n, a) for (q, n), a in pool.items()], "qid long, node long, anchor boolean")
+    e = spark.createDataFrame(sorted(links), "src long, dst long")
+    inside = [(q, a, b) for q in range(4) for a, b in links if (q, a) in pool and (q, b) in pool]
+    ways = {k: sum(pool[q, a] for q, a, b in inside if (q, b) == k) for k in pool}
+    one = {(q, n): (ways[q, n] + 0.75 * sum(pool[x, b] for x, a, b in inside if (x, a) == (q, n)), sum((x, a) == (q, n) for x, a, _ in inside), sum((x, b) == (q, n) for x, _, b in inside)) for q, n in pool}
+    scored = T.one_hop_scores(p, e)
+    assert "LeftSemi" in scored._jdf.queryExecution().optimizedPlan().toString()
+    assert {(r["qid"], r["node"]): (r["one"], r["out_degree"], r["in_degree"]) for r in scored.collect()} == one
+    two = {k: round(one[k][0] + 0.5 * sum(ways[q, a] for q, a, b in inside if (q, b) == k) + 0.05 * (one[k][1] + one[k][2]), 6) for k in pool}
+    assert {(r["qid"], r["node"]): r["two"] for r in T.two_hop_scores(p, e).collect()} == pytest.approx(two)
+    got = {(r["qid"], r["node"]) for r in T.neighbours(p.where("anchor"), e).collect()}
+    assert got == {(q, b) for (q, n), a in pool.items() if a for s, b in links if s == n}
+
+
+def test_splits_are_drawn_once(spark):
+    """What reads the sums of splits must not hash every query anew."""
+    from viewmint.operators import policy as P
+
+    views = spark.createDataFrame([(q, "ab"[q % 2], v, i, float((q * 7 + i) % 5)) for q in range(200) for i, v in enumerate("xyz")], "query_id int, dataset string, view string, ord int, utility double")
+    one = P.repeated_splits(views, "dataset", 4)
+    assert "md5" not in one._jdf.queryExecution().optimizedPlan().toString()
+    both = P.split_sums(views.withColumn("other", views["query_id"] % 3), ("dataset", "other"), 4)
+    assert sorted(P.splits_of(both, "dataset").collect()) == sorted(one.collect())

@@ -82,7 +82,8 @@ def success_gate(spark, sf_dir):
     """Datasets as groups, against groups at random."""
     views = view_table(spark, sf_dir)
     h = F.conv(F.substring(F.md5(F.concat(F.lit("group:"), F.col("query_id").cast("string"))), 1, 8), 16, 10).cast("long") % 5
-    real, control = (P.split_summary(P.repeated_splits(v, g, _SEEDS)) for v, g in ((views, "dataset"), (views.withColumn("_random", h), "_random")))
+    sums = P.split_sums(views.withColumn("_random", h), ("dataset", "_random"), _SEEDS)
+    real, control = (P.split_summary(P.splits_of(sums, g)) for g in ("dataset", "_random"))
     return P.success(real, control)
 
 
