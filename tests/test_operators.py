@@ -318,3 +318,25 @@ def test_splits_are_drawn_once(spark):
     assert "md5" not in one._jdf.queryExecution().optimizedPlan().toString()
     both = P.split_sums(views.withColumn("other", views["query_id"] % 3), ("dataset", "other"), 4)
     assert sorted(P.splits_of(both, "dataset").collect()) == sorted(one.collect())
+
+
+def test_distances_of_a_cell_are_made_block_by_block(spark, monkeypatch):
+    """Pairs of a cell's points were rows, and its distances one state of an aggregate."""
+    import numpy as np
+
+    from viewmint.operators import geometry as G
+
+    rng = np.random.default_rng(5)
+    for p in (rng.integers(0, 9, (700, 2)).astype(float), rng.normal(size=(601, 2)), np.zeros((3, 2)), np.array([[0.0, 0.0], [3.0, 4.0]])):
+        d = ((p[:, None, :] - p[None, :, :]) ** 2).sum(axis=2)
+        want = np.median(d[d > 0]) if (d > 0).any() else np.nan
+        for most in (10, 1000, 4_000_000):
+            assert G._middle(p, most) == pytest.approx(want, nan_ok=True)
+    p = rng.normal(size=(600, 2))
+    points = spark.createDataFrame([(7, i, float(x), float(y)) for i, (x, y) in enumerate(p)] + [(8, 0, 1.0, 1.0), (9, 0, 0.0, 0.0), (9, 1, 3.0, 4.0)], "cell int, idx long, x double, y double")
+    near = G.mean_nearest(points, 5)
+    assert "Join" not in near._jdf.queryExecution().optimizedPlan().toString()
+    got = {(r["cell"], r["idx"]): r["m"] for r in near.collect()}
+    d = np.sqrt(((p[:, None, :] - p[None, :, :]) ** 2).sum(axis=2))
+    assert got == pytest.approx({(7, i): np.sort(d[i])[1:6].mean() for i in range(600)} | {(9, 0): 5.0, (9, 1): 5.0})
+    assert "Join" not in G.rbf_mmd(points, points)._jdf.queryExecution().optimizedPlan().toString()

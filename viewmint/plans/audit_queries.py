@@ -103,11 +103,7 @@ def view_rank_rule(spark, sf_dir):
 @query(f"""with {_POINTS}, d as (select p.cell, p.idx, sqrt(pow(p.x - q.x, 2) + pow(p.y - q.y, 2)) as d, row_number() over (partition by p.cell, p.idx order by pow(p.x - q.x, 2) + pow(p.y - q.y, 2), q.idx) as k from a p join a q on p.cell = q.cell and p.idx <> q.idx),
 m as (select cell, idx, avg(d) as m from d where k <= 5 group by all) select cell, round(avg(m), 6) as density, round(var_pop(m) / greatest(pow(avg(m), 2), 1e-12::double), 6) as variation from m group by cell""")
 def local_density(spark, sf_dir):
-    a = _sides(spark, sf_dir)[0]
-    b = a.select("cell", F.col("idx").alias("j"), F.col("x").alias("bx"), F.col("y").alias("by"))
-    d2 = F.pow(F.col("x") - F.col("bx"), 2) + F.pow(F.col("y") - F.col("by"), 2)
-    near = a.join(b, "cell").where("idx != j").withColumn("d2", d2).withColumn("k", F.row_number().over(Window.partitionBy("cell", "idx").orderBy("d2", "j"))).where("k <= 5")
-    m = near.groupBy("cell", "idx").agg(F.avg(F.sqrt("d2")).alias("m"))
+    m = G.mean_nearest(_sides(spark, sf_dir)[0], 5)
     return m.groupBy("cell").agg(F.round(F.avg("m"), 6).alias("density"), F.round(F.var_pop("m") / F.greatest(F.pow(F.avg("m"), 2), F.lit(1e-12)), 6).alias("variation"))
 
 
