@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+from hashlib import md5
+from itertools import islice
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from ..functions import core as C
 from .lineage import cut
 
 
@@ -46,7 +52,8 @@ def degree_matched(asked: DataFrame, index: DataFrame, seed: int, nearest: int =
 
     Draws and exclusions are at most as many as the longest ``sources`` and
     ``excluded``, so the ``nearest`` unused titles are among that many more of
-    the nearest ones: a pool a distinct degree is enough.
+    the nearest ones: a pool a distinct degree is enough.  The pools go to the
+    queries, not with each of their sources.
     """
     none = F.slice("sources", 1, 0)
     asked = asked.select("qid", F.coalesce("sources", F.array().cast(asked.schema["sources"].dataType)).alias("sources"), F.coalesce("excluded", none, F.array().cast(asked.schema["excluded"].dataType)).alias("excluded"))
@@ -55,15 +62,32 @@ def degree_matched(asked: DataFrame, index: DataFrame, seed: int, nearest: int =
     drawn = asked.select("qid", F.posexplode_outer("sources").alias("i", "source"))
     drawn = drawn.join(index.select(F.col("title").alias("source"), "degree"), "source", "left").select("qid", F.coalesce("i", F.lit(0)).alias("i"), F.coalesce("degree", F.lit(0)).cast("long").alias("wanted"))
     drawn = cut(drawn)
-    pools = nearest_pools(index, drawn.select("wanted").distinct(), size)
-    steps = drawn.join(pools, "wanted").groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("i", "pool"))).alias("steps"))
-    title = index.schema["title"].dataType.simpleString()
+    # a row a distinct degree, so at most the root of twice the sum of degrees
+    pools = {r["wanted"]: r["pool"] for r in nearest_pools(index, drawn.select("wanted").distinct(), size).collect()}
+    steps = drawn.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("i", "wanted"))).alias("s"))
+    name = F.concat_ws(":", F.lit(str(seed)), F.col("qid").cast("string")).alias("name")
+    met = asked.select("qid", "excluded").join(steps, "qid").select("qid", name, "excluded", F.col("s.i").alias("i"), F.col("s.wanted").alias("wanted"))
+    kind = to_arrow_type(index.schema["title"].dataType)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = zip(*[batch.column(c).to_pylist() for c in range(1, 5)])
+            chosen = [_drawn(name, excluded, zip(i, wanted), pools, nearest) for name, excluded, i, wanted in rows]
+            of = np.repeat(np.arange(len(chosen)), [len(c) for c in chosen])
+            draw = np.concatenate([np.arange(len(c), dtype=np.int32) for c in chosen]) if chosen else np.zeros(0, np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(of)), pa.array(draw), pa.array([t for c in chosen for t in c], kind)], ["qid", "draw", "title"])
+
+    fields = f"qid {asked.schema['qid'].dataType.simpleString()}, draw int, title {index.schema['title'].dataType.simpleString()}"
+    return met.mapInArrow(run, fields)
 
-    def one(chosen, step):
-        unused = F.slice(F.filter(step["pool"], lambda t: ~F.array_contains(chosen, t) & ~F.array_contains(F.col("excluded"), t)), 1, nearest)
-        key = F.concat_ws(":", F.lit(str(seed)), F.col("qid").cast("string"), step["i"].cast("string"))
-        pick = F.get(unused, C.hash_index(key, F.greatest(F.size(unused), F.lit(1))).cast("int"))
-        return F.when(F.size(unused) > 0, F.array_append(chosen, pick)).otherwise(chosen)
 
-    made = asked.select("qid", "excluded").join(steps, "qid").select("qid", F.aggregate("steps", F.array().cast(f"array<{title}>"), one).alias("chosen"))
-    return made.select("qid", F.posexplode("chosen").alias("draw", "title"))
+def _drawn(name: str, excluded: list, steps: Iterable[tuple[int, int]], pools: dict[int, list], nearest: int) -> list:
+    """The titles of a query's draws, in order; a null is neither drawn nor
+    known to be unused, so a query that excludes one draws nothing."""
+    used, chosen = set(excluded), []
+    for i, wanted in steps:
+        unused = list(islice((t for t in pools.get(wanted, ()) if t is not None and t not in used), nearest))
+        if unused and None not in used:
+            chosen.append(unused[int(md5(f"{name}:{i}".encode()).hexdigest()[:8], 16) % len(unused)])
+            used.add(chosen[-1])
+    return chosen
