@@ -85,14 +85,21 @@ class Decomposition:
 
 def _blocks(batch: pa.RecordBatch, at: int, buckets: int) -> Iterator[np.ndarray]:
     """Dense rows of a batch's arrays (bucket, weight) from column ``at`` on."""
-    index, weight = (batch.column(at + i).to_pylist() for i in (0, 1))
-    for a in range(0, len(index), BLOCK):
-        dense = np.zeros((len(index[a : a + BLOCK]), buckets))
-        for r, (i, w) in enumerate(zip(index[a : a + BLOCK], weight[a : a + BLOCK])):
-            dense[r, i] = w
+    (begin, index), (_, weight) = (_flat(batch.column(at + i)) for i in (0, 1))
+    for a in range(0, batch.num_rows, BLOCK):
+        ends = begin[a : a + BLOCK + 1]
+        dense = np.zeros((len(ends) - 1, buckets))
+        held = slice(ends[0], ends[-1])
+        dense[np.repeat(np.arange(len(ends) - 1), np.diff(ends)), index[held]] = weight[held]
         yield dense
 
 
+def _flat(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """Where a column's arrays begin and end, and all their values."""
+    ends = column.offsets.to_numpy().astype(np.int64)
+    return ends - ends[0], column.values.to_numpy()[ends[0] : ends[-1]]
+
+
 def truncated_svd(rows: DataFrame, buckets: int, k: int, seed: int = 7) -> Decomposition:
     """The ``k`` largest singular values of the sparse matrix of ``rows``.
 
