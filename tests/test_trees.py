@@ -101,6 +101,16 @@ def test_learners_beat_the_mean_on_held_out_rows(rows):
     assert error(Tr.extra_trees(train, NAMES, "y", trees=8)) < 0.6 * plain
 
 
+@pytest.mark.parametrize("learn", [Tr.boosted_histograms, Tr.extra_trees])
+def test_levels_read_a_row_for_equal_bins(rows, monkeypatch, learn):
+    """Thirty copies of the rows make no more rows for the levels to read."""
+    held = []
+    monkeypatch.setattr(Tr, "cut", lambda df: held.append(df) or df)
+    copied = rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.lit(30)))).drop("_copy")
+    learn(copied, NAMES[:2], "z", trees=1, depth=1, bins=8)
+    assert [df.count() <= 81 for df in held] == [True]
+
+
 def test_rows_that_teach_nothing(spark, rows):
     for learn in (Tr.boosted_histograms, Tr.extra_trees):
         none = learn(rows.limit(0), NAMES, "y")

@@ -1,8 +1,10 @@
 """Trees on binned features: histogram boosting and extremely random trees.
 
-Features are put into bins once.  A level of trees needs one aggregate: sums of
+Features are put into bins once, and rows that share all their bins become one
+row with their number and their sum of targets, so that few features make few
+rows, whatever the input's size.  A level of trees needs one aggregate: sums of
 gradients by (tree, node, feature, bin), combined on the map side; the driver
-gets that many rows at most, whatever the input's size, and chooses the splits.
+gets that many rows at most, and chooses the splits.
 Trees are arrays in heap order (children of node n are 2n and 2n + 1), so rows
 find their nodes by an expression and nothing is joined or kept between levels.
 """
@@ -94,15 +96,22 @@ def binned(features: list[str], edges: list[list[float]]) -> Column:
     return F.array(*[of(n, e) for n, e in zip(features, edges)])
 
 
+def _held(rows: DataFrame, features: list[str], edges: list[list[float]], target: str) -> DataFrame:
+    """(_b, _n, _s): how many rows have these bins, and the sum of their targets;
+    rows without a target are left out."""
+    put = rows.where(F.col(target).isNotNull()).select(binned(features, edges).alias("_b"), F.col(target).cast("double").alias("_y"))
+    return cut(put.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"), F.sum("_y").alias("_s")))
+
+
 #: (tree, node) -> {feature: {bin: (rows, gradients, hessians)}}
 Histograms = dict[tuple[int, int], dict[int, dict[int, tuple[float, float, float]]]]
 
 
 def _histograms(rows: DataFrame, trees: list[Tree], depth: int, level: int) -> Histograms:
-    """Sums over ``rows`` (_b, _g, _h) of the nodes of a level."""
-    at = rows.select("_b", "_g", "_h", F.posexplode(_nodes(trees, depth, F.col("_b"))).alias("tree", "node")).where(F.col("node") >= 1 << level)
-    each = at.select("tree", "node", "_g", "_h", F.posexplode("_b").alias("feature", "bin"))
-    sums = each.groupBy("tree", "node", "feature", "bin").agg(F.count(F.lit(1)).alias("n"), F.sum("_g").alias("g"), F.sum("_h").alias("h"))
+    """Sums over ``rows`` (_b, _n, _g, _h) of the nodes of a level."""
+    at = rows.select("_b", "_n", "_g", "_h", F.posexplode(_nodes(trees, depth, F.col("_b"))).alias("tree", "node")).where(F.col("node") >= 1 << level)
+    each = at.select("tree", "node", "_n", "_g", "_h", F.posexplode("_b").alias("feature", "bin"))
+    sums = each.groupBy("tree", "node", "feature", "bin").agg(F.sum("_n").alias("n"), F.sum("_g").alias("g"), F.sum("_h").alias("h"))
     out: Histograms = {}
     for r in sums.collect():  # trees x nodes x features x bins at most
         out.setdefault((r["tree"], r["node"]), {}).setdefault(r["feature"], {})[r["bin"]] = (r["n"], r["g"], r["h"])
@@ -151,8 +160,8 @@ def boosted_histograms(
     if loss not in ("squared", "logistic"):
         raise ValueError(f"no loss {loss}")
     edges = bin_edges(rows, features, bins)
-    held = cut(rows.where(F.col(target).isNotNull()).select(binned(features, edges).alias("_b"), F.col(target).cast("double").alias("_y")))
-    mean = held.agg(F.avg("_y")).first()[0]
+    held = _held(rows, features, edges, target)
+    mean = held.agg(F.sum("_s") / F.sum("_n")).first()[0]
     forest = Forest(features, edges, depth)
     if mean is None:
         return forest
@@ -161,9 +170,9 @@ def boosted_histograms(
     for _ in range(trees):
         total = forest.total(F.col("_b"))
         if loss == "logistic":
-            scored = held.withColumn("_p", 1 / (1 + F.exp(-total))).select("_b", (F.col("_p") - F.col("_y")).alias("_g"), (F.col("_p") * (1 - F.col("_p"))).alias("_h"))
+            scored = held.withColumn("_p", 1 / (1 + F.exp(-total))).select("_b", "_n", (F.col("_n") * F.col("_p") - F.col("_s")).alias("_g"), (F.col("_n") * F.col("_p") * (1 - F.col("_p"))).alias("_h"))
         else:
-            scored = held.select("_b", (total - F.col("_y")).alias("_g"), F.lit(1.0).alias("_h"))
+            scored = held.select("_b", "_n", (F.col("_n") * total - F.col("_s")).alias("_g"), F.col("_n").cast("double").alias("_h"))
         tree = Tree.empty(depth)
         for level in range(depth):
             grown = False
@@ -206,7 +215,7 @@ def extra_trees(
     rows without a target are left out, nulls as in :func:`boosted_histograms`.
     """
     edges = bin_edges(rows, features, bins)
-    held = cut(rows.where(F.col(target).isNotNull()).select(binned(features, edges).alias("_b"), F.col(target).cast("double").alias("_g"), F.lit(1.0).alias("_h")))
+    held = _held(rows, features, edges, target).select("_b", "_n", F.col("_s").alias("_g"), F.col("_n").cast("double").alias("_h"))
     forest = Forest(features, edges, depth, [Tree.empty(depth) for _ in range(trees)])
     few = max(1, int(math.sqrt(len(features))))
     for level in range(depth):
