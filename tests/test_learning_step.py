@@ -44,3 +44,24 @@ def test_offers_are_judged_like_views(spark):
     for of in (rows, test):
         routes = of.select("query_id", F.lit("some").alias("policy"), pick.alias("view"))
         assert Q._judged(routes, of, "full").collect() == P.evaluate(routes, views, "full").collect()
+
+
+def test_grouped_router_shuffles_no_row_of_its_routes(spark):
+    """Routes stand beside the rows that judge them: only the means are shuffled."""
+    from viewmint.plans import QUERIES
+
+    plan = QUERIES["router_proxy"](spark, SMALL)
+    assert _exchanges(plan) == 1 and plan.count() == 2
+
+
+def test_routes_are_judged_beside_their_rows(spark):
+    rows, _, _ = Q._learning(spark, SMALL)
+    offered = F.when(F.col("query_id") % 5 != 0, F.col("u_pq"))  # some aren't offered PQ
+    rows = rows.withColumn("u_pq", offered)
+    pick = F.when(F.col("query_id") % 3 == 0, "summary").when(F.col("query_id") % 3 == 1, "pq").otherwise("full")
+    routes = rows.select("query_id", F.lit("some").alias("policy"), pick.alias("view"))
+    beside = rows.select("query_id", F.lit("some").alias("policy"), pick.alias("view"), "best_utility", Q._offers().alias("offers"))
+    views = view_table(spark, SMALL).where("view != 'pq' or query_id % 5 != 0").drop("best_utility")
+    best = view_table(spark, SMALL).groupBy("query_id").agg(F.max("utility").alias("best_utility"))
+    met = routes.join(views, ["query_id", "view"]).join(best, "query_id")
+    assert P.evaluate_beside(beside, "full").collect() == P._means(met, "full").collect()
