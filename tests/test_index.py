@@ -91,6 +91,29 @@ def test_large_shards_are_split(spark, monkeypatch):
     assert recall >= 0.9
 
 
+def test_pivots_are_the_nearest_of_their_shards(spark, monkeypatch):
+    """Both sides of a shard are split; a node meets all of its pivots' members."""
+    monkeypatch.setattr(graph_index, "SHARD_ROWS", 32)
+    x = _clustered(400)
+    nodes = _table(spark, x).select(F.col("vec_id").alias("did"), F.col("embedding").alias("vector"))
+    near = nodes.select("did", F.explode(F.array(F.col("did") % 4, F.lit(4).cast("long"))).alias("pivot"))  # two pivots a node
+    shards = nodes.where("did % 3 = 0").select("did", F.when(F.col("did") % 2 == 0, F.col("did") % 4).otherwise(4).cast("long").alias("pivot"))
+    got = {}
+    for r in graph_index._pivots_below(nodes, near, shards, 3).collect():
+        got.setdefault(r["did"], set()).add(r["pivot"])
+    for q in range(400):
+        held = np.array([i for i in range(0, 400, 3) if (i % 4 if i % 2 == 0 else 4) in (q % 4, 4)])
+        score = np.round(x[held] @ x[q], 9)
+        assert got[q] == set(held[np.lexsort((held, -score))[:3]].tolist())
+
+
+def test_building_scores_no_pairs_by_joins(spark, monkeypatch):
+    """Vectors go down the layers through shards; only queries are searched for."""
+    monkeypatch.setattr(graph_index, "beams", lambda *a, **k: pytest.fail("a search while building"))
+    graph = graph_index.layered_graph(_table(spark, _clustered(1200)))
+    assert graph.layers == 2 and {r["layer"] for r in graph.links.select("layer").distinct().collect()} == {0, 1, 2}
+
+
 @pytest.fixture(scope="module")
 def file(spark):
     base = spark.read.parquet(f"{SMALL}/embeddings.parquet")
