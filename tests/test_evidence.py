@@ -58,6 +58,37 @@ def test_views_with_sub_questions(spark):
     assert len(got) == 3 * 5 * len(kept)
 
 
+#: Line number, flag, name, type, brand and size of an order's parts.
+HALFWAY = """1,A,cold bolt,MEDIUM,11,16 1,A,small rod,STANDARD,4,10 1,N,red anvil,SMALL,22,28 1,R,old ring,ECONOMY,21,5 2,A,large bolt,ECONOMY,6,29
+2,N,new bolt,MEDIUM,22,47 3,N,cold gizmo,ECONOMY,4,28 3,R,blue gear,PROMO,10,50 4,A,blue anvil,LARGE,14,22 4,N,hot bolt,ECONOMY,2,42
+4,N,large gear,MEDIUM,15,13 4,N,old widget,LARGE,9,39 4,R,blue gizmo,SMALL,15,38 4,R,hot gear,ECONOMY,20,42 4,R,old plate,MEDIUM,1,12
+4,R,small plate,SMALL,4,5 4,R,small rod,LARGE,13,45 5,N,cold gizmo,MEDIUM,25,29 5,N,red bolt,ECONOMY,15,5 5,N,small gear,PROMO,20,35
+5,R,large plate,SMALL,2,27 5,R,small plate,SMALL,16,14 6,A,blue rod,MEDIUM,17,42 6,A,large bolt,ECONOMY,16,4 6,R,old plate,LARGE,20,2"""
+
+
+def test_scores_halfway_between_ranked_digits_rank_as_in_sql(spark, tmp_path):
+    """Two paragraphs of the support set show 7.9304026925, halfway at the ninth digit; only one is rounded up."""
+    import duckdb
+
+    from viewmint.plans import ORACLES, QUERIES
+
+    lines = [(n, flag, name, kind, f"Brand#{brand}", size) for n, flag, name, kind, brand, size in re.findall(r"(\d),(\w),(\w+ \w+),(\w+),(\d+),(\d+)", HALFWAY)]
+    assert len(lines) == 25
+    con = duckdb.connect()
+    con.execute("create table part (p_partkey bigint, p_name varchar, p_type varchar, p_brand varchar, p_size int)")
+    con.execute("create table lineitem (l_orderkey bigint, l_partkey bigint, l_linenumber int, l_returnflag varchar)")
+    con.executemany("insert into part values (?, ?, ?, ?, ?)", [(i, *x[2:5], int(x[5])) for i, x in enumerate(lines)])
+    con.executemany("insert into lineitem values (19837, ?, ?, ?)", [(i, int(x[0]), x[1]) for i, x in enumerate(lines)])
+    for t in ("part", "lineitem"):
+        con.execute(f"copy {t} to '{tmp_path}/{t}.parquet' (format parquet)")
+    columns = "qid, view, did, score, rank"
+    want = con.execute(f"select {columns} from ({ORACLES['evidence_decomposed']}) order by all").fetchall()
+    got = QUERIES["evidence_decomposed"](spark, str(tmp_path)).select(*columns.split(", ")).collect()
+    assert sorted(tuple(r) for r in got) == want
+    tied = {d: (s, r) for _, v, d, s, r in want if v == "support_set" and s == 7.9304026925}
+    assert tied == {21: (7.9304026925, 8), 18: (7.9304026925, 9)}
+
+
 def test_views_of_relations(spark):
     sents = ["Ann Lee was born in Oslo .", "She left .", "Oslo is a city where Ann Lee lived ."]
     raw = spark.createDataFrame([("d", "dev", "T", [s.split(" ") for s in sents], [[("Ann Lee",)], [("Oslo",)]], [(0, 1, "P19", [0]), (0, 1, "P0", [7])])], S.RAW_DOCRED)

@@ -67,11 +67,16 @@ def views(signal: DataFrame, family: str) -> DataFrame:
 
 
 def _ranked(scored: DataFrame, order: list[str]) -> DataFrame:
-    """(qid, view, ord, did, score, rank) of a column a view; ties by position."""
-    cells = F.array(*[F.struct(F.lit(v).alias("view"), F.lit(i).alias("ord"), (F.round(v, 12) + 0.0).alias("score")) for i, v in enumerate(order)])
+    """(qid, view, ord, did, score, rank) of a column a view; ties by position.
+
+    Ranks go by billionths of the column itself: scores often lie halfway
+    between two of them, and one that was rounded before may go the other way.
+    """
+    billionths = lambda v: F.round(F.col(v) * 1e9)
+    cells = F.array(*[F.struct(F.lit(v).alias("view"), F.lit(i).alias("ord"), (F.round(v, 12) + 0.0).alias("score"), billionths(v).alias("key")) for i, v in enumerate(order)])
     long = scored.select("qid", "did", F.explode(cells).alias("c")).select("qid", "did", "c.*")
-    by = Window.partitionBy("qid", "view").orderBy(F.round("score", 9).desc(), "did")
-    return long.withColumn("rank", F.row_number().over(by).cast("long"))
+    by = Window.partitionBy("qid", "view").orderBy(F.col("key").desc(), "did")
+    return long.withColumn("rank", F.row_number().over(by).cast("long")).drop("key")
 
 
 def decomposed_views(rows: DataFrame) -> DataFrame:
