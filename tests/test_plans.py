@@ -67,3 +67,16 @@ def test_top_k_is_limited_before_the_shuffle(spark):
 def test_range_join_is_an_equi_join(spark):
     plan = _plan(QUERIES["range_join"](spark, SMALL))
     assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_no_function_of_a_module_hides_another():
+    """A later one of the same name would serve the queries above it, too."""
+    import ast
+    from collections import Counter
+    from pathlib import Path
+
+    import viewmint
+
+    for path in sorted(Path(viewmint.__file__).parent.rglob("*.py")):
+        names = Counter(n.name for n in ast.parse(path.read_text()).body if isinstance(n, (ast.FunctionDef, ast.ClassDef)))
+        assert [n for n, times in names.items() if times > 1] == [], path
