@@ -122,3 +122,11 @@ def test_relations_are_scored_where_they_stand(spark):
         assert "Window" not in plan and "Aggregate" not in plan
         assert plan.count("Join") == plan.count("rightHint=(strategy=broadcast)") == 1
         assert "size(transform(sents" not in plan and "size(lines" not in plan
+
+
+def test_decomposed_views_are_scored_where_they_stand(spark):
+    """Pools spread by term, and a join for each score, put many times the input on disk."""
+    from viewmint.plans import QUERIES
+
+    plan = QUERIES["evidence_decomposed"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1 and plan.count("Aggregate [") == 1 and "Window" not in plan and "LogicalRDD" not in plan

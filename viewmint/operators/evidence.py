@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.core import overlap_share, tokens
-from .text import bm25_local, bm25_of, clique_scores, fallback_anchor
+from .text import bm25_local, bm25_of, bm25_of_tokens, clique_scores, fallback_anchor
 
 #: A family's views as weights of signals, in menu order.  The
 #: last views of fever and strategyqa add a bonus on gold: they stand for a
@@ -87,23 +87,28 @@ def decomposed_views(rows: DataFrame) -> DataFrame:
     paragraphs by either and by the best of the sub-questions alone.  A row
     without sub-questions has that part 0.  All weights are fixed values.
     """
-    pool = rows.select(F.col("id").alias("qid"), F.posexplode("paragraphs").alias("did", "p")).select("qid", "did", F.col("p.title").alias("title"), F.concat("p.title", F.lit(". "), "p.paragraph_text").alias("text"))
+    terms = lambda of: F.transform("paragraphs", lambda p: tokens(of(p)))
     both = F.trim(F.concat_ws(" ", "question", F.array_join("decomp_questions", " ")))
-    asked = rows.select(F.col("id").alias("qid"), "question", both.alias("both"))
-
-    def bm(by: str, of: str, name: str) -> DataFrame:
-        return bm25_local(asked.select("qid", F.col(by).alias("text")), pool.select("qid", "did", F.col(of).alias("text"))).withColumnRenamed("score", name)
-
-    steps = rows.select(F.col("id").alias("qid"), F.posexplode("decomp_questions").alias("step", "q"))
-    each = bm25_local(steps.select(F.struct("qid", "step").alias("qid"), F.col("q").alias("text")), pool.join(steps.select("qid", "step"), "qid").select(F.struct("qid", "step").alias("qid"), "did", "text"))
-    best = each.groupBy(F.col("qid.qid").alias("qid"), "did").agg(F.max("score").alias("best"))
-    parts = [bm("question", "title", "t"), bm("both", "title", "tb"), bm("question", "text", "p"), bm("both", "text", "pb")]
-    met = reduce(lambda a, b: a.join(b, ["qid", "did"]), parts, pool.select("qid", "did", "title").join(asked.select("qid", "question"), "qid"))
-    met = met.join(best, ["qid", "did"], "left").withColumn("best", F.coalesce("best", F.lit(0.0)))
-    met = met.withColumn("summary", F.col("t") + 0.5 * F.round(overlap_share(F.col("question"), F.col("title")), 6))
-    met = met.withColumn("decomp_title", F.col("tb") + 0.25 * F.col("summary")).withColumn("paragraph", F.col("p") + 0.15 * F.col("summary"))
-    met = met.withColumn("support_set", F.col("pb") + 0.3 * F.col("best") + 0.15 * F.col("paragraph")).withColumn("full_context", F.col("pb") + 0.2 * F.col("support_set"))
-    return _ranked(met, ["summary", "decomp_title", "paragraph", "support_set", "full_context"])
+    read = rows.select(
+        F.col("id").alias("qid"), tokens(F.col("question")).alias("q"), tokens(both).alias("b"), F.transform("decomp_questions", tokens).alias("s"),
+        terms(lambda p: p["title"]).alias("titles"), terms(lambda p: F.concat(p["title"], F.lit(". "), p["paragraph_text"])).alias("texts"),
+        F.transform("paragraphs", lambda p: F.round(overlap_share(F.col("question"), p["title"]), 6)).alias("ov"),
+    )
+    bm = lambda by, of: bm25_of_tokens(F.col(by), F.col(of))
+    steps = F.transform("s", lambda s: bm25_of_tokens(s, F.col("texts")))
+    met = read.select("qid", "ov", bm("q", "titles").alias("t"), bm("b", "titles").alias("tb"), bm("q", "texts").alias("p"), bm("b", "texts").alias("pb"), steps.alias("steps"))
+    best = lambda i: F.coalesce(F.array_max(F.transform("steps", lambda e: F.get(e, i))), F.lit(0.0))
+    # a question's paragraphs are in its row, so they are scored and ranked there
+    made = met.select("*", F.zip_with("t", "ov", lambda t, o: t + 0.5 * o).alias("summary"), F.transform("t", lambda t, i: best(i)).alias("best"))
+    made = made.select("*", F.zip_with("tb", "summary", lambda x, s: x + 0.25 * s).alias("decomp_title"), F.zip_with("p", "summary", lambda x, s: x + 0.15 * s).alias("paragraph"))
+    made = made.withColumn("support_set", F.zip_with(F.zip_with("pb", "best", lambda x, e: x + 0.3 * e), "paragraph", lambda x, y: x + 0.15 * y))
+    made = made.withColumn("full_context", F.zip_with("pb", "support_set", lambda x, s: x + 0.2 * s))
+    views_ = ["summary", "decomp_title", "paragraph", "support_set", "full_context"]
+    cells = F.array(*[F.struct(F.lit(v).alias("view"), F.lit(i).alias("ord"), F.col(v).alias("scores")) for i, v in enumerate(views_)])
+    each = made.select("qid", F.explode(cells).alias("c")).select("qid", "c.*")
+    # by billionths of the score itself, as in _ranked
+    order = F.array_sort(F.transform("scores", lambda x, i: F.named_struct(F.lit("key"), -F.round(x * 1e9), F.lit("did"), i, F.lit("score"), F.round(x, 12) + 0.0)))
+    return each.select("qid", "view", "ord", F.posexplode(order).alias("at", "s")).select("qid", "view", "ord", "s.did", "s.score", (F.col("at") + 1).cast("long").alias("rank"))
 
 
 def relation_views(rows: DataFrame, dense: DataFrame | None = None) -> DataFrame:

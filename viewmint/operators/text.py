@@ -37,12 +37,16 @@ def bm25_local(queries: DataFrame, pool: DataFrame, k1: float = K1, b: float = B
 def bm25_of(query: Column, texts: Column, k1: float = K1, b: float = B) -> Column:
     """Array of :func:`bm25_local` scores of ``texts``, an array that is the
     query's own pool: query and pool stand in one row, so nothing is shuffled."""
+    return bm25_of_tokens(tokens(query), F.transform(texts, tokens), k1, b)
+
+
+def bm25_of_tokens(query: Column, texts: Column, k1: float = K1, b: float = B) -> Column:
+    """:func:`bm25_of` of a query's tokens and of an array of texts' tokens."""
     size = lambda a: F.aggregate(a, F.lit(0.0), lambda s, d: s + d["dl"]) / F.greatest(F.size(a), F.lit(1))
     times = lambda a, t: F.size(F.filter(a, lambda x: x == t))
 
     def read(terms: Column) -> Column:
-        one = lambda t: bound(tokens(t), lambda w: F.named_struct(F.lit("dl"), F.greatest(F.size(w), F.lit(1)), F.lit("hits"), F.filter(w, lambda x: F.array_contains(terms, x))))
-        return F.transform(texts, one)
+        return F.transform(texts, lambda w: F.named_struct(F.lit("dl"), F.greatest(F.size(w), F.lit(1)), F.lit("hits"), F.filter(w, lambda x: F.array_contains(terms, x))))
 
     def weigh(asked: Column, terms: Column, docs: Column) -> Column:
         df = lambda t: F.size(F.filter(docs, lambda d: F.array_contains(d["hits"], t)))
@@ -53,7 +57,7 @@ def bm25_of(query: Column, texts: Column, k1: float = K1, b: float = B) -> Colum
         part = lambda d, w: bound(times(d["hits"], w["t"]), lambda tf: F.when(tf > 0, w["w"] * (tf * (k1 + 1) / (tf + k1 * (1 - b + b * d["dl"] / mean)))).otherwise(0.0))
         return F.transform(docs, lambda d: F.round(F.aggregate(weights, F.lit(0.0), lambda s, w: s + part(d, w)), 6))
 
-    return bound(tokens(query), lambda asked: bound(F.array_distinct(asked), lambda terms: bound(read(terms), lambda docs: bound(
+    return bound(query, lambda asked: bound(F.array_distinct(asked), lambda terms: bound(read(terms), lambda docs: bound(
         weigh(asked, terms, docs), lambda weights: bound(size(docs), lambda mean: score(weights, docs, mean))
     ))))
 

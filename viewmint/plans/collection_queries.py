@@ -6,7 +6,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..operators import evidence as E
-from ..operators.lineage import cut
 from ..sources import collections as S
 from .registry import query, read
 
@@ -160,7 +159,7 @@ def evidence_decomposed(spark, sf_dir):
         F.transform("l", lambda x: F.struct(x["n"].alias("idx"), x["p_name"].alias("title"), F.when(x["p_size"] % 10 == 0, " ").otherwise(F.concat_ws(" ", x["p_type"], x["p_brand"])).alias("paragraph_text"), (x["flag"] == "R").alias("is_supporting"))).alias("paragraphs"),
         F.transform(F.filter("l", lambda x: x["n"] <= 3), lambda x: F.struct(F.when(x["p_size"] % 4 == 0, "").otherwise(F.concat_ws(" ", x["p_brand"], x["p_type"])).alias("question"), x["p_brand"].alias("answer"), x["n"].alias("paragraph_support_idx"))).alias("question_decomposition"),
     )
-    return E.decomposed_views(cut(S.load_musique(raw))).select("qid", "view", "did", "score", "rank")
+    return E.decomposed_views(S.load_musique(raw)).select("qid", "view", "did", "score", "rank")
 
 
 @query(f"""with {_DOC}, qs as (select doc_id * 10 + nth as qid, 't: evidence for relation ' || name || ' between ' || head || ' and ' || tail as text, * from (select doc_id, nth, s, head, tail, name from q)),
