@@ -75,3 +75,34 @@ def test_solvers_are_compared_where_a_cell_stands(spark):
     for name, solve in solvers.items():
         want = {(r["cell"], name): r["chamfer"] for r in Geo.chamfer(L.solve_cells(points, solve), points).collect()}
         assert want == pytest.approx({k: v for k, v in got.items() if k[1] == name}, abs=2e-6)
+
+
+@pytest.mark.parametrize("kind", ["plain", "signs", "equal", "missing", "huge"])
+def test_single_precision_only_narrows_the_search(kind):
+    """What is found is what double precision ranks first; where single precision doesn't hold, it isn't asked."""
+    from viewmint.operators import search as S
+
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(20_000, 32))
+    x = {"plain": x, "signs": np.sign(x) / np.sqrt(32), "equal": np.repeat(x[:1], len(x), axis=0), "missing": np.where(rng.random(x.shape) < 1e-4, np.nan, x), "huge": x * 1e100}[kind]
+    x[50:60] = x[40:50] * (1 + 1e-9)  # closer together than single precision tells
+    did = rng.permutation(len(x))
+    scale = 1e200 if kind == "huge" else 1.0
+    row, column, score = S.best_products(x[:30], x, did[:30], did, 10)
+    full = np.nan_to_num(x[:30] @ x.T, nan=-np.inf)
+    full[np.arange(30), np.arange(30)] = -np.inf
+    for i in range(30):
+        want = np.lexsort((did, -np.round(full[i], S.DIGITS)))[: min(10, int((full[i] > -np.inf).sum()))]
+        assert score[row == i] / scale == pytest.approx(np.round(full[i][want], S.DIGITS) / scale, abs=2e-9)
+        if kind != "huge":
+            assert list(column[row == i]) == list(want)
+
+
+def test_most_products_are_of_single_precision(monkeypatch):
+    from viewmint.operators import search as S
+
+    made = []
+    monkeypatch.setattr(S.np, "partition", lambda m, *a, _p=np.partition, **b: made.append(m.dtype) or _p(m, *a, **b))
+    x = np.random.default_rng(4).normal(size=(2000, 16))
+    S.best_products(x[:20], x, np.arange(20), np.arange(2000), 10)
+    assert made and set(made) == {np.dtype(np.float32)}
